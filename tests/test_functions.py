@@ -157,7 +157,7 @@ def test_prose_language(one):
             ("Después de morir a manos de su maestro, el joven espadachín regresa al día en que entró a la secta y "
              "jura cambiar su destino con lo que sabe de su vida pasada.",), ("The return of the hero",)]
     assert one(rows, "t string", prose.is_english_text("t")) == [True, False, False]
-    assert one(rows, "t string", prose.source_language("t")) == ["en", "es", "es"]
+    assert one(rows, "t string", prose.source_language("t")) == ["en", "es", "en"]
 
 
 def test_synopsis(one):
