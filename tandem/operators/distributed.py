@@ -16,27 +16,37 @@ from tandem.session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the high bits, row in the low 33
 
 
-def global_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+def global_position(
+    df: DataFrame, order: Sequence[Column], name: str = "position", running: dict[str, Column] | None = None
+) -> DataFrame:
     """Add the exact 1-based position of every row in a total order.
 
     ``order`` must end with a unique column. One range shuffle sorts the data;
     the row number inside each range is written down with the rows, and the
     number of rows before each range (one value per partition) is added by a
-    join. No task ever sees more than one range.
+    join. No task ever sees more than one range. ``running`` adds sums over all
+    rows up to and including the row, in the same way.
     """
+    running = running or {}
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    written = cut_lineage(ranged.withColumn("_mid", F.monotonically_increasing_id()))
-    written = written.withColumn("_part", F.shiftright("_mid", _ROW_BITS))
-    per_part = written.groupBy("_part").agg(F.count("*").alias("_n"))
+    marked = ranged.withColumns({"_mid": F.monotonically_increasing_id(), **{f"_r_{k}": v for k, v in running.items()}})
+    written = cut_lineage(marked).withColumn("_part", F.shiftright("_mid", _ROW_BITS))
+    per_part = written.groupBy("_part").agg(
+        F.count("*").alias("_n"), *[F.sum(f"_r_{k}").alias(f"_s_{k}") for k in running]
+    )
     # one row per partition: the only window without a key, and its size is the partition count
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    in_part = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
-        written.join(offsets, "_part")
-        .withColumn(name, F.col("_before") + in_part + 1)
-        .drop("_mid", "_part", "_before")
+    offsets = per_part.select(
+        "_part",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in running],
     )
+    in_part = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    placed = written.join(offsets, "_part").withColumn(name, F.col("_before") + in_part + 1)
+    up_to = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for k in running:
+        placed = placed.withColumn(k, F.col(f"_b_{k}") + F.sum(f"_r_{k}").over(up_to)).drop(f"_r_{k}", f"_b_{k}")
+    return placed.drop("_mid", "_part", "_before")
 
 
 def position_in_group(
