@@ -105,9 +105,10 @@ def chapter_number(c: Column | str) -> Column:
     return F.coalesce(F.nullif(named, F.lit("")), F.nullif(plain, F.lit(""))).try_cast("int")
 
 
-_TITLE_PREFIX = (
-    rf"(?iu)^\s*(?:{fv.TITLE_PREFIX_WORDS})?\s*[-–—:.]?\s*0*([0-9]+(?:[.,][0-9]+)?)\s*[-–—:·.|]?\s*"
+TITLE_PREFIX_SQL = (
+    rf"(?i)^\s*(?:{fv.TITLE_PREFIX_WORDS})?\s*[-–—:.]?\s*0*([0-9]+(?:[.,][0-9]+)?)\s*[-–—:·.|]?\s*"
 )
+_TITLE_PREFIX = TITLE_PREFIX_SQL.replace("(?i)", "(?iu)", 1)
 
 
 def title_rest(title: Column | str, number: Column | str) -> Column:
