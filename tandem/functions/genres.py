@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import cache
@@ -34,8 +35,8 @@ def lookup(value: str) -> dict[str, str]:
 
 
 def _literal_map(value: str) -> Column:
-    pairs = [F.lit(x) for kv in lookup(value).items() for x in kv]
-    return F.create_map(*pairs)
+    # parsed from one literal and folded to a constant: a few plan nodes in place of hundreds
+    return F.from_json(F.lit(json.dumps(lookup(value), ensure_ascii=False)), "map<string,string>")
 
 
 def folded_label(c: Column) -> Column:
@@ -65,9 +66,12 @@ def keyed(labels: Column) -> Column:
 
 def first_per_key(pairs: Column) -> Column:
     """Keep the first struct of each key."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    all_keys = F.transform(pairs, lambda p: p["key"])
-    return F.transform(keys, lambda k: F.element_at(pairs, F.array_position(all_keys, k).cast("int")))
+
+    def add(kept: Column, pair: Column) -> Column:
+        known = F.array_contains(F.transform(kept, lambda p: p["key"]), pair["key"])
+        return F.when(known, kept).otherwise(F.array_append(kept, pair))
+
+    return F.aggregate(pairs, F.array().cast("array<struct<key:string,label:string>>"), add)
 
 
 def merge_genres(lists: list[Column], cap: int | None = fv.MAX_GENRES) -> Column:

@@ -70,19 +70,32 @@ def _candidates(title: Column, alternatives: Column) -> Column:
     )
 
 
+def tagged_names(title: Column, alternatives: Column) -> Column:
+    """Usable names in order, each with its language."""
+    return F.transform(
+        _candidates(title, alternatives), lambda n: F.struct(n.alias("name"), title_language(n).alias("lang"))
+    )
+
+
+def first_in(names: Column, lang: str) -> Column:
+    return F.try_element_at(F.filter(names, lambda n: n["lang"] == lang), F.lit(1))["name"]
+
+
 def title_in(title: Column, alternatives: Column, lang: str) -> Column:
     """First name in that language, or NULL."""
-    return F.try_element_at(
-        F.filter(_candidates(title, alternatives), lambda n: title_language(n) == lang), F.lit(1)
-    )
+    return first_in(tagged_names(title, alternatives), lang)
+
+
+def second_of(title: Column, title_lang: Column, english: Column, spanish: Column, lang: str) -> Column:
+    either = F.coalesce(spanish, english)
+    pick = F.when(title_lang != "en", english).otherwise(either) if lang == "es" else either
+    return F.when(F.lower(fold_accents(pick)) != F.lower(fold_accents(title)), pick)
 
 
 def second_name(title: Column, alternatives: Column, lang: str) -> Column:
     """The name shown beside the title, never the same name again."""
     english, spanish = title_in(title, alternatives, "en"), title_in(title, alternatives, "es")
-    either = F.coalesce(spanish, english)
-    pick = F.when(title_language(title) != "en", english).otherwise(either) if lang == "es" else either
-    return F.when(F.lower(fold_accents(pick)) != F.lower(fold_accents(title)), pick)
+    return second_of(title, title_language(title), english, spanish, lang)
 
 
 def prose_words(c: Column | str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import genres, prose, text, urls
+from tandem.functions.fixed_values import MAX_GENRES
 
 
 def work_names(works: DataFrame) -> DataFrame:
@@ -43,27 +44,26 @@ def number_chapters(chapters: DataFrame) -> DataFrame:
 
 def canonicalize_genres(works: DataFrame) -> DataFrame:
     """Genre labels of each work named in both languages, keyed and merged."""
-    labels = F.col("categorias")
-    return works.withColumns(
+    first = works.withColumn("_pairs", genres.first_per_key(genres.keyed(F.col("categorias"))))
+    pairs = F.col("_pairs")
+    return first.withColumns(
         {
-            "generos_es": genres.genres_in(labels, "es"),
-            "generos_en": genres.genres_in(labels, "en"),
-            "claves_genero": F.array_distinct(F.transform(genres.keyed(labels), lambda p: p["key"])),
-            "generos": genres.merge_genres([labels]),
+            "generos_es": F.transform(pairs, lambda p: genres.canonical_genre(p["label"], "es")),
+            "generos_en": F.transform(pairs, lambda p: genres.canonical_genre(p["label"], "en")),
+            "claves_genero": F.transform(pairs, lambda p: p["key"]),
+            "generos": F.slice(F.transform(pairs, lambda p: p["label"]), 1, MAX_GENRES),
         }
-    )
+    ).drop("_pairs")
 
 
 def tag_titles(works: DataFrame) -> DataFrame:
     """Language of the title, the English title and the second name to show."""
-    title, alternatives = F.col("titulo"), F.col("titulos_alternativos")
-    return works.withColumns(
-        {
-            "idioma_titulo": prose.title_language(title),
-            "titulo_en": prose.title_in(title, alternatives, "en"),
-            "segundo_nombre": prose.second_name(title, alternatives, "es"),
-        }
-    )
+    tagged = works.withColumn("_names", prose.tagged_names(F.col("titulo"), F.col("titulos_alternativos")))
+    tagged = tagged.withColumn("idioma_titulo", prose.title_language("titulo"))
+    tagged = tagged.withColumn("titulo_en", prose.first_in(F.col("_names"), "en"))
+    tagged = tagged.withColumn("_es", prose.first_in(F.col("_names"), "es"))
+    second = prose.second_of(F.col("titulo"), F.col("idioma_titulo"), F.col("titulo_en"), F.col("_es"), "es")
+    return tagged.withColumn("segundo_nombre", second).drop("_names", "_es")
 
 
 def clean_texts(texts: DataFrame, column: str) -> DataFrame:

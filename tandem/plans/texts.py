@@ -162,21 +162,73 @@ def _(t):
     return ct.canonicalize_genres(published(t)).select("work_id", ct.joined("generos").alias("generos"))
 
 
-@query("i9_title_language")
+def title_language_sql(t: str) -> str:
+    """The decision list over a column ``t`` with its words in ``ws``."""
+
+    def count(words):
+        return f"len(list_filter(ws, lambda w: list_contains({sql_list(words)}, w)))"
+
+    def some(pattern, extra="true"):
+        return f"len(list_filter(ws, lambda w: {extra} AND regexp_matches(w, '{pattern}'))) > 0"
+
+    def n_long(pattern):
+        return f"len(list_filter(ws, lambda w: length(w) >= 4 AND regexp_matches(w, '{pattern}')))"
+
+    french = some(fv.ENDINGS_FR, "length(w) >= 4")
+    pinyin = (
+        f"len(list_filter(ws, lambda w: regexp_matches(w, '{fv.PINYIN}') "
+        "AND (length(w) <= 4 OR regexp_matches(w, 'zh|x|q')))) = len(ws)"
+    )
+    return f"""CASE WHEN {t} = '' OR regexp_matches({t}, '[^\\x{{0}}-\\x{{24f}}\\x{{2000}}-\\x{{206f}}]') THEN 'otro'
+      WHEN regexp_matches(lower({t}), '[{fv.OTHER_LATIN_LETTERS}]|ów([^a-z0-9_]|$)|nh|\\b[ld]''[a-zé]') THEN 'otro'
+      WHEN len(ws) = 0 THEN 'otro' WHEN len(ws) >= 2 AND {pinyin} THEN 'otro'
+      WHEN {count(fv.TITLE_WORDS_OTHER)} > {count(fv.TITLE_WORDS_ES)}
+           AND {count(fv.TITLE_WORDS_OTHER)} >= {count(fv.TITLE_WORDS_EN)} THEN 'otro'
+      WHEN regexp_matches(lower({t}), '[ñ¿¡áíóú]') THEN 'es'
+      WHEN regexp_matches(lower({t}), 'é') THEN CASE WHEN {count(fv.TITLE_WORDS_ES)} > 0 AND NOT ({french})
+           AND NOT {some('ssion$', 'length(w) >= 4')} THEN 'es' ELSE 'otro' END
+      WHEN {french} AND {n_long(fv.ENDINGS_EN)} = 0 THEN 'otro'
+      WHEN {count(fv.TITLE_WORDS_ES)} > {count(fv.TITLE_WORDS_EN)} THEN 'es'
+      WHEN {count(fv.TITLE_WORDS_EN)} > {count(fv.TITLE_WORDS_ES)} THEN 'en'
+      WHEN {some(fv.KOREAN_CLUSTERS)} THEN 'otro'
+      WHEN {n_long(fv.ENDINGS_ES)} > {n_long(fv.ENDINGS_EN)} THEN 'es'
+      WHEN len(ws) <= 2 AND {some('ae([^l]|$)')} AND {n_long(fv.ENDINGS_EN)} = 0 THEN 'otro' ELSE 'en' END"""
+
+
+check_view(
+    "o_name_language",
+    f"""SELECT work_id, name_pos, t AS nombre, {title_language_sql('t')} AS idioma FROM (
+          SELECT work_id, name_pos, nombre AS t, regexp_extract_all(lower(strip_accents(nombre)), '[a-z]+') AS ws FROM o_names)""",
+)
+
+
+@query("i9_title_language", """
+    SELECT work_id, nombre AS titulo, idioma AS idioma_titulo FROM o_name_language WHERE name_pos = 0""")
 def _(t):
     rows = ct.tag_titles(published(t).select("work_id", "titulo", "titulos_alternativos"))
     return rows.select("work_id", "titulo", "idioma_titulo")
 
 
-@query("i9_document_title_language")
+@query("i9_document_title_language", f"""
+    SELECT doc_id, {title_language_sql('t')} AS idioma_titulo FROM (
+      SELECT doc_id, t, regexp_extract_all(lower(strip_accents(t)), '[a-z]+') AS ws FROM (
+        SELECT doc_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:8], ' ') AS t FROM documents))""")
 def _(t):
     from tandem.functions import prose
 
     title = F.array_join(F.slice(F.split(F.col("text"), r"\s+"), 1, 8), " ")
-    return t.base("documents").select("doc_id", prose.title_language(title).alias("idioma_titulo"))
-
-
-@query("i11_pick_title")
+    return t.base("documents").select("doc_id", title.alias("t")).select("doc_id", prose.title_language("t").alias("idioma_titulo"))
+
+
+@query("i11_pick_title", """
+    WITH c AS (SELECT *, row_number() OVER (PARTITION BY work_id, idioma ORDER BY name_pos) AS rn FROM o_name_language
+               WHERE NOT regexp_matches(nombre, '(?i)\\s(novela|novel|manhwa|manga|webtoon)$')),
+    m AS (SELECT n.work_id, n.nombre AS titulo, n.idioma, e.nombre AS en, s.nombre AS es
+          FROM o_name_language n LEFT JOIN c e ON e.work_id = n.work_id AND e.idioma = 'en' AND e.rn = 1
+          LEFT JOIN c s ON s.work_id = n.work_id AND s.idioma = 'es' AND s.rn = 1 WHERE n.name_pos = 0),
+    k AS (SELECT *, CASE WHEN idioma <> 'en' THEN en ELSE coalesce(es, en) END AS pick FROM m)
+    SELECT work_id, coalesce(en, '') AS titulo_en,
+           CASE WHEN lower(strip_accents(pick)) <> lower(strip_accents(titulo)) THEN pick ELSE '' END AS segundo_nombre FROM k""")
 def _(t):
     rows = ct.tag_titles(published(t).select("work_id", "titulo", "titulos_alternativos"))
     return rows.select("work_id", "titulo_en", "segundo_nombre").fillna("")
