@@ -267,7 +267,7 @@ check_view("o_site_tags", """
     k AS (SELECT x.*, coalesce(g.clave, regexp_replace(regexp_replace(lower(strip_accents(label)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS clave
           FROM x LEFT JOIN o_genres g ON g.spelling = trim(regexp_replace(regexp_replace(lower(strip_accents(label)), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g'))),
     f AS (SELECT work_id, clave, arg_min(trim(label), (src, sitio, pos)) AS label, min((src, sitio, pos)) AS en FROM k GROUP BY work_id, clave)
-    SELECT f.work_id, string_agg(label, '|' ORDER BY en) AS categorias FROM f
+    SELECT f.work_id, string_agg(label, '|' ORDER BY en, label) AS categorias FROM f
     JOIN (SELECT work_id, CAST(tag1 IS NOT NULL AS INT) + CAST(tag2 IS NOT NULL AS INT) + CAST(tag3 IS NOT NULL AS INT) AS antes FROM o_works) w USING (work_id)
     WHERE f.work_id IN (SELECT work_id FROM o_site_tags) GROUP BY f.work_id, w.antes HAVING count(*) <> w.antes""")
 def _(t):
