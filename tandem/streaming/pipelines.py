@@ -1,0 +1,186 @@
+"""Structured Streaming forms of the incremental operators.
+
+Each builder takes and returns a streaming DataFrame (or starts a query that
+writes to a folder); the batch operator of the same name gives the same result
+on the same rows. Event times must be TIMESTAMP.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tandem.operators.incremental import _DAY_US, activity_windows, apply_changes
+from tandem.session import shared_dir
+from tandem.sinks.exports import write_snapshot
+from tandem.sources.catalog import latest_snapshot
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 200) -> DataFrame:
+    """A folder of Parquet files as a stream; the schema is that of the files that are there."""
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", name)
+        .parquet(folder)
+    )
+
+
+def run_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
+def finish(query: StreamingQuery) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def store(stream: DataFrame, folder: str, mode: str = "append") -> None:
+    """Everything available now, written to ``folder``/rows."""
+    query = (
+        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/rows")
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    finish(query)
+
+
+def store_with(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    query = (
+        stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start()
+    )
+    finish(query)
+
+
+# ---- activity, sessions -----------------------------------------------------------------
+
+def activity_stream(changes: DataFrame, late: str = "1 day", size: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Windows of changes per work; a window comes out once no more rows are awaited, later rows are dropped."""
+    return activity_windows(changes.withWatermark("visto_en", late), size, slide)
+
+
+def session_stream(progress: DataFrame, late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
+    """Reading sessions that have ended. ``progress``: user_id, ts, capitulo."""
+    sessions = progress.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w"))
+    return sessions.agg(F.count("*").alias("n"), F.max("ts").alias("ultima")).select(
+        "user_id", F.col("w.start").alias("inicio"), "ultima", "n"
+    )
+
+
+# ---- chapters ---------------------------------------------------------------------------
+
+def new_chapters_stream(chapters: DataFrame, late: str = "7 days") -> DataFrame:
+    """First arrival of each chapter (source, MD5 of URL) within the watermark."""
+    keyed = chapters.withColumn("url_md5", F.md5("url")).withWatermark("visto_en", late)
+    return keyed.dropDuplicatesWithinWatermark(["source_id", "url_md5"])
+
+
+def insert_chapters(chapters: DataFrame, folder: str) -> None:
+    """New chapters appended to ``folder``/rows; a batch that runs again replaces its own part only."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = _rows_before(spark, folder, number)
+        fresh = batch.dropDuplicates(["source_id", "url_md5"])
+        if known is not None:
+            fresh = fresh.join(known.select("source_id", "url_md5"), ["source_id", "url_md5"], "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    store_with(new_chapters_stream(chapters), folder, write)
+
+
+def _rows_before(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{folder}/rows")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    done = [str(s.getPath().getName()) for s in fs.listStatus(root)]
+    parts = [f"{folder}/rows/{d}" for d in done if d.startswith("batch=") and int(d[6:]) < number
+             and fs.exists(hadoop.Path(f"{folder}/rows/{d}/_SUCCESS"))]
+    return spark.read.parquet(*parts) if parts else None
+
+
+def apply_changes_stream(changes: DataFrame, folder: str, columns: list[str]) -> None:
+    """A stream of changed rows (borrado marks tombstones) kept as versioned snapshots in ``folder``/snapshot.
+
+    Every batch reads the newest complete version and writes the next one, named
+    by the batch number, so a batch that runs twice writes the same version.
+    """
+    path = f"{folder}/snapshot"
+    start = datetime(1970, 1, 1)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        # named by the batch, so it sorts after all earlier ones
+        stamp = datetime.fromtimestamp(number + 1, tz=timezone.utc).replace(tzinfo=None)
+        found = latest_snapshot(spark, path)
+        if found is not None and found[1]["hasta"] >= stamp:
+            return  # this version is complete already
+        live = batch.where("NOT borrado")
+        dead = batch.where("borrado").select("id", F.col("modificado_en").alias("borrado_en"))
+        state = found[0] if found is not None else live.limit(0).select(*columns)
+        write_snapshot(apply_changes(state, live, dead, start), path, stamp, stamp)
+
+    store_with(changes, folder, write)
+
+
+# ---- votes ------------------------------------------------------------------------------
+
+def rate_limit_stream(votes: DataFrame, limit: int = 10) -> DataFrame:
+    """Accepted votes per reader: state is at most ``limit`` times, rows are read batch by batch.
+
+    ``votes``: user_id, id, creada_en.
+    """
+
+    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values(["t", "id"])
+        keep = []
+        for row in rows.itertuples(index=False):
+            recent = [t for t in recent if t > row.t - _DAY_US]
+            if len(recent) < limit:
+                recent.append(row.t)
+                keep.append((key[0], row.id))
+        state.update((recent,))
+        yield pd.DataFrame(keep, columns=["user_id", "id"])
+
+    stamped = votes.select("user_id", "id", F.unix_micros("creada_en").alias("t"))
+    return stamped.groupBy("user_id").applyInPandasWithState(
+        decide, "user_id bigint, id bigint", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def latest_votes_stream(votes: DataFrame) -> DataFrame:
+    """Running state of one vote per work, chapter and reader (update mode)."""
+    last = F.max_by("capitulo_novela", F.struct("creada_en", "id"))
+    return votes.groupBy("work_id", "capitulo_manhwa", "user_id").agg(
+        last.alias("capitulo_novela"), F.max("creada_en").alias("creada_en")
+    )
+
+
+def growth_stream(visits: DataFrame) -> DataFrame:
+    """Sources that grew, as they are visited. ``visits``: source_id, cuando, ok, encontrados."""
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get[0] if state.exists else 0
+        out = []
+        for row in pd.concat(list(frames)).sort_values(["t"]).itertuples(index=False):
+            if row.encontrados > known:
+                out.append((key[0], row.t, int(row.encontrados)))
+            known = int(row.encontrados)
+        state.update((known,))
+        yield pd.DataFrame(out, columns=["source_id", "t", "n_caps"])
+
+    good = visits.where("ok").select("source_id", F.unix_micros("cuando").alias("t"), "encontrados")
+    grown = good.groupBy("source_id").applyInPandasWithState(
+        follow, "source_id bigint, t bigint, n_caps bigint", "n_caps bigint", "append", GroupStateTimeout.NoTimeout
+    )
+    return grown.select("source_id", F.timestamp_micros("t").alias("ultimo_cambio"), "n_caps")
