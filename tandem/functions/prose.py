@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
-from tandem.functions.text import AFTER_WORD, BEFORE_WORD, fold_accents, trim_ws
+from tandem.functions.text import AFTER_WORD, BEFORE_WORD, fold_accents, let, trim_ws
 
 _EMPTY = "array<string>"
 
@@ -28,17 +28,28 @@ def title_facts(c: Column | str) -> Column:
 
 def language_of_facts(facts: Column) -> Column:
     """Decision list: es, en or otro."""
-    t, words = facts["t"], facts["words"]
+    words = facts["words"]
     long_words = F.filter(words, lambda w: F.length(w) >= 4)
-    en, es = _count_in(words, fv.TITLE_WORDS_EN), _count_in(words, fv.TITLE_WORDS_ES)
-    other = _count_in(words, fv.TITLE_WORDS_OTHER)
-    ends_es = F.size(F.filter(long_words, lambda w: w.rlike(fv.ENDINGS_ES)))
-    ends_en = F.size(F.filter(long_words, lambda w: w.rlike(fv.ENDINGS_EN)))
-    french = F.exists(long_words, lambda w: w.rlike(fv.ENDINGS_FR))
+    counts = F.struct(
+        facts["t"].alias("t"),
+        words.alias("words"),
+        _count_in(words, fv.TITLE_WORDS_EN).alias("en"),
+        _count_in(words, fv.TITLE_WORDS_ES).alias("es"),
+        _count_in(words, fv.TITLE_WORDS_OTHER).alias("other"),
+        F.size(F.filter(long_words, lambda w: w.rlike(fv.ENDINGS_ES))).alias("ends_es"),
+        F.size(F.filter(long_words, lambda w: w.rlike(fv.ENDINGS_EN))).alias("ends_en"),
+        F.exists(long_words, lambda w: w.rlike(fv.ENDINGS_FR)).alias("french"),
+    )
+    return let(counts, _decide_language)
+
+
+def _decide_language(c: Column) -> Column:
+    t, words, en, es, other = (c[f] for f in ("t", "words", "en", "es", "other"))
+    ends_es, ends_en, french = (c[f] for f in ("ends_es", "ends_en", "french"))
     all_pinyin = (F.size(words) >= 2) & F.forall(
         words, lambda w: w.rlike(fv.PINYIN) & ((F.length(w) <= 4) | w.rlike("zh|x|q"))
     )
-    french_accent = french | F.exists(long_words, lambda w: w.endswith("ssion"))
+    french_accent = french | F.exists(words, lambda w: (F.length(w) >= 4) & w.endswith("ssion"))
     return (
         F.when((t == "") | t.rlike("[^\\x{0}-\\x{24f}\\x{2000}-\\x{206f}]"), "otro")
         # lower case first: with (?iu) Java would let the dotless i match a plain one
@@ -59,7 +70,7 @@ def language_of_facts(facts: Column) -> Column:
 
 
 def title_language(c: Column | str) -> Column:
-    return language_of_facts(title_facts(c))
+    return let(title_facts(c), language_of_facts)
 
 
 def _candidates(title: Column, alternatives: Column) -> Column:
@@ -103,17 +114,24 @@ def prose_words(c: Column | str) -> Column:
 
 
 def is_english_text(c: Column | str) -> Column:
-    words = prose_words(F.coalesce(_col(c), F.lit("")))
-    enough = F.size(words) >= fv.MIN_PROSE_WORDS
-    return enough & (_count_in(words, fv.PROSE_WORDS_EN) > 2 * _count_in(words, fv.PROSE_WORDS_ES))
+
+    def decide(words: Column) -> Column:
+        enough = F.size(words) >= fv.MIN_PROSE_WORDS
+        return enough & (_count_in(words, fv.PROSE_WORDS_EN) > 2 * _count_in(words, fv.PROSE_WORDS_ES))
+
+    return let(prose_words(F.coalesce(_col(c), F.lit(""))), decide)
 
 
 def source_language(c: Column | str) -> Column:
     """Language a text is translated from: English only with a clear lead, else the base language."""
     c = _col(c)
     words = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), F.lit(1))
-    es = _count_in(words, fv.SOURCE_WORDS_ES) + F.when(c.rlike("(?iu)[ñáéíóú¿¡]"), 3).otherwise(0)
-    return F.when(_count_in(words, fv.SOURCE_WORDS_EN) > es + 2, "en").otherwise(fv.BASE_LANGUAGE)
+    accents = F.when(c.rlike("(?iu)[ñáéíóú¿¡]"), 3).otherwise(0)
+
+    def decide(ws: Column) -> Column:
+        return _count_in(ws, fv.SOURCE_WORDS_EN) - _count_in(ws, fv.SOURCE_WORDS_ES)
+
+    return F.when(let(words, decide) > accents + 2, "en").otherwise(fv.BASE_LANGUAGE)
 
 
 # (?:...)*+ is possessive: the loop cannot end inside a bracket, so giving back never helps,
@@ -152,7 +170,7 @@ def clean_synopsis(c: Column | str) -> Column:
             p = F.regexp_replace(p, pattern, replacement)
         return trim_ws(p)
 
-    story = up_to_card(from_first_story(paragraphs))
+    story = let(let(paragraphs, from_first_story), up_to_card)
     return F.array_join(F.filter(F.transform(story, polish), lambda p: p != ""), "\n\n")
 
 

@@ -10,8 +10,11 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tandem.functions import fixed_values as fv
 
@@ -40,8 +43,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_WS_CHARS = " \t\n\x0b\f\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def trim_ws(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(_col(c), F.lit(_WS_CHARS))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
 def fold_accents(c: Column | str) -> Column:
@@ -150,8 +161,8 @@ def strip_html(c: Column | str) -> Column:
 def sentences(c: Column | str) -> Column:
     """Pieces after ``. ! ? …`` and white space, never an empty list."""
     t = trim_ws(F.coalesce(_col(c), F.lit("")))
-    pieces = F.filter(F.split(t, rf"(?<=[.!?…]){WS}+"), lambda s: F.length(trim_ws(s)) > 0)
-    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(t))
+    pieces = F.filter(F.split(t, rf"(?<=[.!?…]){WS}+"), lambda s: trim_ws(s) != "")
+    return let(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.lit(""))))
 
 
 def ellipsis(c: Column, limit: int) -> Column:
@@ -165,12 +176,60 @@ def thousands(c: Column | str) -> Column:
     return F.when(F.abs(c) >= 10_000, F.translate(F.format_number(c, 0), ",", ".")).otherwise(c.cast("string"))
 
 
+_FNV_PRIME, _FNV_START, _U32 = 0x01000193, 0x811C9DC5, 0xFFFFFFFF
+_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def _base36(h: int) -> str:
+    out = ""
+    while True:
+        h, r = divmod(h, 36)
+        out = _DIGITS[r] + out
+        if not h:
+            return out
+
+
+def _fnv_of_all(texts: list[str]) -> list[str]:
+    """All hashes of a batch: position by position over many texts, then text by text for the long tails."""
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), dtype="<u2") for t in texts]
+    order = sorted(range(len(units)), key=lambda i: -len(units[i]))
+    state = np.full(len(units), _FNV_START, dtype=np.uint64)
+    lengths = np.array([len(units[i]) for i in order])
+    at, few = 0, 48
+    if len(units) >= few:
+        shared = int(lengths[few - 1])
+        block = 512
+        for start in range(0, shared, block):
+            live = int((lengths > start).sum())
+            wide = np.zeros((live, block), dtype=np.uint64)
+            for row in range(live):
+                part = units[order[row]][start : start + block]
+                wide[row, : len(part)] = part
+            for column in range(min(block, shared - start)):
+                n = int(np.searchsorted(-lengths, -(start + column), side="left"))
+                state[:n] = ((state[:n] ^ wide[:n, column]) * _FNV_PRIME) & _U32
+        at = shared
+    out = [""] * len(units)
+    for row, i in enumerate(order):
+        h = int(state[row])
+        for u in units[i][at:].tolist():
+            h = ((h ^ u) * _FNV_PRIME) & _U32
+        out[i] = _base36(h)
+    return out
+
+
+@F.pandas_udf(StringType())
+def _fnv_udf(texts: pd.Series) -> pd.Series:
+    known = texts.notna()
+    out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+    out[known] = _fnv_of_all(list(texts[known]))
+    return out
+
+
 def text_hash(c: Column | str) -> Column:
-    """32-bit FNV-1a over UTF-16 code units, in base 36."""
-    units = F.regexp_extract_all(F.hex(F.encode(_col(c), "UTF-16BE")), F.lit("([0-9A-F]{4})"), F.lit(1))
-    mixed = F.aggregate(
-        F.transform(units, lambda u: F.conv(u, 16, 10).cast("bigint")),
-        F.lit(0x811C9DC5).cast("bigint"),
-        lambda h, u: (h.bitwiseXOR(u) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)),
-    )
-    return F.lower(F.conv(mixed.cast("string"), 10, 36))
+    """32-bit FNV-1a over UTF-16 code units, in base 36.
+
+    Spark has no such hash, and a fold over characters in SQL is far slower
+    than this batch function. Keys of new tables should use ``xxhash64``.
+    """
+    return _fnv_udf(_col(c))

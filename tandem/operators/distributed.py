@@ -68,7 +68,7 @@ def previous_in_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str
 ) -> DataFrame:
     """``lag`` per group for groups of any size, as an equi-join on position - 1."""
-    placed = cut_lineage(global_position(df, [F.col(k) for k in keys] + list(order), "_pos"))
+    placed = global_position(df, [F.col(k) for k in keys] + list(order), "_pos")
     before = placed.select(
         (F.col("_pos") + 1).alias("_pos"),
         F.struct(*keys).alias("_group"),
@@ -103,6 +103,22 @@ def top_per_group(
     )
 
 
+def _star_round(edges: DataFrame) -> DataFrame:
+    """Large star then small star over edges u > v."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # every larger neighbour of a node moves to the node's smallest neighbour
+    large = (
+        both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    )
+    # a node and its smaller neighbours move to the smallest of them
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = F.array(
+        F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
+    )
+    return large.join(low, "u").select(F.explode(moved).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, root), root = smallest node.
 
@@ -116,34 +132,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
     for _ in range(max_rounds):
-        # large star: link every larger neighbour of a node to the node's smallest neighbour
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(smallest, "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        # small star: link a node and its smaller neighbours to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-                                      F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        following = cut_lineage(small)
-        # both sides hold distinct edges, so equal size and no missing edge means equal sets
-        settled = (
-            following.count() == current.count()
-            and following.join(current, ["u", "v"], "left_anti").limit(1).count() == 0
+        # two rounds between writes: half the barriers for the same work
+        current = cut_lineage(_star_round(_star_round(current)))
+        # done when every edge leads straight to a root: nobody has two targets, no target has one
+        ends = current.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(
+            current.select(F.col("v").alias("node"), F.lit(None).alias("to"))
         )
-        current = following
-        if settled:
+        open_ends = ends.groupBy("node").agg(
+            F.min("to").alias("lo"), F.max("to").alias("hi"), F.bool_or(F.col("to").isNull()).alias("target")
+        ).where("lo IS NOT NULL AND (target OR lo <> hi)")
+        if open_ends.limit(1).count() == 0:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

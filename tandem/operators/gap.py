@@ -49,6 +49,17 @@ def adaptation(manhwa: Column, novela: Column) -> Column:
     )
 
 
+def work_counts(chapters: DataFrame) -> DataFrame:
+    """Chapters and last number of each format per work: one pass, numbers only, one shuffle."""
+    return chapters.groupBy("work_id").agg(
+        F.count("*").alias("caps"),
+        _last(MANHWA).alias("manhwa"),
+        _last(NOVELA).alias("novela"),
+        F.bool_or(F.col("tipo") == MANHWA).alias("tiene_manhwa"),
+        F.bool_or(F.col("tipo") == NOVELA).alias("tiene_novela"),
+    )
+
+
 def popularity(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("work_id").agg(F.count("*").alias("caps"))
 

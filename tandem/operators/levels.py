@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
-from tandem.operators.gap import gap, popularity
-from tandem.operators.rollup import source_facts
+from tandem.operators.gap import work_counts
+from tandem.operators.rollup import work_summary
+from tandem.session import cut_lineage
 
 
 def release_size(now: datetime) -> int:
@@ -26,12 +27,12 @@ def work_facts(works: DataFrame, chapters: DataFrame, traffic: DataFrame | None
     if traffic is not None:
         seen = traffic.select("work_id").distinct().withColumn("con_trafico", F.lit(True))
         works = works.drop("con_trafico").join(seen, "work_id", "left").fillna(False, ["con_trafico"])
-    longest = source_facts(chapters).groupBy("work_id").agg(F.max("total").alias("ultimo"))
-    both = gap(chapters).select("work_id", F.lit(True).alias("ambos"))
+    summary = work_summary(chapters).select(
+        "work_id", "ultimo", ((F.col("manhwa") > 0) & (F.col("novela") > 0)).alias("ambos")
+    )
     return (
         works.select("work_id", "adulta", "con_trafico", "creada_ord")
-        .join(both, "work_id", "left")
-        .join(longest, "work_id", "left")
+        .join(summary, "work_id", "left")
         .fillna(False, ["ambos"])
         .fillna(0, ["ultimo"])
     )
@@ -46,6 +47,7 @@ def cold_release(facts: DataFrame, now: datetime) -> DataFrame:
 
 def index_levels(facts: DataFrame, now: datetime) -> DataFrame:
     """Tier A, B or C of every work."""
+    facts = cut_lineage(facts)  # read twice below: one row per work in place of two passes over the chapters
     released = cold_release(facts, now).withColumn("liberada", F.lit(True))
     level = (
         F.when(F.col("adulta"), F.when(F.col("con_trafico"), "B").otherwise("C"))
@@ -66,9 +68,9 @@ def english_budget(works: DataFrame, chapters: DataFrame) -> DataFrame:
 
     The file limit bounds the answer to a few thousand rows, so a top-k is enough.
     """
-    gaps = gap(chapters).select("work_id")
-    with_gap = works.join(gaps, "work_id", "left_semi")
-    used = works.count() + with_gap.count()
-    budget = max(0, fv.FILE_LIMIT - fv.OTHER_FILES - used)
-    ranked = with_gap.where("NOT adulta").join(popularity(chapters), "work_id")
+    counts = work_counts(chapters).where("manhwa > 0 AND novela > 0").select("work_id", "caps")
+    marked = cut_lineage(works.select("work_id", "adulta").join(counts, "work_id", "left"))
+    totals = marked.agg(F.count("*").alias("works"), F.count("caps").alias("gaps")).first()
+    budget = max(0, fv.FILE_LIMIT - fv.OTHER_FILES - totals["works"] - totals["gaps"])
+    ranked = marked.where("caps IS NOT NULL AND NOT adulta")
     return ranked.orderBy(F.desc("caps"), "work_id").limit(budget // 2).select("work_id", "caps")

@@ -11,6 +11,7 @@ from tandem.functions import fixed_values as fv
 from tandem.functions.text import content_words, keys_of_normalized, name_keys, normalize_name, slugify
 from tandem.operators.catalog_text import work_names
 from tandem.operators.distributed import components
+from tandem.session import cut_lineage
 
 
 def build_name_index(works: DataFrame) -> DataFrame:
@@ -108,8 +109,8 @@ def match_by_similarity(series: DataFrame, works: DataFrame, threshold: float, n
     """serie_id -> work_id of the most similar title; none when two works tie at the top."""
     named = series.select("serie_id", F.explode(names).alias("nombre"))
     own = named.select("serie_id", F.array_sort(content_words("nombre")).alias("words_l"))
-    own = own.where(F.size("words_l") >= fv.MIN_CONTENT_WORDS)
-    catalog = title_sets(work_names(works), "work_id")
+    own = cut_lineage(own.where(F.size("words_l") >= fv.MIN_CONTENT_WORDS))
+    catalog = cut_lineage(title_sets(work_names(works), "work_id"))
     found = similar_sets(
         own.select(F.col("words_l").alias("words")).distinct(), catalog.select("words"), threshold, word_postings(catalog)
     )
@@ -132,9 +133,10 @@ def cluster_new(series: DataFrame) -> DataFrame:
     Each key links its series to the lowest one, so a key with n series gives
     n - 1 edges.
     """
-    keys = series.select("serie_id", F.explode("nombres").alias("nombre")).select(
-        "serie_id", F.explode(name_keys("nombre")).alias("clave")
-    ).where(F.length("clave") >= fv.MIN_INDEX_KEY).distinct()
+    names = series.select("serie_id", F.explode("nombres").alias("nombre"))
+    keys = names.select("serie_id", F.explode(name_keys("nombre")).alias("clave")).where(
+        F.length("clave") >= fv.MIN_INDEX_KEY
+    ).distinct()
     lowest = keys.groupBy("clave").agg(F.min("serie_id").alias("raiz"))
     edges = keys.join(lowest, "clave").where("serie_id <> raiz").select(F.col("serie_id").alias("a"), F.col("raiz").alias("b"))
     return components(edges).select(F.col("node").alias("serie_id"), F.col("root").alias("raiz"))
@@ -172,8 +174,7 @@ def resolve_series(
         "via", F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(v)) for v, c in steps])
     )
     found = found.where("work_id IS NOT NULL OR NOT solo_match").join(ids, "work_id", "left")
-    own_slug = slugify(F.coalesce("slug_base", "titulo"))
-    found = found.withColumn("_own", own_slug)
+    found = cut_lineage(found.withColumn("_own", slugify(F.coalesce("slug_base", "titulo"))))
     if cluster:
         fresh = found.where("work_id IS NULL")
         groups = cluster_new(fresh).join(

@@ -11,6 +11,7 @@ from tandem.operators.catalog_text import work_names
 from tandem.operators.distributed import components, position_in_group
 from tandem.operators.matching import similar_sets, title_sets, word_postings
 from tandem.operators.rollup import work_weight
+from tandem.session import cut_lineage
 
 
 def dup_pairs_by_name(works: DataFrame) -> DataFrame:
@@ -36,8 +37,8 @@ def dup_pairs_by_words(titles: DataFrame, max_postings: int | None = fv.MAX_POST
     lifts that rule. Titles with the same words form a group that is linked to
     its lowest work; groups are compared once, through their lowest works.
     """
-    sets = title_sets(titles, "work_id")
-    postings = word_postings(sets)
+    sets = cut_lineage(title_sets(titles, "work_id"))  # read five times below
+    postings = cut_lineage(word_postings(sets))
     member = titles.select("work_id", F.array_sort(_words("nombre")).alias("words")).join(
         sets.select("words", "low"), "words"
     )
@@ -92,7 +93,7 @@ def merge_plan(pairs: DataFrame, weights: DataFrame, alone: float = fv.MERGE_ALO
     its heaviest work. Weaker pairs are reported between the works that remain.
     """
     strong = pairs.where(F.col("similitud") >= alone)
-    groups = components(strong).join(weights.withColumnRenamed("work_id", "node"), "node")
+    groups = cut_lineage(components(strong).join(weights.withColumnRenamed("work_id", "node"), "node"))
     keep = groups.groupBy("root").agg(F.min_by("node", "peso").alias("dst"))
     member = groups.join(keep, "root").select(F.col("node").alias("src"), "dst")
     auto = member.where("src <> dst").select("dst", "src", F.lit(1.0).alias("similitud"), F.lit("auto").alias("modo"))
@@ -121,7 +122,7 @@ def apply_merge(
     tall tables, because a survivor may absorb any number of works. Inside a
     group the survivor comes first, then the others by weight.
     """
-    moves = plan.where("modo = 'auto'").select(F.col("src").alias("work_id"), "dst")
+    moves = cut_lineage(plan.where("modo = 'auto'").select(F.col("src").alias("work_id"), "dst"))
     members = (
         works.join(moves, "work_id", "left")
         .join(weights, "work_id")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tandem.functions import fixed_values as fv
 from tandem.functions.text import fold_accents, trim_ws
 from tandem.operators.distributed import global_position, top_per_group
-from tandem.operators.gap import formats, gap, popularity
+from tandem.operators.gap import work_counts
+from tandem.session import cut_lineage
 
 
 def spanish_order(c: str = "titulo") -> Column:
@@ -25,9 +26,10 @@ def top_list(df: DataFrame, order: list[Column], n: int, rank: str = "puesto") -
 
 def ranking_lists(chapters: DataFrame, works: DataFrame, n: int = 50) -> DataFrame:
     """Popular, gap, caught up, longest novel: four lists of ``n``."""
-    known = works.select("work_id")
-    gaps = gap(chapters).join(known, "work_id", "left_semi")
-    popular = popularity(chapters).join(known, "work_id", "left_semi")
+    # one row per work, written once: four lists would otherwise be four passes over the chapters
+    popular = cut_lineage(work_counts(chapters).join(works.select("work_id"), "work_id", "left_semi"))
+    lead = F.greatest(F.lit(0), F.col("novela") - F.col("manhwa"))
+    gaps = popular.where("manhwa > 0 AND novela > 0").withColumn("faltan", lead)
     by_id = F.col("work_id")
 
     def listed(name: str, df: DataFrame, value: str, *order: Column) -> DataFrame:
@@ -147,25 +149,24 @@ def news(activity: DataFrame, works: DataFrame, listed: DataFrame, n: int = 240)
 
 
 def new_releases(works: DataFrame, chapters: DataFrame, n: int = 12) -> DataFrame:
-    both = formats(chapters).where("adaptacion = 'ambos'")
-    dated = works.where("creada_en IS NOT NULL").join(both.select("work_id"), "work_id", "left_semi")
+    both = work_counts(chapters).where("tiene_manhwa AND tiene_novela").select("work_id")
+    dated = works.where("creada_en IS NOT NULL").join(both, "work_id", "left_semi")
     return top_list(dated.select("work_id", "creada_en"), [F.desc("creada_en"), F.col("work_id")], n)
 
 
 def carousel(works: DataFrame, chapters: DataFrame, furthest: DataFrame, n: int = 10) -> DataFrame:
     """Most indexed works of both formats (of any format when none has both), with the furthest anchor."""
-    counted = works.select("work_id").join(popularity(chapters), "work_id").join(formats(chapters), "work_id")
-    both = counted.where("adaptacion = 'ambos'")
-    base = both if both.limit(1).count() else counted
+    counted = works.select("work_id").join(work_counts(chapters), "work_id")
+    has_both = F.col("tiene_manhwa") & F.col("tiene_novela")
+    base = counted.where(has_both) if counted.where(has_both).limit(1).count() else counted
     best = top_list(base.select("work_id", "caps"), [F.desc("caps"), F.col("work_id")], n)
     return best.join(furthest, "work_id", "left")
 
 
 def catalogue_grid(works: DataFrame, chapters: DataFrame, covered: DataFrame, n: int = 120) -> DataFrame:
     """Most indexed works of both formats that have a cover."""
-    both = formats(chapters).where("adaptacion = 'ambos'").select("work_id")
-    shown = works.select("work_id").join(both, "work_id", "left_semi").join(covered, "work_id", "left_semi")
-    ranked = shown.join(popularity(chapters), "work_id")
+    both = work_counts(chapters).where("tiene_manhwa AND tiene_novela").select("work_id", "caps")
+    ranked = works.select("work_id").join(covered, "work_id", "left_semi").join(both, "work_id")
     return top_list(ranked, [F.desc("caps"), F.col("work_id")], n)
 
 

@@ -10,6 +10,7 @@ from tandem.functions import genres
 from tandem.functions.text import slugify
 from tandem.functions.urls import decode, slug_in_path
 from tandem.operators.distributed import follow_chains
+from tandem.session import cut_lineage
 
 _WORK = r"^(/(?:[a-z]{2}/)?novela/)([^/]+)(/.*)?$"
 _CHAPTER = r"^(/novela/[^/]+)/capitulo-([0-9]+)/?$"
@@ -67,7 +68,7 @@ def classify_requests(
     plain = F.concat(F.regexp_extract("path", _CHAPTER, 1), F.lit("/capitulo-"), number.cast("string"))
     paths = paths.withColumn("_plain", F.when(chapter & F.col("path").rlike("/capitulo-0"), plain))
 
-    pages = existing.select(F.col("path").alias("_page")).distinct()
+    pages = cut_lineage(existing.select(F.col("path").alias("_page")).distinct())  # looked up three times
 
     def found(df: DataFrame, path: Column, flag: str) -> DataFrame:
         marked = pages.withColumn(flag, F.lit(True))

@@ -41,6 +41,27 @@ def source_facts(chapters: DataFrame) -> DataFrame:
     )
 
 
+def work_summary(chapters: DataFrame) -> DataFrame:
+    """Per work: chapters, last number per format, longest source. The chapters are read once.
+
+    Rows shrink to one per (work, source, format), then to one per source, then
+    to one per work, each step combined before its shuffle.
+    """
+    positive = F.max(F.when(F.col("numero") > 0, F.col("numero")))
+    fine = chapters.groupBy("work_id", "source_id", "tipo").agg(
+        F.count("*").alias("n"), F.max("numero").alias("m"), positive.alias("p")
+    )
+    last = lambda tipo: F.max(F.when(F.col("tipo") == tipo, F.col("p")))
+    per_source = fine.groupBy("work_id", "source_id").agg(
+        F.sum("n").alias("n"), F.max("m").alias("m"), last("manhwa").alias("manhwa"), last("novela").alias("novela")
+    )
+    total = F.greatest(F.col("n"), F.coalesce("m", F.lit(0)))
+    return per_source.groupBy("work_id").agg(
+        F.sum("n").alias("caps"), F.max(total).alias("ultimo"),
+        F.coalesce(F.max("manhwa"), F.lit(0)).alias("manhwa"), F.coalesce(F.max("novela"), F.lit(0)).alias("novela"),
+    )
+
+
 def source_rollup(chapters: DataFrame, sources: DataFrame) -> DataFrame:
     """The card of each source: name, format, language, host, last chapter, total, link-out flag."""
     named = attach_source_names(source_facts(chapters), sources)

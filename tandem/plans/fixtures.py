@@ -45,7 +45,7 @@ VIEWS["f_sources"] = """
 SELECT source_id, work_id, site_id, max(tipo) AS tipo, max(idioma) AS idioma,
        concat('Site ', CAST(site_id % 20 AS VARCHAR(10))) AS nombre,
        CAST(count(*) AS INT) AS n_caps, max(visto_en) AS ultimo_cambio, min(visto_en) AS ultimo_scrape,
-       CASE WHEN site_id % 10 = 0 THEN 'olympus' ELSE 'madara' END AS plataforma,
+       CASE WHEN site_id % 10 = 0 THEN 'enlace' ELSE 'madara' END AS plataforma,
        site_id % 9 <> 0 AS activa,
        CASE WHEN site_id % 7 = 0 THEN 'Chapter' WHEN site_id % 11 = 0 THEN 'Cap' ELSE NULL END AS titulo_prefijo,
        CASE WHEN site_id % 4 = 0 THEN NULL

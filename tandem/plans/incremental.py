@@ -81,7 +81,7 @@ def _(t):
     WITH cur AS (SELECT source_id, arg_max(url, visto_en) AS url FROM f_chapters WHERE site_id % 10 = 0 GROUP BY source_id)
     SELECT c.source_id, count(*) AS n FROM f_chapters c LEFT JOIN cur USING (source_id) WHERE cur.url IS NULL OR c.url = cur.url GROUP BY c.source_id""")
 def _(t):
-    link = t.sources.where("plataforma = 'olympus'")
+    link = t.sources.where("plataforma = 'enlace'")
     kept = incremental.keep_current_link(t.all_chapters, t.all_chapters, link)
     return kept.groupBy("source_id").agg(F.count("*").alias("n"))
 

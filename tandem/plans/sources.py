@@ -16,6 +16,7 @@ from tandem.functions.text import text_hash
 from tandem.operators.catalog_text import joined
 from tandem.plans.rankings import published
 from tandem.plans.registry import check_view, query
+from tandem.session import small_table
 from tandem.sources import catalog, listings, markup, payloads, robots, sitemaps
 
 
@@ -108,14 +109,14 @@ def _(t):
 
 # ---- S5, S6 -----------------------------------------------------------------------------
 
-_NYX = "https://leer.example.net"
+_READER = "https://leer.example.net"
 
 
 def chapter_sitemaps(t) -> DataFrame:
     slug = F.concat(F.lit("i&apos;m-obra-"), F.col("l_partkey").cast("string"), F.when(F.col("l_partkey") % 3 == 0, "-novel").otherwise(""))
     number = F.concat((F.col("l_orderkey") % 500).cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".5").otherwise(""))
     entry = F.concat(
-        F.lit(f"<url><loc>{_NYX}/series/"), slug, F.lit("/chapter-"), number, F.lit("</loc>\n<lastmod>"),
+        F.lit(f"<url><loc>{_READER}/series/"), slug, F.lit("/chapter-"), number, F.lit("</loc>\n<lastmod>"),
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</lastmod></url>"),
     )
     rows = t.base("lineitem").where("l_partkey % 7 <> 0").select("l_orderkey", "l_linenumber", entry.alias("e"))
@@ -123,25 +124,25 @@ def chapter_sitemaps(t) -> DataFrame:
 
 
 @query("s5_sitemap_chapters", f"""
-    SELECT slug, numero, concat('Chapter ', n) AS titulo, concat('{_NYX}/series/', slug, '/chapter-', n) AS url, fecha_texto FROM (
+    SELECT slug, numero, concat('Chapter ', n) AS titulo, concat('{_READER}/series/', slug, '/chapter-', n) AS url, fecha_texto FROM (
       SELECT concat('i''m-obra-', CAST(l_partkey AS VARCHAR), CASE WHEN l_partkey % 3 = 0 THEN '-novel' ELSE '' END) AS slug,
              CAST(l_orderkey % 500 AS INT) AS numero, concat(CAST(l_orderkey % 500 AS VARCHAR), CASE WHEN l_linenumber % 2 = 0 THEN '.5' ELSE '' END) AS n,
              strftime(l_shipdate, '%Y-%m-%d') AS fecha_texto
       FROM lineitem WHERE l_partkey % 7 <> 0)""")
 def _(t):
-    return sitemaps.sitemap_chapters(chapter_sitemaps(t), _NYX)
+    return sitemaps.sitemap_chapters(chapter_sitemaps(t), _READER)
 
 
 @query("s5_sitemap_series", f"""
-    SELECT slug, replace(slug, '-', ' ') AS titulo, concat('{_NYX}/series/', slug) AS url FROM (
+    SELECT slug, replace(slug, '-', ' ') AS titulo, concat('{_READER}/series/', slug) AS url FROM (
       SELECT concat('i''m-obra-', CAST(p_partkey AS VARCHAR)) AS slug FROM part
       WHERE p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 AND p_partkey IN (SELECT l_partkey FROM lineitem))""")
 def _(t):
-    loc = F.concat(F.lit(f"<url><loc>{_NYX}/series/i&apos;m-obra-"), F.col("p_partkey").cast("string"),
+    loc = F.concat(F.lit(f"<url><loc>{_READER}/series/i&apos;m-obra-"), F.col("p_partkey").cast("string"),
                    F.when(F.col("p_partkey") % 3 == 0, "-novel").otherwise(""), F.lit("</loc></url>"))
     rows = t.base("part").select(F.floor(F.col("p_partkey") / 50).alias("doc"), "p_partkey", loc.alias("e"))
     documents = packed(rows, ["doc"], "p_partkey", "e").withColumnRenamed("body", "xml")
-    return sitemaps.sitemap_series(documents, sitemaps.sitemap_chapters(chapter_sitemaps(t), _NYX), _NYX, "manhwa")
+    return sitemaps.sitemap_series(documents, sitemaps.sitemap_chapters(chapter_sitemaps(t), _READER), _READER, "manhwa")
 
 
 @query("s6_sitemap_works", """
@@ -158,8 +159,8 @@ def _(t):
 # ---- S7, S8 -----------------------------------------------------------------------------
 
 def _listing_sites(t) -> DataFrame:
-    return t.spark.createDataFrame(
-        [("madara.example.com", "madara"), ("hija.example.com", "madara"), ("lector.example.com", "mangareader")], "host string, tema string"
+    return small_table(
+        t.spark, [("madara.example.com", "madara"), ("hija.example.com", "madara"), ("lector.example.com", "mangareader")], "host string, tema string"
     )
 
 

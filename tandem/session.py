@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pandas as pd
 from pyspark.sql import SparkSession
 
 
@@ -49,6 +50,12 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str):
+    """A table of fixed values as a local relation, so that the planner knows how small it is."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=names), schema)
+
+
 def cut_lineage(df):
     """Materialise on reliable storage, so a lost executor costs a re-read and not a re-run."""
     shared_dir(df.sparkSession)

@@ -15,9 +15,10 @@ from tandem.functions import fixed_values as fv
 from tandem.functions import text
 from tandem.functions.urls import host_of, is_http
 from tandem.operators.distributed import global_position
-from tandem.operators.gap import gap, last_chapter
+from tandem.operators.gap import work_counts
 from tandem.operators.ranking import catalog_order, top_list
 from tandem.operators.rollup import linkout_sources
+from tandem.session import small_table
 
 
 # ---- sitemaps ------------------------------------------------------------------------
@@ -170,10 +171,7 @@ def bulk_export(
     batches: int = 1, per_day: int = 10,
 ) -> DataFrame:
     """Pins for works not sent yet: largest gap first, 200 rows per file, spread over days and hours."""
-    last = last_chapter(chapters).groupBy("work_id").agg(
-        F.max(F.when(F.col("tipo") == "manhwa", F.col("ultimo"))).alias("manhwa"),
-        F.max(F.when(F.col("tipo") == "novela", F.col("ultimo"))).alias("novela"),
-    ).fillna(0)
+    last = work_counts(chapters).select("work_id", "manhwa", "novela")
     seen = sources.where("portada_vista IS NOT NULL AND portada_vista <> ''").select(
         "work_id", F.lit(True).alias("_seen")
     ).distinct()
@@ -269,8 +267,9 @@ def notify_batches(
     en = F.concat(F.lit(f"{site}/en/novela/"), F.col("slug"), F.lit("/"))
     pages = F.array(es, en, F.concat(es, F.lit("equivalencia/")), F.concat(en, F.lit("equivalencia/")))
     hubs = [f"{site}{p}" for p in ("/", "/en/", "/novelas/", "/series/", "/en/series/")]
-    hub_rows = works.sparkSession.createDataFrame([(0, -1, i, u) for i, u in enumerate(hubs)],
-                                                  "parte int, work_id bigint, n bigint, url string")
+    hub_rows = small_table(
+        works.sparkSession, [(0, -1, i, u) for i, u in enumerate(hubs)], "parte int, work_id bigint, n bigint, url string"
+    )
     a_rows = a.select(F.lit(1).alias("parte"), "work_id", F.posexplode(pages).alias("n", "url"))
     b_rows = b.select(F.lit(2).alias("parte"), "work_id", F.lit(0).alias("n"), es.alias("url"))
     new = (

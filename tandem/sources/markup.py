@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.text import chapter_number, trim_ws
 from tandem.functions.urls import host_of
+from tandem.session import small_table
 
 # ---- Fixed values: selectors of the two common themes ----------------------------------
 # tema | para | elemento | enlace | titulo | atributos del titulo | fecha | numero | reserva (only when nothing else fits)
@@ -39,7 +41,7 @@ def theme_rules(spark) -> DataFrame:
     for line in THEME_RULES.strip().splitlines():
         cells = [c.strip() for c in line.split("|")]
         rows.append((*cells[:8], int(cells[8])))
-    return spark.createDataFrame(rows, RULE_COLUMNS)
+    return small_table(spark, rows, RULE_COLUMNS)
 
 
 class Node:
@@ -64,34 +66,45 @@ class Node:
                 stack.extend(reversed(node.children))
         return "".join(out)
 
-    def fits(self, simple: str) -> bool:
-        for kind, name in re.findall(r"([.#]?)([\w-]+)", simple):
-            if kind == "." and name not in self.attrs.get("class", "").split():
-                return False
-            if kind == "#" and self.attrs.get("id") != name:
-                return False
-            if not kind and self.tag != name:
-                return False
+    def fits(self, simple: tuple) -> bool:
+        tag, ident, classes = simple
+        if tag and self.tag != tag or ident and self.attrs.get("id") != ident:
+            return False
+        if classes:
+            own = self.attrs.get("class", "").split()
+            return all(c in own for c in classes)
         return True
 
-    def matches(self, selector: str, root: Node) -> bool:
-        *outer, last = selector.split()
-        if not self.fits(last):
+    def matches(self, path: tuple, root: Node) -> bool:
+        if not self.fits(path[-1]):
             return False
-        node = self.parent
-        while outer and node is not None and node is not root.parent:
-            if node.fits(outer[-1]):
-                outer.pop()
+        left, node = len(path) - 1, self.parent
+        while left and node is not None and node is not root.parent:
+            if node.fits(path[left - 1]):
+                left -= 1
             node = node.parent
-        return not outer
+        return not left
 
-    def select(self, selectors: str) -> list[Node]:
-        wanted = [s.strip() for s in selectors.split(",") if s.strip()]
-        return [n for n in self.walk() if any(n.matches(s, self) for s in wanted)]
+    def select(self, selectors: str) -> Iterator[Node]:
+        paths = compiled(selectors)
+        return (n for n in self.walk() if any(n.matches(p, self) for p in paths))
 
     def first(self, selectors: str) -> Node | None:
-        found = self.select(selectors)
-        return found[0] if found else None
+        return next(self.select(selectors), None)
+
+
+@lru_cache(maxsize=512)
+def compiled(selectors: str) -> tuple:
+    """``a b.c, #d`` as paths of (tag, id, classes)."""
+    paths = []
+    for selector in filter(None, (s.strip() for s in selectors.split(","))):
+        path = []
+        for simple in selector.split():
+            parts = re.findall(r"([.#]?)([\w-]+)", simple)
+            named = {kind: name for kind, name in parts if kind != "."}
+            path.append((named.get("", ""), named.get("#", ""), tuple(n for k, n in parts if k == ".")))
+        paths.append(tuple(path))
+    return tuple(paths)
 
 
 class _Tree(HTMLParser):

@@ -50,13 +50,13 @@ def test_tiers(spark):
 
 
 def test_allowed_urls(spark):
-    ok = ["https://leemiau.example/x-capitulo-1/", "https://www.leemiau.example/x", "https://cdn.leemiau.example/x", "https://LEEMIAU.example/x"]
-    bad = ["https://example.com/", "https://noleemiau.example/x", "https://leemiau.example.evil.test/x", "file:///etc/passwd",
+    ok = ["https://lectura.example/x-capitulo-1/", "https://www.lectura.example/x", "https://cdn.lectura.example/x", "https://LECTURA.example/x"]
+    bad = ["https://example.com/", "https://nolectura.example/x", "https://lectura.example.evil.test/x", "file:///etc/passwd",
            "data:text/html,<h1>hola", "http://169.254.169.254/", "", "no-es-una-url"]
     df = spark.createDataFrame([(u,) for u in ok + bad], "url string")
-    got = {r.url: (r.permitida, r.en_visor) for r in visibility.allowed_url(df, ["leemiau.example"], ["cdn.leemiau.example"]).collect()}
+    got = {r.url: (r.permitida, r.en_visor) for r in visibility.allowed_url(df, ["lectura.example"], ["cdn.lectura.example"]).collect()}
     assert all(got[u][0] for u in ok) and not any(got[u][0] for u in bad)
-    assert got["https://cdn.leemiau.example/x"][1] is False and got[ok[0]][1] is True
+    assert got["https://cdn.lectura.example/x"][1] is False and got[ok[0]][1] is True
 
 
 # ---- matching ---------------------------------------------------------------------------
@@ -241,14 +241,14 @@ def test_feed_keeps_the_first_group(spark):
 
 
 def test_sitemap_entries(spark):
-    xml = """<urlset><url><loc>https://n.test/series/obra-nyx/chapter-2</loc><lastmod>2026-09-21T17:10:21.961Z</lastmod></url>
+    xml = """<urlset><url><loc>https://n.test/series/obra-eco/chapter-2</loc><lastmod>2026-09-21T17:10:21.961Z</lastmod></url>
       <url><loc>https://n.test/series/i&apos;m-obra/chapter-3</loc><lastmod>2026-09-02T10:00:00.000Z</lastmod></url></urlset>"""
-    listed = """<urlset><url><loc>https://n.test/series/obra-nyx</loc></url><url><loc>https://n.test/series/obra-nyx-novel</loc></url>
+    listed = """<urlset><url><loc>https://n.test/series/obra-eco</loc></url><url><loc>https://n.test/series/obra-eco-novel</loc></url>
       <url><loc>https://n.test/series/i&apos;m-obra</loc></url><url><loc>https://n.test/series/ficha-muerta</loc></url></urlset>"""
     chapters = sitemaps.sitemap_chapters(spark.createDataFrame([(xml,)], "xml string"), "https://n.test")
-    assert {(r.slug, r.numero, r.fecha_texto) for r in chapters.collect()} == {("obra-nyx", 2, "2026-09-21"), ("i'm-obra", 3, "2026-09-02")}
+    assert {(r.slug, r.numero, r.fecha_texto) for r in chapters.collect()} == {("obra-eco", 2, "2026-09-21"), ("i'm-obra", 3, "2026-09-02")}
     series = sitemaps.sitemap_series(spark.createDataFrame([(listed,)], "xml string"), chapters, "https://n.test", "manhwa")
-    assert set(col(series, "url")) == {"https://n.test/series/obra-nyx", "https://n.test/series/i'm-obra"}
+    assert set(col(series, "url")) == {"https://n.test/series/obra-eco", "https://n.test/series/i'm-obra"}
 
 
 def test_totals(spark):
