@@ -5,10 +5,10 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.operators.distributed import previous_in_group, top_per_group
+from tandem.operators.distributed import global_position, previous_in_group, top_per_group
 from tandem.session import cut_lineage
 
 LATE_COMMITS = timedelta(minutes=5)   # changes that commit late are applied again, which does no harm
@@ -136,90 +136,119 @@ def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def rate_limit(votes: DataFrame, limit: int = 10, max_group: int = 50_000) -> DataFrame:
+def rate_limit(
+    votes: DataFrame, limit: int = 10, max_group: int = 50_000, before: DataFrame | None = None
+) -> DataFrame:
     """Mark the votes that fit the limit of accepted votes in the trailing 24 hours per reader.
 
     Rejected votes do not count, so a reader's votes are decided in order.
-    Readers with up to ``max_group`` votes are decided one group each. A reader
-    with more is cut into days: within a day every accepted vote is among the
-    first ``limit`` after one of at most ``limit`` moments at which an earlier
-    vote stops counting, so a day is decided from a few hundred rows.
+    ``before``: user_id, creada_en of votes accepted earlier. Readers with up to
+    ``max_group`` votes are decided one group each. A reader with more is cut
+    into days: within a day every accepted vote is among the first ``limit``
+    after one of at most ``limit`` moments at which an earlier vote stops
+    counting, so a day is decided from a few hundred rows.
     """
     stamped = votes.withColumn("_t", _micros("creada_en"))
+    if before is None:
+        carry = stamped.limit(0).select("user_id", "_t")
+    else:
+        # no more than the last ones can still count
+        recent = before.select("user_id", _micros("creada_en").alias("_t"))
+        carry = cut_lineage(top_per_group(recent, ["user_id"], [F.desc("_t")], limit).select("user_id", "_t"))
     sizes = stamped.groupBy("user_id").agg(F.count("*").alias("_n"))
-    hot = sizes.where(F.col("_n") > max_group).select("user_id")
+    hot = cut_lineage(sizes.where(F.col("_n") > max_group).select("user_id"))
     normal = stamped.join(hot, "user_id", "left_anti").select("user_id", "id", "_t")
+    known = carry.groupBy("user_id").agg(F.array_sort(F.collect_list("_t")).alias("_b"))
+    accepted = normal.join(known, "user_id", "left").groupBy("user_id").applyInPandas(
+        _decider(limit), "user_id bigint, id bigint, _t bigint"
+    ).select("id")
+    if hot.limit(1).count():
+        accepted = accepted.union(_accept_by_day(stamped.join(hot, "user_id", "left_semi"), limit, carry))
+    return votes.join(accepted.withColumn("aceptado", F.lit(True)), "id", "left").fillna(False, ["aceptado"])
+
 
+def _decider(limit: int):
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values(["_t", "id"])
-        return pd.DataFrame({"id": ordered["id"], "ok": accept_in_order(list(ordered["_t"]), limit)}).query("ok")[["id"]]
+        before = ordered["_b"].iloc[0]
+        ok = accept_in_order(list(ordered["_t"]), limit, [] if before is None else list(before))
+        return ordered[ok][["user_id", "id", "_t"]]
 
-    accepted = normal.groupBy("user_id").applyInPandas(decide, "id bigint")
-    if hot.limit(1).count():
-        accepted = accepted.union(_accept_by_day(stamped.join(hot, "user_id", "left_semi"), limit))
-    return votes.join(accepted.withColumn("aceptado", F.lit(True)), "id", "left").fillna(False, ["aceptado"])
+    return decide
 
 
-def _accept_by_day(votes: DataFrame, limit: int) -> DataFrame:
+def _accept_by_day(votes: DataFrame, limit: int, carry: DataFrame) -> DataFrame:
     rows = cut_lineage(votes.select("user_id", "id", "_t", F.floor(F.col("_t") / _DAY_US).alias("_day")))
     days = [r[0] for r in rows.select("_day").distinct().orderBy("_day").collect()]  # as many as days in the data
-    spark = votes.sparkSession
-    accepted, carry = None, spark.createDataFrame([], "user_id bigint, _t bigint")
+    accepted = None
     for day in days:
         today = rows.where(F.col("_day") == day)
-        start = day * _DAY_US
         # when each slot is free: at the start of the day, or when an earlier vote stops counting
-        earlier = carry.where(F.col("_t") > start - _DAY_US).groupBy("user_id").agg(F.array_sort(F.collect_list("_t")).alias("_b"))
-        joined = today.join(earlier, "user_id", "left").withColumn("_b", F.coalesce("_b", F.array().cast("array<bigint>")))
-        free = F.size(F.filter("_b", lambda b: b <= F.col("_t") - _DAY_US)) + (limit - F.size("_b"))
-        open_slots = joined.withColumn("_free", free).where("_free > 0")
-        order = [F.col("_t"), F.col("id")]
-        few = top_per_group(open_slots.drop("_b"), ["user_id", "_free"], order, limit).select("user_id", "id", "_t")
-        few = few.join(earlier, "user_id", "left")
-
-        def decide(frame: pd.DataFrame) -> pd.DataFrame:
-            ordered = frame.sort_values(["_t", "id"])
-            before = ordered["_b"].iloc[0]
-            ok = accept_in_order(list(ordered["_t"]), limit, [] if before is None else list(before))
-            return ordered[ok][["user_id", "id", "_t"]]
-
-        taken = cut_lineage(few.groupBy("user_id").applyInPandas(decide, "user_id bigint, id bigint, _t bigint"))
-        carry = taken.select("user_id", "_t")
+        earlier = carry.where(F.col("_t") > (day - 1) * _DAY_US).groupBy("user_id").agg(
+            F.array_sort(F.collect_list("_t")).alias("_b")
+        )
+        joined = today.join(earlier, "user_id", "left")
+        held = F.coalesce("_b", F.array().cast("array<bigint>"))
+        free = limit - F.size(F.filter(held, lambda b: b > F.col("_t") - _DAY_US))
+        open_slots = joined.withColumn("_free", free).where("_free > 0").drop("_b")
+        few = top_per_group(open_slots, ["user_id", "_free"], [F.col("_t"), F.col("id")], limit)
+        few = few.select("user_id", "id", "_t").join(earlier, "user_id", "left")
+        taken = cut_lineage(few.groupBy("user_id").applyInPandas(_decider(limit), "user_id bigint, id bigint, _t bigint"))
+        carry = carry.where(F.col("_t") > (day - 1) * _DAY_US).union(taken.select("user_id", "_t"))
         accepted = taken.select("id") if accepted is None else accepted.union(taken.select("id"))
     return accepted
 
 
 def trailing_votes(votes: DataFrame) -> DataFrame:
-    """Votes of the same reader in the 24 hours up to each vote, counted per (reader, day).
+    """Votes of the same reader in the 24 hours up to each vote.
 
-    Each vote is also handed to the next day, where it only counts for others,
-    so a reader's votes never have to come together in one window.
+    Every vote asks twice how many votes lie before a moment: 24 hours ago and
+    now. Questions and votes are put in one global order with a running count,
+    so a reader with very many votes spans many tasks.
     """
-    day = F.floor(F.col("_t") / _DAY_US)
-    timed = votes.select("user_id", "id", _micros("creada_en").alias("_t"))
-    handed = timed.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
-    handed = handed.withColumn("_day", F.when(F.col("_own"), day).otherwise(day + 1))
-    last_day = Window.partitionBy("user_id", "_day").orderBy("_t").rangeBetween(-_DAY_US, 0)
-    return handed.withColumn("n", F.count("*").over(last_day)).where("_own").select("id", "n")
+    t = _micros("creada_en")
+    asked = F.array(
+        F.struct((t - _DAY_US).alias("at"), F.lit(0).alias("kind")),  # before the votes of that moment
+        F.struct(t.alias("at"), F.lit(1).alias("kind")),  # the vote
+        F.struct(t.alias("at"), F.lit(2).alias("kind")),  # after the votes of that moment
+    )
+    points = votes.select("user_id", "id", F.explode(asked).alias("p")).select("user_id", "id", "p.at", "p.kind")
+    order = [F.col("user_id"), F.col("at"), F.col("kind"), F.col("id")]
+    counted = global_position(points, order, "_pos", running={"_upto": (F.col("kind") == 1).cast("int")})
+    low, high = (F.max(F.when(F.col("kind") == k, F.col("_upto"))) for k in (0, 2))
+    return counted.groupBy("id").agg((high - low).alias("n"))
 
 
 # ---- growth of sources ------------------------------------------------------------------
 
-def growth(visits: DataFrame) -> DataFrame:
-    """State of each source after a log of visits.
+def growth(visits: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """State of each source after a log of visits: n_caps, ultimo_cambio, ultimo_scrape.
 
-    ``visits``: source_id, cuando, ok, encontrados. A visit that failed counts as
-    a visit only. A source changed when a visit found more than the one before.
+    ``visits``: source_id, cuando, ok, encontrados. ``known``: the state before.
+    A visit that failed counts as a visit only. A source changed when a visit
+    found more than the one before.
     """
     good = visits.where("ok").select("source_id", "cuando", "encontrados")
     once = good.groupBy("source_id", "cuando").agg(F.max("encontrados").alias("encontrados"))
     compared = previous_in_group(once, ["source_id"], [F.col("cuando")], "encontrados", "antes")
-    grew = F.col("encontrados") > F.coalesce("antes", F.lit(0))
-    state = compared.groupBy("source_id").agg(
+    seen = visits.groupBy("source_id").agg(F.max("cuando").alias("ultimo_scrape"))
+    if known is None:
+        before = seen.select("source_id", F.lit(0).cast("bigint").alias("_n"), F.lit(None).cast("timestamp").alias("_c"),
+                             F.lit(None).cast("timestamp").alias("_s"))
+    else:
+        before = known.select("source_id", F.col("n_caps").alias("_n"), F.col("ultimo_cambio").alias("_c"),
+                              F.col("ultimo_scrape").alias("_s"))
+    judged = compared.join(before, "source_id", "left")
+    grew = F.col("encontrados") > F.coalesce("antes", "_n", F.lit(0))
+    state = judged.groupBy("source_id").agg(
         F.max_by("encontrados", "cuando").alias("n_caps"), F.max(F.when(grew, F.col("cuando"))).alias("ultimo_cambio")
     )
-    seen = visits.groupBy("source_id").agg(F.max("cuando").alias("ultimo_scrape"))
-    return seen.join(state, "source_id", "left")
+    joined = seen.join(state, "source_id", "left").join(before, "source_id", "full_outer" if known is not None else "left")
+    kept_n = F.col("n_caps") if known is None else F.coalesce("n_caps", "_n")
+    return joined.select(
+        "source_id", F.coalesce("ultimo_scrape", "_s").alias("ultimo_scrape"), kept_n.alias("n_caps"),
+        F.coalesce("ultimo_cambio", "_c").alias("ultimo_cambio"),
+    )
 
 
 # ---- activity and sessions --------------------------------------------------------------

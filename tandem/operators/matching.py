@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
 from tandem.functions.text import content_words, keys_of_normalized, name_keys, normalize_name, slugify
 from tandem.operators.catalog_text import work_names
-from tandem.operators.distributed import components
+from tandem.operators.distributed import components, top_per_group
 from tandem.session import cut_lineage
 
 
@@ -48,36 +46,56 @@ def word_postings(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("words").alias("word"), "names").groupBy("word").agg(F.sum("names").alias("df"))
 
 
-def _prefix_keys(sets: DataFrame, postings: DataFrame, threshold: float, ell: int, max_postings: int | None) -> DataFrame:
-    """Join keys of each word set: ``ell`` words out of its rarest ones.
+def _rarest_first(sets: DataFrame, postings: DataFrame) -> DataFrame:
+    tagged = sets.select("words", F.explode("words").alias("word")).join(postings, "word", "left")
+    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")))  # the words of one title
+    return tagged.groupBy("words").agg(rare.alias("by_df"))
+
 
-    Two sets with Jaccard >= t share at least ceil(t * size) words, so among the
-    first size - ceil(t * size) + ell words in rarest-first order they share
-    ``ell``. Joining on those keys loses no pair.
+def _capped_keys(sets: DataFrame, postings: DataFrame, threshold: float, max_postings: int) -> DataFrame:
+    """Single words as join keys, only those in at most ``max_postings`` titles.
+
+    Two sets with Jaccard >= t share at least ceil(t * size) words, so their
+    rarest common word is among the first size - ceil(t * size) + 1 of both.
     """
-    tagged = sets.select("words", F.explode("words").alias("word")).join(postings, "word", "left")
-    rare = tagged.groupBy("words").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("by_df")
-    )
     size = F.size("words")
-    length = size - F.ceil(size * F.lit(threshold) - 1e-9) + ell
-    prefix = F.slice("by_df", 1, length.cast("int"))
-    if ell == 1:
-        if max_postings is not None:
-            prefix = F.filter(prefix, lambda p: p["df"] <= max_postings)
-        keys = F.transform(prefix, lambda p: p["word"])
-    else:
-        ordered = F.array_sort(F.transform(prefix, lambda p: p["word"]))
-        n = F.size(ordered)
-        keys = F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), n - 1),
-                lambda i: F.transform(
-                    F.sequence(i + 1, n), lambda j: F.concat_ws(" ", F.element_at(ordered, i), F.element_at(ordered, j))
-                ),
-            )
-        )
-    return rare.select("words", F.explode(keys).alias("key"))
+    length = (size - F.ceil(size * F.lit(threshold) - 1e-9) + 1).cast("int")
+    prefix = F.filter(F.slice("by_df", 1, length), lambda p: p["df"] <= max_postings)
+    return _rarest_first(sets, postings).select("words", F.explode(prefix).alias("p")).select("words", F.col("p.word").alias("key"))
+
+
+_KEY_WORDS = 4
+
+
+def _exact_keys(sets: DataFrame, postings: DataFrame, threshold: float) -> DataFrame:
+    """Join keys for all pairs: up to four words together, for each size the partner may have.
+
+    Sets of n and s words with Jaccard >= t share at least
+    o = ceil(t / (1 + t) * (n + s)) words, so among the first n - o + k in
+    rarest-first order (and s - o + k of the other) they share k of them. Keys
+    of four words stay selective when every single word is common: titles that
+    differ in one word meet only if their sizes allow the similarity.
+    """
+    n = F.size("by_df")
+
+    def subsets(prefix: Column, k: Column) -> Column:
+        def grow(found: Column, word: Column) -> Column:
+            longer = F.transform(F.filter(found, lambda f: F.size(f) < k), lambda f: F.array_append(f, word))
+            return F.concat(found, longer)
+
+        none = F.array(F.array().cast("array<string>"))
+        return F.filter(F.aggregate(prefix, none, grow), lambda f: F.size(f) == k)
+
+    def keys_for(s: Column) -> Column:
+        common = F.ceil((n + s) * F.lit(threshold / (1 + threshold)) - 1e-9).cast("int")
+        k = F.least(common, F.lit(_KEY_WORDS))
+        prefix = F.transform(F.slice("by_df", 1, n - common + k), lambda p: p["word"])
+        label = F.concat_ws("-", F.least(n, s).cast("string"), F.greatest(n, s).cast("string"))
+        return F.transform(subsets(prefix, k), lambda f: F.concat_ws(" ", label, F.concat_ws(" ", f)))
+
+    low, high = F.ceil(n * F.lit(threshold) - 1e-9).cast("int"), F.floor(n / F.lit(threshold) + 1e-9).cast("int")
+    sizes = F.sequence(F.greatest(low, F.lit(1)), high)
+    return _rarest_first(sets, postings).select("words", F.explode(F.flatten(F.transform(sizes, keys_for))).alias("key"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -91,12 +109,13 @@ def similar_sets(
     """Pairs of word sets with Jaccard >= threshold: words_l, words_r, similitud.
 
     With ``max_postings`` only words in at most that many titles may bring a
-    pair together, and each key group is that small. Without it keys are word
-    pairs, which stay selective when single words are everywhere.
+    pair together, and each key group is that small.
     """
-    ell = 1 if max_postings is not None else 2
-    lk = _prefix_keys(left, postings, threshold, ell, max_postings).withColumnRenamed("words", "words_l")
-    rk = _prefix_keys(right, postings, threshold, ell, max_postings).withColumnRenamed("words", "words_r")
+    if max_postings is None:
+        lk, rk = (_exact_keys(x, postings, threshold) for x in (left, right))
+    else:
+        lk, rk = (_capped_keys(x, postings, threshold, max_postings) for x in (left, right))
+    lk, rk = lk.withColumnRenamed("words", "words_l"), rk.withColumnRenamed("words", "words_r")
     size_l, size_r = F.size("words_l"), F.size("words_r")
     close = (size_l >= size_r * threshold - 1e-9) & (size_r >= size_l * threshold - 1e-9)
     pairs = lk.join(rk, "key").where(close).select("words_l", "words_r").distinct()
@@ -201,6 +220,8 @@ def genre_of_series(works: DataFrame, series: DataFrame) -> DataFrame:
     keyed = labels.where(F.trim("label") != "").withColumn("key", genres.genre_key(F.col("label")))
     once = keyed.groupBy("work_id", "key").agg(F.min_by("label", F.struct("sitio_id", "pos")).alias("label"),
                                                F.min(F.struct("sitio_id", "pos")).alias("at"))
+    # the merged list holds at most MAX_GENRES, and as many again may be known already
+    once = top_per_group(once, ["work_id"], [F.col("at"), F.col("label")], 2 * fv.MAX_GENRES)
     extra = once.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("s")).select(
         "work_id", F.transform("s", lambda x: x["label"]).alias("_extra")
     )

@@ -192,10 +192,12 @@ def title_index(works: DataFrame) -> DataFrame:
 
 
 def due_sources(
-    sources: DataFrame, now: datetime, withdrawn: DataFrame | None = None, limit: int = 400, targeted: bool = False
+    sources: DataFrame, now: datetime, withdrawn: DataFrame | None = None, limit: int | None = 400, targeted: bool = False
 ) -> DataFrame:
-    """Sources to visit: the ``limit`` least recently visited, then those whose interval has passed."""
-    queue = sources.where("activa").orderBy(F.col("ultimo_scrape").asc_nulls_first(), "source_id").limit(limit)
+    """Sources to visit: the ``limit`` least recently visited (None: all), then those whose interval has passed."""
+    queue = sources.where("activa")
+    if limit is not None:
+        queue = queue.orderBy(F.col("ultimo_scrape").asc_nulls_first(), "source_id").limit(limit)
     if withdrawn is not None:
         queue = queue.join(withdrawn.select("work_id"), "work_id", "left_anti")
     at = F.lit(now).cast("timestamp").cast("double")

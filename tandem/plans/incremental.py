@@ -279,7 +279,7 @@ def _(t):
     folder = pipelines.run_folder(t.spark)
     events = pipelines.table_stream(t.spark, t.sf_dir, "events.parquet").where("value >= 0")
     votes = events.select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("creada_en"))
-    pipelines.store(pipelines.rate_limit_stream(votes, _DAILY), folder)
-    return t.spark.read.parquet(f"{folder}/rows")
+    pipelines.rate_limit_stream(votes, folder, _DAILY)
+    return t.spark.read.parquet(f"{folder}/rows").select("user_id", "id")
 
 

@@ -235,7 +235,7 @@ def _(t):
             WHEN epoch(TIMESTAMP '1999-06-01') - epoch(ultimo_cambio) < 30 * 86400 THEN 3 * 86400
             ELSE 7 * 86400 END - 7200 GROUP BY site_id""")
 def _(t):
-    due = ranking.due_sources(t.sources, VISIT_NOW, limit=2_147_483_632)
+    due = ranking.due_sources(t.sources, VISIT_NOW, limit=None)
     return due.groupBy("site_id").agg(F.count("*").alias("n"))
 
 

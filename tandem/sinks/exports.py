@@ -18,7 +18,7 @@ from tandem.operators.distributed import global_position
 from tandem.operators.gap import work_counts
 from tandem.operators.ranking import catalog_order, top_list
 from tandem.operators.rollup import linkout_sources
-from tandem.session import small_table
+from tandem.session import cut_lineage, small_table
 
 
 # ---- sitemaps ------------------------------------------------------------------------
@@ -291,9 +291,9 @@ def notify_batches(
 def domain_report(chapters: DataFrame) -> DataFrame:
     """Chapters per host and their share in percent, one decimal."""
     hosts = chapters.select(host_of("url").alias("host")).where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
-    # hosts are few; the total comes from the same aggregate
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return hosts.withColumn("pct", F.floor(F.col("n") * 1000 / total + 0.5) / 10)
+    hosts = cut_lineage(hosts)
+    total = hosts.agg(F.sum("n")).first()[0]
+    return hosts.withColumn("pct", F.floor(F.col("n") * 1000 / F.lit(total) + 0.5) / 10)
 
 
 # ---- snapshots --------------------------------------------------------------------------

@@ -8,16 +8,14 @@ on the same rows. Event times must be TIMESTAMP.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tandem.operators.incremental import _DAY_US, activity_windows, apply_changes
+from tandem.operators.incremental import activity_windows, apply_changes, growth, rate_limit
 from tandem.session import shared_dir
 from tandem.sinks.exports import write_snapshot
 from tandem.sources.catalog import latest_snapshot
@@ -108,6 +106,11 @@ def _rows_before(spark: SparkSession, folder: str, number: int) -> DataFrame | N
     return spark.read.parquet(*parts) if parts else None
 
 
+def _stamp(number: int) -> datetime:
+    """Version of a batch: sorts after those of all earlier batches."""
+    return datetime.fromtimestamp(number + 1, tz=timezone.utc).replace(tzinfo=None)
+
+
 def apply_changes_stream(changes: DataFrame, folder: str, columns: list[str]) -> None:
     """A stream of changed rows (borrado marks tombstones) kept as versioned snapshots in ``folder``/snapshot.
 
@@ -119,8 +122,7 @@ def apply_changes_stream(changes: DataFrame, folder: str, columns: list[str]) ->
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        # named by the batch, so it sorts after all earlier ones
-        stamp = datetime.fromtimestamp(number + 1, tz=timezone.utc).replace(tzinfo=None)
+        stamp = _stamp(number)
         found = latest_snapshot(spark, path)
         if found is not None and found[1]["hasta"] >= stamp:
             return  # this version is complete already
@@ -134,28 +136,23 @@ def apply_changes_stream(changes: DataFrame, folder: str, columns: list[str]) ->
 
 # ---- votes ------------------------------------------------------------------------------
 
-def rate_limit_stream(votes: DataFrame, limit: int = 10) -> DataFrame:
-    """Accepted votes per reader: state is at most ``limit`` times, rows are read batch by batch.
+def rate_limit_stream(votes: DataFrame, folder: str, limit: int = 10, max_group: int = 50_000) -> None:
+    """Accepted votes in ``folder``/rows, batch by batch.
 
+    A batch is decided by the batch operator with the votes accepted in the 24
+    hours before it, so a reader with very many votes is split there as well.
     ``votes``: user_id, id, creada_en.
     """
 
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["t", "id"])
-        keep = []
-        for row in rows.itertuples(index=False):
-            recent = [t for t in recent if t > row.t - _DAY_US]
-            if len(recent) < limit:
-                recent.append(row.t)
-                keep.append((key[0], row.id))
-        state.update((recent,))
-        yield pd.DataFrame(keep, columns=["user_id", "id"])
-
-    stamped = votes.select("user_id", "id", F.unix_micros("creada_en").alias("t"))
-    return stamped.groupBy("user_id").applyInPandasWithState(
-        decide, "user_id bigint, id bigint", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
+    def write(batch: DataFrame, number: int) -> None:
+        before = _rows_before(batch.sparkSession, folder, number)
+        if before is not None:
+            first = batch.agg(F.min("creada_en")).first()[0]
+            before = before.where(F.col("creada_en") > F.lit(first) - F.expr("INTERVAL 24 HOURS"))
+        kept = rate_limit(batch, limit, max_group, before).where("aceptado").drop("aceptado")
+        kept.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    store_with(votes, folder, write)
 
 
 def latest_votes_stream(votes: DataFrame) -> DataFrame:
@@ -166,21 +163,15 @@ def latest_votes_stream(votes: DataFrame) -> DataFrame:
     )
 
 
-def growth_stream(visits: DataFrame) -> DataFrame:
-    """Sources that grew, as they are visited. ``visits``: source_id, cuando, ok, encontrados."""
+def growth_stream(visits: DataFrame, folder: str) -> None:
+    """State of every source after each batch of visits, as versions in ``folder``/state_of_sources."""
+    path = f"{folder}/state_of_sources"
 
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get[0] if state.exists else 0
-        out = []
-        for row in pd.concat(list(frames)).sort_values(["t"]).itertuples(index=False):
-            if row.encontrados > known:
-                out.append((key[0], row.t, int(row.encontrados)))
-            known = int(row.encontrados)
-        state.update((known,))
-        yield pd.DataFrame(out, columns=["source_id", "t", "n_caps"])
+    def write(batch: DataFrame, number: int) -> None:
+        stamp = _stamp(number)
+        found = latest_snapshot(batch.sparkSession, path)
+        if found is not None and found[1]["hasta"] >= stamp:
+            return  # this version is complete already
+        write_snapshot(growth(batch, None if found is None else found[0]), path, stamp, stamp)
 
-    good = visits.where("ok").select("source_id", F.unix_micros("cuando").alias("t"), "encontrados")
-    grown = good.groupBy("source_id").applyInPandasWithState(
-        follow, "source_id bigint, t bigint, n_caps bigint", "n_caps bigint", "append", GroupStateTimeout.NoTimeout
-    )
-    return grown.select("source_id", F.timestamp_micros("t").alias("ultimo_cambio"), "n_caps")
+    store_with(visits, folder, write)

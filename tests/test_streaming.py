@@ -55,11 +55,22 @@ def test_growth_stream_follows_found_counts(spark):
     log = [(1, ts("2026-01-01"), True, 5), (1, ts("2026-01-02"), False, 99), (1, ts("2026-01-03"), True, 5),
            (1, ts("2026-01-04"), True, 3), (1, ts("2026-01-05"), True, 4)]
     read = _files(spark, folder, [spark.createDataFrame([row], schema) for row in log])
-    pipelines.store(pipelines.growth_stream(_stream(spark, folder, read)), folder)
-    grown = sorted((r.ultimo_cambio, r.n_caps) for r in spark.read.parquet(f"{folder}/rows").collect())
-    assert grown == [(ts("2026-01-01"), 5), (ts("2026-01-05"), 4)]
-    batch = incremental.growth(spark.createDataFrame(log, schema)).collect()[0]
-    assert (batch.n_caps, batch.ultimo_cambio, batch.ultimo_scrape) == (4, ts("2026-01-05"), ts("2026-01-05"))
+    pipelines.growth_stream(_stream(spark, folder, read), folder)
+    followed = latest_snapshot(spark, f"{folder}/state_of_sources")[0].first()
+    batch = incremental.growth(spark.createDataFrame(log, schema)).first()
+    for state in (followed, batch):
+        assert (state.n_caps, state.ultimo_cambio, state.ultimo_scrape) == (4, ts("2026-01-05"), ts("2026-01-05"))
+
+
+def test_votes_stream_carries_accepted_votes_over(spark):
+    folder = pipelines.run_folder(spark)
+    schema = "id bigint, user_id bigint, creada_en timestamp"
+    read = _files(spark, folder, [
+        spark.createDataFrame([(i, 7, ts(f"2026-01-01T10:0{i}")) for i in range(4)], schema),
+        spark.createDataFrame([(10, 7, ts("2026-01-02T10:00:30")), (11, 7, ts("2026-01-02T10:00:40")), (12, 8, ts("2026-01-02"))], schema),
+    ])
+    pipelines.rate_limit_stream(_stream(spark, folder, read), folder, limit=3)
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/rows").collect()) == [0, 1, 2, 10, 12]
 
 
 def test_latest_votes_in_update_mode(spark):
