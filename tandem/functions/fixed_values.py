@@ -237,6 +237,87 @@ DEAD_PREFIXES = "en pt de fr it br".split()
 PUBLISH_COVERAGE = 0.95
 
 
+# ---- Fixed values: texts of the work and equivalence pages ----------------------------
+# {t} title, {m} last manhwa chapter, {n} last novel chapter, {lead} chapters ahead, {s} "3 fuentes"
+
+PAGE_TEXTS = {
+    "es": {
+        "caps_manhwa": "manhwa cap. {um}",
+        "caps_novela": "novela cap. {un}",
+        "one": "fuente",
+        "many": "fuentes",
+        "both": "manhwa y novela",
+        "novela": "novela",
+        "gap": "El manhwa va por el capítulo {m} y la novela por el {n}: te faltan {lead} capítulos de historia. "
+               "Te decimos por cuál seguir y dónde leerla.",
+        "about": "{t}: {fmt}. Dónde leerla en {s}, el último capítulo de cada una y por cuál seguir.",
+        "intro": "{t}{other} está disponible como {kind}.",
+        "intro_sources": "Está indexada en {s}, cada una con enlace al sitio original.",
+        "intro_gap": "La novela va por el capítulo {n} y el manhwa por el {m}{ahead}.",
+        "intro_ahead": ": {lead} capítulos por delante",
+        "q_where": "¿Dónde leer {t}?",
+        "a_where": "Está indexada en {s} ({names}). Cada una enlaza al sitio original donde se lee gratis.",
+        "q_count": "¿Cuántos capítulos tiene {t}?",
+        "a_count": "El manhwa lleva {m} capítulos indexados y la novela {n}{ahead}.",
+        "count_ahead": ", {lead} por delante del manhwa",
+        "q_spoil": "¿Puedo leer la novela de {t} sin spoilers del manhwa?",
+        "a_spoil": "Sí: empieza por el capítulo de la novela que corresponde a donde dejaste el manhwa. Lo que la novela te "
+                   "adelanta es lo que el manhwa aún no ha dibujado, no lo que ya leíste.",
+        "q_done": "¿{t} está terminada?",
+        "a_done": "Sí, {t} está finalizada.",
+        "a_open": "No, {t} sigue en emisión y recibe capítulos nuevos.",
+        "eq_title": "{t}: ¿por qué capítulo de la novela sigo? — Manhwa {m} → Novela {n}",
+        "eq_heading": "¿Por qué capítulo de la novela sigo {t}?",
+        "eq_ahead": "El manhwa de {t} va por el capítulo {m} y la novela por el {n}: hay {lead} capítulos de historia que el "
+                    "manhwa todavía no ha contado.",
+        "eq_level": "El manhwa de {t} va por el capítulo {m} y la novela por el {n}: el manhwa está prácticamente al día con "
+                    "la novela.",
+        "eq_q_next": "¿En qué capítulo de la novela continúa el manhwa de {t}?",
+        "eq_q_count": "¿Cuántos capítulos tiene la novela de {t}?",
+        "eq_a_count": "La novela lleva {n} capítulos indexados y el manhwa {m}.",
+        "eq_q_spoil": "¿Leer la novela de {t} tiene spoilers del manhwa?",
+        "eq_a_spoil": "Si empiezas por el capítulo que corresponde a donde dejaste el manhwa, no. Lo que se salta el manhwa está "
+                      "por delante, no por detrás: la novela solo te adelanta lo que el manhwa aún no dibujó.",
+    },
+    "en": {
+        "caps_manhwa": "manhwa ch. {um}",
+        "caps_novela": "novel ch. {un}",
+        "one": "source",
+        "many": "sources",
+        "both": "manhwa and novel",
+        "novela": "novel",
+        "gap": "The manhwa is at chapter {m} and the novel at {n}: {lead} chapters of story ahead. See which novel chapter to "
+               "continue from and where to read it.",
+        "about": "{t}: {fmt}. Where to read it across {s}, the latest chapter on each and where to continue.",
+        "intro": "{t}{other} is available as {kind}.",
+        "intro_sources": "It is indexed on {s}, each one linking to the original site.",
+        "intro_gap": "The novel is on chapter {n} and the manhwa on chapter {m}{ahead}.",
+        "intro_ahead": ": {lead} chapters ahead",
+        "q_where": "Where can I read {t}?",
+        "a_where": "It is indexed on {s} ({names}). Each one links to the original site where it is free to read.",
+        "q_count": "How many chapters does {t} have?",
+        "a_count": "The manhwa has {m} chapters indexed and the novel {n}{ahead}.",
+        "count_ahead": ", {lead} ahead of the manhwa",
+        "q_spoil": "Can I read the {t} novel without manhwa spoilers?",
+        "a_spoil": "Yes: start from the novel chapter that matches where you left the manhwa. What the novel gets ahead on is "
+                   "what the manhwa has not drawn yet, not what you already read.",
+        "q_done": "Is {t} completed?",
+        "a_done": "Yes, {t} is completed.",
+        "a_open": "No, {t} is ongoing and still gets new chapters.",
+        "eq_title": "{t}: which novel chapter does the manhwa continue from? — Manhwa {m} → Novel {n}",
+        "eq_heading": "Which novel chapter should I continue {t} from?",
+        "eq_ahead": "The {t} manhwa is at chapter {m} and the novel at {n}: {lead} chapters of story the manhwa has not told yet.",
+        "eq_level": "The {t} manhwa is at chapter {m} and the novel at {n}: the manhwa has practically caught up with the novel.",
+        "eq_q_next": "Which novel chapter does the {t} manhwa continue from?",
+        "eq_q_count": "How many chapters does the {t} novel have?",
+        "eq_a_count": "The novel has {n} chapters indexed and the manhwa {m}.",
+        "eq_q_spoil": "Does reading the {t} novel spoil the manhwa?",
+        "eq_a_spoil": "Not if you start from the chapter that matches where you left the manhwa. What the manhwa skips is ahead "
+                      "of you, not behind: the novel only gets you ahead on what the manhwa has not drawn yet.",
+    },
+}
+
+
 def genre_rows() -> list[tuple[str, str, list[str]]]:
     rows = []
     for line in GENRE_TABLE.strip().splitlines():

@@ -100,13 +100,16 @@ def title_in(title: Column, alternatives: Column, lang: str) -> Column:
 def second_of(title: Column, title_lang: Column, english: Column, spanish: Column, lang: str) -> Column:
     either = F.coalesce(spanish, english)
     pick = F.when(title_lang != "en", english).otherwise(either) if lang == "es" else either
-    return F.when(F.lower(fold_accents(pick)) != F.lower(fold_accents(title)), pick)
+    return let(pick, lambda p: F.when(F.lower(fold_accents(p)) != F.lower(fold_accents(title)), p))
 
 
 def second_name(title: Column, alternatives: Column, lang: str) -> Column:
     """The name shown beside the title, never the same name again."""
-    english, spanish = title_in(title, alternatives, "en"), title_in(title, alternatives, "es")
-    return second_of(title, title_language(title), english, spanish, lang)
+
+    def choose(names: Column) -> Column:
+        return second_of(title, title_language(title), first_in(names, "en"), first_in(names, "es"), lang)
+
+    return let(tagged_names(title, alternatives), choose)
 
 
 def prose_words(c: Column | str) -> Column:

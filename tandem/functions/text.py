@@ -87,7 +87,7 @@ def keys_of_normalized(n: Column | str) -> Column:
 
 def name_keys(c: Column | str) -> Column:
     """Ordered keys under which a name is indexed and looked up."""
-    return keys_of_normalized(normalize_name(c))
+    return let(normalize_name(c), keys_of_normalized)
 
 
 def words_of_normalized(n: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
-from tandem.functions.text import content_words, keys_of_normalized, name_keys, normalize_name, slugify
+from tandem.functions.text import content_words, name_keys, slugify
 from tandem.operators.catalog_text import work_names
 from tandem.operators.distributed import components, top_per_group
 from tandem.session import cut_lineage
@@ -14,7 +14,7 @@ from tandem.session import cut_lineage
 
 def build_name_index(works: DataFrame) -> DataFrame:
     """Name key -> the first work that claimed it (lowest work_id)."""
-    keys = work_names(works).select("work_id", F.explode(keys_of_normalized(normalize_name("nombre"))).alias("clave"))
+    keys = work_names(works).select("work_id", F.explode(name_keys("nombre")).alias("clave"))
     usable = keys.where(F.length("clave") >= fv.MIN_INDEX_KEY)
     return usable.groupBy("clave").agg(F.min("work_id").alias("work_id"))
 

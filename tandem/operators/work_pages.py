@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from tandem.functions import fixed_values as fv
 from tandem.functions import prose
 from tandem.functions.text import normalize_name
 from tandem.operators.distributed import top_per_group
-from tandem.operators.gap import formats, gap
+from tandem.operators.gap import work_counts
 from tandem.operators.ranking import spanish_order, top_list
 from tandem.operators.rollup import source_facts, source_rollup
 from tandem.operators.votes import manhwa_to_novel
+from tandem.session import cut_lineage
 
 
 def search_titles(works: DataFrame, q: str, n: int = 8) -> DataFrame:
@@ -58,13 +61,25 @@ def chapter_pages(chapters: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
-def _sources_text(n: Column, names: Column, one: str, many: str) -> Column:
-    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
+def fill(template: str, **values: Column) -> Column:
+    """A text with its {names} replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x])
+
+
+def _questions(pairs: list[tuple[Column, Column, Column]]) -> Column:
+    """JSON list of the (question, answer) pairs whose condition holds."""
+    rows = [F.when(c, F.struct(q.alias("pregunta"), a.alias("respuesta"))) for c, q, a in pairs]
+    return F.to_json(F.filter(F.array(*rows), lambda x: x.isNotNull()))
 
 
-def page_meta(works: DataFrame, chapters: DataFrame, sources: DataFrame) -> DataFrame:
-    """Title, description, series type, introduction and questions of each work page, in Spanish."""
-    rollup = source_rollup(chapters, sources)
+def page_meta(works: DataFrame, chapters: DataFrame, sources: DataFrame, lang: str = "es") -> DataFrame:
+    """Title, description, series type, introduction and questions of each work page.
+
+    ``works``: work_id, titulo, titulos_alternativos, tipo, estado.
+    """
+    tx = fv.PAGE_TEXTS[lang if lang == "es" else "en"]
+    rollup = cut_lineage(source_rollup(chapters, sources).select("work_id", "nombre", "tipo", "ultimo", "total"))
     per_work = rollup.groupBy("work_id").agg(
         F.count("*").alias("n"),
         F.max(F.when(F.col("tipo") == "manhwa", F.col("ultimo"))).alias("um"),
@@ -77,77 +92,72 @@ def page_meta(works: DataFrame, chapters: DataFrame, sources: DataFrame) -> Data
         "work_id", F.array_join(F.transform("s", lambda x: x["nombre"]), ", ").alias("nombres")
     )
     w = (
-        works.withColumn("_alt", prose.title_in(F.col("titulo"), F.col("titulos_alternativos"), "en"))
+        works.withColumn("_alt", prose.second_name(F.col("titulo"), F.col("titulos_alternativos"), lang))
         .join(per_work, "work_id", "left")
         .join(n_names, "work_id", "left")
         .join(names, "work_id", "left")
-        .join(formats(chapters), "work_id", "left")
-        .join(gap(chapters), "work_id", "left")
-        .fillna(0, ["n", "um", "un", "n_nombres"])
+        .join(work_counts(chapters).drop("caps"), "work_id", "left")
+        .fillna(0, ["n", "um", "un", "n_nombres", "manhwa", "novela"])
         .fillna("", ["nombres"])
+        .fillna(False, ["tiene_manhwa", "tiene_novela"])
     )
-    t, alt, fmt = F.col("titulo"), F.col("_alt"), F.coalesce("formatos", F.array().cast("array<string>"))
-    b_m, b_n, lead = (F.col(c).cast("string") for c in ("manhwa", "novela", "faltan"))
-    has_gap, ahead = F.col("faltan").isNotNull(), F.coalesce(F.col("faltan") > 0, F.lit(False))
+    t, alt, empty = F.col("titulo"), F.when(F.col("_alt") != F.col("titulo"), F.col("_alt")), F.lit("")
+    text = {c: F.col(c).cast("string") for c in ("um", "un", "n", "n_nombres")}
+    both = F.col("tiene_manhwa") & F.col("tiene_novela")
+    has_gap = (F.col("manhwa") > 0) & (F.col("novela") > 0)
+    ahead = has_gap & (F.col("novela") > F.col("manhwa"))
+    numbers = {"m": F.col("manhwa").cast("string"), "n": F.col("novela").cast("string"),
+               "lead": (F.col("novela") - F.col("manhwa")).cast("string")}
+
+    def counted(n: str) -> Column:
+        return F.concat(text[n], F.lit(" "), F.when(F.col(n) == 1, tx["one"]).otherwise(tx["many"]))
 
     suffix = F.concat_ws(
-        " · ",
-        F.when(F.col("um") > 0, F.concat(F.lit("manhwa cap. "), F.col("um").cast("string"))),
-        F.when(F.col("un") > 0, F.concat(F.lit("novela cap. "), F.col("un").cast("string"))),
+        " · ", F.when(F.col("um") > 0, fill(tx["caps_manhwa"], um=text["um"])),
+        F.when(F.col("un") > 0, fill(tx["caps_novela"], un=text["un"])),
     )
-    names_in_title = F.concat_ws(" / ", t, F.when(alt != t, alt))
-    dash = lambda a: F.when(suffix == "", a).otherwise(F.concat(a, F.lit(" — "), suffix))
-    seo = F.when(F.length(dash(names_in_title)) <= 65, dash(names_in_title)).otherwise(dash(t))
-
-    fmt_text = F.when(F.size(fmt) == 2, "manhwa y novela").otherwise(F.coalesce(F.try_element_at(fmt, F.lit(1)), F.lit("")))
-    n_text = _sources_text(F.col("n"), None, "fuente", "fuentes")
-    description = F.when(
-        ahead,
-        F.concat(
-            F.lit("El manhwa va por el capítulo "), b_m, F.lit(" y la novela por el "), b_n, F.lit(": te faltan "), lead,
-            F.lit(" capítulos de historia. Te decimos por cuál seguir y dónde leerla."),
-        ),
-    ).otherwise(
-        F.concat(
-            t, F.lit(": "), fmt_text, F.lit(". Dónde leerla en "), n_text,
-            F.lit(", el último capítulo de cada una y por cuál seguir."),
-        )
-    )
-    series = (
-        F.when(F.size(fmt) == 2, "CreativeWorkSeries")
-        .when(F.try_element_at(fmt, F.lit(1)) == "novela", "BookSeries")
-        .otherwise("ComicSeries")
-    )
-    fmt_or_type = F.when(F.size(fmt) == 0, F.col("tipo")).otherwise(fmt_text)
-    intro = F.concat_ws(
-        " ",
-        F.concat(t, F.when(alt != t, F.concat(F.lit(" ("), alt, F.lit(")"))).otherwise(""),
-                 F.lit(" está disponible como "), fmt_or_type, F.lit(".")),
-        F.when(F.col("n") > 0, F.concat(F.lit("Está indexada en "), n_text, F.lit(", cada una con enlace al sitio original."))),
-        F.when(has_gap, F.concat(
-            F.lit("La novela va por el capítulo "), b_n, F.lit(" y el manhwa por el "), b_m,
-            F.when(ahead, F.concat(F.lit(": "), lead, F.lit(" capítulos por delante"))).otherwise(""), F.lit("."))),
-    )
-    question = lambda q, a: F.struct(q.alias("pregunta"), a.alias("respuesta"))
-    asked = F.array(
-        F.when(F.col("n_nombres") > 0, question(
-            F.concat(F.lit("¿Dónde leer "), t, F.lit("?")),
-            F.concat(F.lit("Está indexada en "), _sources_text(F.col("n_nombres"), None, "fuente", "fuentes"),
-                     F.lit(" ("), F.col("nombres"), F.lit("). Cada una enlaza al sitio original donde se lee gratis.")))),
-        F.when(has_gap, question(
-            F.concat(F.lit("¿Cuántos capítulos tiene "), t, F.lit("?")),
-            F.concat(F.lit("El manhwa lleva "), b_m, F.lit(" capítulos indexados y la novela "), b_n,
-                     F.when(ahead, F.concat(F.lit(", "), lead, F.lit(" por delante del manhwa"))).otherwise(""), F.lit(".")))),
-        F.when(has_gap, question(
-            F.concat(F.lit("¿Puedo leer la novela de "), t, F.lit(" sin spoilers del manhwa?")),
-            F.lit("Sí: empieza por el capítulo de la novela que corresponde a donde dejaste el manhwa. Lo que la novela te "
-                  "adelanta es lo que el manhwa aún no ha dibujado, no lo que ya leíste."))),
-        F.when(F.col("estado") != "", question(
-            F.concat(F.lit("¿"), t, F.lit(" está terminada?")),
-            F.when(F.col("estado") == fv.FINISHED, F.concat(F.lit("Sí, "), t, F.lit(" está finalizada."))).otherwise(
-                F.concat(F.lit("No, "), t, F.lit(" sigue en emisión y recibe capítulos nuevos."))))),
+    with_suffix = lambda a: F.when(suffix == "", a).otherwise(F.concat(a, F.lit(" — "), suffix))
+    full = with_suffix(F.concat_ws(" / ", t, alt))
+    single = F.when(F.col("tiene_novela"), "novela").when(F.col("tiene_manhwa"), "manhwa")
+    shown = F.when(both, tx["both"]).when(F.col("tiene_novela"), tx["novela"]).otherwise(F.coalesce(single, empty))
+    kind = F.when(both, tx["both"]).otherwise(F.coalesce(single, F.col("tipo")))
+    other = F.when(alt.isNotNull(), F.concat(F.lit(" ("), alt, F.lit(")"))).otherwise(empty)
+    intro_ahead = F.when(ahead, fill(tx["intro_ahead"], **numbers)).otherwise(empty)
+    count_ahead = F.when(ahead, fill(tx["count_ahead"], **numbers)).otherwise(empty)
+    questions = _questions([
+        (F.col("n_nombres") > 0, fill(tx["q_where"], t=t), fill(tx["a_where"], s=counted("n_nombres"), names=F.col("nombres"))),
+        (has_gap, fill(tx["q_count"], t=t), fill(tx["a_count"], ahead=count_ahead, **numbers)),
+        (has_gap, fill(tx["q_spoil"], t=t), F.lit(tx["a_spoil"])),
+        (F.col("estado") != "", fill(tx["q_done"], t=t),
+         F.when(F.col("estado") == fv.FINISHED, fill(tx["a_done"], t=t)).otherwise(fill(tx["a_open"], t=t))),
+    ])
+    return w.select(
+        "work_id",
+        F.when(F.length(full) <= 65, full).otherwise(with_suffix(t)).alias("titulo_seo"),
+        F.when(ahead, fill(tx["gap"], **numbers)).otherwise(fill(tx["about"], t=t, fmt=shown, s=counted("n"))).alias("descripcion"),
+        F.when(both, "CreativeWorkSeries").when(F.col("tiene_novela"), "BookSeries").otherwise("ComicSeries").alias("tipo_serie"),
+        F.concat_ws(
+            " ", fill(tx["intro"], t=t, other=other, kind=kind), F.when(F.col("n") > 0, fill(tx["intro_sources"], s=counted("n"))),
+            F.when(has_gap, fill(tx["intro_gap"], ahead=intro_ahead, **numbers)),
+        ).alias("intro"),
+        questions.alias("preguntas"),
     )
+
+
+def equivalence_meta(works: DataFrame, gaps: DataFrame, lang: str = "es") -> DataFrame:
+    """Title, heading, answer and questions of the equivalence page of every work with a gap."""
+    tx = fv.PAGE_TEXTS[lang if lang == "es" else "en"]
+    w = works.select("work_id", "titulo").join(gaps, "work_id")
+    values = {"t": F.col("titulo"), "m": F.col("manhwa").cast("string"), "n": F.col("novela").cast("string"),
+              "lead": F.col("faltan").cast("string")}
+    answer = F.when(F.col("faltan") > 0, fill(tx["eq_ahead"], **values)).otherwise(fill(tx["eq_level"], **values))
+    always = F.lit(True)
     return w.select(
-        "work_id", seo.alias("titulo_seo"), description.alias("descripcion"), series.alias("tipo_serie"),
-        intro.alias("intro"), F.to_json(F.filter(asked, lambda x: x.isNotNull())).alias("preguntas"),
+        "work_id", fill(tx["eq_title"], **values).alias("titulo_seo"), fill(tx["eq_heading"], **values).alias("encabezado"),
+        answer.alias("respuesta"),
+        _questions([
+            (always, fill(tx["eq_q_next"], **values), answer),
+            (always, fill(tx["eq_q_count"], **values), fill(tx["eq_a_count"], **values)),
+            (always, fill(tx["eq_q_spoil"], **values), F.lit(tx["eq_a_spoil"])),
+        ]).alias("preguntas"),
     )

@@ -241,6 +241,39 @@ def _(t):
     return rows.drop("pos").fillna("", ["fecha_texto"])
 
 
+@query("s8_card_chapters", """
+    SELECT concat('https://tarjetas.example.com/s/', l_orderkey) AS url_pagina, CAST(l_quantity AS INT) AS numero,
+           concat('Chapter ', CAST(l_quantity AS INT), '.5') AS titulo, concat('https://tarjetas.example.com/reader/en/', l_orderkey, '-', l_partkey, '/') AS url,
+           strftime(l_shipdate, '%Y-%m-%d') AS fecha_texto
+    FROM lineitem WHERE l_orderkey % 3 = 0""")
+def _(t):
+    n = F.col("l_quantity").cast("int").cast("string")
+    item = F.concat(
+        F.lit('<li data-orderno="1"><a href="/reader/en/'), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"),
+        F.lit('/"><strong class="chapter-title">'), n, F.lit('.5-eng-li </strong><time datetime="'), F.date_format("l_shipdate", "MMMM d, yyyy"),
+        F.lit(', noon">x</time></a><a href="/otro/">no</a></li>'),
+    )
+    rows = t.base("lineitem").where("l_orderkey % 3 = 0").select(
+        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate").alias("o"), item.alias("c"))
+    pages = packed(rows, ["l_orderkey"], "o", "c").select(
+        F.concat(F.lit("https://tarjetas.example.com/s/"), F.col("l_orderkey").cast("string")).alias("url"),
+        F.concat(F.lit("<ul>"), "body", F.lit("</ul>")).alias("html"))
+    sites = small_table(t.spark, [("tarjetas.example.com", "tarjetas")], "host string, tema string")
+    return markup.extract_chapters(pages, sites, markup.theme_rules(t.spark)).drop("pos")
+
+
+@query("s7_series_details", """
+    SELECT concat('https://d.example.com/', p_partkey) AS url, concat(p_name, ' completo') AS titulo,
+           CASE WHEN p_partkey % 2 = 0 THEN concat('Otro ', p_partkey, '|Más ', p_partkey) ELSE concat('이세계 ', p_partkey) END AS titulos_alternativos FROM part""")
+def _(t):
+    k, title = F.col("p_partkey").cast("string"), F.concat("p_name", F.lit(" completo"))
+    one = F.concat(F.lit('<h1 class="novel-title"> '), title, F.lit(' </h1><h2 class="alternative-title">Otro '), k, F.lit(" • Updating • "), title,
+                   F.lit(" • Más "), k, F.lit(" • Otro "), k, F.lit("</h2>"))
+    two = F.concat(F.lit('<div><div aria-hidden="true"><div>이세계 '), k, F.lit('</div></div><h1 itemprop="name">'), title, F.lit("</h1></div>"))
+    pages = t.base("part").select(F.concat(F.lit("https://d.example.com/"), k).alias("url"), F.when(F.col("p_partkey") % 2 == 0, one).otherwise(two).alias("html"))
+    return markup.series_details(pages).withColumn("titulos_alternativos", joined("titulos_alternativos"))
+
+
 @query("s8_page_anchors", r"""
     WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS h,
                       regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS x FROM pages)

@@ -220,7 +220,7 @@ def _(t):
     return t.base("documents").select("doc_id", title.alias("t")).select("doc_id", prose.title_language("t").alias("idioma_titulo"))
 
 
-@query("i11_pick_title", """
+check_view("o_second_names", """
     WITH c AS (SELECT *, row_number() OVER (PARTITION BY work_id, idioma ORDER BY name_pos) AS rn FROM o_name_language
                WHERE NOT regexp_matches(nombre, '(?i)\\s(novela|novel|manhwa|manga|webtoon)$')),
     m AS (SELECT n.work_id, n.nombre AS titulo, n.idioma, e.nombre AS en, s.nombre AS es
@@ -229,6 +229,9 @@ def _(t):
     k AS (SELECT *, CASE WHEN idioma <> 'en' THEN en ELSE coalesce(es, en) END AS pick FROM m)
     SELECT work_id, coalesce(en, '') AS titulo_en,
            CASE WHEN lower(strip_accents(pick)) <> lower(strip_accents(titulo)) THEN pick ELSE '' END AS segundo_nombre FROM k""")
+
+
+@query("i11_pick_title", "SELECT * FROM o_second_names")
 def _(t):
     rows = ct.tag_titles(published(t).select("work_id", "titulo", "titulos_alternativos"))
     return rows.select("work_id", "titulo_en", "segundo_nombre").fillna("")

@@ -235,8 +235,7 @@ check_view("o_source_cards", """
     nm AS (SELECT work_id, nombre, max(total) AS total, row_number() OVER (PARTITION BY work_id ORDER BY max(total) DESC, nombre) AS rn,
                   count(*) OVER (PARTITION BY work_id) AS c FROM o_source_cards WHERE nombre <> '' GROUP BY work_id, nombre),
     n5 AS (SELECT work_id, max(c) AS c, string_agg(nombre, ', ' ORDER BY rn) FILTER (rn <= 5) AS nombres FROM nm GROUP BY work_id),
-    en AS (SELECT work_id, arg_min(nombre, name_pos) AS alt FROM o_name_language
-           WHERE idioma = 'en' AND NOT regexp_matches(nombre, '(?i)\\s(novela|novel|manhwa|manga|webtoon)$') GROUP BY work_id),
+    en AS (SELECT work_id, nullif(segundo_nombre, '') AS alt FROM o_second_names),
     fm AS (SELECT work_id, list_sort(list_distinct(list(tipo))) AS f FROM o_chapters GROUP BY work_id),
     w AS (SELECT o.work_id, o.titulo AS t, o.estado, o.tipo, nullif(en.alt, o.titulo) AS alt, coalesce(pw.n, 0) AS n, coalesce(pw.um, 0) AS um,
                  coalesce(pw.un, 0) AS un, coalesce(n5.c, 0) AS c, n5.nombres, coalesce(fm.f, []) AS f, g.manhwa, g.novela, g.faltan
@@ -272,6 +271,23 @@ def _(t):
     return work_pages.page_meta(published(t), t.chapters, t.sources)
 
 
+@query("p12_equivalence_meta", """
+    SELECT work_id, concat(titulo, ': which novel chapter does the manhwa continue from? — Manhwa ', manhwa, ' → Novel ', novela) AS titulo_seo,
+           concat('Which novel chapter should I continue ', titulo, ' from?') AS encabezado, r AS respuesta,
+           concat('[{"pregunta":"Which novel chapter does the ', titulo, ' manhwa continue from?","respuesta":"', r, '"},{"pregunta":"How many chapters does the ',
+             titulo, ' novel have?","respuesta":"The novel has ', novela, ' chapters indexed and the manhwa ', manhwa, '."},{"pregunta":"Does reading the ', titulo,
+             ' novel spoil the manhwa?","respuesta":"Not if you start from the chapter that matches where you left the manhwa. What the manhwa skips is ahead of you, not behind: the novel only gets you ahead on what the manhwa has not drawn yet."}]') AS preguntas
+    FROM (SELECT *, CASE WHEN faltan > 0 THEN concat('The ', titulo, ' manhwa is at chapter ', manhwa, ' and the novel at ', novela, ': ', faltan,
+                                                    ' chapters of story the manhwa has not told yet.')
+                    ELSE concat('The ', titulo, ' manhwa is at chapter ', manhwa, ' and the novel at ', novela,
+                                ': the manhwa has practically caught up with the novel.') END AS r
+          FROM o_works JOIN o_gap USING (work_id))""")
+def _(t):
+    from tandem.operators.gap import gap
+
+    return work_pages.equivalence_meta(published(t), gap(t.chapters), "en")
+
+
 check_view("o_linked", """
     SELECT c.work_id, c.numero, r.solo_enlace FROM o_chapters c JOIN o_rollup r USING (work_id, source_id) WHERE c.numero IS NOT NULL""")
 

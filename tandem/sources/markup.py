@@ -14,9 +14,10 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.functions.fixed_values import MAX_API_ALTERNATIVES
 from tandem.functions.text import chapter_number, trim_ws
 from tandem.functions.urls import host_of
 from tandem.session import small_table
@@ -25,6 +26,9 @@ from tandem.session import small_table
 # tema | para | elemento | enlace | titulo | atributos del titulo | fecha | numero | reserva (only when nothing else fits)
 
 THEME_RULES = """
+tarjetas | series | article.comic-card | .comic-card__title a | | | | | 0
+tarjetas | capitulos | li[data-orderno] a[href*=/reader/] | | .chapter-title | | time:datetime | | 0
+generos | series | a._genre_title_a | | .info_text .subj, .info_text strong | | | | 0
 madara | series | .page-item-detail | .post-title h3 a, .post-title h5 a | | | | | 0
 madara | series | a.acard | | | title, img:alt | | | 1
 madara | capitulos | li.wp-manga-chapter | a | | | .chapter-release-date | | 0
@@ -67,9 +71,13 @@ class Node:
         return "".join(out)
 
     def fits(self, simple: tuple) -> bool:
-        tag, ident, classes = simple
+        tag, ident, classes, conditions = simple
         if tag and self.tag != tag or ident and self.attrs.get("id") != ident:
             return False
+        for name, operator, value in conditions:
+            own = self.attrs.get(name)
+            if own is None or operator == "=" and own != value or operator == "*=" and value not in own:
+                return False
         if classes:
             own = self.attrs.get("class", "").split()
             return all(c in own for c in classes)
@@ -95,14 +103,16 @@ class Node:
 
 @lru_cache(maxsize=512)
 def compiled(selectors: str) -> tuple:
-    """``a b.c, #d`` as paths of (tag, id, classes)."""
+    """``a b.c, #d[e*=f]`` as paths of (tag, id, classes, attribute conditions)."""
     paths = []
     for selector in filter(None, (s.strip() for s in selectors.split(","))):
         path = []
         for simple in selector.split():
-            parts = re.findall(r"([.#]?)([\w-]+)", simple)
+            conditions = tuple(re.findall(r"\[([\w-]+)(\*?=)?([^\]]*)\]", simple))
+            parts = re.findall(r"([.#]?)([\w-]+)", re.sub(r"\[[^\]]*\]", "", simple))
             named = {kind: name for kind, name in parts if kind != "."}
-            path.append((named.get("", ""), named.get("#", ""), tuple(n for k, n in parts if k == ".")))
+            classes = tuple(n for k, n in parts if k == ".")
+            path.append((named.get("", ""), named.get("#", ""), classes, conditions))
         paths.append(tuple(path))
     return tuple(paths)
 
@@ -154,7 +164,16 @@ def cover_in(node: Node) -> str:
     return "" if src.startswith("data:") else src
 
 
-FOUND = "url_pagina string, reserva int, pos int, titulo string, href string, url string, portada string, fecha_texto string, numero_texto string"
+FOUND = "url_pagina string, tema string, reserva int, pos int, titulo string, href string, url string, portada string, fecha_texto string, numero_texto string"
+
+
+def text_at(item: Node, place: str) -> str:
+    """Text of the first match of a selector, or of its attribute after a colon."""
+    selector, _, attribute = place.strip().partition(":")
+    node = item.first(selector) if selector else None
+    if node is None:
+        return ""
+    return (node.attrs.get(attribute, "") if attribute else node.text()).strip()
 
 
 def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +184,7 @@ def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 link = item.first(r.enlace) if r.enlace else item
                 attrs = link.attrs if link is not None else {}
                 title = ""
-                title_node = item.first(r.titulo) if r.titulo else None
+                own = next((t for t in (text_at(item, s) for s in r.titulo.split(",")) if t), "")
                 candidates = []
                 for name in filter(None, (a.strip() for a in r.atributos.split(","))):
                     if ":" in name:
@@ -174,7 +193,6 @@ def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         candidates.append(inner.attrs.get(attribute, "") if inner else "")
                     else:
                         candidates.append(attrs.get(name, ""))
-                own = title_node.text().strip() if title_node is not None else ""
                 text = link.text().strip() if link is not None and r.enlace else ""
                 if r.para == "series":
                     order = [*candidates, own, text if not r.atributos else ""]
@@ -182,10 +200,9 @@ def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     order = [own, *candidates, text.split("\n")[0].strip() if r.atributos else text]
                 title = next((t.strip() for t in order if t.strip()), "")
                 href = attrs.get("href", "")
-                date = item.first(r.fecha) if r.fecha else None
                 rows.append((
-                    r.url, int(r.reserva), pos, title, href, urljoin(r.url, href) if href else "", cover_in(item),
-                    date.text().strip() if date is not None else "", item.attrs.get(r.numero, "") if r.numero else "",
+                    r.url, r.tema, int(r.reserva), pos, title, href, urljoin(r.url, href) if href else "", cover_in(item),
+                    text_at(item, r.fecha), item.attrs.get(r.numero, "") if r.numero else "",
                 ))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
@@ -197,7 +214,7 @@ def _extract(pages: DataFrame, sites: DataFrame, rules: DataFrame, para: str) ->
         .join(sites.select("host", "tema"), "host")
         .join(rules.where(F.col("para") == para), "tema")
     )
-    fields = ["url", "html", "para", "elemento", "enlace", "titulo", "atributos", "fecha", "numero", "reserva"]
+    fields = ["url", "html", "tema", "para", "elemento", "enlace", "titulo", "atributos", "fecha", "numero", "reserva"]
     return ruled.select(*fields).mapInPandas(_found, FOUND)
 
 
@@ -212,6 +229,11 @@ def extract_series(pages: DataFrame, sites: DataFrame, rules: DataFrame) -> Data
 def extract_chapters(pages: DataFrame, sites: DataFrame, rules: DataFrame) -> DataFrame:
     """Chapters of series pages; locked ones (no link) are dropped."""
     found = _extract(pages, sites, rules, "capitulos").where("href <> '' AND href <> '#'")
+    # card lists put the number first in the title and the date in words
+    cards = F.col("tema") == "tarjetas"
+    leading = F.nullif(F.regexp_extract("titulo", r"^[0-9]+(?:\.[0-9]+)?", 0), F.lit(""))
+    found = found.withColumn("titulo", F.when(cards & leading.isNotNull(), F.concat(F.lit("Chapter "), leading)).otherwise(F.col("titulo")))
+    found = found.withColumn("fecha_texto", F.when(cards, worded_day(F.col("fecha_texto"))).otherwise(F.col("fecha_texto")))
     stated = F.nullif(F.floor(F.col("numero_texto").try_cast("double")).cast("int"), F.lit(0))
     number = F.coalesce(stated, chapter_number("titulo"), chapter_number("href"))
     return found.select(
@@ -220,6 +242,45 @@ def extract_chapters(pages: DataFrame, sites: DataFrame, rules: DataFrame) -> Da
     )
 
 
+def worded_day(c: Column) -> Column:
+    """Day of ``Sept. 15, 2026, 3:04 p.m.`` as yyyy-MM-dd; NULL when there is none."""
+    parts = [F.regexp_extract(c, r"^([A-Za-z]{3})[a-z]*\.? +([0-9]{1,2}), *([0-9]{4})", i) for i in (1, 2, 3)]
+    return F.date_format(F.try_to_timestamp(F.concat_ws(" ", *parts), F.lit("MMM d yyyy")), "yyyy-MM-dd")
+
+
+DETAILS = "url string, titulo string, titulos_alternativos array<string>"
+
+
+def _details(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for r in frame.itertuples(index=False):
+            root = parse(r.html)
+            head = root.first("h1.novel-title") or root.first("h1[itemprop=name]")
+            title = head.text().strip() if head else ""
+            others = [t.strip() for t in text_at(root, "h2.alternative-title").split("•")]
+            if head and head.parent:
+                others.append(text_at(head.parent, "div[aria-hidden=true]"))
+            kept = [t for t in others if t and t != title and t.lower() != "updating"]
+            rows.append((r.url, title, list(dict.fromkeys(kept))[:MAX_API_ALTERNATIVES]))
+        yield pd.DataFrame(rows, columns=["url", "titulo", "titulos_alternativos"])
+
+
+def series_details(pages: DataFrame) -> DataFrame:
+    """Full title and other names from the page of a series, for listings that cut titles. ``pages``: url, html."""
+    return pages.select("url", "html").mapInPandas(_details, DETAILS)
+
+
+def complete_series(series: DataFrame, details: DataFrame) -> DataFrame:
+    """Series with the title and names their own page gives. ``series``: url, titulo, titulos_alternativos."""
+    d = details.select("url", F.col("titulo").alias("_t"), F.col("titulos_alternativos").alias("_a"))
+    none = F.array().cast("array<string>")
+    both = F.array_distinct(F.concat(F.coalesce("titulos_alternativos", none), F.coalesce("_a", none)))
+    return series.join(d, "url", "left").withColumns(
+        {"titulo": F.coalesce(F.nullif("_t", F.lit("")), F.col("titulo")), "titulos_alternativos": both}
+    ).drop("_t", "_a")
+
+
 _ANCHOR = r"""(?is)<a\s[^>]*?href=["']([^"']*)["'][^>]*>(.*?)</a>"""
 
 

@@ -221,6 +221,45 @@ def test_own_selectors(spark):
     assert (row.titulo, row.url, row.portada) == ("Una", "https://z.test/l/una", "/c.jpg")
 
 
+def test_cards_and_details(spark):
+    page = [("https://www.g.test/manga/obra/all-chapters/", """<ul><li data-chapterno="1" data-orderno="9"><a href="/reader/en/obra-chapter-12.5-eng-li/">
+        <strong class="chapter-title">12.5-eng-li </strong><time class="chapter-update" datetime="Sept. 15, 2026, 3:02 a.m.">1 hour</time></a></li>
+        <li data-orderno="8"><a href="/reader/en/obra-chapter-12-eng-li/"><strong class="chapter-title">12-eng-li</strong>
+        <time datetime="May 3, 2026, noon">x</time></a></li></ul>""")]
+    cards = [("https://www.g.test/browse/", """<article class="comic-card"><div class="comic-card__cover"><a href="/manga/obra/"><img src="https://i.test/tapa.jpg"
+        alt="x"></a></div><h3 class="comic-card__title"><a href="/manga/obra/">
+          Obra Geko
+      </a></h3></article>""")]
+    sites = spark.createDataFrame([("g.test", "tarjetas")], "host string, tema string")
+    rules, schema = markup.theme_rules(spark), "url string, html string"
+    rows = markup.extract_chapters(spark.createDataFrame(page, schema), sites, rules)
+    assert {(r.numero, r.titulo, r.url, r.fecha_texto) for r in rows.collect()} == {
+        (12, "Chapter 12.5", "https://www.g.test/reader/en/obra-chapter-12.5-eng-li/", "2026-09-15"),
+        (12, "Chapter 12", "https://www.g.test/reader/en/obra-chapter-12-eng-li/", "2026-05-03")}
+    series = markup.extract_series(spark.createDataFrame(cards, schema), sites, rules).first()
+    assert (series.titulo, series.url, series.portada) == ("Obra Geko", "https://www.g.test/manga/obra/", "https://i.test/tapa.jpg")
+    details = markup.series_details(spark.createDataFrame([("u", """<div><div><div aria-hidden="true"><div>이세계 오브라</div></div>
+        <h1 itemprop="name">Obra Eco</h1></div></div>""")], schema))
+    listed = spark.createDataFrame([("u", "Obra E…", ["Alt"]), ("v", "Otra", [])], "url string, titulo string, titulos_alternativos array<string>")
+    done = {r.url: (r.titulo, r.titulos_alternativos) for r in markup.complete_series(listed, details).collect()}
+    assert done == {"u": ("Obra Eco", ["Alt", "이세계 오브라"]), "v": ("Otra", [])}
+
+
+def test_page_titles(spark):
+    works = spark.createDataFrame([
+        (1, "El Jefe", ["Boss"], "manhwa", ""), (2, "Regreso de la Secta del Monte Hua", ["Return of the Mount Hua Sect Extraordinary"], "manhwa", ""),
+        (3, "Solo", [], "ambos", "Finalizado")], "work_id int, titulo string, titulos_alternativos array<string>, tipo string, estado string")
+    chapters = spark.createDataFrame([(i, w, w, 79, "manhwa", "es", "u") for i, w in ((1, 1), (2, 2))] + [(3, 1, 1, 78, "manhwa", "es", "u")],
+                                     "id int, work_id int, source_id int, numero int, tipo string, idioma string, url string")
+    sources = spark.createDataFrame([(1, "Scan A"), (2, "Scan B")], "source_id int, nombre string")
+    rows = {r.work_id: r for r in work_pages.page_meta(works, chapters, sources).collect()}
+    assert rows[1].titulo_seo == "El Jefe / Boss — manhwa cap. 79"
+    assert rows[2].titulo_seo == "Regreso de la Secta del Monte Hua — manhwa cap. 79"
+    assert rows[3].titulo_seo == "Solo" and rows[3].tipo_serie == "ComicSeries" and "finalizada" in rows[3].preguntas
+    english = {r.work_id: r for r in work_pages.page_meta(works, chapters, sources, "en").collect()}
+    assert english[1].descripcion == "El Jefe: manhwa. Where to read it across 1 source, the latest chapter on each and where to continue."
+
+
 def test_localized_catalogue(spark):
     doc = """{"data":[{"id":"1111","attributes":{"title":{"ko-ro":"Jeonjijeok"},"altTitles":[{"en":"Omniscient Reader's Viewpoint"},{"es":"Lector omnisciente"}],
       "status":"ongoing","tags":[{"attributes":{"group":"genre","name":{"en":"Action","es":"Acción"}}}]},
