@@ -103,20 +103,21 @@ def top_per_group(
     )
 
 
-def _star_round(edges: DataFrame) -> DataFrame:
-    """Large star then small star over edges u > v."""
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Over edges u > v: every larger neighbour of a node moves to the node's smallest neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    # every larger neighbour of a node moves to the node's smallest neighbour
-    large = (
-        both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    )
-    # a node and its smaller neighbours move to the smallest of them
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = both.join(smallest, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Over edges u > v: a node and its smaller neighbours move to the smallest of them."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = F.array(
         F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
     )
-    return large.join(low, "u").select(F.explode(moved).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+    return edges.join(low, "u").select(F.explode(moved).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -124,7 +125,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Large-star / small-star rounds: each keeps the graph's components and halves
     distances, so the number of rounds grows with the logarithm of the longest
-    chain. Each round is written to the shared folder. A hub is never
+    chain. Each step is written to the shared folder, as each reads its input
+    several times. A hub is never
     collected: its new edges come from a ``min`` per node that is pre-aggregated,
     joined back to the edge list.
     """
@@ -132,8 +134,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
     for _ in range(max_rounds):
-        # two rounds between writes: half the barriers for the same work
-        current = cut_lineage(_star_round(_star_round(current)))
+        current = cut_lineage(_small_star(cut_lineage(_large_star(current))))
         # done when every edge leads straight to a root: nobody has two targets, no target has one
         ends = current.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(
             current.select(F.col("v").alias("node"), F.lit(None).alias("to"))

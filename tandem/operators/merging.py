@@ -92,6 +92,7 @@ def merge_plan(pairs: DataFrame, weights: DataFrame, alone: float = fv.MERGE_ALO
     Pairs of at least ``alone`` are followed through: a connected group keeps
     its heaviest work. Weaker pairs are reported between the works that remain.
     """
+    pairs, weights = cut_lineage(pairs), cut_lineage(weights)  # both are read three times
     strong = pairs.where(F.col("similitud") >= alone)
     groups = cut_lineage(components(strong).join(weights.withColumnRenamed("work_id", "node"), "node"))
     keep = groups.groupBy("root").agg(F.min_by("node", "peso").alias("dst"))

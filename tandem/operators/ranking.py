@@ -75,9 +75,10 @@ def related_works(works: DataFrame, levels: DataFrame, k: int = fv.RELATED_WORKS
     score = genres shared through buckets. Works that stay short are filled with
     their neighbours in the circular alphabetical order, tier A first.
     """
-    facts = works.join(levels, "work_id").select(
+    # one row per work, read six times below
+    facts = cut_lineage(works.join(levels, "work_id").select(
         "work_id", "titulo", "adulta", "categorias", (F.col("nivel") == "A").alias("a")
-    )
+    ))
     tags = facts.select("work_id", "titulo", "adulta", "a", F.explode(F.array_distinct("categorias")).alias("genero"))
     bucket = top_per_group(
         tags.where("NOT adulta"), ["genero"], [F.desc("a"), F.col("titulo"), F.col("work_id")], fv.GENRE_BUCKET
@@ -91,8 +92,7 @@ def related_works(works: DataFrame, levels: DataFrame, k: int = fv.RELATED_WORKS
     )
     best = Window.partitionBy("work_id").orderBy(F.desc("otra_a"), F.desc("comunes"), F.col("otra"))
     chosen = shared.withColumn("puesto", F.row_number().over(best)).where(F.col("puesto") <= k)
-    chosen = chosen.select("work_id", "otra", "puesto", F.lit("genero").alias("origen"))
-
+    chosen = cut_lineage(chosen.select("work_id", "otra", "puesto", F.lit("genero").alias("origen")))
     filled = _fill_from_neighbours(facts, chosen, k)
     return chosen.unionByName(filled)
 
