@@ -70,10 +70,10 @@ def _(t):
            CASE WHEN w.work_id IN (SELECT work_id FROM o_covers) THEN concat('/portada/', w.slug, '.jpg') ELSE '/portadas/sin-portada.svg' END AS p,
            coalesce(f.f, CASE WHEN w.tipo = 'ambos' THEN 'manhwa|novela' ELSE w.tipo END) AS f
     FROM o_works w LEFT JOIN (SELECT work_id, array_to_string(list_sort(list_distinct(list(tipo))), '|') AS f
-                              FROM o_chapters WHERE work_id % 17 <> 0 GROUP BY work_id) f USING (work_id)""")
+                              FROM o_chapters WHERE idioma = 'pt' AND tipo = 'novela' GROUP BY work_id) f USING (work_id)""")
 def _(t):
     works = published(t)
-    formats = gap.formats(t.chapters.where("work_id % 17 <> 0"))
+    formats = gap.formats(t.chapters.where("idioma = 'pt' AND tipo = 'novela'"))
     rows = exports.search_index(works, formats, covers.works_with_cover(works, t.sources))
     return rows.withColumn("a", joined("a")).withColumn("f", joined("f"))
 

@@ -152,10 +152,9 @@ def _(t):
 
 
 _PAIRS = """
-SELECT least(a, b) AS a, greatest(a, b) AS b, max(s) AS similitud FROM (
-  SELECT o_custkey AS a, (o_custkey + o_orderkey % 7 + 1) % 1500 AS b, CAST(0.8 + (o_orderkey % 20) / 100.0 AS DOUBLE) AS s
-  FROM {orders} WHERE o_orderstatus <> 'F' AND o_custkey % 3 = 0)
-GROUP BY least(a, b), greatest(a, b)"""
+SELECT o_custkey AS a, o_custkey + o_orderkey % 7 + 1 AS b,
+       min(CASE WHEN o_orderkey % 31 = 0 THEN 0.97 ELSE CAST(0.8 + (o_orderkey % 14) / 100.0 AS DOUBLE) END) AS similitud
+FROM {orders} GROUP BY o_custkey, o_custkey + o_orderkey % 7 + 1"""
 check_view("o_pairs", _PAIRS.replace("{orders}", "orders"))
 check_view("o_weights", """
     SELECT w.work_id, w.slug, (-coalesce(s.n, 0), -coalesce(s.c, 0), -(CAST(alt1 IS NOT NULL AS INT) + CAST(alt2 IS NOT NULL AS INT) + CAST(alt3 IS NOT NULL AS INT)),

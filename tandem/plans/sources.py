@@ -61,10 +61,9 @@ def _(t):
 
 
 @query("s2_stale_snapshot_falls_back", """
-    SELECT CAST(id AS VARCHAR) AS id, CAST(work_id AS VARCHAR) AS work_id FROM o_chapters WHERE work_id % 2 = 0""")
+    SELECT CAST(id AS VARCHAR) AS id, CAST(work_id AS VARCHAR) AS work_id FROM f_chapters""")
 def _(t):
-    base = t.chapters.where("work_id % 2 = 0")
-    return catalog.read_snapshot(snapshot_files(t), ["id", "work_id"], datetime(2026, 11, 9), base, timedelta(days=3))
+    return catalog.read_snapshot(snapshot_files(t), ["id", "work_id"], datetime(2026, 11, 9), t.all_chapters, timedelta(days=3))
 
 
 # ---- S3, S4, S17 ------------------------------------------------------------------------
@@ -119,7 +118,7 @@ def chapter_sitemaps(t) -> DataFrame:
         F.lit(f"<url><loc>{_READER}/series/"), slug, F.lit("/chapter-"), number, F.lit("</loc>\n<lastmod>"),
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</lastmod></url>"),
     )
-    rows = t.base("lineitem").where("l_partkey % 7 <> 0").select("l_orderkey", "l_linenumber", entry.alias("e"))
+    rows = t.base("lineitem").select("l_orderkey", "l_linenumber", entry.alias("e"))
     return packed(rows, ["l_orderkey"], "l_linenumber", "e").withColumnRenamed("body", "xml")
 
 
@@ -128,7 +127,7 @@ def chapter_sitemaps(t) -> DataFrame:
       SELECT concat('i''m-obra-', CAST(l_partkey AS VARCHAR), CASE WHEN l_partkey % 3 = 0 THEN '-novel' ELSE '' END) AS slug,
              CAST(l_orderkey % 500 AS INT) AS numero, concat(CAST(l_orderkey % 500 AS VARCHAR), CASE WHEN l_linenumber % 2 = 0 THEN '.5' ELSE '' END) AS n,
              strftime(l_shipdate, '%Y-%m-%d') AS fecha_texto
-      FROM lineitem WHERE l_partkey % 7 <> 0)""")
+      FROM lineitem)""")
 def _(t):
     return sitemaps.sitemap_chapters(chapter_sitemaps(t), _READER)
 
@@ -136,10 +135,11 @@ def _(t):
 @query("s5_sitemap_series", f"""
     SELECT slug, replace(slug, '-', ' ') AS titulo, concat('{_READER}/series/', slug) AS url FROM (
       SELECT concat('i''m-obra-', CAST(p_partkey AS VARCHAR)) AS slug FROM part
-      WHERE p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 AND p_partkey IN (SELECT l_partkey FROM lineitem))""")
+      WHERE p_partkey % 3 <> 0 AND p_partkey IN (SELECT l_partkey FROM lineitem))""")
 def _(t):
     loc = F.concat(F.lit(f"<url><loc>{_READER}/series/i&apos;m-obra-"), F.col("p_partkey").cast("string"),
-                   F.when(F.col("p_partkey") % 3 == 0, "-novel").otherwise(""), F.lit("</loc></url>"))
+                   F.when(F.col("p_partkey") % 3 == 0, "-novel").otherwise(""), F.lit("</loc></url>"),
+                   F.lit(f"<url><loc>{_READER}/series/sin-capitulos-"), F.col("p_partkey").cast("string"), F.lit("</loc></url>"))
     rows = t.base("part").select(F.floor(F.col("p_partkey") / 50).alias("doc"), "p_partkey", loc.alias("e"))
     documents = packed(rows, ["doc"], "p_partkey", "e").withColumnRenamed("body", "xml")
     return sitemaps.sitemap_series(documents, sitemaps.sitemap_chapters(chapter_sitemaps(t), _READER), _READER, "manhwa")
@@ -245,7 +245,7 @@ def _(t):
     SELECT concat('https://tarjetas.example.com/s/', l_orderkey) AS url_pagina, CAST(l_quantity AS INT) AS numero,
            concat('Chapter ', CAST(l_quantity AS INT), '.5') AS titulo, concat('https://tarjetas.example.com/reader/en/', l_orderkey, '-', l_partkey, '/') AS url,
            strftime(l_shipdate, '%Y-%m-%d') AS fecha_texto
-    FROM lineitem WHERE l_orderkey % 3 = 0""")
+    FROM lineitem""")
 def _(t):
     n = F.col("l_quantity").cast("int").cast("string")
     item = F.concat(
@@ -253,7 +253,7 @@ def _(t):
         F.lit('/"><strong class="chapter-title">'), n, F.lit('.5-eng-li </strong><time datetime="'), F.date_format("l_shipdate", "MMMM d, yyyy"),
         F.lit(', noon">x</time></a><a href="/otro/">no</a></li>'),
     )
-    rows = t.base("lineitem").where("l_orderkey % 3 = 0").select(
+    rows = t.base("lineitem").select(
         "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate").alias("o"), item.alias("c"))
     pages = packed(rows, ["l_orderkey"], "o", "c").select(
         F.concat(F.lit("https://tarjetas.example.com/s/"), F.col("l_orderkey").cast("string")).alias("url"),

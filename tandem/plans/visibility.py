@@ -70,10 +70,9 @@ def _(t):
 
 
 @query("p6_with_content", """
-    SELECT work_id FROM f_works WHERE work_id IN (SELECT work_id FROM o_chapters WHERE work_id % 3 = 0)
-      OR work_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')""")
+    SELECT work_id FROM f_works WHERE work_id IN (SELECT work_id FROM o_chapters) OR work_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')""")
 def _(t):
-    return visibility.with_content(t.works, t.chapters.where("work_id % 3 = 0"), t.synopses).select("work_id")
+    return visibility.with_content(t.works, t.chapters, t.synopses).select("work_id")
 
 
 @query("p7_cover_candidates", """
@@ -102,10 +101,10 @@ def _(t):
 
 @query("p9_works_missing_cover", """
     SELECT work_id FROM o_works WHERE (portada_url = '' OR regexp_matches(portada_url, '(?i)imageshack|mangadex'))
-      AND work_id NOT IN (SELECT work_id FROM f_sources WHERE site_id < 30 AND portada_vista IS NOT NULL
+      AND work_id NOT IN (SELECT work_id FROM f_sources WHERE tipo = 'novela' AND idioma = 'es' AND portada_vista IS NOT NULL
                           AND NOT regexp_matches(portada_vista, '(?i)imageshack|mangadex'))""")
 def _(t):
-    return covers.works_missing_cover(published(t), t.sources.where("site_id < 30")).select("work_id")
+    return covers.works_missing_cover(published(t), t.sources.where("tipo = 'novela' AND idioma = 'es'")).select("work_id")
 
 
 # requests of every kind, from the event log
