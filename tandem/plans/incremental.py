@@ -11,7 +11,7 @@ from tandem.plans.rankings import published
 from tandem.plans.registry import check_view, query
 from tandem.sinks.exports import write_snapshot
 from tandem.sources.catalog import latest_snapshot
-from tandem.streaming import pipelines
+from tandem.streaming import streams
 
 SINCE = datetime(1999, 1, 1)
 _COLS = ["id", "source_id", "numero", "titulo", "url"]
@@ -50,7 +50,7 @@ def _(t):
 @query("t2_needs_rebuild", """
     SELECT count(*) <> (SELECT count(*) FROM o_chapters) AS completo, 'row counts differ' AS motivo FROM f_chapters""")
 def _(t):
-    path = f"{pipelines.run_folder(t.spark)}/snapshot"
+    path = f"{streams.run_folder(t.spark)}/snapshot"
     state = t.all_chapters.select(*_COLS)
     write_snapshot(state, path, datetime(2001, 11, 5), datetime(2001, 11, 1))
     rows, meta = latest_snapshot(t.spark, path)
@@ -185,10 +185,10 @@ def _(t):
     SELECT l_partkey AS work_id, strftime(time_bucket(INTERVAL 1 DAY, l_shipdate), '%Y-%m-%d %H:%M:%S') AS desde, count(*) AS n FROM lineitem
     WHERE time_bucket(INTERVAL 1 DAY, l_shipdate) + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY GROUP BY 1, 2""")
 def _(t):
-    folder = pipelines.run_folder(t.spark)
-    lines = pipelines.table_stream(t.spark, t.sf_dir, "lineitem.parquet")
+    folder = streams.run_folder(t.spark)
+    lines = streams.table_stream(t.spark, t.sf_dir, "lineitem.parquet")
     changes = lines.select(F.col("l_partkey").alias("work_id"), F.col("l_shipdate").cast("timestamp").alias("visto_en"))
-    pipelines.store(pipelines.activity_stream(changes), folder)
+    streams.store(streams.activity_stream(changes), folder)
     rows = t.spark.read.parquet(f"{folder}/rows")
     return rows.select("work_id", F.date_format("desde", _FMT).alias("desde"), "n")
 
@@ -222,10 +222,10 @@ def _(t):
     SELECT user_id, strftime(inicio, '%Y-%m-%d %H:%M:%S') AS inicio, n FROM o_sessions
     WHERE ultima + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM f_progress) - INTERVAL 1 HOUR""")
 def _(t):
-    folder = pipelines.run_folder(t.spark)
-    events = pipelines.table_stream(t.spark, t.sf_dir, "events.parquet").where("value >= 0")
+    folder = streams.run_folder(t.spark)
+    events = streams.table_stream(t.spark, t.sf_dir, "events.parquet").where("value >= 0")
     progress = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    pipelines.store(pipelines.session_stream(progress), folder)
+    streams.store(streams.session_stream(progress), folder)
     rows = t.spark.read.parquet(f"{folder}/rows")
     return rows.select("user_id", F.date_format("inicio", _FMT).alias("inicio"), "n")
 
@@ -253,14 +253,14 @@ def _(t):
     SELECT CAST(l_partkey * 100000 + l_suppkey AS BIGINT) AS source_id, l_orderkey AS pedido, count(*) AS n FROM (
       SELECT DISTINCT l_partkey, l_suppkey, l_orderkey FROM lineitem) GROUP BY 1, 2""")
 def _(t):
-    folder = pipelines.run_folder(t.spark)
-    lines = pipelines.table_stream(t.spark, t.sf_dir, "lineitem.parquet")
+    folder = streams.run_folder(t.spark)
+    lines = streams.table_stream(t.spark, t.sf_dir, "lineitem.parquet")
     chapters = lines.select(
         (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("source_id"), F.col("l_orderkey").alias("pedido"),
         F.concat(F.lit("https://x.example.org/"), F.col("l_orderkey").cast("string")).alias("url"),
         F.col("l_shipdate").cast("timestamp").alias("visto_en"),
     )
-    pipelines.insert_chapters(chapters, folder)
+    streams.insert_chapters(chapters, folder)
     rows = t.spark.read.parquet(f"{folder}/rows")
     return rows.groupBy("source_id", "pedido").agg(F.count("*").alias("n"))
 
@@ -276,10 +276,10 @@ def _(t):
       FROM r JOIN v ON v.user_id = r.user_id AND v.n = r.n + 1)
     SELECT user_id, id FROM r WHERE ok""")
 def _(t):
-    folder = pipelines.run_folder(t.spark)
-    events = pipelines.table_stream(t.spark, t.sf_dir, "events.parquet").where("value >= 0")
+    folder = streams.run_folder(t.spark)
+    events = streams.table_stream(t.spark, t.sf_dir, "events.parquet").where("value >= 0")
     votes = events.select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("creada_en"))
-    pipelines.rate_limit_stream(votes, folder, _DAILY)
+    streams.rate_limit_stream(votes, folder, _DAILY)
     return t.spark.read.parquet(f"{folder}/rows").select("user_id", "id")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tandem.operators import incremental
 from tandem.sources.catalog import latest_snapshot
-from tandem.streaming import pipelines
+from tandem.streaming import streams
 
 
 def _files(spark, folder, frames):
@@ -23,39 +23,39 @@ def ts(text):
 
 
 def test_late_rows_are_dropped_after_the_watermark(spark):
-    folder = pipelines.run_folder(spark)
+    folder = streams.run_folder(spark)
     schema = "work_id bigint, visto_en timestamp"
     first = spark.createDataFrame([(1, ts("2026-01-01T10:00")), (1, ts("2026-01-05T10:00"))], schema)
     late = spark.createDataFrame([(1, ts("2026-01-01T11:00")), (2, ts("2026-01-09T10:00"))], schema)
     # rows are late against the watermark of the batch before, so one batch lies between
     between = spark.createDataFrame([(1, ts("2026-01-05T12:00"))], schema)
     read = _files(spark, folder, [first, between, late])
-    pipelines.store(pipelines.activity_stream(_stream(spark, folder, read)), folder)
+    streams.store(streams.activity_stream(_stream(spark, folder, read)), folder)
     rows = {(r.work_id, r.desde, r.n) for r in spark.read.parquet(f"{folder}/rows").collect()}
     assert (1, ts("2026-01-01T00:00"), 1) in rows, "the late row of 1 January did not count"
     assert (1, ts("2026-01-05T00:00"), 2) in rows
 
 
 def test_changes_stream_equals_batch(spark):
-    folder = pipelines.run_folder(spark)
+    folder = streams.run_folder(spark)
     schema = "id bigint, numero int, aprobado boolean, borrado boolean, modificado_en timestamp"
     one = spark.createDataFrame([(1, 1, True, False, ts("2026-01-01")), (2, 2, True, False, ts("2026-01-01")),
                                  (3, 3, True, False, ts("2026-01-01"))], schema)
     two = spark.createDataFrame([(1, 10, True, False, ts("2026-01-02")), (2, 2, False, False, ts("2026-01-02")),
                                  (3, None, True, True, ts("2026-01-02")), (4, 4, True, False, ts("2026-01-02"))], schema)
     read = _files(spark, folder, [one, two])
-    pipelines.apply_changes_stream(_stream(spark, folder, read), folder, ["id", "numero"])
+    streams.apply_changes_stream(_stream(spark, folder, read), folder, ["id", "numero"])
     rows, _ = latest_snapshot(spark, f"{folder}/snapshot")
     assert sorted((r.id, r.numero) for r in rows.collect()) == [(1, 10), (4, 4)]
 
 
 def test_growth_stream_follows_found_counts(spark):
-    folder = pipelines.run_folder(spark)
+    folder = streams.run_folder(spark)
     schema = "source_id bigint, cuando timestamp, ok boolean, encontrados bigint"
     log = [(1, ts("2026-01-01"), True, 5), (1, ts("2026-01-02"), False, 99), (1, ts("2026-01-03"), True, 5),
            (1, ts("2026-01-04"), True, 3), (1, ts("2026-01-05"), True, 4)]
     read = _files(spark, folder, [spark.createDataFrame([row], schema) for row in log])
-    pipelines.growth_stream(_stream(spark, folder, read), folder)
+    streams.growth_stream(_stream(spark, folder, read), folder)
     followed = latest_snapshot(spark, f"{folder}/state_of_sources")[0].first()
     batch = incremental.growth(spark.createDataFrame(log, schema)).first()
     for state in (followed, batch):
@@ -63,18 +63,18 @@ def test_growth_stream_follows_found_counts(spark):
 
 
 def test_votes_stream_carries_accepted_votes_over(spark):
-    folder = pipelines.run_folder(spark)
+    folder = streams.run_folder(spark)
     schema = "id bigint, user_id bigint, creada_en timestamp"
     read = _files(spark, folder, [
         spark.createDataFrame([(i, 7, ts(f"2026-01-01T10:0{i}")) for i in range(4)], schema),
         spark.createDataFrame([(10, 7, ts("2026-01-02T10:00:30")), (11, 7, ts("2026-01-02T10:00:40")), (12, 8, ts("2026-01-02"))], schema),
     ])
-    pipelines.rate_limit_stream(_stream(spark, folder, read), folder, limit=3)
+    streams.rate_limit_stream(_stream(spark, folder, read), folder, limit=3)
     assert sorted(r.id for r in spark.read.parquet(f"{folder}/rows").collect()) == [0, 1, 2, 10, 12]
 
 
 def test_latest_votes_in_update_mode(spark):
-    folder = pipelines.run_folder(spark)
+    folder = streams.run_folder(spark)
     schema = "id bigint, user_id bigint, work_id bigint, capitulo_manhwa int, capitulo_novela int, creada_en timestamp"
     read = _files(spark, folder, [
         spark.createDataFrame([(1, 7, 1, 3, 9, ts("2026-01-01"))], schema),
@@ -84,18 +84,18 @@ def test_latest_votes_in_update_mode(spark):
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    pipelines.store_with(pipelines.latest_votes_stream(_stream(spark, folder, read)), folder, keep, "update")
+    streams.store_with(streams.latest_votes_stream(_stream(spark, folder, read)), folder, keep, "update")
     last = spark.read.parquet(f"{folder}/rows").orderBy(F.desc("creada_en")).first()
     assert last.capitulo_novela == 11
 
 
 def test_inserted_chapters_are_not_repeated_across_batches(spark):
-    folder = pipelines.run_folder(spark)
+    folder = streams.run_folder(spark)
     schema = "source_id bigint, url string, visto_en timestamp"
     read = _files(spark, folder, [
         spark.createDataFrame([(1, "a", ts("2026-01-01")), (1, "b", ts("2026-01-01"))], schema),
         spark.createDataFrame([(1, "a", ts("2026-03-01")), (2, "a", ts("2026-03-01"))], schema),
     ])
-    pipelines.insert_chapters(_stream(spark, folder, read), folder)
+    streams.insert_chapters(_stream(spark, folder, read), folder)
     rows = sorted((r.source_id, r.url) for r in spark.read.parquet(f"{folder}/rows").collect())
     assert rows == [(1, "a"), (1, "b"), (2, "a")]
