@@ -6,20 +6,112 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tandem.llm import packing
+from tandem.llm import (
+    lexicon,
+    line_templates,
+    near_vectors,
+    nearest,
+    ngram_join,
+    packing,
+    passages,
+    quality,
+    toxicity,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+# Fixed values of the contract: host, path, verdict
+LISTED = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame(LISTED, "host string, path string, verdict string")
+    return url_filter.judge(_table(spark, sf_dir, "pages"), listed)
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(regexp_extract(rest, '^[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path
+  FROM p
+), l(h, pre, v) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+)
+SELECT page_id, host, path, arg_max(h || pre, length(h || pre)) AS rule, coalesce(arg_max(v, length(h || pre)), 'allow') AS verdict
+FROM u LEFT JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)
+GROUP BY page_id, host, path
+"""
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(_table(spark, sf_dir, "documents"))
+
+
+def op6_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vocabulary = _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    encoded = lexicon.encode(docs, vocabulary, lexicon.publish(docs, vocabulary))
+    return lexicon.decode(encoded, vocabulary).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.deduplicate(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_url_filter": op2_url_filter,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_toxicity": op4_toxicity,
+    "op5_passages": op5_passages,
+    "op6_lexicon": op6_lexicon,
+    "op7_near_vectors": op7_near_vectors,
+    "op8_line_templates": op8_line_templates,
     "op9_packing": op9_packing,
+    "op10_nearest": op10_nearest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 4 << 20  # texts are handled in groups of about this size
+GROUP_BYTES = 4 << 20  # texts are handled in groups of about this size,
+GROUP_ROWS = 8192  # and of at most so many rows
 SEGMENT_BYTES = 1 << 20  # and hashed in segments of about this size, also within one very long text
 
 _P = 0x9E3779B97F4A7C15
@@ -49,6 +50,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def running_sums(piece: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Sums of (byte + 1) * P^place before each place: any span's hash comes from its two ends."""
+    power, _ = _power_tables(len(piece) + 1)
+    with np.errstate(over="ignore"):
+        terms = (_LOWER[piece] if fold else piece).astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[: len(piece)]
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(terms, out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [begin, end) of the piece that ``total`` is of; the same text has the same hash anywhere."""
+    _, inverse = _power_tables(len(total))
+    with np.errstate(over="ignore"):
+        hashes = (total[end] - total[begin]) * inverse[begin]
+        hashes += (end - begin).astype(np.uint64) * np.uint64(_P)
+    return mix(hashes)
+
+
+def text_hash(text: str) -> int:
+    """The hash that a word with this text has."""
+    piece = np.frombuffer(text.encode(), np.uint8)
+    return int(span_hashes(running_sums(piece), np.array([0]), np.array([len(piece)]))[0])
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its texts; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -83,6 +111,12 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    def blocks(self, size: int = 1 << 17) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """Runs of words: first and last word, the place of their first byte, and their bytes."""
+        for at in range(0, len(self.begin), size):
+            to = min(at + size, len(self.begin))
+            yield at, to, int(self.begin[at]), self.raw[self.begin[at] : self.end[to - 1]]
+
 
 def _segment_words(raw, a, b, cuts, fold):
     """Words that lie in raw[a:b]; cuts are text starts within it."""
@@ -100,16 +134,7 @@ def _segment_words(raw, a, b, cuts, fold):
     solid = ~space
     begin = np.flatnonzero(solid & before)
     end = np.flatnonzero(solid & after) + 1
-    power, inverse = _power_tables(len(piece) + 1)
-    with np.errstate(over="ignore"):
-        terms = (_LOWER[piece] if fold else piece).astype(np.uint64)
-        terms += np.uint64(1)
-        terms *= power[: len(piece)]
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(terms, out=total[1:])
-        hashes = (total[end] - total[begin]) * inverse[begin]
-        hashes += (end - begin).astype(np.uint64) * np.uint64(_P)
-    return begin + a, end + a, mix(hashes)
+    return begin + a, end + a, span_hashes(running_sums(piece, fold), begin, end)
 
 
 def words_of(column, fold: bool = True) -> Iterator[Words]:
@@ -119,7 +144,7 @@ def words_of(column, fold: bool = True) -> Iterator[Words]:
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + GROUP_BYTES, "right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), n, first + GROUP_ROWS)
         parts = []
         a, stop = int(offsets[first]), int(offsets[last])
         starts = offsets[first : last + 1]
@@ -163,3 +188,33 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
                 h = (h ^ w) * _STEPS[0] + _STEPS[1]
         out[bounds[row]] = mix(np.array([h], np.uint64))[0]
     return out, bounds
+
+
+_ROW_SHIFT = np.uint64(50)
+_TOKEN = np.uint64((1 << 50) - 1)
+
+
+def sorted_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-word shingles of each text as ascending 50-bit numbers, and the bounds per row."""
+    found, bounds = shingles(words, n)
+    rows = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+    both = np.sort((rows << _ROW_SHIFT) | (found >> np.uint64(14)))  # GROUP_ROWS fit above the token
+    first = np.ones(len(both), bool)
+    first[1:] = both[1:] != both[:-1]
+    both = both[first]
+    starts = np.searchsorted(both, np.arange(len(bounds), dtype=np.uint64) << _ROW_SHIFT)
+    return both & _TOKEN, starts
+
+
+def slices(batch: pa.RecordBatch, columns: list[str], most: int = 4 * GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts add up to about ``most`` bytes; a longer row is a part of its own."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        size += np.diff(text_buffers(batch.column(c))[1])
+    total = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right"))
+        to = min(max(to, at + 1), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
