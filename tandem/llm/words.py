@@ -175,7 +175,7 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         rolled = np.zeros(total, np.uint64)
         for k in range(n):
-            rolled[: total - k if k else total] += words.hashes[k:] * _STEPS[k % len(_STEPS)] + np.uint64(k * k * _P % (1 << 64))
+            rolled[: max(total - k, 0)] += words.hashes[k:] * _STEPS[k % len(_STEPS)] + np.uint64(k * k * _P % (1 << 64))
     rolled = mix(rolled)
     made = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
     bounds = np.concatenate([[0], np.cumsum(made)]).astype(np.int64)
