@@ -94,8 +94,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id and line (number, from 0) of every line to drop.
 
-    Null and empty texts have none; rows without id are left alone. Rows that repeat an id count as documents each, but
-    lose no line to each other.
+    Null and empty texts have none; rows without id are left alone. Rows that repeat an id are one document: they lose
+    no line to each other, and a line number that one of them loses is lost by all.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     lines = written(docs.mapInArrow(_lines, "template bigint, doc_id bigint, line int, first boolean"), "lines")
@@ -113,7 +113,7 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, (t, gone) in enumerate(zip(text, lines)):
             parts = (t or "").split("\n")
             count[r] = len(parts) if t else 0
-            if gone:
+            if gone and t:
                 out = set(gone)
                 kept = [p for k, p in enumerate(parts) if k not in out]
                 dropped[r] = len(parts) - len(kept)

@@ -69,11 +69,9 @@ def _machines() -> list[Transducer]:
     insult = Transducer({(0, INSULT): (0, ("insult",))}, (0,))
     threat = Transducer({(0, THREAT): (0, ("threat",))}, (0,))
     target = Transducer({(0, TARGET): (1, ())}, (0, 1))
-    countdown = {(s, x): (s - 1, ()) for s in range(1, NEGATION_REACH + 1) for x in range(6) if x != NEGATION}
+    left = range(NEGATION_REACH + 2)  # counts down to 0 after a negation
     negation = Transducer(
-        countdown | {(s, NEGATION): (NEGATION_REACH + 1, ()) for s in range(NEGATION_REACH + 2)}
-        | {(NEGATION_REACH + 1, x): (NEGATION_REACH, ()) for x in range(6) if x != NEGATION},
-        tuple(range(NEGATION_REACH + 2)),
+        {(s, x): (NEGATION_REACH + 1 if x == NEGATION else max(s - 1, 0), ()) for s in left for x in range(6)}, tuple(left)
     )
     report = Transducer({(0, REPORT): (1, ())}, (0, 1))
     return [insult, threat, target, negation, report]
@@ -83,7 +81,7 @@ GRAMMAR = compose(_machines())
 
 # What a clause can match: an insult or a threat, each plain, aimed, negated or reported (the last that holds).
 MATCHES = [f"{how} {what}" for what in ("insult", "threat") for how in ("plain", "aimed", "negated", "reported")]
-_FIRST = np.array([2.0, 3.0, 0.5, 0.5, 0.5, 2.5, 0.0, 0.0, -2.5])  # weights before learning; the last is the constant
+_FIRST = np.array([3.0, 4.0, 0.5, 0.5, 0.5, 3.0, 0.0, 0.0, -2.0])  # weights before learning; the last is the constant
 
 
 def clause_matches(symbols: list[int]) -> list[int]:
@@ -300,3 +298,16 @@ def score(docs: DataFrame, grammar: Grammar, reject: float = 0.5) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, grammar: Grammar, reject: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``reject``."""
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            chance = _chance(match_counts(batch.column("text"), known.insults), known.weights)
+            yield batch.filter(pa.array(chance < reject))
+
+    return docs.mapInArrow(run, docs.schema)

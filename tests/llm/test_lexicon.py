@@ -53,6 +53,13 @@ def test_odd_texts(table, tmp_path, spark):
     check(rows, dict(enumerate(ODD)))
 
 
+def test_decode_is_the_same_apart(table):
+    docs = table(list(enumerate(ODD)), "doc_id bigint, text string")
+    both = lexicon.encode(docs, PATH, lexicon.publish(docs, PATH, 5), decoded=True)
+    apart = lexicon.decode(both.select("doc_id", "ids"), PATH)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, apart.collect()))
+
+
 def test_frequent_words_count_all(table):
     docs = table([(1, "b a, a"), (2, "B c"), (3, None), (4, "a\x1cb")], "doc_id bigint, text string")
     assert lexicon.frequent_words(docs, 3) == ["a", "b", ","]
