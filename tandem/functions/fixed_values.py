@@ -191,8 +191,13 @@ RELEASE_START = "2026-11-03"
 RELEASE_PER_WEEK = 300
 FILE_LIMIT, OTHER_FILES = 19_500, 500
 URLS_PER_SHARD = 45_000
+URLSET_OPEN = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+URLSET_CLOSE = "</urlset>"
+HUB_PAGES = [
+    "/", "/en/", "/novelas/", "/series/", "/en/series/", "/rankings/", "/en/rankings/", "/novedades/", "/en/novedades/",
+    "/titulos/", "/en/titulos/",
+]
 WORKS_PER_PAGE = 96
-GENRE_BUCKET = 40
 RELATED_WORKS = 6
 
 # ---- Fixed values: bulk export boards ------------------------------------------------
@@ -233,7 +238,8 @@ PREFERRED_SEGMENTS = "manga series comic comics manhwa novela novel".split()
 # ---- Fixed values: languages of the site ---------------------------------------------
 
 BASE_LANGUAGE = "es"
-DEAD_PREFIXES = "en pt de fr it br".split()
+DEAD_PREFIXES = "en pt de fr it br".split()  # languages that work paths may start with
+PATH_LANGUAGES = "en pt id fr de vi".split()  # languages that broken paths are repaired from
 PUBLISH_COVERAGE = 0.95
 
 

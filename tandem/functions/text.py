@@ -230,6 +230,12 @@ def text_hash(c: Column | str) -> Column:
     """32-bit FNV-1a over UTF-16 code units, in base 36.
 
     Spark has no such hash, and a fold over characters in SQL is far slower
-    than this batch function. Keys of new tables should use ``xxhash64``.
+    than this batch function. Several texts can have one hash: it names entries
+    of imported and exported cache files, and ``text_key`` tells texts apart.
     """
     return _fnv_udf(_col(c))
+
+
+def text_key(c: Column | str) -> Column:
+    """What identifies a text in joins: SHA-256, in hex."""
+    return F.sha2(_col(c), 256)

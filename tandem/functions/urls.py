@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tandem.functions import fixed_values as fv
+
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-_WORK_PATH = r"(?i)^(?:/(?:en|pt|de|fr|it|br))?/novela/([^/]+)"
+_WORK_PATH = rf"(?i)^(?:/(?:{'|'.join(fv.DEAD_PREFIXES)}))?/novela/([^/]+)"
 
 
 def _col(c: Column | str) -> Column:

@@ -112,9 +112,9 @@ def bucket_dates(activity: DataFrame, now: datetime) -> DataFrame:
 
 
 def translation_keys(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """Paragraphs of each text with the hash that keys the translation cache."""
+    """Paragraphs of each text with the key that identifies them in the translation cache."""
     parts = texts.select(key, F.posexplode(F.split(column, "\n\n")).alias("pos", "parrafo"))
-    return parts.withColumn("hash", text.text_hash("parrafo"))
+    return parts.withColumn("clave", text.text_key("parrafo"))
 
 
 def joined(c: Column | str, sep: str = "|") -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
 from tandem.functions.urls import is_http
-from tandem.operators.distributed import position_in_group, top_per_group
+from tandem.operators.distributed import top_per_group
 
 _DEAD = f"(?i){fv.LAST_RESORT_HOSTS}"
 
@@ -27,10 +27,9 @@ def cover_options(works: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def cover_candidates(works: DataFrame, sources: DataFrame) -> DataFrame:
-    """Covers of each work in the order to try them, one row each."""
-    return position_in_group(
-        cover_options(works, sources), ["work_id"], [F.col("orden"), F.col("url")], "puesto"
-    ).select("work_id", "url", "puesto")
+    """Covers of each work in the order to try them, one row each; a work has at most one per source."""
+    order = Window.partitionBy("work_id").orderBy("orden", "url")
+    return cover_options(works, sources).select("work_id", "url", F.row_number().over(order).alias("puesto"))
 
 
 def cover_map(works: DataFrame, sources: DataFrame, n: int = 3) -> DataFrame:

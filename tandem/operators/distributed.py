@@ -7,6 +7,7 @@ hot key puts that key on one task. The helpers here replace both.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,30 @@ from tandem.session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the high bits, row in the low 33
 
 
+def order_number(first: Column, second: Column) -> Column:
+    """One number that sorts like (first, second), both whole numbers, ``first`` below 10^18.
+
+    Null sorts first. Its width is fixed, so ``max`` and ``max_by`` over it aggregate by hash, which they cannot over a
+    struct.
+    """
+    high = F.coalesce(first.cast("decimal(19,0)"), F.lit(Decimal(-(10**18)))) * F.lit(Decimal(2 * 10**19))
+    low = F.coalesce(second.cast("decimal(19,0)"), F.lit(Decimal(-(10**18))))
+    return (high.cast("decimal(38,0)") + low).cast("decimal(38,0)")
+
+
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Column, largest: bool = True) -> DataFrame:
+    """The row of each key with the largest (or least) whole number ``order``; ties go by a hash of the row.
+
+    The choice is made over fixed-width numbers, which combine by hash before the shuffle; the chosen rows are then
+    joined back, so texts are never held in an aggregate. Equal rows come out once. Null keys are keys.
+    """
+    rank = order if largest else -order
+    ranked = df.withColumn("_rank", order_number(rank, F.xxhash64(*df.columns)))
+    best = ranked.groupBy(*keys).agg(F.max("_rank").alias("_best"))
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("r._rank") == F.col("b._best")]
+    return ranked.alias("r").join(best.alias("b"), on, "left_semi").drop("_rank").distinct()
+
+
 def global_position(
     df: DataFrame, order: Sequence[Column], name: str = "position", running: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -83,14 +108,16 @@ def previous_in_group(
 
 
 def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread: int = 64, name: str = "rank"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread: int | None = None, name: str = "rank"
 ) -> DataFrame:
     """The first ``k`` rows of each group, exact, in two steps.
 
     Step one takes the top ``k`` of each (group, salt) slice, so a hot group is
-    cut into ``spread`` tasks; step two ranks the at most ``spread * k``
-    survivors. Every row of the true top ``k`` is in the top ``k`` of its slice.
+    cut into ``spread`` tasks, by default as many as the session has shuffle
+    partitions; step two ranks the at most ``spread * k`` survivors. Every row
+    of the true top ``k`` is in the top ``k`` of its slice.
     """
+    spread = spread or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
@@ -153,15 +180,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 def follow_chains(links: DataFrame, src: str, dst: str, max_rounds: int = 40) -> DataFrame:
     """Resolve src -> dst chains to their end by pointer doubling; one dst per src.
 
-    A cycle has no end: its members come out unresolved and are left out.
+    A cycle has no end: its members, and what leads to them, come out unresolved
+    and are left out. Round r knows where 2^r steps lead, so a chain that has
+    not ended after as many steps as there are links runs in a cycle.
     """
     current = cut_lineage(links.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s <> d"))
+    links_left, reach = current.count(), 1
     for _ in range(max_rounds):
         step = current.select(F.col("s").alias("d"), F.col("d").alias("d2"))
         joined = current.join(step, "d", "left")
         moved = cut_lineage(joined.select("s", F.coalesce("d2", "d").alias("d"), F.col("d2").isNotNull().alias("m")))
-        current = moved.where("s <> d").select("s", "d")
-        if moved.where("m and s <> d").limit(1).count() == 0:
+        current = moved.select("s", "d")
+        reach *= 2
+        if reach > links_left or moved.where("m").limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"chains did not settle in {max_rounds} rounds")
     ends = current.join(current.select(F.col("s").alias("d")), "d", "left_anti")
     return ends.select(F.col("s").alias(src), F.col("d").alias(dst))

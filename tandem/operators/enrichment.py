@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
 from tandem.functions import genres, prose
-from tandem.functions.text import name_keys, text_hash
+from tandem.functions.text import name_keys, text_hash, text_key
 from tandem.operators.catalog_text import translation_keys
+from tandem.operators.distributed import one_per_key
 
 _NONE = "array<string>"
 
@@ -70,7 +71,7 @@ def combined_record(accepted: DataFrame, all_providers: bool = False) -> DataFra
         first["estado"].alias("r_estado"),
         first["portada"].alias("r_portada"),
         F.try_element_at(stated, F.lit(1)).alias("r_demografia"),
-        genres.merge_genres([F.flatten(F.transform(used, lambda r: r["generos"]))], 30).alias("r_generos"),
+        genres.merge_genres([F.flatten(F.transform(used, lambda r: r["generos"]))], None).alias("r_generos"),
     )
 
 
@@ -107,24 +108,48 @@ def enrich(works: DataFrame, record: DataFrame) -> DataFrame:
     )
 
 
-def works_to_enrich(works: DataFrame, retry: bool = False, merged_genres: bool = False, limit: int = 2000) -> DataFrame:
-    """The next works to ask about: never asked, asked without success, or without merged genres."""
+def works_to_enrich(
+    works: DataFrame, retry: bool = False, merged_genres: bool = False, limit: int | None = None
+) -> DataFrame:
+    """Works to ask about: never asked, asked without success, or without merged genres.
+
+    All of them, or the first ``limit`` by slug.
+    """
     if merged_genres:
         rows = works.where("NOT categorias_fusionadas AND metadatos_fuente IS NOT NULL")
     elif retry:
         rows = works.where("enriquecida AND metadatos_fuente IS NULL")
     else:
         rows = works.where("NOT enriquecida")
-    return rows.orderBy("slug").limit(limit)
+    return rows if limit is None else rows.orderBy("slug").limit(limit)
 
 
 # ---- translation ------------------------------------------------------------------------
 
+def bind_cache(imported: DataFrame, texts: DataFrame) -> DataFrame:
+    """Imported cache rows (hash, idioma, texto) with the key of the text they translate.
+
+    Imported files name a text by a 32-bit hash. A hash that two of the ``texts`` (texto) have says nothing about
+    either, so its rows are left out and both texts count as missing.
+    """
+    known = texts.select("texto").distinct().select(text_hash("texto").alias("hash"), text_key("texto").alias("clave"))
+    alone = known.groupBy("hash").agg(F.count("*").alias("_n")).where("_n = 1").select("hash")
+    return imported.join(known.join(alone, "hash"), "hash")
+
+
+def unique_cache(cache: DataFrame) -> DataFrame:
+    """One translation per text and language: of several the longest, then by a hash."""
+    return one_per_key(cache.select("clave", "idioma", "texto"), ["clave", "idioma"], F.length("texto"))
+
+
 def translate_lookup(texts: DataFrame, cache: DataFrame, lang: str, key: str, column: str) -> DataFrame:
-    """Each paragraph replaced by its cached translation, or kept when there is none."""
+    """Each paragraph replaced by its cached translation, or kept when there is none.
+
+    ``cache``: clave (``text_key`` of the text), idioma, texto.
+    """
     parts = translation_keys(texts, key, column)
-    known = cache.where(F.col("idioma") == lang).select("hash", F.col("texto").alias("_t"))
-    done = parts.join(known, "hash", "left").withColumn("p", F.coalesce("_t", "parrafo"))
+    known = unique_cache(cache.where(F.col("idioma") == lang)).select("clave", F.col("texto").alias("_t"))
+    done = parts.join(known, "clave", "left").withColumn("p", F.coalesce("_t", "parrafo"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "p")))  # the paragraphs of one text
     return done.groupBy(key).agg(
         F.array_join(F.transform(ordered, lambda x: x["p"]), "\n\n").alias(column),
@@ -162,10 +187,10 @@ def coverage(texts: DataFrame, cache: DataFrame, langs: Sequence[str], active: S
 
     ``texts``: texto.
     """
-    hashed = texts.select("texto").distinct().select(text_hash("texto").alias("hash"))
-    asked = hashed.withColumn("idioma", F.explode(F.array(*[F.lit(x) for x in langs])))
-    done = cache.where("texto <> ''").select("hash", "idioma", F.lit(1).alias("_t")).distinct()
-    share = asked.join(done, ["hash", "idioma"], "left").groupBy("idioma").agg(
+    keyed = texts.select(text_key("texto").alias("clave")).distinct()
+    asked = keyed.withColumn("idioma", F.explode(F.array(*[F.lit(x) for x in langs])))
+    done = cache.where("texto <> ''").select("clave", "idioma", F.lit(1).alias("_t")).distinct()
+    share = asked.join(done, ["clave", "idioma"], "left").groupBy("idioma").agg(
         F.avg(F.coalesce("_t", F.lit(0))).alias("cobertura")
     )
     base = F.col("idioma") == fv.BASE_LANGUAGE
@@ -180,8 +205,8 @@ def missing_translations(texts: DataFrame, cache: DataFrame, langs: Sequence[str
     """Distinct texts still to translate, per target language. ``texts``: texto, origen."""
     once = texts.where(F.trim("texto") != "").groupBy("texto").agg(F.max("origen").alias("origen"))
     asked = once.withColumn("idioma", F.explode(F.array(*[F.lit(x) for x in langs]))).where("origen <> idioma")
-    hashed = asked.withColumn("hash", text_hash("texto"))
-    return hashed.join(cache.where("texto <> ''").select("hash", "idioma"), ["hash", "idioma"], "left_anti")
+    keyed = asked.withColumn("clave", text_key("texto"))
+    return keyed.join(cache.where("texto <> ''").select("clave", "idioma"), ["clave", "idioma"], "left_anti")
 
 
 def translation_backlog(texts: DataFrame, cache: DataFrame, langs: Sequence[str]) -> DataFrame:
@@ -196,7 +221,7 @@ Translator = Callable[[list[str], str, str], list[str]]
 def incremental_translate(
     texts: DataFrame, cache: DataFrame, langs: Sequence[str], translate: Translator, batch: int = 10
 ) -> DataFrame:
-    """New cache rows (hash, idioma, texto) for the texts that have none yet.
+    """New cache rows (clave, hash, idioma, texto) for the texts that have none yet; hash names them in exported files.
 
     ``translate(texts, source, target)`` is called with batches of one language
     pair. A batch that raises is left out, so the next run finds it missing
@@ -204,7 +229,7 @@ def incremental_translate(
     still uses every task.
     """
     missing = missing_translations(texts, cache, langs)
-    spread = missing.repartition("hash").sortWithinPartitions("origen", "idioma")
+    spread = missing.repartition("clave").sortWithinPartitions("origen", "idioma")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -215,10 +240,13 @@ def incremental_translate(
                         done = translate(list(part["texto"]), source, target)
                     except Exception:  # noqa: BLE001  the batch stays missing and is asked again
                         continue
-                    out = pd.DataFrame({"hash": list(part["hash"]), "idioma": target, "texto": done})
+                    out = pd.DataFrame({
+                        "clave": list(part["clave"]), "hash": list(part["hash"]), "idioma": target, "texto": done
+                    })
                     yield out[out["texto"].astype(bool)]
 
-    return spread.select("hash", "origen", "idioma", "texto").mapInPandas(run, "hash string, idioma string, texto string")
+    asked = spread.select("clave", text_hash("texto").alias("hash"), "origen", "idioma", "texto")
+    return asked.mapInPandas(run, "clave string, hash string, idioma string, texto string")
 
 
 # ---- hubs and progress ------------------------------------------------------------------

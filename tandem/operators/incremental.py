@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.operators.distributed import global_position, previous_in_group, top_per_group
+from tandem.operators.distributed import global_position, one_per_key, previous_in_group
 from tandem.session import cut_lineage
 
 LATE_COMMITS = timedelta(minutes=5)   # changes that commit late are applied again, which does no harm
@@ -23,14 +25,15 @@ def apply_changes(snapshot: DataFrame, changed: DataFrame, tombstones: DataFrame
 
     ``changed``: the snapshot's columns, aprobado and modificado_en. Approved
     rows replace theirs, rows no longer approved and tombstones remove theirs.
+    Of several changes of one id the last counts; changes of the same moment
+    are told apart by a hash of the row, so the same one counts every time.
     """
-    recent = changed.where(F.col("modificado_en") > F.lit(since))
     columns = snapshot.columns
-    latest = recent.groupBy("id").agg(F.max_by(F.struct("aprobado", *columns), "modificado_en").alias("r"))
+    recent = changed.where(F.col("modificado_en") > F.lit(since)).select("aprobado", "modificado_en", *columns)
+    latest = one_per_key(recent, ["id"], _micros("modificado_en"))
     dead = tombstones.where(F.col("borrado_en") > F.lit(since)).select("id")
-    touched = latest.select("id").union(dead).distinct()
-    fresh = latest.where("r.aprobado").select(*[F.col(f"r.{c}").alias(c) for c in columns])
-    fresh = fresh.join(dead.distinct(), "id", "left_anti").select(*columns)
+    touched = recent.select("id").union(dead).distinct()
+    fresh = latest.where("aprobado").join(dead.distinct(), "id", "left_anti").select(*columns)
     return snapshot.join(touched, "id", "left_anti").select(*columns).unionByName(fresh)
 
 
@@ -62,16 +65,14 @@ def purge_tombstones(tombstones: DataFrame, now: datetime) -> DataFrame:
 # ---- inserts and upserts ----------------------------------------------------------------
 
 def insert_new_chapters(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming chapters that are not there yet, by source and MD5 of the URL; the first copy counts.
+    """Incoming chapters that are not there yet, by source and MD5 of the URL; of copies the lowest number counts.
 
     Rows that exist are never touched, so a chapter somebody hid stays hidden.
     """
     key = F.md5("url")
-    first = incoming.withColumn("url_md5", key).groupBy("source_id", "url_md5").agg(
-        F.min_by(F.struct(*incoming.columns), F.struct(*incoming.columns)).alias("r")
-    )
     known = existing.select("source_id", key.alias("url_md5")).distinct()
-    fresh = first.join(known, ["source_id", "url_md5"], "left_anti").select("r.*")
+    new = incoming.withColumn("url_md5", key).join(known, ["source_id", "url_md5"], "left_anti")
+    fresh = one_per_key(new, ["source_id", "url_md5"], F.coalesce("numero", F.lit(-1)), largest=False).select(*incoming.columns)
     return fresh if "aprobado" in fresh.columns else fresh.withColumn("aprobado", F.lit(True))
 
 
@@ -84,9 +85,9 @@ def keep_current_link(chapters: DataFrame, incoming: DataFrame, link_sources: Da
 
 
 def upsert_works(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Works are inserted once; what was edited later is kept. Missing lists become empty."""
-    once = incoming.groupBy("slug").agg(F.min_by(F.struct(*incoming.columns), "orden").alias("r")).select("r.*").drop("orden")
-    fresh = once.join(existing.select("slug"), "slug", "left_anti")
+    """Works are inserted once, the first of a slug by ``orden``; what was edited later is kept. Missing lists become empty."""
+    new = incoming.join(existing.select("slug"), "slug", "left_anti")
+    fresh = one_per_key(new, ["slug"], F.col("orden"), largest=False).drop("orden")
     for field in existing.schema.fields:
         if field.name not in fresh.columns:
             fresh = fresh.withColumn(field.name, F.lit(None).cast(field.dataType))
@@ -105,7 +106,7 @@ def upsert_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     ``incoming``: sitio_id, work_id, orden and the described fields.
     """
     key = ["sitio_id", "work_id"]
-    once = incoming.groupBy(*key).agg(F.min_by(F.struct(*SOURCE_FIELDS), "orden").alias("n"))
+    once = one_per_key(incoming, key, F.col("orden"), largest=False).select(*key, F.struct(*SOURCE_FIELDS).alias("n"))
     both = existing.join(once, key, "full_outer")
     new = F.col("n").isNotNull()
     described = [F.when(new, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in SOURCE_FIELDS]
@@ -136,67 +137,65 @@ def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def rate_limit(
-    votes: DataFrame, limit: int = 10, max_group: int = 50_000, before: DataFrame | None = None
-) -> DataFrame:
+def rate_limit(votes: DataFrame, limit: int = 10, before: DataFrame | None = None) -> DataFrame:
     """Mark the votes that fit the limit of accepted votes in the trailing 24 hours per reader.
 
-    Rejected votes do not count, so a reader's votes are decided in order.
-    ``before``: user_id, creada_en of votes accepted earlier. Readers with up to
-    ``max_group`` votes are decided one group each. A reader with more is cut
-    into days: within a day every accepted vote is among the first ``limit``
-    after one of at most ``limit`` moments at which an earlier vote stops
-    counting, so a day is decided from a few hundred rows.
+    Rejected votes do not count, so a reader's votes are decided in order of time, then id. ``before``: user_id,
+    creada_en of votes accepted earlier; they stay accepted, and a late vote is judged by those of the 24 hours up to it.
+
+    A day is calm when a reader has no more than ``limit`` votes in it and the day before together: all its votes fit.
+    Only runs of other days are decided in order, each starting from the calm day before it, whose votes are all
+    accepted. A run's votes pass one after the other through a task that remembers ``limit`` times, however many they
+    are; the runs of all readers are spread over all tasks.
     """
-    stamped = votes.withColumn("_t", _micros("creada_en"))
-    if before is None:
-        carry = stamped.limit(0).select("user_id", "_t")
-    else:
-        # no more than the last ones can still count
-        recent = before.select("user_id", _micros("creada_en").alias("_t"))
-        carry = cut_lineage(top_per_group(recent, ["user_id"], [F.desc("_t")], limit).select("user_id", "_t"))
-    sizes = stamped.groupBy("user_id").agg(F.count("*").alias("_n"))
-    hot = cut_lineage(sizes.where(F.col("_n") > max_group).select("user_id"))
-    normal = stamped.join(hot, "user_id", "left_anti").select("user_id", "id", "_t")
-    known = carry.groupBy("user_id").agg(F.array_sort(F.collect_list("_t")).alias("_b"))
-    accepted = normal.join(known, "user_id", "left").groupBy("user_id").applyInPandas(
-        _decider(limit), "user_id bigint, id bigint, _t bigint"
-    ).select("id")
-    if hot.limit(1).count():
-        accepted = accepted.union(_accept_by_day(stamped.join(hot, "user_id", "left_semi"), limit, carry))
-    return votes.join(accepted.withColumn("aceptado", F.lit(True)), "id", "left").fillna(False, ["aceptado"])
-
-
-def _decider(limit: int):
-    def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values(["_t", "id"])
-        before = ordered["_b"].iloc[0]
-        ok = accept_in_order(list(ordered["_t"]), limit, [] if before is None else list(before))
-        return ordered[ok][["user_id", "id", "_t"]]
-
-    return decide
-
-
-def _accept_by_day(votes: DataFrame, limit: int, carry: DataFrame) -> DataFrame:
-    rows = cut_lineage(votes.select("user_id", "id", "_t", F.floor(F.col("_t") / _DAY_US).alias("_day")))
-    days = [r[0] for r in rows.select("_day").distinct().orderBy("_day").collect()]  # as many as days in the data
-    accepted = None
-    for day in days:
-        today = rows.where(F.col("_day") == day)
-        # when each slot is free: at the start of the day, or when an earlier vote stops counting
-        earlier = carry.where(F.col("_t") > (day - 1) * _DAY_US).groupBy("user_id").agg(
-            F.array_sort(F.collect_list("_t")).alias("_b")
-        )
-        joined = today.join(earlier, "user_id", "left")
-        held = F.coalesce("_b", F.array().cast("array<bigint>"))
-        free = limit - F.size(F.filter(held, lambda b: b > F.col("_t") - _DAY_US))
-        open_slots = joined.withColumn("_free", free).where("_free > 0").drop("_b")
-        few = top_per_group(open_slots, ["user_id", "_free"], [F.col("_t"), F.col("id")], limit)
-        few = few.select("user_id", "id", "_t").join(earlier, "user_id", "left")
-        taken = cut_lineage(few.groupBy("user_id").applyInPandas(_decider(limit), "user_id bigint, id bigint, _t bigint"))
-        carry = carry.where(F.col("_t") > (day - 1) * _DAY_US).union(taken.select("user_id", "_t"))
-        accepted = taken.select("id") if accepted is None else accepted.union(taken.select("id"))
-    return accepted
+    stamped = votes.select("user_id", "id", _micros("creada_en").alias("_t"), F.lit(False).alias("_given"))
+    if before is not None:
+        given = before.select("user_id", F.lit(None).cast("bigint").alias("id"), _micros("creada_en").alias("_t"), F.lit(True).alias("_given"))
+        stamped = stamped.unionByName(given)
+    stamped = stamped.withColumn("_day", F.floor(F.col("_t") / _DAY_US).cast("bigint"))
+    # one row per reader and day from here on
+    days = stamped.groupBy("user_id", "_day").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("user_id").orderBy("_day")
+    yesterday = F.when(F.lag("_day").over(earlier) == F.col("_day") - 1, F.lag("_n").over(earlier)).otherwise(0)
+    marked = days.withColumn("_busy", F.col("_n") + yesterday > limit)
+    follows = F.lag("_busy").over(earlier) & (F.lag("_day").over(earlier) == F.col("_day") - 1)
+    starts = F.col("_busy") & ~F.coalesce(follows, F.lit(False))
+    # a calm day before a busy one belongs to the run as well: its votes still count there
+    runs = marked.withColumn("_run", F.sum(starts.cast("int")).over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    leads = (F.lead("_day").over(earlier) == F.col("_day") + 1) & F.lead("_busy").over(earlier) & ~F.col("_busy")
+    runs = runs.withColumn("_run", F.when(F.col("_busy"), F.col("_run")).when(leads, F.col("_run") + 1))
+    runs = cut_lineage(runs.where("_run IS NOT NULL").select("user_id", "_day", "_busy", "_run"))
+    inside = stamped.join(runs, ["user_id", "_day"]).select(
+        "user_id", "_run", "_t", "id", (F.col("_given") | ~F.col("_busy")).alias("_sure")
+    )
+    # accepted earlier comes first among equal times
+    ordered = inside.repartition("user_id", "_run").sortWithinPartitions("user_id", "_run", "_t", F.desc("_sure"), "id")
+    refused = ordered.mapInPandas(_refuse(limit), "id bigint").withColumn("_refused", F.lit(True))
+    return votes.join(refused, "id", "left").withColumn("aceptado", F.col("_refused").isNull()).drop("_refused")
+
+
+def _refuse(limit: int):
+    """Ids of the votes that do not fit, from rows sorted by run and time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, recent = None, deque()
+        for frame in frames:
+            out = []
+            for user, number, now, id_, sure in zip(
+                frame["user_id"].tolist(), frame["_run"].tolist(), frame["_t"].tolist(), frame["id"].tolist(), frame["_sure"].tolist()
+            ):
+                if (user, number) != open_:
+                    open_ = (user, number)
+                    recent.clear()
+                while recent and recent[0] <= now - _DAY_US:
+                    recent.popleft()
+                if sure or len(recent) < limit:
+                    recent.append(now)
+                else:
+                    out.append(id_)
+            yield pd.DataFrame({"id": pd.array(out, "int64")})
+
+    return run
 
 
 def trailing_votes(votes: DataFrame) -> DataFrame:

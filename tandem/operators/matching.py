@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tandem.functions import fixed_values as fv
 from tandem.functions.text import content_words, name_keys, slugify
 from tandem.operators.catalog_text import work_names
-from tandem.operators.distributed import components, top_per_group
+from tandem.operators.distributed import components
 from tandem.session import cut_lineage
 
 
@@ -64,17 +64,21 @@ def _capped_keys(sets: DataFrame, postings: DataFrame, threshold: float, max_pos
     return _rarest_first(sets, postings).select("words", F.explode(prefix).alias("p")).select("words", F.col("p.word").alias("key"))
 
 
-_KEY_WORDS = 4
+# words in a key, by the size of the larger set: beyond 12 and 40 words keys of four and of two words would be too many
+_KEY_WORDS = ((12, 4), (40, 2))
 
 
 def _exact_keys(sets: DataFrame, postings: DataFrame, threshold: float) -> DataFrame:
-    """Join keys for all pairs: up to four words together, for each size the partner may have.
+    """Join keys for all pairs: k words together, for each size the partner may have.
 
     Sets of n and s words with Jaccard >= t share at least
     o = ceil(t / (1 + t) * (n + s)) words, so among the first n - o + k in
     rarest-first order (and s - o + k of the other) they share k of them. Keys
     of four words stay selective when every single word is common: titles that
-    differ in one word meet only if their sizes allow the similarity.
+    differ in one word meet only if their sizes allow the similarity. k depends
+    on the larger size only, so both sets use the same one; long sets, whose
+    rarest words tell enough, use one word, and their number of keys grows
+    with their size, not with a power of it.
     """
     n = F.size("by_df")
 
@@ -88,14 +92,35 @@ def _exact_keys(sets: DataFrame, postings: DataFrame, threshold: float) -> DataF
 
     def keys_for(s: Column) -> Column:
         common = F.ceil((n + s) * F.lit(threshold / (1 + threshold)) - 1e-9).cast("int")
-        k = F.least(common, F.lit(_KEY_WORDS))
+        larger = F.greatest(n, s)
+        words = F.lit(1)
+        for most, k in reversed(_KEY_WORDS):
+            words = F.when(larger <= most, k).otherwise(words)
+        k = F.least(common, words)
         prefix = F.transform(F.slice("by_df", 1, n - common + k), lambda p: p["word"])
-        label = F.concat_ws("-", F.least(n, s).cast("string"), F.greatest(n, s).cast("string"))
+        sizes = F.concat_ws("-", F.least(n, s).cast("string"), larger.cast("string"))
+        label = F.when(words == _KEY_WORDS[0][1], sizes).otherwise(words.cast("string"))
         return F.transform(subsets(prefix, k), lambda f: F.concat_ws(" ", label, F.concat_ws(" ", f)))
 
     low, high = F.ceil(n * F.lit(threshold) - 1e-9).cast("int"), F.floor(n / F.lit(threshold) + 1e-9).cast("int")
     sizes = F.sequence(F.greatest(low, F.lit(1)), high)
-    return _rarest_first(sets, postings).select("words", F.explode(F.flatten(F.transform(sizes, keys_for))).alias("key"))
+    return _rarest_first(sets, postings).select("words", F.explode(F.array_distinct(F.flatten(F.transform(sizes, keys_for)))).alias("key"))
+
+
+_HOT_KEY = 1000  # sets under a key that one task compares with; a key with more is dealt over several tasks
+
+
+def _meet(lk: DataFrame, rk: DataFrame) -> DataFrame:
+    """Join on ``key``; a key with many sets on the right is salted: each left row meets every slice of it."""
+    sizes = rk.groupBy("key").agg(F.ceil(F.count("*") / _HOT_KEY).cast("int").alias("slices")).where("slices > 1")
+    sizes = cut_lineage(sizes)
+    salted = rk.join(sizes, "key", "left").withColumn(
+        "salt", F.pmod(F.xxhash64("words_r"), F.coalesce("slices", F.lit(1))).cast("int")
+    ).drop("slices")
+    spread = lk.join(sizes, "key", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))
+    ).drop("slices")
+    return spread.join(salted, ["key", "salt"])
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -118,7 +143,7 @@ def similar_sets(
     lk, rk = lk.withColumnRenamed("words", "words_l"), rk.withColumnRenamed("words", "words_r")
     size_l, size_r = F.size("words_l"), F.size("words_r")
     close = (size_l >= size_r * threshold - 1e-9) & (size_r >= size_l * threshold - 1e-9)
-    pairs = lk.join(rk, "key").where(close).select("words_l", "words_r").distinct()
+    pairs = _meet(lk, rk).where(close).select("words_l", "words_r").distinct()
     return pairs.withColumn("similitud", jaccard(F.col("words_l"), F.col("words_r"))).where(
         F.col("similitud") >= threshold
     )
@@ -220,8 +245,6 @@ def genre_of_series(works: DataFrame, series: DataFrame) -> DataFrame:
     keyed = labels.where(F.trim("label") != "").withColumn("key", genres.genre_key(F.col("label")))
     once = keyed.groupBy("work_id", "key").agg(F.min_by("label", F.struct("sitio_id", "pos")).alias("label"),
                                                F.min(F.struct("sitio_id", "pos")).alias("at"))
-    # the merged list holds at most MAX_GENRES, and as many again may be known already
-    once = top_per_group(once, ["work_id"], [F.col("at"), F.col("label")], 2 * fv.MAX_GENRES)
     extra = once.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("s")).select(
         "work_id", F.transform("s", lambda x: x["label"]).alias("_extra")
     )

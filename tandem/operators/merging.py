@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
 from tandem.functions.text import normalize_name
 from tandem.operators.catalog_text import work_names
-from tandem.operators.distributed import components, position_in_group
+from tandem.operators.distributed import components
 from tandem.operators.matching import similar_sets, title_sets, word_postings
 from tandem.operators.rollup import work_weight
 from tandem.session import cut_lineage
@@ -29,12 +29,13 @@ def dup_pairs_by_name(works: DataFrame) -> DataFrame:
     )
 
 
-def dup_pairs_by_words(titles: DataFrame, max_postings: int | None = fv.MAX_POSTINGS) -> DataFrame:
+def dup_pairs_by_words(titles: DataFrame, max_postings: int | None = None) -> DataFrame:
     """Works with similar titles: Jaccard >= 0.8 over content words, equal numbers, four words or more.
 
-    ``titles``: work_id, nombre (one row per title or translated title). Only a
-    word in at most ``max_postings`` titles brings two titles together; None
-    lifts that rule. Titles with the same words form a group that is linked to
+    ``titles``: work_id, nombre (one row per title or translated title). All
+    pairs are found; with ``max_postings`` (``fixed_values.MAX_POSTINGS`` is the
+    usual number) only a word in at most that many titles brings two titles
+    together. Titles with the same words form a group that is linked to
     its lowest work; groups are compared once, through their lowest works.
     """
     sets = cut_lineage(title_sets(titles, "work_id"))  # read five times below
@@ -90,14 +91,17 @@ def merge_plan(pairs: DataFrame, weights: DataFrame, alone: float = fv.MERGE_ALO
     """dst, src, similitud, modo: 'auto' for merges to do, 'manual' for pairs to look at.
 
     Pairs of at least ``alone`` are followed through: a connected group keeps
-    its heaviest work. Weaker pairs are reported between the works that remain.
+    its heaviest work, and ``similitud`` is the highest that links ``src`` to the
+    group. Weaker pairs are reported between the works that remain.
     """
     pairs, weights = cut_lineage(pairs), cut_lineage(weights)  # both are read three times
     strong = pairs.where(F.col("similitud") >= alone)
     groups = cut_lineage(components(strong).join(weights.withColumnRenamed("work_id", "node"), "node"))
     keep = groups.groupBy("root").agg(F.min_by("node", "peso").alias("dst"))
     member = groups.join(keep, "root").select(F.col("node").alias("src"), "dst")
-    auto = member.where("src <> dst").select("dst", "src", F.lit(1.0).alias("similitud"), F.lit("auto").alias("modo"))
+    ends = strong.select(F.col("a").alias("src"), "similitud").union(strong.select("b", "similitud"))
+    linked = ends.groupBy("src").agg(F.max("similitud").alias("similitud"))
+    auto = member.where("src <> dst").join(linked, "src").select("dst", "src", "similitud", F.lit("auto").alias("modo"))
 
     weak = pairs.where(F.col("similitud") < alone)
     for side in ("a", "b"):
@@ -150,9 +154,8 @@ def apply_merge(
     names = names.groupBy("raiz", "nombre").agg(F.min(F.struct("orden", "pos")).alias("en"))
     titles = merged.select(F.col("work_id").alias("raiz"), F.col("titulo").alias("nombre"))
     names = names.join(titles, ["raiz", "nombre"], "left_anti")
-    names = position_in_group(names, ["raiz"], [F.col("en"), F.col("nombre")], "puesto").select(
-        F.col("raiz").alias("work_id"), "nombre", "puesto"
-    )
+    order = Window.partitionBy("raiz").orderBy("en", "nombre")  # the names of one group of works
+    names = names.select(F.col("raiz").alias("work_id"), "nombre", F.row_number().over(order).alias("puesto"))
 
     old = members.where("orden.ajena").select(F.col("raiz").alias("work_id"), F.col("slug").alias("viejo"))
     if "slugs_antiguos" in works.columns:

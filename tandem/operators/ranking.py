@@ -69,29 +69,30 @@ def page_windows(pages: DataFrame) -> DataFrame:
 
 
 def related_works(works: DataFrame, levels: DataFrame, k: int = fv.RELATED_WORKS) -> DataFrame:
-    """``k`` related works for every work.
+    """``k`` related works for every work: those of tier A first, then by genres shared, then by id; none is adult.
 
-    Genre buckets hold the first 40 non-adult works (tier A first, then title);
-    score = genres shared through buckets. Works that stay short are filled with
-    their neighbours in the circular alphabetical order, tier A first.
+    Works with the same genres are one kind. Kinds are compared instead of works, and of each kind and tier only the
+    first k + 1 works can be chosen by anybody, so no pair of works is made beyond that and none is left out. Works
+    that stay short are filled with their neighbours in the circular alphabetical order, tier A first.
     """
     # one row per work, read six times below
     facts = cut_lineage(works.join(levels, "work_id").select(
         "work_id", "titulo", "adulta", "categorias", (F.col("nivel") == "A").alias("a")
     ))
-    tags = facts.select("work_id", "titulo", "adulta", "a", F.explode(F.array_distinct("categorias")).alias("genero"))
-    bucket = top_per_group(
-        tags.where("NOT adulta"), ["genero"], [F.desc("a"), F.col("titulo"), F.col("work_id")], fv.GENRE_BUCKET
-    ).select("genero", F.col("work_id").alias("otra"), F.col("a").alias("otra_a"))
-    shared = (
-        tags.select("work_id", "genero")
-        .join(bucket, "genero")
-        .where("work_id <> otra")
-        .groupBy("work_id", "otra", "otra_a")
-        .agg(F.count("*").alias("comunes"))
+    kinds = facts.withColumn("clase", F.array_sort(F.array_distinct("categorias"))).where(F.size("clase") > 0)
+    offered = top_per_group(kinds.where("NOT adulta").select("clase", "a", "work_id"), ["clase", "a"], [F.col("work_id")], k + 1)
+    offered = cut_lineage(offered.select(F.col("clase").alias("otra_clase"), F.col("a").alias("otra_a"), F.col("work_id").alias("otra")))
+    genres_of = lambda df, c: df.select(c).distinct().select(c, F.explode(c).alias("genero"))
+    alike = (
+        genres_of(kinds, "clase").join(genres_of(offered, "otra_clase"), "genero")
+        .groupBy("clase", "otra_clase").agg(F.count("*").alias("comunes"))
     )
-    best = Window.partitionBy("work_id").orderBy(F.desc("otra_a"), F.desc("comunes"), F.col("otra"))
-    chosen = shared.withColumn("puesto", F.row_number().over(best)).where(F.col("puesto") <= k)
+    order = [F.desc("otra_a"), F.desc("comunes"), F.col("otra")]
+    # a work may find itself among the first, so one more is kept
+    first = top_per_group(alike.join(offered, "otra_clase"), ["clase"], order, k + 1).select("clase", "otra", "otra_a", "comunes")
+    best = Window.partitionBy("work_id").orderBy(*order)
+    chosen = kinds.select("work_id", "clase").join(first, "clase").where("work_id <> otra")
+    chosen = chosen.withColumn("puesto", F.row_number().over(best)).where(F.col("puesto") <= k)
     chosen = cut_lineage(chosen.select("work_id", "otra", "puesto", F.lit("genero").alias("origen")))
     filled = _fill_from_neighbours(facts, chosen, k)
     return chosen.unionByName(filled)
@@ -192,9 +193,9 @@ def title_index(works: DataFrame) -> DataFrame:
 
 
 def due_sources(
-    sources: DataFrame, now: datetime, withdrawn: DataFrame | None = None, limit: int | None = 400, targeted: bool = False
+    sources: DataFrame, now: datetime, withdrawn: DataFrame | None = None, limit: int | None = None, targeted: bool = False
 ) -> DataFrame:
-    """Sources to visit: the ``limit`` least recently visited (None: all), then those whose interval has passed."""
+    """Sources whose interval since the last visit has passed: of all, or of the ``limit`` least recently visited."""
     queue = sources.where("activa")
     if limit is not None:
         queue = queue.orderBy(F.col("ultimo_scrape").asc_nulls_first(), "source_id").limit(limit)

@@ -23,7 +23,7 @@ def site_path(path: Column) -> Column:
 
 def repaired(path: Column) -> Column:
     """Where a broken path most likely wanted to go; NULL when nothing is known."""
-    others = "|".join(c for c in ("en", "pt", "id", "fr", "de", "vi"))
+    others = "|".join(fv.PATH_LANGUAGES)
     without = F.regexp_extract(path, rf"^/(?:{others})(/.*)?$", 1)
     glued = r"^/novela/(.+)-capitulo-([0-9]+)/?$"
     genre = F.nullif(F.regexp_extract(path, "^/categoria/([^/]+)/?$", 1), F.lit(""))
@@ -41,8 +41,12 @@ def resolve_redirects(requests: DataFrame, redirects: DataFrame) -> DataFrame:
     ``redirects``: slug, nuevo (one merge each); repeated merges are followed to the end.
     """
     final = follow_chains(redirects, "slug", "nuevo")
-    slug = F.nullif(F.regexp_extract("path", _WORK, 2), F.lit(""))
-    moved = requests.withColumn("_slug", slug).join(final.withColumnRenamed("slug", "_slug"), "_slug", "left")
+    # paths that name no work get keys of their own, which no slug has, so they do not meet in one task
+    other = F.concat(F.lit("/"), F.pmod(F.xxhash64("path"), F.lit(1 << 16)).cast("string"))
+    slug = F.coalesce(F.nullif(F.regexp_extract("path", _WORK, 2), F.lit("")), other)
+    asked = requests.withColumn("_slug", slug)
+    targets = asked.select("_slug").distinct().join(final.withColumnRenamed("slug", "_slug"), "_slug")
+    moved = asked.join(targets, "_slug", "left")
     head, tail = F.regexp_extract("path", _WORK, 1), F.regexp_extract("path", _WORK, 3)
     target = F.concat(head, F.col("nuevo"), F.when(tail == "", "/").otherwise(tail))
     return moved.withColumn("destino", target).drop("_slug", "nuevo")
@@ -68,24 +72,23 @@ def classify_requests(
     plain = F.concat(F.regexp_extract("path", _CHAPTER, 1), F.lit("/capitulo-"), number.cast("string"))
     paths = paths.withColumn("_plain", F.when(chapter & F.col("path").rlike("/capitulo-0"), plain))
 
-    pages = cut_lineage(existing.select(F.col("path").alias("_page")).distinct())  # looked up three times
-
-    def found(df: DataFrame, path: Column, flag: str) -> DataFrame:
-        marked = pages.withColumn(flag, F.lit(True))
-        return df.join(marked, site_path(path) == F.col("_page"), "left").drop("_page")
-
-    paths = found(paths, F.col("path"), "_here")
     paths = paths.withColumn("_fixed", F.coalesce(repaired(F.col("path")), F.col("path")))
     moved = resolve_redirects(
         paths.withColumnRenamed("path", "_asked").withColumnRenamed("_fixed", "path"), redirects
     ).withColumnRenamed("path", "_fixed").withColumnRenamed("_asked", "path")
     wanted = F.coalesce("destino", F.when(F.col("_fixed") != F.col("path"), F.col("_fixed")))
     moved = moved.withColumn("_to", wanted)
-    moved = found(moved, F.col("_to"), "_there")
     work_page = F.when(
         F.col("_to").rlike(r"/capitulo-[0-9]+/?$"), F.regexp_replace("_to", r"/capitulo-[0-9]+/?$", "/")
     )
-    moved = found(moved.withColumn("_work", work_page), F.col("_work"), "_work_there")
+    moved = cut_lineage(moved.withColumn("_work", work_page))
+    # up to three pages are looked up per path, in one join
+    flags = {"_here": "path", "_there": "_to", "_work_there": "_work"}
+    asked = F.array(*[F.struct(F.lit(k).alias("flag"), site_path(F.col(c)).alias("_page")) for k, c in flags.items()])
+    lookups = moved.select("path", F.explode(asked).alias("q")).select("path", "q.flag", "q._page").where("_page IS NOT NULL")
+    hits = lookups.join(existing.select(F.col("path").alias("_page")).distinct(), "_page")
+    found = hits.groupBy("path").agg(*[F.bool_or(F.col("flag") == k).alias(k) for k in flags])
+    moved = moved.join(found, "path", "left").fillna(False, list(flags))
     status = (
         F.when(F.col("_gone"), 410)
         .when(F.col("_plain").isNotNull(), 301)

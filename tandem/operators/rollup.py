@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
 from tandem.functions.urls import host_of
-from tandem.operators.distributed import top_per_group
+from tandem.operators.distributed import order_number, position_in_group, top_per_group
 
 
 def attach_source_names(chapters: DataFrame, sources: DataFrame) -> DataFrame:
@@ -21,19 +21,18 @@ def attach_source_names(chapters: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def source_facts(chapters: DataFrame) -> DataFrame:
-    """One row per work and source; one shuffle, pre-aggregated, no chapter list is built."""
-    newest = F.max_by(
-        F.struct("tipo", "idioma", "url"), F.struct(F.coalesce("numero", F.lit(-1)), -F.col("id"))
-    )
+    """One row per work and source: counts, last number, and the id of the newest chapter.
+
+    All of them are numbers of fixed width, so rows combine by hash before the one shuffle.
+    """
     grouped = chapters.groupBy("work_id", "source_id").agg(
-        F.count("*").alias("filas"), F.coalesce(F.max("numero"), F.lit(0)).alias("ultimo"), newest.alias("c0")
+        F.count("*").alias("filas"), F.coalesce(F.max("numero"), F.lit(0)).alias("ultimo"),
+        F.max_by("id", order_number(F.coalesce("numero", F.lit(-1)), -F.col("id"))).alias("id_nuevo"),
     )
     return grouped.select(
         "work_id",
         "source_id",
-        F.col("c0.tipo").alias("tipo"),
-        F.col("c0.idioma").alias("idioma"),
-        F.col("c0.url").alias("url"),
+        "id_nuevo",
         "ultimo",
         F.greatest(F.col("filas"), F.col("ultimo")).alias("total"),
         ((F.col("filas") == 1) & (F.col("ultimo") > 1)).alias("solo_enlace"),
@@ -64,13 +63,20 @@ def work_summary(chapters: DataFrame) -> DataFrame:
 
 def source_rollup(chapters: DataFrame, sources: DataFrame) -> DataFrame:
     """The card of each source: name, format, language, host, last chapter, total, link-out flag."""
-    named = attach_source_names(source_facts(chapters), sources)
+    newest = chapters.select("work_id", "source_id", F.col("id").alias("id_nuevo"), "tipo", "idioma", "url")
+    facts = source_facts(chapters).join(newest, ["work_id", "source_id", "id_nuevo"]).drop("id_nuevo").distinct()
+    named = attach_source_names(facts, sources)
     return named.withColumn("dominio", host_of("url")).withColumnRenamed("fuente_nombre", "nombre").drop("url")
 
 
-def listed_chapters(chapters: DataFrame, limit: int = fv.MAX_LISTED_CHAPTERS) -> DataFrame:
-    """Newest chapters of each source, at most ``limit`` per source card, numberless ones last."""
+def listed_chapters(chapters: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chapters of each source with their place on its card, newest first, numberless ones last.
+
+    All of them, or the first ``limit`` of each card.
+    """
     order = [F.col("numero").desc_nulls_last(), F.col("id"), F.col("visto_en")]
+    if limit is None:
+        return position_in_group(chapters, ["work_id", "source_id"], order, "puesto")
     return top_per_group(chapters, ["work_id", "source_id"], order, limit, name="puesto")
 
 

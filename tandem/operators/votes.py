@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.operators.distributed import order_number
+
 PAIR = ["work_id", "capitulo_manhwa"]
 
 
 def upsert_votes(votes: DataFrame) -> DataFrame:
     """One vote per work, manhwa chapter and reader: the last one."""
-    last = F.max_by("capitulo_novela", F.struct("creada_en", "id"))
+    at = order_number(F.unix_micros(F.col("creada_en").cast("timestamp")), F.col("id"))
+    last = F.max_by("capitulo_novela", at)
     return votes.groupBy(*PAIR, "user_id").agg(last.alias("capitulo_novela"), F.max("creada_en").alias("creada_en"))
 
 
@@ -55,12 +58,12 @@ def manhwa_to_novel(chapters: DataFrame, anchors: DataFrame) -> DataFrame:
                       F.lit(True).alias("q"))
     )
     # anchors of a number come before the number itself
-    up = Window.partitionBy("work_id").orderBy("x", "q")
-    before = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = up.rowsBetween(1, Window.unboundedFollowing)
+    up = Window.partitionBy("work_id").orderBy("x", "q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the next anchor is the last one seen from the other end: both frames only grow, so each row is added once
+    down = Window.partitionBy("work_id").orderBy(F.desc("x"), F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        marked.withColumn("lo", F.last("p", ignorenulls=True).over(before))
-        .withColumn("hi", F.first("p", ignorenulls=True).over(after))
+        marked.withColumn("lo", F.last("p", ignorenulls=True).over(up))
+        .withColumn("hi", F.last("p", ignorenulls=True).over(down))
     )
     # the anchor before each anchor gives the slope past the last one
     chain = Window.partitionBy("work_id").orderBy("x")

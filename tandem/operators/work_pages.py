@@ -20,7 +20,7 @@ from tandem.session import cut_lineage
 
 def search_titles(works: DataFrame, q: str, n: int = 8) -> DataFrame:
     """Site search: names that start with the text first, then names that contain it."""
-    haystack = normalize_name(F.concat_ws(" ", F.array("titulo"), F.slice("titulos_alternativos", 1, 4)))
+    haystack = normalize_name(F.concat_ws(" ", F.array("titulo"), F.col("titulos_alternativos")))
     wanted = normalize_name(F.lit(q))
     hits = works.withColumn("_at", F.instr(haystack, wanted)).where("_at > 0")
     order = [(F.col("_at") == 1).desc(), F.desc("destacada"), spanish_order(), F.col("work_id")]
@@ -44,9 +44,9 @@ def chapter_pages(chapters: DataFrame, anchors: DataFrame) -> DataFrame:
         F.count_if(~F.col("solo_enlace")).alias("reales"), F.count("*").alias("todas")
     )
     real = F.when(F.col("reales") > 0, F.col("numero"))
-    by_number = Window.partitionBy("work_id").orderBy("numero")
-    before = by_number.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_number.rowsBetween(1, Window.unboundedFollowing)
+    # both frames only grow, so each row is added once
+    before = Window.partitionBy("work_id").orderBy("numero").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("work_id").orderBy(F.desc("numero")).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("numero") == 1
     placed = per_number.withColumns(
         {

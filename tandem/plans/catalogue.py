@@ -62,7 +62,7 @@ def _(t):
 @query("a3_listed_chapters", """
     SELECT work_id, source_id, id, coalesce(numero, -1) AS numero, puesto FROM (
       SELECT *, row_number() OVER (PARTITION BY work_id, source_id ORDER BY numero DESC NULLS LAST, id, visto_en) AS puesto
-      FROM o_chapters) WHERE puesto <= 3000""")
+      FROM o_chapters)""")
 def _(t):
     return rollup.listed_chapters(t.chapters).select(
         "work_id", "source_id", "id", F.coalesce("numero", F.lit(-1)).alias("numero"), "puesto"
@@ -167,7 +167,7 @@ def _(t):
     return votes.upsert_votes(t.votes).withColumn("creada_en", F.date_format("creada_en", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("j15_manhwa_to_novel", """
+check_view("o_interpolated", """
     WITH d AS (SELECT DISTINCT work_id, numero FROM o_chapters WHERE numero IS NOT NULL),
     a AS (SELECT work_id, capitulo_manhwa AS x, capitulo_novela AS y,
                  lead(capitulo_manhwa) OVER w AS nx, lead(capitulo_novela) OVER w AS ny,
@@ -185,6 +185,9 @@ def _(t):
            END, -1) AS en_novela
     FROM d LEFT JOIN a ON a.work_id = d.work_id AND a.x <= d.numero AND (a.nx IS NULL OR a.nx > d.numero)
            LEFT JOIN a f ON f.work_id = d.work_id AND f.rn = 1""")
+
+
+@query("j15_manhwa_to_novel", "SELECT * FROM o_interpolated")
 def _(t):
     return votes.manhwa_to_novel(t.chapters, t.anchors).fillna(-1, ["en_novela"])
 

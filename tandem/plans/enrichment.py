@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
-from tandem.functions.text import text_hash
+from tandem.functions.text import text_key
 from tandem.operators import enrichment
 from tandem.operators.catalog_text import joined
 from tandem.plans.rankings import published
@@ -142,7 +142,7 @@ check_view("o_cached", "SELECT DISTINCT p FROM o_paragraphs JOIN documents ON do
 
 def cache_of(t):
     known = t.sql(_PARAGRAPHS).where("lang <> 'en'").select(F.explode(F.split("sinopsis", "\n\n")).alias("p")).distinct()
-    return known.select(text_hash("p").alias("hash"), F.lit("en").alias("idioma"), F.concat(F.lit("EN "), "p").alias("texto"))
+    return known.select(text_key("p").alias("clave"), F.lit("en").alias("idioma"), F.concat(F.lit("EN "), "p").alias("texto"))
 
 
 @query("j11_translate_lookup", """

@@ -28,11 +28,20 @@ def _(t):
     return rows
 
 
+@query("k1_manifest", f"""
+    SELECT 0 AS orden, 'Sitemap: {SITE}/sitemap-index.xml' AS linea
+    UNION ALL SELECT CAST(i AS INT), concat('Sitemap: {SITE}/sitemap-capitulos-', i, '.xml') FROM (
+      SELECT unnest(generate_series(1, greatest(1, CAST(ceil(count(*) / 2000.0) AS BIGINT)))) AS i
+      FROM o_listed l JOIN o_levels v USING (work_id) JOIN o_works w USING (work_id) WHERE v.nivel = 'A')""")
+def _(t):
+    rows = exports.chapter_sitemap_shards(rollup.listed_numbers(t.chapters), published(t), levels_of(t), per_file=2000)
+    return exports.sitemap_manifest(rows, SITE)
+
+
 check_view("o_english", """
     SELECT work_id FROM (SELECT g.work_id, row_number() OVER (ORDER BY c.caps DESC, g.work_id) AS rn
       FROM o_gap g JOIN o_works w USING (work_id) JOIN o_caps c USING (work_id) WHERE NOT w.adulta)
-    WHERE rn * 2 <= greatest(0, 19500 - 500 - (SELECT count(*) FROM o_works) - (SELECT count(*) FROM o_gap JOIN o_works USING (work_id)))
-      AND rn <= 500""")
+    WHERE rn * 2 <= greatest(0, 19500 - 500 - (SELECT count(*) FROM o_works) - (SELECT count(*) FROM o_gap JOIN o_works USING (work_id)))""")
 
 
 @query("k2_work_sitemap_rows", f"""
@@ -45,10 +54,12 @@ check_view("o_english", """
            CASE WHEN en THEN concat('es={SITE}', pag, '|en={SITE}/en', pag, '|x-default={SITE}/en', pag) ELSE '' END AS alternas,
            CASE WHEN pag LIKE '%equivalencia/' OR l.work_id NOT IN (SELECT work_id FROM o_covers) THEN ''
                 ELSE concat('{SITE}/portada/', slug, '.jpg') END AS imagen
-    FROM l LEFT JOIN o_activity a USING (work_id)""")
+    FROM l LEFT JOIN o_activity a USING (work_id)
+    UNION ALL SELECT concat('{SITE}', h), '', CASE WHEN h IN ('/', '/en/') THEN '1.0' WHEN h = '/novelas/' THEN '' ELSE '0.8' END, '', ''
+    FROM (SELECT unnest({fv.HUB_PAGES}) AS h)""")
 def _(t):
     works = published(t)
-    english = levels.english_budget(works, t.chapters).orderBy(F.desc("caps"), "work_id").limit(500)
+    english = levels.english_budget(works, t.chapters)
     return exports.work_sitemap_rows(
         works, levels_of(t), rollup.activity(t.sources), english, covers.works_with_cover(works, t.sources), SITE
     )
@@ -70,11 +81,10 @@ def _(t):
            CASE WHEN w.work_id IN (SELECT work_id FROM o_covers) THEN concat('/portada/', w.slug, '.jpg') ELSE '/portadas/sin-portada.svg' END AS p,
            coalesce(f.f, CASE WHEN w.tipo = 'ambos' THEN 'manhwa|novela' ELSE w.tipo END) AS f
     FROM o_works w LEFT JOIN (SELECT work_id, array_to_string(list_sort(list_distinct(list(tipo))), '|') AS f
-                              FROM o_chapters WHERE idioma = 'pt' AND tipo = 'novela' GROUP BY work_id) f USING (work_id)""")
+                              FROM o_chapters GROUP BY work_id) f USING (work_id)""")
 def _(t):
     works = published(t)
-    formats = gap.formats(t.chapters.where("idioma = 'pt' AND tipo = 'novela'"))
-    rows = exports.search_index(works, formats, covers.works_with_cover(works, t.sources))
+    rows = exports.search_index(works, gap.formats(t.chapters), covers.works_with_cover(works, t.sources))
     return rows.withColumn("a", joined("a")).withColumn("f", joined("f"))
 
 
@@ -87,6 +97,11 @@ def _(t):
     return covers.cover_map(works, t.sources).join(works.select("work_id", "slug"), "work_id").drop("work_id")
 
 
+@query("k5_linkout_ids", "SELECT DISTINCT source_id FROM o_rollup WHERE solo_enlace")
+def _(t):
+    return exports.linkout_ids(t.chapters)
+
+
 @query("k5_level_a_slugs", "SELECT slug FROM o_works JOIN o_levels USING (work_id) WHERE nivel = 'A'")
 def _(t):
     return exports.level_a_slugs(published(t), levels_of(t))

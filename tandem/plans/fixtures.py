@@ -88,9 +88,9 @@ VIEWS["f_synopses"] = "SELECT doc_id AS work_id, text AS sinopsis, lang FROM {do
 
 VIEWS["f_votes"] = """
 SELECT event_id AS id, user_id, CAST(event_id % 40 AS BIGINT) AS work_id,
-       CAST(floor(value) AS INT) % 20 + 1 AS capitulo_manhwa,
+       CAST(floor(abs(value)) AS INT) % 20 + 1 AS capitulo_manhwa,
        CAST(event_id % 5 AS INT) + 1 AS capitulo_novela, ts AS creada_en
-FROM {events} WHERE value >= 0
+FROM {events}
 """
 
 VIEWS["f_anchors"] = """
@@ -100,9 +100,9 @@ FROM {orders} GROUP BY o_custkey, CAST(o_orderkey % 50 AS INT) + 1
 """
 
 VIEWS["f_progress"] = """
-SELECT user_id, CAST(event_id % 15 AS BIGINT) AS work_id, CAST(floor(value) AS INT) % 50 + 1 AS capitulo,
+SELECT user_id, CAST(event_id % 15 AS BIGINT) AS work_id, CAST(floor(abs(value)) AS INT) % 50 + 1 AS capitulo,
        event_id % 2 = 0 AS es_local, event_type = 'purchase' AS favorito, ts
-FROM {events} WHERE value >= 0
+FROM {events}
 """
 
 

@@ -127,12 +127,12 @@ def _(t):
 
 @query("t8_upsert_works", """
     SELECT slug, titulo, concat_ws('|', alt1, alt2, alt3) AS alt FROM o_works
-    UNION ALL SELECT concat('nueva-', k), concat('Nueva ', k), '' FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')""")
+    UNION ALL SELECT concat('nueva-', k), concat('Nueva ', k), '' FROM (SELECT DISTINCT o_custkey AS k FROM orders)""")
 def _(t):
     from tandem.operators.catalog_text import joined
 
     existing = published(t).select("slug", "titulo", "titulos_alternativos")
-    new = t.base("orders").where("o_orderstatus = 'F'").select(
+    new = t.base("orders").select(
         F.concat(F.lit("nueva-"), F.col("o_custkey").cast("string")).alias("slug"),
         F.concat(F.lit("Nueva "), F.col("o_custkey").cast("string")).alias("titulo"), F.col("o_orderkey").alias("orden"),
     )
@@ -166,6 +166,56 @@ def changes_of(t):
 _FMT = "yyyy-MM-dd HH:mm:ss"
 
 
+def stored(t, rows, name):
+    """Rows of a fixture as a folder of files, for a stream to read."""
+    folder = streams.run_folder(t.spark)
+    rows.write.parquet(f"{folder}/{name}")
+    return folder
+
+
+@query("t1_apply_stream", _APPLIED)
+def _(t):
+    stamp = F.to_timestamp(F.lit("1999-01-01 00:00:00"))
+    state = t.sql(_STATE).select(*_COLS, F.lit(True).alias("aprobado"), stamp.alias("modificado_en"), F.lit(False).alias("borrado"))
+    since = F.col("modificado_en") > stamp
+    changed = t.sql(_CHANGED).withColumn("modificado_en", F.col("modificado_en").cast("timestamp")).where(since).select(
+        *_COLS, "aprobado", "modificado_en", F.lit(False).alias("borrado")
+    )
+    gone = t.sql(_TOMBS).withColumn("modificado_en", F.col("borrado_en").cast("timestamp")).where(since)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in state.select(*_COLS[1:]).schema]
+    dead = gone.select("id", *none, F.lit(True).alias("aprobado"), "modificado_en", F.lit(True).alias("borrado"))
+    # the older state, then its changes, as two files and so as two batches
+    folder = streams.run_folder(t.spark)
+    for rows in (state, changed.unionByName(dead)):
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/changes.parquet")
+    changes = streams.folder_stream(t.spark, f"{folder}/changes.parquet", files_per_batch=1)
+    return streams.apply_changes_stream(changes, folder, _COLS).read()
+
+
+@query("t6_votes_stream", """
+    SELECT work_id, capitulo_manhwa, user_id, arg_max(capitulo_novela, (creada_en, id)) AS capitulo_novela,
+           strftime(max(creada_en), '%Y-%m-%d %H:%M:%S') AS creada_en
+    FROM f_votes GROUP BY work_id, capitulo_manhwa, user_id""")
+def _(t):
+    folder = stored(t, t.votes.withColumn("creada_en", F.col("creada_en").cast("timestamp")), "votes.parquet")
+    votes = streams.folder_stream(t.spark, f"{folder}/votes.parquet")
+    rows = streams.latest_votes_stream(votes, folder).read().drop("id")
+    return rows.withColumn("creada_en", F.date_format("creada_en", _FMT))
+
+
+@query("t7_growth_stream", """
+    WITH g AS (SELECT source_id, cuando, max(encontrados) AS n FROM o_visits WHERE ok GROUP BY source_id, cuando),
+    p AS (SELECT *, lag(n) OVER (PARTITION BY source_id ORDER BY cuando) AS antes FROM g)
+    SELECT s.source_id, strftime(s.u, '%Y-%m-%d') AS ultimo_scrape, strftime(x.c, '%Y-%m-%d') AS ultimo_cambio, x.n AS n_caps
+    FROM (SELECT source_id, max(cuando) AS u FROM o_visits GROUP BY source_id) s
+    LEFT JOIN (SELECT source_id, arg_max(n, cuando) AS n, max(cuando) FILTER (n > coalesce(antes, 0)) AS c FROM p GROUP BY source_id) x USING (source_id)""")
+def _(t):
+    folder = stored(t, t.sql(_VISITS).withColumn("cuando", F.col("cuando").cast("timestamp")), "visits.parquet")
+    visits = streams.folder_stream(t.spark, f"{folder}/visits.parquet")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return streams.growth_stream(visits, folder).read().select("source_id", day("ultimo_scrape"), day("ultimo_cambio"), "n_caps")
+
+
 @query("t10_activity_windows", """
     SELECT work_id, strftime(time_bucket(INTERVAL 1 DAY, visto_en), '%Y-%m-%d %H:%M:%S') AS desde, count(*) AS n FROM o_chapters GROUP BY 1, 2""")
 def _(t):
@@ -219,15 +269,19 @@ def _(t):
 
 
 @query("t11_session_stream", """
-    SELECT user_id, strftime(inicio, '%Y-%m-%d %H:%M:%S') AS inicio, n FROM o_sessions
+    SELECT user_id, strftime(inicio, '%Y-%m-%d %H:%M:%S') AS inicio, strftime(ultima, '%Y-%m-%d %H:%M:%S') AS ultima, n, capitulos FROM o_sessions
     WHERE ultima + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM f_progress) - INTERVAL 1 HOUR""")
 def _(t):
     folder = streams.run_folder(t.spark)
-    events = streams.table_stream(t.spark, t.sf_dir, "events.parquet").where("value >= 0")
-    progress = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    events = streams.table_stream(t.spark, t.sf_dir, "events.parquet")
+    chapter = (F.floor(F.abs("value")).cast("int") % 50 + 1).alias("capitulo")
+    progress = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), chapter)
     streams.store(streams.session_stream(progress), folder)
     rows = t.spark.read.parquet(f"{folder}/rows")
-    return rows.select("user_id", F.date_format("inicio", _FMT).alias("inicio"), "n")
+    return rows.select(
+        "user_id", F.date_format("inicio", _FMT).alias("inicio"), F.date_format("ultima", _FMT).alias("ultima"), "n",
+        F.array_join(F.col("capitulos").cast("array<string>"), ",").alias("capitulos"),
+    )
 
 
 @query("t12_withdraw", """
@@ -277,7 +331,7 @@ def _(t):
     SELECT user_id, id FROM r WHERE ok""")
 def _(t):
     folder = streams.run_folder(t.spark)
-    events = streams.table_stream(t.spark, t.sf_dir, "events.parquet").where("value >= 0")
+    events = streams.table_stream(t.spark, t.sf_dir, "events.parquet")
     votes = events.select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("creada_en"))
     streams.rate_limit_stream(votes, folder, _DAILY)
     return t.spark.read.parquet(f"{folder}/rows").select("user_id", "id")

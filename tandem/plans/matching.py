@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
 from tandem.operators import matching, merging
-from tandem.operators.catalog_text import joined
+from tandem.operators.catalog_text import joined, work_names
 from tandem.plans.rankings import published
 from tandem.plans.registry import check_view, query
 from tandem.plans.texts import sql_list
@@ -117,38 +117,34 @@ def _(t):
     return merging.dup_pairs_by_name(published(t))
 
 
-_TITLES = "SELECT doc_id AS work_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:8], ' ') AS nombre FROM documents"
-check_view("o_doc_sets", f"""
-    SELECT work_id, {_WS} AS ws FROM (SELECT work_id, trim(regexp_replace(lower(strip_accents(nombre)), '[^\\pL\\pN]+', ' ', 'g')) AS n
-      FROM ({_TITLES}))""")
+check_view("o_title_sets", f"SELECT work_id, {_WS} AS ws FROM o_names")
+check_view("o_item_sets", f"""
+    SELECT item_id AS work_id, {_WS} AS ws
+    FROM (SELECT item_id, trim(regexp_replace(lower(strip_accents(text)), '[^\\pL\\pN]+', ' ', 'g')) AS n FROM benchmark)""")
 
 
-def _dup_sql(cap: str) -> str:
+def _dup_sql(sets: str) -> str:
     return f"""
-    WITH s AS (SELECT ws, min(work_id) AS low, count(*) AS names FROM o_doc_sets WHERE len(ws) >= 4 GROUP BY ws),
-    df AS (SELECT word, count(*) AS df FROM (SELECT unnest(ws) AS word FROM o_doc_sets WHERE len(ws) >= 4) GROUP BY word),
-    rare AS (SELECT ws, low, word FROM (SELECT ws, low, unnest(ws) AS word FROM s) JOIN df USING (word) WHERE df {cap}),
-    same AS (SELECT s.low AS a, d.work_id AS b, 1.0::DOUBLE AS similitud FROM o_doc_sets d JOIN s USING (ws)
-             WHERE d.work_id <> s.low AND ws IN (SELECT ws FROM rare)),
+    WITH s AS (SELECT ws, min(work_id) AS low FROM {sets} WHERE len(ws) >= 4 GROUP BY ws),
+    rare AS (SELECT ws, low, unnest(ws) AS word FROM s),
+    same AS (SELECT s.low AS a, d.work_id AS b, 1.0::DOUBLE AS similitud FROM {sets} d JOIN s USING (ws) WHERE d.work_id <> s.low),
     c AS (SELECT DISTINCT x.ws AS p, y.ws AS q, x.low AS a, y.low AS b FROM rare x JOIN rare y USING (word) WHERE x.low < y.low),
     j AS (SELECT a, b, len(list_intersect(p, q)) / CAST(len(p) + len(q) - len(list_intersect(p, q)) AS DOUBLE) AS similitud FROM c
           WHERE list_sort(list_filter(p, lambda w: regexp_matches(w, '^[0-9]+$'))) = list_sort(list_filter(q, lambda w: regexp_matches(w, '^[0-9]+$'))))
     SELECT a, b, max(similitud) AS similitud FROM (SELECT * FROM same UNION ALL SELECT * FROM j WHERE similitud >= 0.8) GROUP BY a, b"""
 
 
-def doc_titles(t):
-    title = F.array_join(F.slice(F.split(F.col("text"), r"\s+"), 1, 8), " ")
-    return t.base("documents").select(F.col("doc_id").alias("work_id"), title.alias("nombre"))
-
-
-@query("j7_dup_pairs_by_words", _dup_sql("<= 80"))
+@query("j7_dup_pairs_by_words", _dup_sql("o_title_sets"))
 def _(t):
-    return merging.dup_pairs_by_words(doc_titles(t))
+    return merging.dup_pairs_by_words(work_names(published(t)))
 
 
-@query("j7_dup_pairs_without_word_limit", _dup_sql(">= 0"))
+@query("j7_dup_pairs_without_word_limit", f"""
+    SELECT 0 AS parte, * FROM ({_dup_sql("o_title_sets")}) UNION ALL SELECT 1, * FROM ({_dup_sql("o_item_sets")})""")
 def _(t):
-    return merging.dup_pairs_by_words(doc_titles(t), max_postings=None)
+    items = t.base("benchmark").select(F.col("item_id").alias("work_id"), F.col("text").alias("nombre"))
+    titles, texts = merging.dup_pairs_by_words(work_names(published(t)), None), merging.dup_pairs_by_words(items, None)
+    return titles.select(F.lit(0).alias("parte"), "*").unionByName(texts.select(F.lit(1).alias("parte"), "*"))
 
 
 _PAIRS = """
@@ -168,7 +164,9 @@ _PLAN = f"""
     root AS (SELECT node, min(label) AS root FROM r GROUP BY node),
     keep AS (SELECT root, arg_min(work_id, peso) AS dst FROM root JOIN o_weights ON work_id = node GROUP BY root),
     mem AS (SELECT node AS src, dst FROM root JOIN keep USING (root)),
-    plan AS (SELECT dst, src, 1.0::DOUBLE AS similitud, 'auto' AS modo FROM mem WHERE src <> dst)"""
+    lnk AS (SELECT n, max(similitud) AS similitud FROM (SELECT a AS n, similitud FROM o_pairs UNION ALL SELECT b, similitud FROM o_pairs)
+            WHERE similitud >= 0.95 GROUP BY n),
+    plan AS (SELECT dst, src, similitud, 'auto' AS modo FROM mem JOIN lnk ON n = src WHERE src <> dst)"""
 
 
 def merge_inputs(t):
@@ -256,7 +254,7 @@ def _(t):
 check_view("o_site_tags", """
     SELECT o_custkey AS work_id, o_orderkey % 5 AS sitio_id,
            CASE o_orderkey % 4 WHEN 0 THEN 'Action' WHEN 1 THEN 'Comedia' WHEN 2 THEN 'Returner' ELSE 'Etiqueta propia' END AS t1,
-           CASE WHEN o_orderkey % 3 = 0 THEN 'Mystery' ELSE '' END AS t2, o_orderkey FROM orders WHERE o_orderstatus = 'P'""")
+           CASE WHEN o_orderkey % 3 = 0 THEN 'Mystery' ELSE '' END AS t2, o_orderkey FROM orders""")
 
 
 @query("j19_genre_of_series", f"""
@@ -274,5 +272,5 @@ def _(t):
         SELECT o_custkey AS work_id, o_orderkey % 5 AS sitio_id, array(
                  CASE o_orderkey % 4 WHEN 0 THEN 'Action' WHEN 1 THEN 'Comedia' WHEN 2 THEN 'Returner' ELSE 'Etiqueta propia' END,
                  CASE WHEN o_orderkey % 3 = 0 THEN 'Mystery' ELSE '' END) AS categorias
-        FROM {orders} WHERE o_orderstatus = 'P'""")
+        FROM {orders}""")
     return matching.genre_of_series(published(t), tags).withColumn("categorias", joined("categorias"))

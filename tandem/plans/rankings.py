@@ -103,10 +103,8 @@ check_view(
 
 
 @query("w5_related_works", """
-    WITH bucket AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY genero ORDER BY a DESC, titulo, work_id) AS rn
-                                   FROM o_tagged WHERE NOT adulta) WHERE rn <= 40),
-    sc AS (SELECT t.work_id, b.work_id AS otra, b.a, count(*) AS comunes FROM o_tagged t JOIN bucket b USING (genero)
-           WHERE t.work_id <> b.work_id GROUP BY t.work_id, b.work_id, b.a),
+    WITH sc AS (SELECT t.work_id, b.work_id AS otra, b.a, count(*) AS comunes FROM o_tagged t JOIN o_tagged b USING (genero)
+           WHERE t.work_id <> b.work_id AND NOT b.adulta GROUP BY t.work_id, b.work_id, b.a),
     chosen AS (SELECT * FROM (SELECT work_id, otra, row_number() OVER (PARTITION BY work_id
                                 ORDER BY a DESC, comunes DESC, otra) AS puesto FROM sc) WHERE puesto <= 6),
     ring AS (SELECT w.work_id, w.adulta, l.nivel = 'A' AS a, row_number() OVER (ORDER BY w.titulo, w.work_id) - 1 AS i,
@@ -219,8 +217,8 @@ def _(t):
 
 
 @query("w10_due_sources", """
-    SELECT source_id, work_id FROM (SELECT * FROM f_sources WHERE activa ORDER BY ultimo_scrape NULLS FIRST, source_id LIMIT 400)
-    WHERE epoch(TIMESTAMP '1999-06-01') - epoch(ultimo_scrape) >= CASE
+    SELECT source_id, work_id FROM f_sources
+    WHERE activa AND epoch(TIMESTAMP '1999-06-01') - epoch(ultimo_scrape) >= CASE
             WHEN epoch(TIMESTAMP '1999-06-01') - epoch(ultimo_cambio) < 7 * 86400 THEN 86400
             WHEN epoch(TIMESTAMP '1999-06-01') - epoch(ultimo_cambio) < 30 * 86400 THEN 3 * 86400
             ELSE 7 * 86400 END - 7200""")
@@ -235,7 +233,7 @@ def _(t):
             WHEN epoch(TIMESTAMP '1999-06-01') - epoch(ultimo_cambio) < 30 * 86400 THEN 3 * 86400
             ELSE 7 * 86400 END - 7200 GROUP BY site_id""")
 def _(t):
-    due = ranking.due_sources(t.sources, VISIT_NOW, limit=None)
+    due = ranking.due_sources(t.sources, VISIT_NOW)
     return due.groupBy("site_id").agg(F.count("*").alias("n"))
 
 

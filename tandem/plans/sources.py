@@ -12,7 +12,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.text import text_hash
+from tandem.functions.text import text_hash, text_key
+from tandem.operators import enrichment
 from tandem.operators.catalog_text import joined
 from tandem.plans.rankings import published
 from tandem.plans.registry import check_view, query
@@ -574,5 +575,7 @@ def _(t):
 def _(t):
     docs = t.base("documents").select("doc_id", "text", text_hash("text").alias("hash"))
     files = docs.select(F.to_json(F.create_map("hash", F.create_map(F.lit("es"), "text"))).alias("value"))
-    cache = catalog.read_translation_cache(files).dropDuplicates(["hash", "idioma"])
-    return docs.select("doc_id", "hash").join(cache, "hash").select("doc_id", F.md5("texto").alias("huella"))
+    imported = catalog.read_translation_cache(files)
+    cache = enrichment.unique_cache(enrichment.bind_cache(imported, docs.select(F.col("text").alias("texto"))))
+    keyed = docs.select("doc_id", text_key("text").alias("clave"))
+    return keyed.join(cache, "clave").select("doc_id", F.md5("texto").alias("huella"))

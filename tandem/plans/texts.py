@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
 from tandem.functions import text
-from tandem.functions.text import TITLE_PREFIX_SQL
+from tandem.functions import prose
+from tandem.functions.text import TITLE_PREFIX_SQL, text_hash
 from tandem.operators import catalog_text as ct
 from tandem.operators import rollup
 from tandem.plans.registry import check_view, query
@@ -211,13 +212,9 @@ def _(t):
 
 @query("i9_document_title_language", f"""
     SELECT doc_id, {title_language_sql('t')} AS idioma_titulo FROM (
-      SELECT doc_id, t, regexp_extract_all(lower(strip_accents(t)), '[a-z]+') AS ws FROM (
-        SELECT doc_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:8], ' ') AS t FROM documents))""")
+      SELECT doc_id, text AS t, regexp_extract_all(lower(strip_accents(text)), '[a-z]+') AS ws FROM documents)""")
 def _(t):
-    from tandem.functions import prose
-
-    title = F.array_join(F.slice(F.split(F.col("text"), r"\s+"), 1, 8), " ")
-    return t.base("documents").select("doc_id", title.alias("t")).select("doc_id", prose.title_language("t").alias("idioma_titulo"))
+    return t.base("documents").select("doc_id", prose.title_language("text").alias("idioma_titulo"))
 
 
 check_view("o_second_names", """
@@ -379,7 +376,7 @@ def _(t):
     FROM u""")
 def _(t):
     rows = ct.translation_keys(t.base("documents"), "doc_id", "text").where("parrafo <> ''")
-    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "hash")
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), text_hash("parrafo").alias("hash"))
 
 
 @query("i18_sentences", """

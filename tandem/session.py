@@ -23,6 +23,10 @@ def build_session(app: str = "tandem", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # rows that go to Python may be whole pages
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        # checkpoints go when nothing refers to them any more; run folders are for the owner of the folder to remove
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():

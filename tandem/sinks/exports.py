@@ -6,9 +6,10 @@ executors, one folder per file, and never pass rows through the driver.
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
@@ -51,7 +52,7 @@ def chapter_sitemap_shards(
 def work_sitemap_rows(
     works: DataFrame, levels: DataFrame, activity: DataFrame, english: DataFrame, covered: DataFrame, site: str
 ) -> DataFrame:
-    """Sitemap entries of tier A and B works in each language they exist in."""
+    """Sitemap entries of the hub pages, and of tier A and B works in each language they exist in."""
     w = (
         works.select("work_id", "slug")
         .join(levels.where("nivel IN ('A', 'B')"), "work_id")
@@ -70,13 +71,25 @@ def work_sitemap_rows(
         F.col("_img") & ~F.col("_page").endswith("equivalencia/"),
         F.concat(F.lit(site + "/portada/"), F.col("slug"), F.lit(".jpg")),
     ).otherwise("")
-    return w.select(
+    entries = w.select(
         F.when(F.col("_lang") == "en", en).otherwise(es).alias("loc"),
         F.coalesce(F.date_format("cuando", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")).alias("lastmod"),
         F.when(F.col("nivel") == "A", "1.0").otherwise("0.5").alias("prioridad"),
         alternates.alias("alternas"),
         F.coalesce(image, F.lit("")).alias("imagen"),
     )
+    return hub_sitemap_rows(works.sparkSession, site).unionByName(entries)
+
+
+def hub_sitemap_rows(spark: SparkSession, site: str) -> DataFrame:
+    """Entries of the pages that list works: the home pages first, then the lists people look for."""
+    path = F.regexp_replace("loc", f"^{re.escape(site)}", "")
+    home, lists = path.rlike(r"^/([a-z]{2}/?)?$"), path.rlike(r"/(series|rankings|novedades|titulos)(/|$)")
+    hubs = small_table(spark, [(site + p,) for p in fv.HUB_PAGES], "loc string")
+    return hubs.select(
+        "loc", F.lit("").alias("lastmod"), F.when(home, "1.0").when(lists, "0.8").otherwise("").alias("prioridad"),
+        F.lit("").alias("alternas"), F.lit("").alias("imagen"),
+    )
 
 
 def xml_escape(c: Column) -> Column:
@@ -85,13 +98,39 @@ def xml_escape(c: Column) -> Column:
     return c
 
 
+def _shards(rows: DataFrame) -> DataFrame:
+    """The shards there are, and shard 0 even for an empty catalogue."""
+    first = small_table(rows.sparkSession, [(0,)], "shard int")
+    return rows.select("shard").union(first).distinct()
+
+
+def sitemap_manifest(rows: DataFrame, site: str) -> DataFrame:
+    """The ``Sitemap:`` lines of the robots file: the index, then one line per shard, in order."""
+    index = small_table(rows.sparkSession, [(0, f"Sitemap: {site}/sitemap-index.xml")], "orden int, linea string")
+    number = F.col("shard") + 1
+    lines = F.concat(F.lit(f"Sitemap: {site}/sitemap-capitulos-"), number.cast("string"), F.lit(".xml"))
+    return index.unionByName(_shards(rows).select(number.alias("orden"), lines.alias("linea")))
+
+
+def sitemap_files(rows: DataFrame, site: str) -> DataFrame:
+    """The text of each shard's file: its URLs in order, in one ``urlset``. A shard holds a fixed number of rows."""
+    url = F.concat(F.lit("<url><loc>"), xml_escape(F.concat(F.lit(site), F.col("ruta"))), F.lit("</loc></url>"))
+    listed = rows.select("shard", F.struct("puesto", url.alias("url")).alias("u")).groupBy("shard").agg(
+        F.array_sort(F.collect_list("u")).alias("us")
+    )
+    urls = F.coalesce(F.transform("us", lambda u: u["url"]), F.array().cast("array<string>"))
+    text_ = F.array_join(F.concat(F.array(F.lit(fv.URLSET_OPEN)), urls, F.array(F.lit(fv.URLSET_CLOSE))), "\n")
+    return _shards(rows).join(listed, "shard", "left").select("shard", text_.alias("value"))
+
+
 def write_sitemap_shards(rows: DataFrame, site: str, path: str) -> None:
-    """One folder of lines per shard; an empty catalogue still gets shard 0."""
-    line = F.concat(F.lit("<url><loc>"), xml_escape(F.concat(F.lit(site), F.col("ruta"))), F.lit("</loc></url>"))
-    lines = rows.select("shard", line.alias("value"))
-    if not rows.limit(1).count():
-        lines = lines.sparkSession.createDataFrame([(0, "")], "shard int, value string")
-    lines.write.mode("overwrite").partitionBy("shard").text(path)
+    """One file per shard, in a folder of its own; an empty catalogue still gets shard 0."""
+    sitemap_files(rows, site).write.mode("overwrite").partitionBy("shard").text(path)
+
+
+def write_manifest(rows: DataFrame, site: str, path: str) -> None:
+    """The lines of ``sitemap_manifest`` as one file: there are as many as files."""
+    sitemap_manifest(rows, site).coalesce(1).sortWithinPartitions("orden").select("linea").write.mode("overwrite").text(path)
 
 
 # ---- feed, search index, published maps -----------------------------------------------
@@ -128,7 +167,7 @@ def feed_xml(items: DataFrame) -> DataFrame:
 
 
 def search_index(works: DataFrame, formats: DataFrame, covered: DataFrame) -> DataFrame:
-    """Slug, title, up to four other names, cover and formats of every work."""
+    """Slug, title, all other names, cover and formats of every work."""
     w = works.join(formats.select("work_id", "formatos"), "work_id", "left").join(
         covered.select("work_id", F.lit(True).alias("_img")), "work_id", "left"
     )
@@ -137,7 +176,7 @@ def search_index(works: DataFrame, formats: DataFrame, covered: DataFrame) -> Da
     return w.select(
         F.col("slug").alias("s"),
         F.col("titulo").alias("t"),
-        F.slice("titulos_alternativos", 1, 4).alias("a"),
+        F.col("titulos_alternativos").alias("a"),
         cover.alias("p"),
         F.coalesce("formatos", stated).alias("f"),
     )
@@ -151,6 +190,11 @@ def level_a_slugs(works: DataFrame, levels: DataFrame) -> DataFrame:
     return works.join(levels.where("nivel = 'A'"), "work_id", "left_semi").select("slug")
 
 
+def linkout_ids(chapters: DataFrame) -> DataFrame:
+    """Ids of the sources that only link to a series, for the functions that serve pages."""
+    return linkout_sources(chapters).select("source_id").distinct()
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

@@ -176,46 +176,56 @@ def text_at(item: Node, place: str) -> str:
     return (node.attrs.get(attribute, "") if attribute else node.text()).strip()
 
 
-def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for r in frame.itertuples(index=False):
-            for pos, item in enumerate(parse(r.html).select(r.elemento)):
-                link = item.first(r.enlace) if r.enlace else item
-                attrs = link.attrs if link is not None else {}
-                title = ""
-                own = next((t for t in (text_at(item, s) for s in r.titulo.split(",")) if t), "")
-                candidates = []
-                for name in filter(None, (a.strip() for a in r.atributos.split(","))):
-                    if ":" in name:
-                        tag, attribute = name.split(":")
-                        inner = item.first(tag)
-                        candidates.append(inner.attrs.get(attribute, "") if inner else "")
-                    else:
-                        candidates.append(attrs.get(name, ""))
-                text = link.text().strip() if link is not None and r.enlace else ""
-                if r.para == "series":
-                    order = [*candidates, own, text if not r.atributos else ""]
-                else:
-                    order = [own, *candidates, text.split("\n")[0].strip() if r.atributos else text]
-                title = next((t.strip() for t in order if t.strip()), "")
-                href = attrs.get("href", "")
-                rows.append((
-                    r.url, r.tema, int(r.reserva), pos, title, href, urljoin(r.url, href) if href else "", cover_in(item),
-                    text_at(item, r.fecha), item.attrs.get(r.numero, "") if r.numero else "",
-                ))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+def _title(item: Node, link: Node | None, rule: dict, para: str) -> str:
+    """The first title that the rule's places give."""
+    own = next((t for t in (text_at(item, s) for s in rule["titulo"].split(",")) if t), "")
+    candidates = []
+    for name in filter(None, (a.strip() for a in rule["atributos"].split(","))):
+        tag, _, attribute = name.rpartition(":")
+        holder = item.first(tag) if tag else link
+        candidates.append(holder.attrs.get(attribute, "") if holder is not None else "")
+    text = link.text().strip() if link is not None and rule["enlace"] else ""
+    if para == "series":
+        order = [*candidates, own, text if not rule["atributos"] else ""]
+    else:
+        order = [own, *candidates, text.split("\n")[0].strip() if rule["atributos"] else text]
+    return next((t.strip() for t in order if t.strip()), "")
+
+
+_PAGES = 200  # pages whose items are handed on together
+
+
+def _items(para: str):
+    """Items of each page by all rules of its theme; a page is parsed once."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), _PAGES):
+                rows = []
+                for r in frame.iloc[start : start + _PAGES].itertuples(index=False):
+                    root = parse(r.html)
+                    for rule in r.reglas:
+                        for pos, item in enumerate(root.select(rule["elemento"])):
+                            link = item.first(rule["enlace"]) if rule["enlace"] else item
+                            href = link.attrs.get("href", "") if link is not None else ""
+                            rows.append((
+                                r.url, r.tema, int(rule["reserva"]), pos, _title(item, link, rule, para), href,
+                                urljoin(r.url, href) if href else "", cover_in(item), text_at(item, rule["fecha"]),
+                                item.attrs.get(rule["numero"], "") if rule["numero"] else "",
+                            ))
+                yield pd.DataFrame(rows, columns=names)
+
+    return run
 
 
 def _extract(pages: DataFrame, sites: DataFrame, rules: DataFrame, para: str) -> DataFrame:
     """Raw items of each page. ``pages``: url, html. ``sites``: host, tema (one row per host)."""
-    ruled = (
-        pages.select("url", "html", host_of("url").alias("host"))
-        .join(sites.select("host", "tema"), "host")
-        .join(rules.where(F.col("para") == para), "tema")
-    )
-    fields = ["url", "html", "tema", "para", "elemento", "enlace", "titulo", "atributos", "fecha", "numero", "reserva"]
-    return ruled.select(*fields).mapInPandas(_found, FOUND)
+    fields = ["elemento", "enlace", "titulo", "atributos", "fecha", "numero", "reserva"]
+    # the few rules of a theme
+    by_theme = rules.where(F.col("para") == para).groupBy("tema").agg(F.collect_list(F.struct(*fields)).alias("reglas"))
+    ruled = pages.select("url", "html", host_of("url").alias("host")).join(sites.join(by_theme, "tema"), "host")
+    return ruled.select("url", "html", "tema", "reglas").mapInPandas(_items(para), FOUND)
 
 
 def extract_series(pages: DataFrame, sites: DataFrame, rules: DataFrame) -> DataFrame:

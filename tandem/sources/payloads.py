@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
 from tandem.functions.text import chapter_number, trim_type_marks
+from tandem.operators.distributed import one_per_key
 
 LOCALIZED = """data array<struct<id:string, attributes:struct<title:map<string,string>, altTitles:array<map<string,string>>,
   status:string, tags:array<struct<attributes:struct<`group`:string, name:map<string,string>>>>>,
@@ -150,16 +151,14 @@ def feed_chapters(documents: DataFrame, web: str) -> DataFrame:
     ``documents``: serie, doc (page of the feed), json. Entries without a number keep their own key.
     """
     rows = _rows(documents, FEED, "data").select("serie", "doc", "pos", "e.id", "e.attributes")
-    key = F.coalesce("attributes.chapter", F.concat(F.lit("x-"), "id"))
-    first = rows.groupBy("serie", key.alias("clave")).agg(
-        F.min_by(F.struct("id", "attributes"), F.struct("doc", "pos")).alias("f")
-    )
-    a = F.col("f.attributes")
+    keyed = rows.withColumn("clave", F.coalesce("attributes.chapter", F.concat(F.lit("x-"), "id")))
+    first = one_per_key(keyed, ["serie", "clave"], F.col("doc").cast("bigint") * 2**32 + F.col("pos"), largest=False)
+    a = F.col("attributes")
     number = F.nullif(F.floor(a["chapter"].try_cast("double")).cast("int"), F.lit(0))
     fallback = F.concat(F.lit("Capítulo "), F.coalesce(a["chapter"], F.lit("?")))
     return first.select(
         "serie", number.alias("numero"), F.coalesce(_text(a["title"]), fallback).alias("titulo"),
-        F.concat(F.lit(f"{web}/chapter/"), "f.id").alias("url"), F.substring(a["publishAt"], 1, 10).alias("fecha_texto"),
+        F.concat(F.lit(f"{web}/chapter/"), "id").alias("url"), F.substring(a["publishAt"], 1, 10).alias("fecha_texto"),
     )
 
 

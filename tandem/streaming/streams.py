@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tandem.operators.distributed import one_per_key, order_number
 from tandem.operators.incremental import activity_windows, apply_changes, growth, rate_limit
+from tandem.operators.votes import PAIR
 from tandem.session import shared_dir
-from tandem.sinks.exports import write_snapshot
-from tandem.sources.catalog import latest_snapshot
+from tandem.streaming.keyed_state import KeyedState
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 200) -> DataFrame:
@@ -30,6 +32,12 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: i
     )
 
 
+def folder_stream(spark: SparkSession, path: str, files_per_batch: int = 200) -> DataFrame:
+    """A folder that is a Parquet table as a stream, oldest files first."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
 def run_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
 
@@ -65,15 +73,19 @@ def activity_stream(changes: DataFrame, late: str = "1 day", size: str = "1 day"
 
 
 def session_stream(progress: DataFrame, late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
-    """Reading sessions that have ended. ``progress``: user_id, ts, capitulo."""
+    """Reading sessions that have ended, with the chapters read. ``progress``: user_id, ts, capitulo."""
     sessions = progress.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w"))
-    return sessions.agg(F.count("*").alias("n"), F.max("ts").alias("ultima")).select(
-        "user_id", F.col("w.start").alias("inicio"), "ultima", "n"
+    read = F.array_sort(F.collect_set("capitulo")).alias("capitulos")
+    return sessions.agg(F.count("*").alias("n"), F.max("ts").alias("ultima"), read).select(
+        "user_id", F.col("w.start").alias("inicio"), "ultima", "n", "capitulos"
     )
 
 
 # ---- chapters ---------------------------------------------------------------------------
 
+_KEY_BUCKETS = 64
+
+
 def new_chapters_stream(chapters: DataFrame, late: str = "7 days") -> DataFrame:
     """First arrival of each chapter (source, MD5 of URL) within the watermark."""
     keyed = chapters.withColumn("url_md5", F.md5("url")).withWatermark("visto_en", late)
@@ -81,97 +93,95 @@ def new_chapters_stream(chapters: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def insert_chapters(chapters: DataFrame, folder: str) -> None:
-    """New chapters appended to ``folder``/rows; a batch that runs again replaces its own part only."""
+    """New chapters appended to ``folder``/rows; a batch that runs again replaces its own part only.
+
+    Rows lie in buckets by a hash of their key, which the join prunes; of earlier batches only the keys are read.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = _rows_before(spark, folder, number)
-        fresh = batch.dropDuplicates(["source_id", "url_md5"])
+        key = ["cubo", "source_id", "url_md5"]
+        bucket = F.pmod(F.xxhash64("source_id", "url_md5"), F.lit(_KEY_BUCKETS)).cast("int")
+        fresh = one_per_key(batch, ["source_id", "url_md5"], F.unix_micros("visto_en"), largest=False).withColumn("cubo", bucket)
+        known = _rows_before(fresh, folder, number)
         if known is not None:
-            fresh = fresh.join(known.select("source_id", "url_md5"), ["source_id", "url_md5"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+            fresh = fresh.join(known.select(*key), key, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("cubo").parquet(f"{folder}/rows/batch={number}")
 
     store_with(new_chapters_stream(chapters), folder, write)
 
 
-def _rows_before(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(f"{folder}/rows")
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+def _rows_before(like: DataFrame, folder: str, number: int) -> DataFrame | None:
+    """Rows of the batches before this one; None for the first. Later folders are left from a run that died."""
+    if not number:
         return None
-    done = [str(s.getPath().getName()) for s in fs.listStatus(root)]
-    parts = [f"{folder}/rows/{d}" for d in done if d.startswith("batch=") and int(d[6:]) < number
-             and fs.exists(hadoop.Path(f"{folder}/rows/{d}/_SUCCESS"))]
-    return spark.read.parquet(*parts) if parts else None
+    spark = like.sparkSession
+    return spark.read.schema(like.schema.add("batch", T.IntegerType())).parquet(f"{folder}/rows").where(F.col("batch") < number)
 
 
-def _stamp(number: int) -> datetime:
-    """Version of a batch: sorts after those of all earlier batches."""
-    return datetime.fromtimestamp(number + 1, tz=timezone.utc).replace(tzinfo=None)
+# ---- tables kept by key -----------------------------------------------------------------
 
-
-def apply_changes_stream(changes: DataFrame, folder: str, columns: list[str]) -> None:
-    """A stream of changed rows (borrado marks tombstones) kept as versioned snapshots in ``folder``/snapshot.
-
-    Every batch reads the newest complete version and writes the next one, named
-    by the batch number, so a batch that runs twice writes the same version.
-    """
-    path = f"{folder}/snapshot"
+def apply_changes_stream(changes: DataFrame, folder: str, columns: list[str]) -> KeyedState:
+    """A stream of changed rows (borrado marks tombstones) kept as a table by id in ``folder``/snapshot."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.select(*columns).schema)
+    state = KeyedState(changes.sparkSession, f"{folder}/snapshot", ["id"], schema)
     start = datetime(1970, 1, 1)
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stamp = _stamp(number)
-        found = latest_snapshot(spark, path)
-        if found is not None and found[1]["hasta"] >= stamp:
-            return  # this version is complete already
-        live = batch.where("NOT borrado")
+    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
         dead = batch.where("borrado").select("id", F.col("modificado_en").alias("borrado_en"))
-        state = found[0] if found is not None else live.limit(0).select(*columns)
-        write_snapshot(apply_changes(state, live, dead, start), path, stamp, stamp)
-
-    store_with(changes, folder, write)
+        return apply_changes(current, batch.where("NOT borrado"), dead, start)
 
+    store_with(changes, folder, lambda batch, number: state.update(batch, number, merge))
+    return state
 
-# ---- votes ------------------------------------------------------------------------------
 
-def rate_limit_stream(votes: DataFrame, folder: str, limit: int = 10, max_group: int = 50_000) -> None:
-    """Accepted votes in ``folder``/rows, batch by batch.
+def latest_votes_stream(votes: DataFrame, folder: str) -> KeyedState:
+    """One vote per work, chapter and reader, the last one, kept by key in ``folder``/votes.
 
-    A batch is decided by the batch operator with the votes accepted in the 24
-    hours before it, so a reader with very many votes is split there as well.
-    ``votes``: user_id, id, creada_en.
+    ``votes``: id, work_id, capitulo_manhwa, user_id, capitulo_novela, creada_en.
     """
+    columns = ["id", *PAIR, "user_id", "capitulo_novela", "creada_en"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in votes.select(*columns).schema)
+    state = KeyedState(votes.sparkSession, f"{folder}/votes", [*PAIR, "user_id"], schema)
 
-    def write(batch: DataFrame, number: int) -> None:
-        before = _rows_before(batch.sparkSession, folder, number)
-        if before is not None:
-            first = batch.agg(F.min("creada_en")).first()[0]
-            before = before.where(F.col("creada_en") > F.lit(first) - F.expr("INTERVAL 24 HOURS"))
-        kept = rate_limit(batch, limit, max_group, before).where("aceptado").drop("aceptado")
-        kept.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
+        at = order_number(F.unix_micros("creada_en"), F.col("id"))
+        rows = current.unionByName(batch.select(*columns))
+        return rows.groupBy(*PAIR, "user_id").agg(
+            F.max_by("id", at).alias("id"), F.max_by("capitulo_novela", at).alias("capitulo_novela"),
+            F.max("creada_en").alias("creada_en"),
+        )
 
-    store_with(votes, folder, write)
+    store_with(votes, folder, lambda batch, number: state.update(batch, number, merge))
+    return state
 
 
-def latest_votes_stream(votes: DataFrame) -> DataFrame:
-    """Running state of one vote per work, chapter and reader (update mode)."""
-    last = F.max_by("capitulo_novela", F.struct("creada_en", "id"))
-    return votes.groupBy("work_id", "capitulo_manhwa", "user_id").agg(
-        last.alias("capitulo_novela"), F.max("creada_en").alias("creada_en")
-    )
+def growth_stream(visits: DataFrame, folder: str) -> KeyedState:
+    """State of every source after each batch of visits, kept by source in ``folder``/state_of_sources."""
+    schema = "source_id bigint, ultimo_scrape timestamp, n_caps bigint, ultimo_cambio timestamp"
+    state = KeyedState(visits.sparkSession, f"{folder}/state_of_sources", ["source_id"], schema)
+    store_with(visits, folder, lambda batch, number: state.update(batch, number, lambda known, new: growth(new, known)))
+    return state
+
 
+# ---- votes ------------------------------------------------------------------------------
+
+def rate_limit_stream(votes: DataFrame, folder: str, limit: int = 10) -> None:
+    """Accepted votes in ``folder``/rows, batch by batch.
 
-def growth_stream(visits: DataFrame, folder: str) -> None:
-    """State of every source after each batch of visits, as versions in ``folder``/state_of_sources."""
-    path = f"{folder}/state_of_sources"
+    A batch is decided by the batch operator with the votes accepted in the 24 hours around it, which lie in folders by
+    day. ``votes``: user_id, id, creada_en. A batch without votes writes nothing; a vote that comes late is judged by
+    the accepted votes of the 24 hours before it, and those accepted since stay accepted.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        stamp = _stamp(number)
-        found = latest_snapshot(batch.sparkSession, path)
-        if found is not None and found[1]["hasta"] >= stamp:
-            return  # this version is complete already
-        write_snapshot(growth(batch, None if found is None else found[0]), path, stamp, stamp)
+        dated = batch.withColumn("dia", F.to_date("creada_en"))
+        first, last = batch.agg(F.min("creada_en"), F.max("creada_en")).first()
+        before = _rows_before(dated, folder, number) if first is not None else None
+        if before is not None:
+            day = timedelta(days=1)
+            before = before.where(F.col("dia").between(F.lit(first - day).cast("date"), F.lit(last).cast("date")))
+            before = before.where(F.col("creada_en") > F.lit(first - day))
+        kept = rate_limit(dated, limit, before).where("aceptado").drop("aceptado")
+        kept.write.mode("overwrite").partitionBy("dia").parquet(f"{folder}/rows/batch={number}")
 
-    store_with(visits, folder, write)
+    store_with(votes, folder, write)

@@ -1,10 +1,13 @@
 """Operator cases: interpolation, tiers, matching, merging, extraction, requests, covers, enrichment."""
 
+import random
 from datetime import datetime
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
+from tandem.functions import text
 from tandem.operators import covers, enrichment, gap, levels, matching, merging, requests, visibility, votes, work_pages
 from tandem.sinks import exports
 from tandem.sources import listings, markup, payloads, robots, sitemaps
@@ -409,7 +412,7 @@ def test_translated_title_counts_only_when_the_title_fails(spark):
 
 def test_failed_translation_batches_stay_missing(spark):
     texts = spark.createDataFrame([(f"texto {i}", "es") for i in range(30)] + [("roto", "es")], "texto string, origen string")
-    cache = spark.createDataFrame([], "hash string, idioma string, texto string")
+    cache = spark.createDataFrame([], "clave string, idioma string, texto string")
 
     def translate(batch, source, target):
         if "roto" in batch:
@@ -419,17 +422,101 @@ def test_failed_translation_batches_stay_missing(spark):
     done = enrichment.incremental_translate(texts.repartition(1), cache, ["es", "en"], translate, batch=5)
     rows = done.collect()
     assert 0 < len(rows) < 31 and all(r.idioma == "en" and r.texto.startswith("en:") for r in rows)
-    left = enrichment.missing_translations(texts, spark.createDataFrame(rows, "hash string, idioma string, texto string"), ["es", "en"])
+    kept = spark.createDataFrame(rows, "clave string, hash string, idioma string, texto string")
+    left = enrichment.missing_translations(texts, kept, ["es", "en"])
     assert left.count() == 31 - len(rows) and left.where("texto = 'roto'").count() == 1
 
 
+def colliding():
+    """Two short texts with one 32-bit hash, found by trying."""
+    seen = {}
+    for i in range(400_000):
+        text = f"texto {i} de {i * 7919 % 1000003}"
+        h = 0x811C9DC5
+        for c in text.encode():
+            h = ((h ^ c) * 0x01000193) & 0xFFFFFFFF
+        if h in seen:
+            return seen[h], text
+        seen[h] = text
+    raise AssertionError("no pair found")
+
+
+def test_texts_of_one_hash_are_told_apart(spark):
+    a, b = colliding()
+    pair = spark.createDataFrame([(a,), (b,)], "texto string").withColumn("hash", text.text_hash("texto"))
+    assert pair.select("hash").distinct().count() == 1
+    works = spark.createDataFrame([(1, f"{a}\n\n{b}"), (2, b)], "work_id bigint, sinopsis string")
+    only_a = pair.where(F.col("texto") == a).select(text.text_key("texto").alias("clave"), F.lit("en").alias("idioma"), F.lit("A").alias("texto"))
+    twice = only_a.union(only_a.withColumn("texto", F.lit("")))
+    got = {r.work_id: (r.sinopsis, r.traducidos) for r in enrichment.translate_lookup(works, twice, "en", "work_id", "sinopsis").collect()}
+    assert got == {1: (f"A\n\n{b}", 1), 2: (b, 0)}
+    texts = pair.select("texto", F.lit("es").alias("origen"))
+    assert [r.texto for r in enrichment.missing_translations(texts, only_a, ["es", "en"]).collect()] == [b]
+    share = {r.idioma: r.cobertura for r in enrichment.coverage(texts, only_a, ["es", "en"], ["es"]).collect()}
+    assert share == {"es": 1.0, "en": 0.5}
+    # an imported row does not say which of the two it translates
+    imported = pair.limit(1).select("hash", F.lit("en").alias("idioma"), F.lit("X").alias("texto"))
+    assert enrichment.bind_cache(imported, texts).count() == 0
+    assert enrichment.bind_cache(imported, texts.where(F.col("texto") == a)).count() == 1
+
+
+def test_long_titles_are_compared_exactly(spark):
+    """Against all pairs, at 5, 30 and 200 words; the number of join keys stays in proportion."""
+    rng = random.Random(9)
+    titles = []
+    for size in (5, 30, 200):
+        for g in range(6):
+            base = [f"palabra{rng.randrange(10**6)}x" for _ in range(size)]
+            for c in range(5):
+                ws = list(base)
+                ws[c] = f"nueva{g}{size}{c}x"  # no two titles have the same words
+                for _ in range(rng.randrange(size // 6 + 1)):
+                    ws[rng.randrange(size)] = f"otra{rng.randrange(10**6)}x"
+                titles.append((len(titles), " ".join(ws)))
+    sets = [(i, set(t.split())) for i, t in titles]
+    want = {(i, j) for i, x in sets for j, y in sets if i < j and len(x & y) >= 0.8 * len(x | y)}
+    names = spark.createDataFrame(titles, "work_id bigint, nombre string")
+    got = {(r.a, r.b) for r in merging.dup_pairs_by_words(names).collect()}
+    assert got == want
+    words = matching.title_sets(names, "work_id")
+    keys = matching._exact_keys(words, matching.word_postings(words), 0.8).groupBy("words").count()
+    assert keys.where(F.col("count") > 4 * F.size("words")).count() == 0
+
+
+def test_keys_that_many_titles_share_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(matching, "_HOT_KEY", 3)
+    titles = [(i, f"alpha beta gamma delta epsilon zeta theta kappa word{i}") for i in range(40)]
+    got = merging.dup_pairs_by_words(spark.createDataFrame(titles, "work_id bigint, nombre string"))
+    assert got.count() == 40 * 39 // 2
+
+
+def test_merges_state_their_similarity(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.97), (2, 3, 0.99), (4, 5, 0.9)], "a bigint, b bigint, similitud double")
+    weights = spark.createDataFrame([(i, i) for i in range(1, 6)], "work_id bigint, peso int")
+    got = {(r.dst, r.src): (r.similitud, r.modo) for r in merging.merge_plan(pairs, weights).collect()}
+    assert got == {(1, 2): (0.99, "auto"), (1, 3): (0.99, "auto"), (4, 5): (0.9, "manual")}
+
+
 def test_sitemap_files_and_pins_are_written(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, "/novela/a&b/capitulo-2"), (2, 1, "/novela/x/capitulo-1")], "puesto int, shard int, ruta string")
     exports.write_sitemap_shards(rows, "https://s.test", f"{tmp_path}/map")
-    back = spark.read.text(f"{tmp_path}/map/shard=0").collect()
-    assert [r.value for r in back] == ["<url><loc>https://s.test/novela/a&amp;b/capitulo-2</loc></url>"]
+    exports.write_manifest(rows, "https://s.test", f"{tmp_path}/robots")
+    files = {p.parent.name: p for p in (tmp_path / "map").glob("shard=*/*.txt")}
+    space = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
+    locs = {k: [u.find(f"{space}loc").text for u in ElementTree.parse(p).getroot().iter(f"{space}url")] for k, p in files.items()}
+    assert len(list((tmp_path / "map").glob("shard=*/*.txt"))) == 2
+    assert locs == {"shard=0": ["https://s.test/novela/a&b/capitulo-2"], "shard=1": ["https://s.test/novela/x/capitulo-1"]}
+    assert [r.value for r in spark.read.text(f"{tmp_path}/robots").collect()] == [
+        "Sitemap: https://s.test/sitemap-index.xml", "Sitemap: https://s.test/sitemap-capitulos-1.xml",
+        "Sitemap: https://s.test/sitemap-capitulos-2.xml",
+    ]
+    many = spark.createDataFrame([(i, 0, f"/n/{i}") for i in range(1, 400)], "puesto int, shard int, ruta string").repartition(9)
+    exports.write_sitemap_shards(many, "", f"{tmp_path}/many")
+    (only,) = (tmp_path / "many").glob("shard=0/*.txt")
+    assert [u.find(f"{space}loc").text for u in ElementTree.parse(only).getroot()] == [f"/n/{i}" for i in range(1, 400)]
     exports.write_sitemap_shards(rows.limit(0), "https://s.test", f"{tmp_path}/empty")
-    assert spark.read.text(f"{tmp_path}/empty").count() == 1
+    (empty,) = (tmp_path / "empty").glob("shard=0/*.txt")
+    assert len(ElementTree.parse(empty).getroot()) == 0
     pin = spark.createDataFrame([("s", 0, 'Dice "hola", x', "m", "b", "d\nd", "l", "p", "k")],
                                 "slug string, file int, title string, media_url string, board string, description string, link string, publish_date string, keywords string")
     exports.write_pins(pin, f"{tmp_path}/pins", f"{tmp_path}/ledger")

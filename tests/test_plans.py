@@ -1,13 +1,14 @@
 """Plans: what reaches the scan, how often data moves."""
 
 import re
+from datetime import datetime
 
 import pytest
 
-from tandem.operators import gap, rollup, votes
+from tandem.operators import covers, gap, incremental, rollup, votes, work_pages
 from tandem.plans.fixtures import Tables
 from tandem.session import small_table
-from tandem.sources import catalog
+from tandem.sources import catalog, payloads
 
 
 def plan(df):
@@ -48,3 +49,42 @@ def test_fixed_tables_have_a_known_size(spark, stored):
     names = small_table(spark, [("manhwa", "comic"), ("novela", "prose")], "tipo string, kind string")
     text = plan(catalog.read_chapters(spark, stored).join(names, "tipo"))
     assert "BroadcastHashJoin" in text and "BuildRight" in text
+
+
+def aggregates_by_hash(df):
+    text = plan(df)
+    return "SortAggregate" not in text and "HashAggregate" in text
+
+
+def test_facts_of_sources_aggregate_by_hash(spark, stored, sf_dir):
+    chapters = catalog.read_chapters(spark, stored)
+    assert aggregates_by_hash(rollup.source_facts(chapters))
+    assert aggregates_by_hash(rollup.source_rollup(chapters, Tables(spark, sf_dir).sources))
+
+
+def test_incremental_operators_aggregate_by_hash(spark, stored, sf_dir):
+    t = Tables(spark, sf_dir)
+    chapters = spark.read.parquet(stored)
+    state = chapters.select("id", "source_id", "numero", "titulo", "url")
+    changed = chapters.select("id", "source_id", "numero", "titulo", "url", "aprobado", chapters.visto_en.alias("modificado_en"))
+    dead = chapters.select("id", chapters.visto_en.alias("borrado_en"))
+    assert aggregates_by_hash(incremental.apply_changes(state, changed, dead, datetime(1999, 1, 1)))
+    assert aggregates_by_hash(incremental.insert_new_chapters(state, state))
+    works = spark.createDataFrame([("a", "A", 1)], "slug string, titulo string, orden int")
+    assert aggregates_by_hash(incremental.upsert_works(works.drop("orden"), works))
+    assert aggregates_by_hash(votes.upsert_votes(t.votes))
+    feed = spark.createDataFrame([("s", 0, "{}")], "serie string, doc int, json string")
+    assert aggregates_by_hash(payloads.feed_chapters(feed, "https://w.test"))
+
+
+def test_frames_only_grow(spark, stored, sf_dir):
+    """A frame that ends at the last row is worked out anew for every row."""
+    chapters, anchors = catalog.read_chapters(spark, stored), Tables(spark, sf_dir).anchors
+    for df in (votes.manhwa_to_novel(chapters, anchors), work_pages.chapter_pages(chapters, anchors)):
+        assert "unboundedfollowing" not in plan(df).lower()
+
+
+def test_covers_are_numbered_without_a_global_order(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    text = plan(covers.cover_candidates(t.works, t.sources))
+    assert "rangepartitioning" not in text and "Scan ExistingRDD" not in text

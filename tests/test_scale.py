@@ -69,6 +69,24 @@ def test_chains_and_cycles_of_redirects(spark):
     links = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("p", "q"), ("q", "p")]
     got = dict(d.follow_chains(spark.createDataFrame(links, "s string, d string"), "s", "d").collect())
     assert got == {"a": "d", "b": "d", "c": "d", "x": "y"}
+    # an odd cycle, what leads to it, and a long chain beside it
+    links = [("p", "q"), ("q", "r"), ("r", "p"), ("s", "p")] + [(f"n{i}", f"n{i + 1}") for i in range(37)]
+    got = dict(d.follow_chains(spark.createDataFrame(links, "s string, d string"), "s", "d").collect())
+    assert got == {f"n{i}": "n37" for i in range(37)}
+
+
+def test_one_row_per_key(spark):
+    rows = [(1, 5, "a"), (1, 7, "b"), (1, 7, "b"), (2, None, "c"), (2, -3, "d"), (None, 1, "e")]
+    df = spark.createDataFrame(rows, "k int, n int, v string")
+    assert sorted(map(tuple, d.one_per_key(df, ["k"], F.col("n")).collect()), key=str) == [(1, 7, "b"), (2, -3, "d"), (None, 1, "e")]
+    assert sorted(r.v for r in d.one_per_key(df, ["k"], F.coalesce("n", F.lit(-9)), largest=False).collect()) == ["a", "c", "e"]
+
+
+def test_order_numbers_sort_like_pairs(spark):
+    edges = [-(2**62) // 10**4, -1, 0, 1, 10**17]
+    pairs = [(a, b) for a in edges for b in (-(2**63), -1, 0, 2**63 - 1)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").withColumn("n", d.order_number(F.col("a"), F.col("b")))
+    assert [(r.a, r.b) for r in sorted(df.collect(), key=lambda r: r.n)] == sorted(pairs)
 
 
 def test_rate_limit_of_hot_readers_matches_the_plain_rule(spark):
@@ -88,9 +106,25 @@ def test_rate_limit_of_hot_readers_matches_the_plain_rule(spark):
             want[i] = len(kept) < 10
             if want[i]:
                 kept.append(t)
-    for size in (50_000, 100):
-        got = {r.id: r.aceptado for r in incremental.rate_limit(table, 10, max_group=size).collect()}
-        assert got == want
+    got = {r.id: r.aceptado for r in incremental.rate_limit(table, 10).collect()}
+    assert got == want
+
+
+def test_rate_limit_of_a_reader_with_a_third_of_the_votes(spark):
+    """The hot reader's votes are spread over all moments; the others have calm days between busy ones."""
+    rng = random.Random(5)
+    start = datetime(2026, 1, 1)
+    votes = [(1, start + timedelta(seconds=rng.randrange(20 * 86400))) for _ in range(3000)]
+    votes += [(2 + i % 200, start + timedelta(days=rng.choice([0, 1, 3, 4, 9]), seconds=rng.randrange(86400))) for i in range(6000)]
+    rows = [(i, u, t) for i, (u, t) in enumerate(votes)]
+    want, kept = {}, {}
+    for i, u, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        own = [k for k in kept.get(u, []) if k > t - timedelta(hours=24)]
+        want[i] = len(own) < 3
+        kept[u] = own + [t] if want[i] else own
+    table = spark.createDataFrame(rows, "id bigint, user_id bigint, creada_en timestamp").repartition(7)
+    assert {r.id: r.aceptado for r in incremental.rate_limit(table, 3).collect()} == want
+    assert incremental.rate_limit(table.limit(0), 3).count() == 0
 
 
 def test_sessions_across_hours(spark):

@@ -3,8 +3,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tandem.operators import incremental
-from tandem.sources.catalog import latest_snapshot
 from tandem.streaming import streams
+from tandem.streaming.keyed_state import KeyedState
 
 
 def _files(spark, folder, frames):
@@ -44,9 +44,22 @@ def test_changes_stream_equals_batch(spark):
     two = spark.createDataFrame([(1, 10, True, False, ts("2026-01-02")), (2, 2, False, False, ts("2026-01-02")),
                                  (3, None, True, True, ts("2026-01-02")), (4, 4, True, False, ts("2026-01-02"))], schema)
     read = _files(spark, folder, [one, two])
-    streams.apply_changes_stream(_stream(spark, folder, read), folder, ["id", "numero"])
-    rows, _ = latest_snapshot(spark, f"{folder}/snapshot")
-    assert sorted((r.id, r.numero) for r in rows.collect()) == [(1, 10), (4, 4)]
+    state = streams.apply_changes_stream(_stream(spark, folder, read), folder, ["id", "numero"])
+    assert sorted((r.id, r.numero) for r in state.read().collect()) == [(1, 10), (4, 4)]
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
+    folder = streams.run_folder(spark)
+    state = KeyedState(spark, f"{folder}/t", ["id"], "id bigint, n int", buckets=8)
+    add = lambda now, new: now.unionByName(new).groupBy("id").agg(F.sum("n").cast("int").alias("n"))
+    state.update(spark.createDataFrame([(i, 1) for i in range(50)], "id bigint, n int"), 0, add)
+    state.update(spark.createDataFrame([(7, 5)], "id bigint, n int"), 1, add)
+    assert {r.id: r.n for r in state.read().collect()} == {i: 6 if i == 7 else 1 for i in range(50)}
+    assert spark.read.parquet(f"{folder}/t/rows/lote=1").count() < 50
+    state.update(spark.createDataFrame([(7, 5)], "id bigint, n int"), 1, add)  # the batch runs again
+    assert state.read().where("id = 7").first().n == 6
+    state.update(spark.createDataFrame([(7, 0)], "id bigint, n int"), 2, lambda now, new: now.limit(0))
+    assert state.read().where("id = 7").count() == 0
 
 
 def test_growth_stream_follows_found_counts(spark):
@@ -55,8 +68,7 @@ def test_growth_stream_follows_found_counts(spark):
     log = [(1, ts("2026-01-01"), True, 5), (1, ts("2026-01-02"), False, 99), (1, ts("2026-01-03"), True, 5),
            (1, ts("2026-01-04"), True, 3), (1, ts("2026-01-05"), True, 4)]
     read = _files(spark, folder, [spark.createDataFrame([row], schema) for row in log])
-    streams.growth_stream(_stream(spark, folder, read), folder)
-    followed = latest_snapshot(spark, f"{folder}/state_of_sources")[0].first()
+    followed = streams.growth_stream(_stream(spark, folder, read), folder).read().first()
     batch = incremental.growth(spark.createDataFrame(log, schema)).first()
     for state in (followed, batch):
         assert (state.n_caps, state.ultimo_cambio, state.ultimo_scrape) == (4, ts("2026-01-05"), ts("2026-01-05"))
@@ -73,20 +85,41 @@ def test_votes_stream_carries_accepted_votes_over(spark):
     assert sorted(r.id for r in spark.read.parquet(f"{folder}/rows").collect()) == [0, 1, 2, 10, 12]
 
 
-def test_latest_votes_in_update_mode(spark):
+def test_late_and_empty_batches_of_votes(spark):
+    folder = streams.run_folder(spark)
+    schema = "id bigint, user_id bigint, creada_en timestamp"
+    read = _files(spark, folder, [
+        spark.createDataFrame([(1, 7, ts("2026-01-05T10:00")), (2, 7, ts("2026-01-05T11:00"))], schema),
+        spark.createDataFrame([], schema),
+        # late: judged by the votes of the day before it, of which there are none
+        spark.createDataFrame([(3, 7, ts("2026-01-04T12:00")), (4, 7, ts("2026-01-05T12:00"))], schema),
+    ])
+    streams.rate_limit_stream(_stream(spark, folder, read), folder, limit=2)
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/rows").collect()) == [1, 2, 3]
+
+
+def test_sessions_that_ended_carry_their_chapters(spark):
+    folder = streams.run_folder(spark)
+    schema = "user_id bigint, ts timestamp, capitulo int"
+    read = _files(spark, folder, [
+        spark.createDataFrame([(1, ts("2026-01-01T10:00"), 4), (1, ts("2026-01-01T10:20"), 3)], schema),
+        spark.createDataFrame([(1, ts("2026-01-01T10:40"), 4), (2, ts("2026-01-01T15:00"), 1)], schema),
+        spark.createDataFrame([(2, ts("2026-01-02T15:00"), 1)], schema),
+    ])
+    streams.store(streams.session_stream(_stream(spark, folder, read)), folder)
+    rows = spark.read.parquet(f"{folder}/rows").where("user_id = 1").collect()
+    assert [(r.n, r.ultima, r.capitulos) for r in rows] == [(3, ts("2026-01-01T10:40"), [3, 4])]
+
+
+def test_latest_votes_are_kept_by_key(spark):
     folder = streams.run_folder(spark)
     schema = "id bigint, user_id bigint, work_id bigint, capitulo_manhwa int, capitulo_novela int, creada_en timestamp"
     read = _files(spark, folder, [
         spark.createDataFrame([(1, 7, 1, 3, 9, ts("2026-01-01"))], schema),
         spark.createDataFrame([(2, 7, 1, 3, 11, ts("2026-01-02"))], schema),
     ])
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-
-    streams.store_with(streams.latest_votes_stream(_stream(spark, folder, read)), folder, keep, "update")
-    last = spark.read.parquet(f"{folder}/rows").orderBy(F.desc("creada_en")).first()
-    assert last.capitulo_novela == 11
+    state = streams.latest_votes_stream(_stream(spark, folder, read), folder)
+    assert [r.capitulo_novela for r in state.read().collect()] == [11]
 
 
 def test_inserted_chapters_are_not_repeated_across_batches(spark):
