@@ -28,6 +28,7 @@ from tandem.llm.words import Words, running_sums, shingles, span_hashes, text_ha
 SAMPLE_ROWS = 20_000  # labelled rows that are learned from, at most
 LEXICON = 4096  # learned entries, at most
 LEAST_TEXTS = 4  # toxic texts that an entry must occur in
+PURITY = 0.6  # share of toxic texts among those that an entry occurs in, at least
 STEMS = (4, 5, 6, 7, 8)  # lengths of stems in bytes
 
 # Words of the grammar
@@ -81,7 +82,8 @@ GRAMMAR = compose(_machines())
 
 # What a clause can match: an insult or a threat, each plain, aimed, negated or reported (the last that holds).
 MATCHES = [f"{how} {what}" for what in ("insult", "threat") for how in ("plain", "aimed", "negated", "reported")]
-_FIRST = np.array([3.0, 4.0, 0.5, 0.5, 0.5, 3.0, 0.0, 0.0, -2.0])  # weights before learning; the last is the constant
+# weights before learning, of the matches, the number of words and the constant
+_FIRST = np.array([3.0, 4.0, 0.5, 0.5, 0.5, 3.0, 0.0, 0.0, 0.0, -2.0])
 
 
 def clause_matches(symbols: list[int]) -> list[int]:
@@ -190,8 +192,8 @@ class Grammar:
 
 
 def match_counts(column, insults: np.ndarray) -> np.ndarray:
-    """(rows, len(MATCHES)): how often each text matches each pattern."""
-    out = np.zeros((len(column), len(MATCHES)))
+    """(rows, len(MATCHES) + 1): how often each text matches each pattern, and its number of words."""
+    out = np.zeros((len(column), len(MATCHES) + 1))
     fixed = [(kind, np.sort(np.array([text_hash(w) for w in words], np.uint64))) for kind, words in _LISTS]
 
     def among(values, known):
@@ -202,6 +204,7 @@ def match_counts(column, insults: np.ndarray) -> np.ndarray:
 
     for words in words_of(column):
         made = cores(words)
+        out[words.first : words.last, -1] = words.counts
         symbol = np.zeros(len(made.whole), np.int64)
         for kind, known in fixed:
             symbol[among(made.whole, known)] = kind
@@ -260,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Gramma
         ).otherwise(0.0)
         least = math.log(max(1, tally.count())) + 2  # as many entries are tried
         found = (
-            tally.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") > all_ * (1 + rate) / 2))
+            tally.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= PURITY * all_))
             .withColumn("gain", gain).where(F.col("gain") >= least).orderBy(F.desc("gain"), "entry").limit(LEXICON)
         )
         insults = np.sort(np.array([r.entry for r in found.select("entry").collect()], np.int64).view(np.uint64))
