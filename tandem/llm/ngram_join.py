@@ -8,9 +8,12 @@ allotted at least slack + 1: a pair shares a key outside the segments that are (
 allotted more than the slack in both sets, which then index their empty segments too. How many segments are allotted 2,
 and the slack, are chosen per band by the cost of keys written and of chance collisions at the band's number of sets.
 
-A set is known by a 64-bit fingerprint, so copies of a text are one. Sets under a common key are first verified
-against the one that shares most keys, which joins groups of near copies without comparing all their pairs. Then
-all pairs under a key that are not yet in one component are verified: no link between components is lost.
+A set is known by a 64-bit fingerprint, so copies of a text are one. Sets under a common key are first compared
+with the one that shares most keys, which joins groups of near copies without all their pairs. Then all
+sets under a key that are not yet in one component are compared, in blocks, within tasks: no link between components
+is lost, and only pairs that may link leave the task. Sets are compared by parity signatures: the bits in which two
+signatures differ are at most the shingles in which the sets differ, so a pair with more of them than the threshold
+allows does not link. The pairs that remain are verified on their texts.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.store import written
+from tandem.llm.store import limited, written
 from tandem.llm.words import mix, slices, sorted_sets, words_of
-from tandem.operators.distributed import components
+from tandem.operators.distributed import components, order_number
 
 _SEEN = 500_000  # fingerprints that a task remembers, so as not to index its copies again
 
@@ -147,18 +150,43 @@ def fingerprints(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def signatures(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of all sets as 64-bit words, and the bounds per set.
+
+    A signature has a power of two of bits, at least twice as many as the set has shingles; a bit is 1 if an odd number
+    of shingles end in its number. Its halves, combined by exclusive or, are the signature of half as many bits.
+    """
+    size = np.diff(bounds)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(size)), size)
+    place = base[row] + (tokens & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(base[-1])) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8"), base // 64
+
+
+def folded(words: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
+    """(sets, width): the signatures brought down to ``width`` words."""
+    out = np.zeros((len(bounds) - 1, width), np.uint64)
+    for r, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+        out[r] = np.bitwise_xor.reduce(words[a:b].reshape(-1, width), axis=0)
+    return out
+
+
 def _sizes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, print_ = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
             for words in words_of(batch.column("text")):
                 tokens, bounds = sorted_sets(words, n)
-                size[words.first : words.last] = np.diff(bounds)
-                print_[words.first : words.last] = fingerprints(tokens, bounds)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(print_.view(np.int64))],
-                names=["doc_id", "n_shingles", "fp"],
-            )
+                marks, ends = signatures(tokens, bounds)
+                marks = pa.Array.from_buffers(
+                    pa.binary(), len(ends) - 1, [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(marks)]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(words.first, words.last - words.first), pa.array(np.diff(bounds)),
+                     pa.array(fingerprints(tokens, bounds).view(np.int64)), marks],
+                    names=["doc_id", "n_shingles", "fp", "marks"],
+                )
 
     return run
 
@@ -208,6 +236,103 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["key", "fp"])
 
 
+def _marks(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit words of a column of signatures, and the bounds per row."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, "<u8", (ends[-1] - ends[0]) // 8, ends[0]), (ends - ends[0]) // 8
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the sizes and the signatures (rows of x and y) allow a link."""
+    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    fits = den * np.minimum(nx, ny) >= num * np.maximum(nx, ny)
+    return fits & (differ <= (nx + ny) * (den - num) // (den + num))
+
+
+def _sift(num: int, den: int):
+    """Pairs (a, b, size and signature of both) that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, bx), (y, by) = _marks(batch.column("marks_a")), _marks(batch.column("marks_b"))
+            width = np.minimum(np.diff(bx), np.diff(by))
+            nx, ny = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            good = np.zeros(batch.num_rows, bool)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                left = np.stack([np.bitwise_xor.reduce(x[bx[i] : bx[i + 1]].reshape(-1, w), axis=0) for i in at])
+                right = np.stack([np.bitwise_xor.reduce(y[by[i] : by[i + 1]].reshape(-1, w), axis=0) for i in at])
+                good[at] = may_link(left, right, nx[at], ny[at], num, den)
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+BLOCK = 512  # sets under a key that are compared at a time
+_STEP = 1 << 16  # pairs that are compared at a time
+
+
+def _compare_groups(group, block, same, root, fp, size, marks, ends, num, den):
+    """Pairs of fingerprints of different components within each group that may link. Rows are sorted by group."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    narrow = np.repeat(np.minimum.reduceat(np.diff(ends), first), np.diff(np.append(first, len(group))))
+    found = []
+    for width in np.unique(narrow):
+        rows = np.flatnonzero(narrow == width)
+        bits = np.stack([np.bitwise_xor.reduce(marks[ends[r] : ends[r + 1]].reshape(-1, width), axis=0) for r in rows])
+        g, k, s, c, n = group[rows], block[rows], same[rows], root[rows], size[rows]
+        left, step = np.arange(len(rows)), 1
+        while True:
+            left = left[left + step < len(rows)]
+            left = left[g[left] == g[left + step]]
+            if not len(left):
+                break
+            ask = left[(c[left] != c[left + step]) & (s[left] | (k[left] != k[left + step]))]
+            for a in range(0, len(ask), _STEP):
+                x = ask[a : a + _STEP]
+                x = x[may_link(bits[x], bits[x + step], n[x], n[x + step], num, den)]
+                found.append((fp[rows[x]], fp[rows[x + step]]))
+            step += 1
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _compare(num: int, den: int):
+    """Reads rows sorted by key and blocks; remembers the rows of one group, which has at most two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def pairs(table):
+            columns = [table.column(c).to_numpy() for c in ("key", "i", "j", "block", "root", "fp", "n")]
+            key, i, j, block, root, fp, size = columns
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            marks, ends = _marks(table.column("marks"))
+            a, b = _compare_groups(np.cumsum(new), block, i == j, root, fp, size, marks, ends, num, den)
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.concat_batches([held, batch]) if held is not None else batch
+            key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+            last = int(np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))[-1:].sum() + 1) if (
+                (key[0], i[0], j[0]) != (key[-1], i[-1], j[-1])
+            ) else 0
+            held = table.slice(last)
+            if last:
+                yield pairs(table.slice(0, last))
+        if held is not None:
+            yield pairs(held)
+
+    return run
+
+
 def _verify(n: int, num: int, den: int):
     def sets(column):
         flat, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
@@ -237,14 +362,8 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose sets link; their texts come from one document of each class."""
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    texts = (
-        docs.select("doc_id", "text")
-        .join(classes.join(wanted, "fp").select("fp", F.col("rep").alias("doc_id")), "doc_id")
-        .select("fp", "text")
-    )
+def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose sets link."""
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     found = joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(join.n, join.num, join.den), "a bigint, b bigint")
     return written(found, "links")
@@ -260,8 +379,8 @@ def link(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """
     join = Join(n, num, den)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sized = written(docs.mapInArrow(_sizes(n), "doc_id bigint, n_shingles bigint, fp bigint"), "sets")
-    real = sized.where("doc_id IS NOT NULL AND n_shingles > 0")
+    sized = written(docs.mapInArrow(_sizes(n), "doc_id bigint, n_shingles bigint, fp bigint, marks binary"), "sets")
+    real = sized.where("doc_id IS NOT NULL AND n_shingles > 0").drop("marks")
     classes = written(
         real.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")), "set-classes"
     )
@@ -280,20 +399,40 @@ def link(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     common = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_shared_keys, "key bigint, fp bigint")
     common = written(common, "common-keys")
 
+    # size, signature and text of the sets that share a key
     fame = common.groupBy("fp").agg(F.count("*").alias("fame"))
-    hubs = common.join(fame, "fp").groupBy("key").agg(F.max_by("fp", F.struct("fame", "fp")).alias("hub"))
-    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    near = written(common.join(hubs, "key").where("fp <> hub").select(*ends("fp", "hub")).distinct(), "hub-pairs")
-    first = _verified(near, docs, classes, join)
+    known = classes.join(fame, "fp").select("fp", F.col("rep").alias("doc_id"), "fame")
+    known = written(known, "shared-sets")
+    by_id = known.select("fp", "doc_id")
+    marked = sized.join(limited(by_id, known.count()), ["fp", "doc_id"]).select("fp", F.col("n_shingles").alias("n"), "marks")
+    marked = written(marked.dropDuplicates(["fp"]), "signatures")
+    texts = docs.join(limited(by_id, known.count()), "doc_id").select("fp", "text")
+
+    hubs = common.join(known, "fp").groupBy("key").agg(F.max_by("fp", order_number(F.col("fame"), F.col("fp"))).alias("hub"))
+    near = common.join(hubs, "key").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
+    near = (
+        near.distinct().join(marked.toDF("a", "n_a", "marks_a"), "a").join(marked.toDF("b", "n_b", "marks_b"), "b")
+        .mapInArrow(_sift(num, den), "a bigint, b bigint")
+    )
+    first = _verified(near, texts, join)
     roots = components(first)
-    # what the hubs have not joined: all pairs of different components under a common key
+    # what the hubs have not joined: sets of different components under a common key
     placed = common.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = written(placed.join(split, "key"), "open-keys")
-    other = open_.select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    rest = open_.join(other, "key").where("root < root2").select(*ends("fp", "fp2")).distinct()
-    rest = written(rest.join(near, ["a", "b"], "left_anti"), "other-pairs")
-    roots = components(first.union(_verified(rest, docs, classes, join)))
+    open_ = placed.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
+    ).where("lo <> hi").select("key", "blocks")
+    dealt = (
+        placed.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "fp", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    )
+    rest = (
+        dealt.join(marked, "fp").select("key", "i", "j", "block", "root", "fp", "n", "marks")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(num, den), "a bigint, b bigint")
+        .distinct()
+    )
+    second = _verified(written(rest, "other-pairs"), texts, join)
+    roots = components(first.union(second))
 
     member = classes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "rep")
     least = member.groupBy("root").agg(F.min("rep").alias("least"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tandem.session import shared_dir
 
@@ -20,6 +21,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BROADCAST_ROWS = 1 << 20  # rows of a few numbers that one task can hold without notice
+
+
+def limited(df: DataFrame, rows: int) -> DataFrame:
+    """A table of a few numbers per row for a join: broadcast if its counted rows are few, else shuffled."""
+    return F.broadcast(df) if rows <= _BROADCAST_ROWS else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that the table does not have."""
     taken = {c.lower() for c in df.columns}
