@@ -8,14 +8,17 @@ be taken apart at them and put together again. Pieces recur, so a worker keeps w
 from __future__ import annotations
 
 import functools
+import os
 
 import numpy as np
 
-KEEP = 400_000  # pieces that a worker remembers; beyond that, pieces are worked out anew each time
+KEEP = 250_000  # pieces that a worker remembers; beyond that, pieces are worked out anew each time
 
 
 @functools.cache
 def tokenizer(path: str):
+    # Spark runs a task per core already
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
@@ -24,6 +27,14 @@ def tokenizer(path: str):
     return made
 
 
+def forget(known: dict, new: dict) -> None:
+    """Bring what is known down to ``KEEP`` pieces again, the newest first."""
+    over = len(known) - KEEP
+    if over > 0:
+        for piece in list(new)[:over]:
+            del known[piece]
+
+
 class ByteEncoder:
     """Ids of a byte-level vocabulary as little-endian unsigned 16- or 32-bit integers."""
 
@@ -45,26 +56,18 @@ class ByteEncoder:
         known, pieces, whole = self.known, {}, {}
         for i, text in enumerate(texts):
             text = text or ""
-            words = text.split()
-            if not words or len(words) != text.count(" ") + text.count("\n") + 1:
+            words = len(text.split())
+            if not words or words != text.count(" ") + text.count("\n") + 1:
                 whole[i] = text
             else:
-                first, *rest = text.replace("\n", " \n").split(" ")
-                pieces[i] = ["\0" + first, *rest]
-        missing = {p for ps in pieces.values() for p in ps if p not in known}
-        new = {}
-        if missing:
-            names = list(missing)
-            asked = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in names]
-            new = dict(zip(names, self._raw(asked)))
-            room = KEEP - len(known)
-            if room >= len(new):
-                known.update(new)
-            elif room > 0:
-                known.update(list(new.items())[:room])
-        out = dict(zip(whole, self._raw(list(whole.values())))) if whole else {}
-        for i, ps in pieces.items():
-            out[i] = b"".join([known[p] if p in known else new[p] for p in ps])
+                pieces[i] = ("\0" + text).replace("\n", " \n").split(" ")
+        missing = list(set().union(*pieces.values()).difference(known))
+        new = dict(zip(missing, self._raw([p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in missing])))
+        known.update(new)
+        of = known.__getitem__
+        out = dict(zip(whole, self._raw(list(whole.values()))))
+        out.update((i, b"".join(map(of, ps))) for i, ps in pieces.items())
+        forget(known, new)
         return [out[i] for i in range(len(texts))]
 
 

@@ -23,11 +23,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.encoding import KEEP, tokenizer
+from tandem.llm.encoding import forget, tokenizer
 
-FREQUENT = 65_536
+FREQUENT = 131_072
 CHUNK = 256
-_FLUSH = 500_000  # distinct pieces a task counts before it hands them on
+_FLUSH = 100_000  # distinct pieces a task counts before it hands them on
 
 # Pieces of these letters and marks are split here; any other piece goes through the library whole.
 _PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-įĲ-ň]+")
@@ -139,7 +139,15 @@ class Lexicon:
         data = np.memmap(path, np.int64, "r", offset=8 * len(_PARTS)) if lengths.sum() else np.zeros(0, np.int64)
         ends = np.cumsum(lengths)
         for k, a, b in zip(_PARTS, ends - lengths, ends):
-            setattr(self, k, data[a:b])
+            setattr(self, k, np.asarray(data[a:b]))
+
+    def outputs(self, places: np.ndarray) -> list[bytes]:
+        """The ids of the words at these places, as little-endian unsigned 32-bit integers."""
+        first, last = self.bounds[places], self.bounds[places + 1]
+        size = last - first
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        raw, ends = self.ids[at].astype("<u4").tobytes(), (4 * np.cumsum(size)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def places(self, words: list[str]) -> np.ndarray:
         """The place of each word among the automaton's words, or -1."""
@@ -177,36 +185,36 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _work_out(self, pieces: list[str]) -> dict[str, bytes]:
-        split = {p: _WORD.findall(p.lower()) if _PLAIN.fullmatch(p) else None for p in pieces}
-        words = list({w for ws in split.values() if ws for w in ws})
-        ids: dict[str, bytes] = {}
+        plain, odd = [], []
+        for p in pieces:
+            (plain if _PLAIN.fullmatch(p) else odd).append(p)
+        split = [_WORD.findall(p.lower()) for p in plain]
+        words = list(set().union(*split))
         places = self.lexicon.places(words)
-        bounds, table = self.lexicon.bounds, self.lexicon.ids
-        for w, k in zip(words, places.tolist()):
-            if k >= 0:
-                ids[w] = table[bounds[k] : bounds[k + 1]].astype("<u4").tobytes()
-        unseen = [w for w, k in zip(words, places.tolist()) if k < 0] + [p for p, ws in split.items() if ws is None]
-        merged = dict(zip(unseen, self._merged(unseen)))
-        ids.update(merged)
-        return {p: merged[p] if ws is None else b"".join([ids[w] for w in ws]) for p, ws in split.items()}
+        seen = np.flatnonzero(places >= 0)
+        ids = dict(zip([words[i] for i in seen], self.lexicon.outputs(places[seen])))
+        unseen = [words[i] for i in np.flatnonzero(places < 0)]
+        merged = self._merged(unseen + odd)
+        ids.update(zip(unseen, merged))
+        out = dict(zip(odd, merged[len(unseen) :]))
+        of = ids.__getitem__
+        out.update(zip(plain, [of(ws[0]) if len(ws) == 1 else b"".join(map(of, ws)) for ws in split]))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [_split(t or "") for t in texts]
         known = self.known
-        missing = list({p for ps in parts if ps for p in ps if p not in known})
+        missing = set().union(*filter(None, parts)).difference(known)
         new = self._work_out(missing) if missing else {}
-        room = KEEP - len(known)
-        if room >= len(new):
-            known.update(new)
-        elif room > 0:
-            known.update(list(new.items())[:room])
+        known.update(new)
+        of = known.__getitem__
         whole = iter(self._merged([t for t, ps in zip(texts, parts) if ps is None]))
-        return [
-            next(whole) if ps is None else b"".join([known[p] if p in known else new[p] for p in ps]) for ps in parts
-        ]
+        out = [next(whole) if ps is None else b"".join(map(of, ps)) for ps in parts]
+        forget(known, new)
+        return out
 
 
-@functools.cache
+@functools.lru_cache(maxsize=1)
 def _encoder(vocabulary: str, name: str) -> Encoder:
     return Encoder(vocabulary, SparkFiles.get(name))
 
@@ -228,8 +236,14 @@ def publish(docs: DataFrame, vocabulary: str, n: int = FREQUENT) -> str:
     return name
 
 
-def encode(docs: DataFrame, vocabulary: str, lexicon: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers) of every whole text.
+def _decoded(vocabulary: str, ids: list[bytes]) -> pa.Array:
+    """The vocabulary names no decoder, so a text is its tokens with a space between them."""
+    name = _tokens(vocabulary).__getitem__
+    return pa.array([" ".join(map(name, np.frombuffer(x, "<u4").tolist())) for x in ids], pa.string())
+
+
+def encode(docs: DataFrame, vocabulary: str, lexicon: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers) of every whole text, and if asked their decoded text.
 
     Null and empty texts have no ids. Repeated rows stay. Other columns of ``docs`` are not read.
     """
@@ -240,22 +254,24 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str) -> DataFrame:
             for at in range(0, batch.num_rows, CHUNK):
                 rows = batch.slice(at, CHUNK)
                 ids = encoder.encode(rows.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                columns = {"doc_id": rows.column("doc_id"), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    columns["decoded"] = _decoded(vocabulary, ids)
+                yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids and the decoded text: the vocabulary names no decoder, so its tokens with a space between them."""
+    """doc_id, ids and the decoded text of every row of ``encoded`` (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = _tokens(vocabulary).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 rows = batch.slice(at, CHUNK)
-                texts = [" ".join(map(name, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in rows.column("ids")]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+                texts = _decoded(vocabulary, rows.column("ids").to_pylist())
+                yield pa.RecordBatch.from_arrays([*rows.columns, texts], names=["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")

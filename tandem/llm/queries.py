@@ -76,8 +76,7 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vocabulary = _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
-    encoded = lexicon.encode(docs, vocabulary, lexicon.publish(docs, vocabulary))
-    return lexicon.decode(encoded, vocabulary).select(
+    return lexicon.encode(docs, vocabulary, lexicon.publish(docs, vocabulary), decoded=True).select(
         "doc_id",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
