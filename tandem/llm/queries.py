@@ -65,6 +65,23 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+           lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 4
+    THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END AS sh FROM w
+), e AS (SELECT doc_id, unnest(sh) AS t FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b USING (t) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 85 * (len(a.sh) + len(b.sh) - c)),
+r(node, label) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.y, r.label FROM r JOIN l ON l.x = r.node)
+SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.label) AS component_id FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, s.sh
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -88,6 +105,30 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS k
+  FROM documents WHERE text <> ''
+), w AS (
+  SELECT doc_id, k, list_transform(list_filter(regexp_split_to_array(
+           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+           lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN chr(1) ELSE x END) AS ws FROM l
+), t AS (
+  SELECT doc_id, k, ws, unnest(CASE WHEN len(ws) < 8 THEN [-1] ELSE [0, 1, 2, 3] END) AS p FROM w WHERE len(ws) >= 3
+), m AS (
+  SELECT doc_id, k, concat(len(ws), '|', p, '|', array_to_string(list_transform(range(1, len(ws) + 1),
+           lambda i: CASE WHEN i > 3 AND (i - 4) * 4 // (len(ws) - 3) = p THEN chr(2) ELSE ws[i] END), ' ')) AS template FROM t
+), r AS (SELECT template, min(doc_id) AS keeper FROM m GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
+g AS (SELECT DISTINCT doc_id, k FROM m JOIN r USING (template) WHERE doc_id <> keeper),
+x AS (
+  SELECT l.doc_id, count(*) AS n, count(g.k) AS gone, coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (g.k IS NULL), '') AS kept
+  FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS INT) AS n_lines, CAST(coalesce(gone, 0) AS INT) AS n_dropped, coalesce(kept, text) AS text
+FROM documents d LEFT JOIN x USING (doc_id)
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -96,6 +137,21 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.deduplicate(_table(spark, sf_dir, "embeddings"))
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93
+), r(node, label) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, r.label FROM r JOIN l ON l.x = r.node)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM (
+  SELECT m.vec_id, (SELECT count(*) FROM l WHERE l.x = m.vec_id) AS n_links, min(r.label) AS component_id
+  FROM embeddings m JOIN r ON r.node = m.vec_id GROUP BY m.vec_id)
+"""
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -113,4 +169,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest": op10_nearest,
 }
 
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_ngram_join": OP3_SQL, "op7_near_vectors": OP7_SQL, "op8_line_templates": OP8_SQL}
