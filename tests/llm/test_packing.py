@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tandem.llm import packing
@@ -13,16 +15,29 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     "", None, " ", "a", "a b", " a", "a ", "a  b", "a   b", "a\nb", "a\n\nb", "a \nb", "a\n b", "it's John's 'd x'll",
     "a\tb", "a b", "a\x1cb", "x<|endoftext|>y", "é é ñ 中文 🙂", "1234 ½ ²", "don't\ndon't", "...!!!\n???", "\n", "word " * 5000 + "end",
+    "x" * 5000, "\n" * 300, "a" + " " * 300 + "b", "naïve café Œuvre ŉ ÷ ×", "a\r\nb\r\n", "\ta\t\tb", "Ωmega ﬁ ４２", "don't I'LL we'Re ''s",
+    "a" * 400 + " " + "b" * 401, "\x00 \x1f\x7f", "¿Qué? ¡No! «x»", "a\u0301 e\u0308", "\u200b \ufeff", "-" * 399 + "!", "1" * 200,
 ]
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def library(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
-def test_pieces_give_the_library_ids():
+def test_ids_are_the_library_ids():
     got = byte_encoder(PATH).encode(ODD)
-    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library(t) for t in ODD]
+    assert byte_encoder(PATH).ranked is not None
+    for ids, text in zip(got, ODD):
+        assert np.frombuffer(ids, "<u2").tolist() == library(text), text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n\t'.,sStreveml dD01éÑßŒ<|"), st.characters(max_codepoint=0x17F)), max_size=40))
+def test_any_common_text(text):
+    assert np.frombuffer(byte_encoder(PATH).encode([text])[0], "<u2").tolist() == library(text)
 
 
 def check(pieces, texts, size):
