@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,26 +97,79 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+_STEP = 1 << 15  # pairs that are compared at a time
+
+
+def _pairs(group, block, same, own, rep, table, stored, x, least):
+    """Pairs (a < b) within the groups whose cosine is large enough. Rows are sorted by group; x has the vectors' rows."""
+    norm = np.sqrt((x * x).sum(1))
+    found = []
+    left, step = np.arange(len(group)), 1
+    while True:
+        left = left[left + step < len(group)]
+        left = left[group[left] == group[left + step]]
+        if not len(left):
+            break
+        right = left + step
+        fits = (rep[left] != rep[right]) & (own[left] | own[right]) & (same[left] | (block[left] != block[right]))
+        for at in range(0, len(left), _STEP):
+            a = left[at : at + _STEP][fits[at : at + _STEP]]
+            b = a + step
+            a = a[(x[a] * x[b]).sum(1) >= least * norm[a] * norm[b] * (1 - 1e-12)]
+            b = a + step
+            cosine = (x[a] * x[b]).sum(1) / (norm[a] * norm[b])
+            a = a[cosine >= least]
+            b = a + step
+            # a pair that an earlier table has in one bucket has been found there
+            earlier = ((stored[a] == stored[b]) & (np.arange(stored.shape[1]) < table[a][:, None])).any(1)
+            a, b = a[~earlier], b[~earlier]
+            found.append((np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])))
+        step += 1
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+_GROUP = ("label", "table", "size", "code", "i", "j")
+
+
 def _compare(least: float):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        table, i, j = int(key[1]), int(key[-2]), int(key[-1])
-        ids, x = frame.rep.to_numpy(), _stacked(frame.vector)
-        x /= np.sqrt((x * x).sum(1))[:, None]
-        own = frame.own.to_numpy()
-        block, codes_ = frame.block.to_numpy(), np.stack(frame.stored.to_numpy())
-        left = np.flatnonzero(block == i)
-        right = np.flatnonzero(block == j)
-        a, b = np.nonzero(x[left] @ x[right].T >= least - 1e-9)
-        a, b = left[a], right[b]
-        keep = (ids[a] < ids[b]) if i == j else (ids[a] != ids[b])
-        keep &= own[a] | own[b]
-        keep &= ~(codes_[a, :table] == codes_[b, :table]).any(1)  # an earlier table has found it
-        a, b = a[keep], b[keep]
-        exact = _stacked(frame.vector)
-        norm = np.sqrt((exact * exact).sum(1))
-        cosine = (exact[a] * exact[b]).sum(1) / (norm[a] * norm[b])
-        a, b = a[cosine >= least], b[cosine >= least]
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+    """Reads rows sorted by bucket and blocks; remembers the rows of one group, which has at most two blocks."""
+
+    def lists(column) -> np.ndarray:
+        """(rows, width) of a column of lists of one length."""
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def pairs(rows):
+        keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in _GROUP], axis=1)
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(1)
+        group, size, out = np.cumsum(new), keys[:, 2], []
+        for dim in np.unique(size):
+            pick = np.flatnonzero(size == dim)
+            own = rows.take(pa.array(pick)) if len(pick) < len(size) else rows
+            flag = own.column("own").to_numpy(zero_copy_only=False)
+            out.append(_pairs(
+                group[pick], own.column("block").to_numpy(), keys[pick, 4] == keys[pick, 5], flag, own.column("rep").to_numpy(),
+                keys[pick, 1], lists(own.column("stored")), lists(own.column("vector")).astype(np.float64), least,
+            ))
+        a, b = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([held, batch]) if held is not None else batch
+            keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in _GROUP], axis=1)
+            other = np.flatnonzero((keys != keys[-1]).any(1))
+            last = int(other[-1]) + 1 if len(other) else 0
+            held = rows.slice(last)
+            if last:
+                yield pairs(rows.slice(0, last))
+        if held is not None:
+            yield pairs(held)
 
     return run
 
@@ -141,10 +193,11 @@ def near_pairs(classes: DataFrame, least: float) -> DataFrame:
     )
     stored = F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda t: F.get("codes", t * each))
     vectors = classes.select("rep", "vector").join(hashed.select("rep", stored.alias("stored")), "rep")
+    fields = [*bucket, "i", "j", "block", "own", "rep", "stored", "vector"]
     return (
-        dealt.join(vectors, "rep")
-        .groupBy(*bucket, "i", "j")
-        .applyInPandas(_compare(least), "a bigint, b bigint")
+        dealt.join(vectors, "rep").select(*fields)
+        .repartition(*bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j")
+        .mapInArrow(_compare(least), "a bigint, b bigint")
         .distinct()
     )
 
