@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.encoding import forget, tokenizer
+from tandem.llm.store import written
 
 FREQUENT = 131_072
 CHUNK = 256
+_CLASSES = 64
 _FLUSH = 100_000  # distinct pieces a task counts before it hands them on
 
 # Pieces of these letters and marks are split here; any other piece goes through the library whole.
@@ -63,9 +65,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, n: int = FREQUENT) -> list[str]:
-    """The n most frequent words, ties in the order of the words; counts are over all documents."""
+    """The most frequent words, n at most, most frequent first; counts are over all documents.
+
+    Words are taken by classes of frequency (steps of 1 / ``_CLASSES`` of a doubling), as many whole classes as fit, so
+    only the sizes of the classes and the chosen words come to the driver.
+    """
     counts = docs.select("text").mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(n).collect()]
+    counts = written(counts.withColumn("class", F.floor(F.log2("n") * _CLASSES).cast("int")), "word-counts")
+    sizes = sorted(counts.groupBy("class").count().collect(), reverse=True)  # a few thousand at most
+    taken, least = 0, None
+    for class_, size in sizes:
+        taken += size
+        if taken > n:
+            break
+        least = class_
+    if least is None:
+        return []
+    chosen = counts.where(F.col("class") >= least).select("word", "n").collect()
+    return [r.word for r in sorted(chosen, key=lambda r: (-r.n, r.word))]
 
 
 def compile_words(words: list[str], ids: list[list[int]]) -> dict[str, np.ndarray]:

@@ -62,7 +62,9 @@ def test_decode_is_the_same_apart(table):
 
 def test_frequent_words_count_all(table):
     docs = table([(1, "b a, a"), (2, "B c"), (3, None), (4, "a\x1cb")], "doc_id bigint, text string")
-    assert lexicon.frequent_words(docs, 3) == ["a", "b", ","]
+    assert lexicon.frequent_words(docs, 3) == lexicon.frequent_words(docs, 2) == ["a", "b"]
+    assert lexicon.frequent_words(docs, 4) == ["a", "b", ",", "c"]
+    assert lexicon.frequent_words(docs, 1) == []
     assert lexicon.frequent_words(docs.limit(0)) == []
 
 
