@@ -211,10 +211,9 @@ def deduplicate(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     """
     rows = embeddings.select("vec_id", F.col("embedding").alias("vector"), F.col("label").cast("int").alias("label"))
     good = rows.where(usable("vector") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    classes = written(
-        good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")), "classes"
-    )
-    # two classes of one id (an id that occurs with two vectors) stay apart by their place
+    groups = good.groupBy("label", "vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("members"))
+    # a class is known by a number of its own: an id that occurs with two vectors has two classes
+    classes = written(groups.withColumn("rep", F.monotonically_increasing_id()), "classes")
     pairs = written(near_pairs(classes.select("rep", "label", "vector"), least), "pairs")
     both = pairs.union(pairs.select("b", "a")).toDF("rep", "other")
     degree = (
@@ -222,10 +221,11 @@ def deduplicate(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
         .groupBy("rep").agg(F.sum("n").alias("others"))
     )
     roots = components(pairs).withColumnRenamed("node", "rep")
+    named = roots.join(classes.select("rep", "least_id"), "rep").groupBy("root").agg(F.min("least_id").alias("component_id"))
     facts = (
-        classes.join(degree, "rep", "left").join(roots, "rep", "left")
+        classes.join(degree, "rep", "left").join(roots.join(named, "root").select("rep", "component_id"), "rep", "left")
         .select("label", "vector", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-                F.coalesce("root", "rep").alias("component_id"))
+                F.coalesce("component_id", "least_id").alias("component_id"))
     )
     linked = good.join(facts, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~(usable("vector") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())).select(

@@ -52,3 +52,15 @@ def test_query_finds_all(spark, sf_dir):
     rows = [tuple(r)[:3] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = sorted(map(tuple, op7_near_vectors(spark, sf_dir).select("vec_id", "n_links", "component_id", "kept").collect()))
     assert got == expected(rows, 0.93)
+
+
+def test_an_id_with_other_vectors_and_labels(table):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((5, 24))
+    rows = []
+    for i in range(120):
+        v = base[i % 5] + rng.standard_normal(24) * rng.choice([0.02, 0.05])
+        rows.append((i // 4, [float(x) for x in v], int(i % 3)))
+    rows += [(500, rows[0][1], 0), (500, [1.001 * x for x in rows[0][1]], 0)]
+    got = sorted(map(tuple, near_vectors.deduplicate(table(rows, SCHEMA), 0.93).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == expected(rows, 0.93)
