@@ -130,6 +130,11 @@ def top_per_group(
     )
 
 
+def small_side(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """A table of short rows for a join: broadcast if its counted rows are few, else shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Over edges u > v: every larger neighbour of a node moves to the node's smallest neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
