@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -10,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.operators.distributed import global_position, one_per_key, previous_in_group
-from tandem.session import cut_lineage
+from tandem.operators.distributed import global_position, one_per_key, previous_in_group, small_side, top_per_group
+from tandem.session import cut_lineage, shared_dir
 
 LATE_COMMITS = timedelta(minutes=5)   # changes that commit late are applied again, which does no harm
 FULL_EVERY = timedelta(days=7)
@@ -137,7 +138,10 @@ def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def rate_limit(votes: DataFrame, limit: int = 10, before: DataFrame | None = None) -> DataFrame:
+HOT_VOTES = 1 << 22  # votes of one run of days that one task decides in order
+
+
+def rate_limit(votes: DataFrame, limit: int = 10, before: DataFrame | None = None, hot: int = HOT_VOTES) -> DataFrame:
     """Mark the votes that fit the limit of accepted votes in the trailing 24 hours per reader.
 
     Rejected votes do not count, so a reader's votes are decided in order of time, then id. ``before``: user_id,
@@ -145,8 +149,9 @@ def rate_limit(votes: DataFrame, limit: int = 10, before: DataFrame | None = Non
 
     A day is calm when a reader has no more than ``limit`` votes in it and the day before together: all its votes fit.
     Only runs of other days are decided in order, each starting from the calm day before it, whose votes are all
-    accepted. A run's votes pass one after the other through a task that remembers ``limit`` times, however many they
-    are; the runs of all readers are spread over all tasks.
+    accepted. The runs of all readers are spread over all tasks, and a task remembers ``limit`` times of a run. A run of
+    more than ``hot`` votes is too long for one task; such runs are decided day by day, all of them at once, after their
+    votes have been thinned in parallel to those that can be accepted (``_thinned``). Both ways give the same answer.
     """
     stamped = votes.select("user_id", "id", _micros("creada_en").alias("_t"), F.lit(False).alias("_given"))
     if before is not None:
@@ -163,41 +168,95 @@ def rate_limit(votes: DataFrame, limit: int = 10, before: DataFrame | None = Non
     # a calm day before a busy one belongs to the run as well: its votes still count there
     runs = marked.withColumn("_run", F.sum(starts.cast("int")).over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
     leads = (F.lead("_day").over(earlier) == F.col("_day") + 1) & F.lead("_busy").over(earlier) & ~F.col("_busy")
-    runs = runs.withColumn("_run", F.when(F.col("_busy"), F.col("_run")).when(leads, F.col("_run") + 1))
-    runs = cut_lineage(runs.where("_run IS NOT NULL").select("user_id", "_day", "_busy", "_run"))
+    runs = runs.withColumn("_run", F.when(F.col("_busy"), F.col("_run")).when(leads, F.col("_run") + 1)).where("_run IS NOT NULL")
+    size = F.sum("_n").over(Window.partitionBy("user_id", "_run"))
+    runs = cut_lineage(runs.select("user_id", "_day", "_busy", "_run", (size > hot).alias("_hot")))
     inside = stamped.join(runs, ["user_id", "_day"]).select(
-        "user_id", "_run", "_t", "id", (F.col("_given") | ~F.col("_busy")).alias("_sure")
+        *_RUN, "_day", "_t", "id", (F.col("_given") | ~F.col("_busy")).alias("_sure"), "_hot"
     )
-    # accepted earlier comes first among equal times
-    ordered = inside.repartition("user_id", "_run").sortWithinPartitions("user_id", "_run", "_t", F.desc("_sure"), "id")
-    refused = ordered.mapInPandas(_refuse(limit), "id bigint").withColumn("_refused", F.lit(True))
+    cool = inside.where("NOT _hot").withColumn("_recent", F.lit(None).cast("array<bigint>"))
+    refused = _decided(cool, limit).where("NOT _ok").select("id")
+    hot_days = [r[0] for r in runs.where("_hot").select("_day").distinct().orderBy("_day").collect()]  # a number a day
+    if hot_days:
+        refused = refused.unionByName(_refused_by_day(inside.where("_hot").drop("_hot"), hot_days, limit))
+    refused = refused.withColumn("_refused", F.lit(True))
     return votes.join(refused, "id", "left").withColumn("aceptado", F.col("_refused").isNull()).drop("_refused")
 
 
-def _refuse(limit: int):
-    """Ids of the votes that do not fit, from rows sorted by run and time."""
+_RUN = ["user_id", "_run"]
+
+
+def _decided(rows: DataFrame, limit: int) -> DataFrame:
+    """Votes of runs decided in order: user_id, _run, _t, id, _own, _ok. ``rows``: also _sure and, per run, the times accepted
+    before. Votes without an id were accepted earlier and are not _own."""
+    # accepted earlier comes first among equal times
+    ordered = rows.repartition(*_RUN).sortWithinPartitions(*_RUN, "_t", F.desc("_sure"), "id")
+    kind = rows.schema["user_id"].dataType.simpleString()
+    whole = F.coalesce("id", F.lit(0)).alias("id")  # a null would make the ids of a batch floating-point numbers
+    return ordered.select(*_RUN, "_t", whole, F.col("id").isNotNull().alias("_own"), "_sure", "_recent").mapInPandas(
+        _decide(limit), f"user_id {kind}, _run bigint, _t bigint, id bigint, _own boolean, _ok boolean"
+    )
+
+
+def _decide(limit: int):
+    """Whether each vote fits, from rows sorted by run and time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_, recent = None, deque()
         for frame in frames:
             out = []
-            for user, number, now, id_, sure in zip(
-                frame["user_id"].tolist(), frame["_run"].tolist(), frame["_t"].tolist(), frame["id"].tolist(), frame["_sure"].tolist()
+            for user, number, now, sure, given in zip(
+                *(frame[c].tolist() for c in ("user_id", "_run", "_t", "_sure", "_recent"))
             ):
                 if (user, number) != open_:
                     open_ = (user, number)
-                    recent.clear()
+                    recent = deque(sorted(given) if given is not None else ())
                 while recent and recent[0] <= now - _DAY_US:
                     recent.popleft()
-                if sure or len(recent) < limit:
+                ok = sure or len(recent) < limit
+                if ok:
                     recent.append(now)
-                else:
-                    out.append(id_)
-            yield pd.DataFrame({"id": pd.array(out, "int64")})
+                out.append(ok)
+            yield frame[[*_RUN, "_t", "id", "_own"]].assign(_ok=out)
 
     return run
 
 
+def _thinned(votes: DataFrame, limit: int) -> DataFrame:
+    """The votes of a day that can be accepted, and those that are. ``votes``: also _recent, the times accepted the day before.
+
+    Room comes free only 24 hours after a vote of the day before was accepted. Between two such moments votes are accepted until the limit
+    is reached and then no more, so no more than the first ``limit`` of a stretch between them can be. They are picked by
+    salted slices: a reader with very many votes is thinned by many tasks.
+    """
+    stretch = F.size(F.filter("_recent", lambda r: r <= F.col("_t") - _DAY_US))
+    open_ = votes.where("NOT _sure").withColumn("_stretch", stretch)
+    first = top_per_group(open_, [*_RUN, "_stretch"], [F.col("_t"), F.col("id")], limit, name="_place")
+    return first.select(*votes.columns).unionByName(votes.where("_sure"))
+
+
+def _refused_by_day(rows: DataFrame, days: list[int], limit: int) -> DataFrame:
+    """Ids of the votes of very long runs that do not fit: a day of all runs at a time."""
+    spark, folder = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/hot-votes-{uuid.uuid4().hex}"
+    rows.write.partitionBy("_day").parquet(folder)
+    stored = spark.read.schema(rows.schema).parquet(folder)
+    accepted, all_accepted = None, None
+    for day in days:
+        votes = stored.where(F.col("_day") == day)
+        if accepted is None:
+            votes = votes.withColumn("_recent", F.array().cast("array<bigint>"))
+        else:
+            # what was accepted the day before: no more than the limit, but for votes that were given
+            state = accepted.groupBy(*_RUN).agg(F.collect_list("_t").alias("_recent"))
+            votes = votes.join(small_side(state), _RUN, "left").withColumn(
+                "_recent", F.coalesce("_recent", F.array().cast("array<bigint>"))
+            )
+        accepted = cut_lineage(_decided(_thinned(votes, limit), limit).where("_ok"))
+        own = accepted.where("_own").select("id")
+        all_accepted = own if all_accepted is None else all_accepted.unionByName(own)
+    return stored.where("id IS NOT NULL").select("id").join(all_accepted, "id", "left_anti")
+
+
 def trailing_votes(votes: DataFrame) -> DataFrame:
     """Votes of the same reader in the 24 hours up to each vote.
 

@@ -136,3 +136,59 @@ def test_sessions_across_hours(spark):
         (1, at("10:50:00"), at("11:39:59"), 3, [1, 2]), (1, at("12:10:00"), at("12:10:00"), 1, [3]),
         (2, at("10:00:00"), at("10:00:00"), 1, [1]),
     ]
+
+
+def _many_votes(seed, span, n):
+    rng = random.Random(seed)
+    # readers 1 and 2 are busy all the time, in bursts at one moment and spread; others are not
+    votes = []
+    for i in range(n):
+        user = rng.choice([1, 1, 1, 2, rng.randrange(3, 40)])
+        at = rng.randrange(span * 86_400) if user != 2 else rng.choice([0, 3, 7]) * 7000 + 86_400 * rng.randrange(span)
+        votes.append((i, user, at * 1_000_000 + rng.choice([0, 0, 1])))
+    return votes
+
+
+@pytest.mark.parametrize("limit", [1, 3, 10])
+def test_very_long_runs_are_decided_day_by_day(spark, limit):
+    """Thinned votes give the answer of the plain rule, whatever the number of votes that counts as very long."""
+    votes = _many_votes(limit, 6, 900)
+    want = {}
+    for user in {u for _, u, _ in votes}:
+        own = sorted((t, i) for i, u, t in votes if u == user)
+        want |= dict(zip((i for _, i in own), incremental.accept_in_order([t for t, _ in own], limit)))
+    table = spark.createDataFrame(votes, "id bigint, user_id bigint, t bigint").withColumn("creada_en", F.timestamp_micros("t"))
+    for hot in (0, 200, 10**6):
+        assert {r.id: r.aceptado for r in incremental.rate_limit(table, limit, hot=hot).collect()} == want, hot
+
+
+def test_long_runs_with_votes_accepted_earlier(spark):
+    votes, limit = _many_votes(8, 4, 300), 3
+    votes = [(2**60 + i, u, t) for i, u, t in votes]  # numbers that doubles cannot tell apart
+    given = [(u, t + 500_000) for i, u, t in votes[:60:3]]
+    want = {}
+    for user in {u for _, u, _ in votes}:
+        recent = []
+        for t, kind, i in sorted([(t, 0, None) for u, t in given if u == user] + [(t, 1, i) for i, u, t in votes if u == user]):
+            ok = not kind or sum(1 for r in recent if r > t - 86_400_000_000) < limit
+            recent += [t] if ok else []
+            if kind:
+                want[i] = ok
+    at = F.timestamp_micros("t").alias("creada_en")
+    table = spark.createDataFrame(votes, "id bigint, user_id bigint, t bigint").select("id", "user_id", at)
+    before = spark.createDataFrame(given, "user_id bigint, t bigint").select("user_id", at)
+    for hot in (0, 10**6):
+        assert {r.id: r.aceptado for r in incremental.rate_limit(table, limit, before, hot=hot).collect()} == want, hot
+
+
+def test_a_hot_reader_is_thinned_by_many_tasks(spark):
+    """Of a reader's 40,000 votes of a day, the ordered pass sees a few; no task of the thinning sees most of them."""
+    limit, day = 3, 86_400_000_000
+    recent = F.array(*[F.lit(i * 8 * 3_600_000_000) for i in range(3)])
+    votes = spark.range(40_000).select(
+        F.lit(1).cast("bigint").alias("user_id"), F.lit(0).cast("bigint").alias("_run"), F.lit(1).cast("bigint").alias("_day"),
+        (F.lit(day) + F.pmod(F.xxhash64("id"), F.lit(day))).alias("_t"), "id", F.lit(False).alias("_sure"), recent.alias("_recent"))
+    assert incremental._thinned(votes, limit).count() <= limit * (limit + 1)
+    salted = votes.withColumn("_salt", F.pmod(F.xxhash64(*votes.columns), F.lit(64)))
+    sizes = [r["count"] for r in salted.groupBy("_salt").count().collect()]
+    assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2] and len(sizes) == 64
