@@ -314,8 +314,7 @@ def _(t):
         F.concat(F.lit("https://x.example.org/"), F.col("l_orderkey").cast("string")).alias("url"),
         F.col("l_shipdate").cast("timestamp").alias("visto_en"),
     )
-    streams.insert_chapters(chapters, folder)
-    rows = t.spark.read.parquet(f"{folder}/rows")
+    rows = streams.insert_chapters(chapters, folder).read()
     return rows.groupBy("source_id", "pedido").agg(F.count("*").alias("n"))
 
 

@@ -1,57 +1,85 @@
-"""A table kept current batch by batch, of which a batch rewrites only the parts it touches.
+"""Tables kept by key in the state of a stream.
 
-Rows are dealt into buckets by a hash of their key. A batch writes the new state of the buckets it touches under its own
-number, and then, last, a small table that says which number holds each bucket. Readers use the newest such table, so a
-batch that dies half way leaves nothing visible, and one that runs again writes the same folders.
+The state store is the table: a batch reads and writes the keys it touches, the change log of the batch is what is
+written to the shared folder, and Spark's state reader gives the table as a DataFrame. Nothing that an earlier batch has
+put out is read again. The store cleans up old versions of itself and is rebuilt from the folder when an executor is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a batch uploads what it changed and not the whole store
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
-class KeyedState:
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], schema: str, buckets: int = 64):
-        self.spark, self.path, self.key, self.schema, self.buckets = spark, path, list(key), schema, buckets
-
-    def _versions(self, before: int | None = None) -> dict[int, int]:
-        """Bucket -> number of the batch that wrote it, as of the newest batch (or the newest before one)."""
-        fs_ = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        root = fs_.Path(f"{self.path}/meta")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return {}
-        done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if fs.exists(fs_.Path(s.getPath(), "_SUCCESS"))]
-        done = [n for n in done if before is None or n < before]
-        if not done:
-            return {}
-        # one row per bucket
-        return dict(self.spark.read.schema("cubo int, lote int").parquet(f"{self.path}/meta/n={max(done)}").collect())
-
-    def _read(self, versions: dict[int, int]) -> DataFrame:
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        folders = [f"{self.path}/rows/lote={n}/cubo={b}" for b, n in sorted(versions.items())]
-        return self.spark.read.schema(self.schema).parquet(*folders)
+
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """The settings of the state store while a stream starts; a stream keeps those it started with."""
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def finish(query: StreamingQuery) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def run(stream: DataFrame, folder: str, mode: str, sink: str = "noop", **options: str) -> StreamingQuery:
+    """Everything available now, with the state in ``folder``/state."""
+    writer = stream.writeStream.format(sink).outputMode(mode).options(checkpointLocation=f"{folder}/state", **options)
+    with state_settings(stream.sparkSession):
+        query = writer.trigger(availableNow=True).start()
+    finish(query)
+    return query
+
+
+@dataclass
+class KeptTable:
+    """The rows of a table kept in the state of the stream in ``folder``, one per key."""
+
+    spark: SparkSession
+    folder: str
+    schema: T.StructType
+    variable: str | None = None
 
     def read(self) -> DataFrame:
-        """The whole table."""
-        return self._read(self._versions())
-
-    def update(self, batch: DataFrame, number: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Replace the touched buckets by ``merge(their rows, batch)``; both hold all rows of their keys."""
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
-        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
-        versions = self._versions(before=number)
-        current = self._read({b: n for b, n in versions.items() if b in touched})
-        columns = self.spark.createDataFrame([], self.schema).columns
-        merged = merge(current, batch).select(*columns).withColumn("cubo", bucket)
-        rows = f"{self.path}/rows/lote={number}"
-        merged.repartition("cubo").write.mode("overwrite").partitionBy("cubo").parquet(rows)
-        left = {r[0] for r in self.spark.read.schema(self.schema + ", cubo int").parquet(rows).select("cubo").distinct().collect()}
-        versions = {b: n for b, n in versions.items() if b not in touched} | {b: number for b in left}
-        table = self.spark.createDataFrame(sorted(versions.items()), "cubo int, lote int")
-        table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta/n={number}")
+        """The table as of the last finished batch."""
+        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state/commits")
+        if not fs.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+            return self.spark.createDataFrame([], self.schema)  # no batch yet
+        reader = self.spark.read.format("statestore").option("path", f"{self.folder}/state")
+        if self.variable is not None:
+            return reader.option("stateVarName", self.variable).load().select("key.*", "value.*").select(*self.schema.names)
+        state = reader.load()
+        kept = state.schema["value"].dataType.names[0]  # the one aggregate
+        return state.select("key.*", f"value.{kept}.*").select(*self.schema.names)
+
+
+def keep(
+    stream: DataFrame, folder: str, key: Sequence[str], order: Sequence[Column], columns: Sequence[str], first: bool = False
+) -> KeptTable:
+    """Of each key the last row by ``order`` (or the first), in the state of a stream; equal rows are told apart by a hash."""
+    rest = [c for c in columns if c not in key]
+    rank = [o.alias(f"_o{i}") for i, o in enumerate([*order, F.xxhash64(*columns)])]
+    best = (F.min if first else F.max)(F.struct(*rank, *rest)).alias("r")
+    run(stream.groupBy(*key).agg(best), folder, "update")
+    schema = T.StructType([stream.schema[c] for c in [*key, *rest]])
+    return KeptTable(stream.sparkSession, folder, schema)

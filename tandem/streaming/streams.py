@@ -8,19 +8,20 @@ on the same rows. Event times must be TIMESTAMP.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from datetime import datetime, timedelta
+from bisect import bisect_right, insort
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor
 
-from tandem.operators.distributed import one_per_key, order_number
-from tandem.operators.incremental import activity_windows, apply_changes, growth, rate_limit
+from tandem.operators.incremental import activity_windows
 from tandem.operators.votes import PAIR
 from tandem.session import shared_dir
-from tandem.streaming.keyed_state import KeyedState
+from tandem.streaming.keyed_state import KeptTable, keep, run
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 200) -> DataFrame:
@@ -42,27 +43,9 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
-def finish(query: StreamingQuery) -> None:
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
-
-
 def store(stream: DataFrame, folder: str, mode: str = "append") -> None:
     """Everything available now, written to ``folder``/rows."""
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
-    finish(query)
-
-
-def store_with(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    query = (
-        stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True).start()
-    )
-    finish(query)
+    run(stream, folder, mode, "parquet", path=f"{folder}/rows")
 
 
 # ---- activity, sessions -----------------------------------------------------------------
@@ -83,105 +66,160 @@ def session_stream(progress: DataFrame, late: str = "1 hour", gap: str = "30 min
 
 # ---- chapters ---------------------------------------------------------------------------
 
-_KEY_BUCKETS = 64
-
-
 def new_chapters_stream(chapters: DataFrame, late: str = "7 days") -> DataFrame:
     """First arrival of each chapter (source, MD5 of URL) within the watermark."""
     keyed = chapters.withColumn("url_md5", F.md5("url")).withWatermark("visto_en", late)
     return keyed.dropDuplicatesWithinWatermark(["source_id", "url_md5"])
 
 
-def insert_chapters(chapters: DataFrame, folder: str) -> None:
-    """New chapters appended to ``folder``/rows; a batch that runs again replaces its own part only.
+def insert_chapters(chapters: DataFrame, folder: str) -> KeptTable:
+    """Chapters kept by source and MD5 of the URL. A chapter that is there is never touched: the earliest batch counts,
+    within it the row seen first."""
+    keyed = chapters.withColumn("url_md5", F.md5("url"))
+    # the time of the batch, the same when it runs again
+    arrived = keyed.withColumn("_lote", F.current_timestamp())
+    return keep(arrived, folder, ["source_id", "url_md5"], [F.col("_lote"), F.col("visto_en")], keyed.columns, first=True)
+
 
-    Rows lie in buckets by a hash of their key, which the join prunes; of earlier batches only the keys are read.
+# ---- tables kept by key -----------------------------------------------------------------
+
+class Snapshot(KeptTable):
+    """A snapshot kept by id: approved rows that are not deleted."""
+
+    def read(self) -> DataFrame:
+        return super().read().where("aprobado AND NOT borrado").drop("aprobado", "borrado", "modificado_en")
+
+
+def apply_changes_stream(changes: DataFrame, folder: str, columns: list[str]) -> Snapshot:
+    """A stream of changed rows (borrado marks tombstones) kept as a table by id.
+
+    Of the changes of an id the latest by modificado_en counts, whenever it arrives; of the same moment a tombstone
+    before a change. A deleted row leaves its id and the time, so that an older change cannot bring it back.
     """
+    order = [F.col("modificado_en"), F.col("borrado")]
+    kept = [*columns, "aprobado", "borrado", "modificado_en"]
+    rows = changes.select(*kept)
+    gone = F.col("borrado") | ~F.col("aprobado")
+    slim = [F.when(~gone, F.col(c)).alias(c) if c not in ("id", *kept[-3:]) else F.col(c) for c in kept]
+    table = keep(rows.select(*slim), folder, ["id"], order, kept)
+    return Snapshot(table.spark, table.folder, table.schema)
 
-    def write(batch: DataFrame, number: int) -> None:
-        key = ["cubo", "source_id", "url_md5"]
-        bucket = F.pmod(F.xxhash64("source_id", "url_md5"), F.lit(_KEY_BUCKETS)).cast("int")
-        fresh = one_per_key(batch, ["source_id", "url_md5"], F.unix_micros("visto_en"), largest=False).withColumn("cubo", bucket)
-        known = _rows_before(fresh, folder, number)
-        if known is not None:
-            fresh = fresh.join(known.select(*key), key, "left_anti")
-        fresh.write.mode("overwrite").partitionBy("cubo").parquet(f"{folder}/rows/batch={number}")
 
-    store_with(new_chapters_stream(chapters), folder, write)
+def latest_votes_stream(votes: DataFrame, folder: str) -> KeptTable:
+    """One vote per work, chapter and reader, the last one.
 
+    ``votes``: id, work_id, capitulo_manhwa, user_id, capitulo_novela, creada_en.
+    """
+    columns = ["id", *PAIR, "user_id", "capitulo_novela", "creada_en"]
+    return keep(votes.select(*columns), folder, [*PAIR, "user_id"], [F.col("creada_en"), F.col("id")], columns)
 
-def _rows_before(like: DataFrame, folder: str, number: int) -> DataFrame | None:
-    """Rows of the batches before this one; None for the first. Later folders are left from a run that died."""
-    if not number:
-        return None
-    spark = like.sparkSession
-    return spark.read.schema(like.schema.add("batch", T.IntegerType())).parquet(f"{folder}/rows").where(F.col("batch") < number)
 
+# ---- state that follows an order --------------------------------------------------------
 
-# ---- tables kept by key -----------------------------------------------------------------
+_GROWTH = "n_caps bigint, cambio bigint, visita bigint"
 
-def apply_changes_stream(changes: DataFrame, folder: str, columns: list[str]) -> KeyedState:
-    """A stream of changed rows (borrado marks tombstones) kept as a table by id in ``folder``/snapshot."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.select(*columns).schema)
-    state = KeyedState(changes.sparkSession, f"{folder}/snapshot", ["id"], schema)
-    start = datetime(1970, 1, 1)
 
-    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
-        dead = batch.where("borrado").select("id", F.col("modificado_en").alias("borrado_en"))
-        return apply_changes(current, batch.where("NOT borrado"), dead, start)
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy().astype("datetime64[us]").astype(np.int64)
 
-    store_with(changes, folder, lambda batch, number: state.update(batch, number, merge))
-    return state
 
+class _Growth(StatefulProcessor):
+    """State of a source after its visits, batch by batch; visits of a batch count in order of time."""
 
-def latest_votes_stream(votes: DataFrame, folder: str) -> KeyedState:
-    """One vote per work, chapter and reader, the last one, kept by key in ``folder``/votes.
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("state", _GROWTH)
 
-    ``votes``: id, work_id, capitulo_manhwa, user_id, capitulo_novela, creada_en.
-    """
-    columns = ["id", *PAIR, "user_id", "capitulo_novela", "creada_en"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in votes.select(*columns).schema)
-    state = KeyedState(votes.sparkSession, f"{folder}/votes", [*PAIR, "user_id"], schema)
-
-    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
-        at = order_number(F.unix_micros("creada_en"), F.col("id"))
-        rows = current.unionByName(batch.select(*columns))
-        return rows.groupBy(*PAIR, "user_id").agg(
-            F.max_by("id", at).alias("id"), F.max_by("capitulo_novela", at).alias("capitulo_novela"),
-            F.max("creada_en").alias("creada_en"),
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known, change, last = self.state.get() if self.state.exists() else (None, None, None)
+        found: dict[int, int] = {}
+        for frame in rows:
+            at = _micros(frame["cuando"])
+            last = max(int(at.max()), last) if last is not None else int(at.max())
+            good = frame["ok"].to_numpy(bool)
+            for t, n in zip(at[good].tolist(), frame["encontrados"].to_numpy()[good].tolist()):
+                found[t] = max(n, found.get(t, n))
+        for t in sorted(found):
+            if found[t] > (known or 0):
+                change = max(t, change or t)
+            known = found[t]
+        self.state.update((known, change, last))
+        yield pd.DataFrame({"source_id": [key[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+class Growth(KeptTable):
+    """State of every source: ultimo_scrape, n_caps, ultimo_cambio."""
+
+    def read(self) -> DataFrame:
+        return super().read().select(
+            "source_id", F.timestamp_micros("visita").alias("ultimo_scrape"), "n_caps", F.timestamp_micros("cambio").alias("ultimo_cambio")
         )
 
-    store_with(votes, folder, lambda batch, number: state.update(batch, number, merge))
-    return state
+
+def growth_stream(visits: DataFrame, folder: str) -> Growth:
+    """State of every source after each batch of visits, in the state of the stream."""
+    followed = visits.select("source_id", "cuando", F.coalesce("ok", F.lit(False)).alias("ok"), "encontrados").where("cuando IS NOT NULL")
+    kind = visits.schema["source_id"]
+    out = followed.groupBy("source_id").transformWithStateInPandas(_Growth(), T.StructType([kind]), "Update", "None")
+    run(out, folder, "update")
+    return Growth(visits.sparkSession, folder, T.StructType([kind, *T._parse_datatype_string(_GROWTH).fields]), "state")
 
 
-def growth_stream(visits: DataFrame, folder: str) -> KeyedState:
-    """State of every source after each batch of visits, kept by source in ``folder``/state_of_sources."""
-    schema = "source_id bigint, ultimo_scrape timestamp, n_caps bigint, ultimo_cambio timestamp"
-    state = KeyedState(visits.sparkSession, f"{folder}/state_of_sources", ["source_id"], schema)
-    store_with(visits, folder, lambda batch, number: state.update(batch, number, lambda known, new: growth(new, known)))
-    return state
+_DAY_US = 24 * 3600 * 1_000_000
 
 
-# ---- votes ------------------------------------------------------------------------------
+class _VoteLimit(StatefulProcessor):
+    """Accepted times of a reader, as far back as a vote may still ask for them."""
 
-def rate_limit_stream(votes: DataFrame, folder: str, limit: int = 10) -> None:
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.accepted = handle.getListState("accepted", "t bigint")
+
+    def _keep(self, accepted: list[int], now_ms: int) -> None:
+        """Forget times that no vote within the watermark can ask for; look again when the last one is that old."""
+        accepted = [t for t in accepted if t > now_ms * 1000 - _DAY_US]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if accepted:
+            self.accepted.put([(t,) for t in accepted])
+            self.handle.registerTimer((accepted[-1] + _DAY_US) // 1000 + 1)
+        else:
+            self.accepted.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        votes = pd.concat(list(rows), ignore_index=True)
+        at = _micros(votes["creada_en"])
+        accepted = sorted(r[0] for r in self.accepted.get())
+        fits = np.zeros(len(votes), bool)
+        for i in np.lexsort((votes["id"].to_numpy(), at)).tolist():
+            t = int(at[i])
+            if bisect_right(accepted, t) - bisect_right(accepted, t - _DAY_US) < self.limit:
+                fits[i] = True
+                insort(accepted, t)
+        self._keep(accepted, timerValues.getCurrentWatermarkInMs())
+        yield votes[fits]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep(sorted(r[0] for r in self.accepted.get()), timerValues.getCurrentWatermarkInMs())
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(votes: DataFrame, folder: str, limit: int = 10, late: str = "7 days") -> None:
     """Accepted votes in ``folder``/rows, batch by batch.
 
-    A batch is decided by the batch operator with the votes accepted in the 24 hours around it, which lie in folders by
-    day. ``votes``: user_id, id, creada_en. A batch without votes writes nothing; a vote that comes late is judged by
-    the accepted votes of the 24 hours before it, and those accepted since stay accepted.
+    The accepted times of a reader are the state; a timer clears them a day after the watermark has passed the last one.
+    Votes of a batch are decided in order of time, then id; a vote that comes late, by up to ``late``, is judged by the
+    accepted votes of the 24 hours before it, and those accepted since stay accepted. Later ones are dropped.
+    ``votes``: user_id, id, creada_en and more.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        dated = batch.withColumn("dia", F.to_date("creada_en"))
-        first, last = batch.agg(F.min("creada_en"), F.max("creada_en")).first()
-        before = _rows_before(dated, folder, number) if first is not None else None
-        if before is not None:
-            day = timedelta(days=1)
-            before = before.where(F.col("dia").between(F.lit(first - day).cast("date"), F.lit(last).cast("date")))
-            before = before.where(F.col("creada_en") > F.lit(first - day))
-        kept = rate_limit(dated, limit, before).where("aceptado").drop("aceptado")
-        kept.write.mode("overwrite").partitionBy("dia").parquet(f"{folder}/rows/batch={number}")
-
-    store_with(votes, folder, write)
+    timed = votes.where("user_id IS NOT NULL AND creada_en IS NOT NULL").withWatermark("creada_en", late)
+    out = timed.groupBy("user_id").transformWithStateInPandas(_VoteLimit(limit), votes.schema, "Append", "EventTime")
+    store(out, folder)

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tandem.operators import incremental
 from tandem.streaming import streams
-from tandem.streaming.keyed_state import KeyedState
 
 
 def _files(spark, folder, frames):
@@ -48,18 +47,52 @@ def test_changes_stream_equals_batch(spark):
     assert sorted((r.id, r.numero) for r in state.read().collect()) == [(1, 10), (4, 4)]
 
 
-def test_a_batch_rewrites_only_the_buckets_it_touches(spark):
+def test_a_table_kept_in_state_takes_the_latest_change_whenever_it_comes(spark):
     folder = streams.run_folder(spark)
-    state = KeyedState(spark, f"{folder}/t", ["id"], "id bigint, n int", buckets=8)
-    add = lambda now, new: now.unionByName(new).groupBy("id").agg(F.sum("n").cast("int").alias("n"))
-    state.update(spark.createDataFrame([(i, 1) for i in range(50)], "id bigint, n int"), 0, add)
-    state.update(spark.createDataFrame([(7, 5)], "id bigint, n int"), 1, add)
-    assert {r.id: r.n for r in state.read().collect()} == {i: 6 if i == 7 else 1 for i in range(50)}
-    assert spark.read.parquet(f"{folder}/t/rows/lote=1").count() < 50
-    state.update(spark.createDataFrame([(7, 5)], "id bigint, n int"), 1, add)  # the batch runs again
-    assert state.read().where("id = 7").first().n == 6
-    state.update(spark.createDataFrame([(7, 0)], "id bigint, n int"), 2, lambda now, new: now.limit(0))
-    assert state.read().where("id = 7").count() == 0
+    schema = "id bigint, numero int, aprobado boolean, borrado boolean, modificado_en timestamp"
+    read = _files(spark, folder, [
+        spark.createDataFrame([(i, i, True, False, ts("2026-01-05")) for i in range(50)], schema),
+        spark.createDataFrame([(7, 70, True, False, ts("2026-01-04")), (8, None, True, True, ts("2026-01-06"))], schema),
+        spark.createDataFrame([(8, 80, True, False, ts("2026-01-05T12:00")), (9, 90, True, False, ts("2026-01-07")), (9, None, True, True, ts("2026-01-07"))], schema),
+        spark.createDataFrame([(8, 81, True, False, ts("2026-01-08"))], schema),
+    ])
+    table = streams.apply_changes_stream(_stream(spark, folder, read), folder, ["id", "numero"])
+    want = {i: i for i in range(50)} | {8: 81}
+    del want[9]
+    assert {r.id: r.numero for r in table.read().collect()} == want
+    # the stream goes on where it ended: a batch more, and one that brings nothing
+    spark.createDataFrame([(7, 71, True, False, ts("2026-01-09"))], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    for _ in range(2):
+        table = streams.apply_changes_stream(_stream(spark, folder, read), folder, ["id", "numero"])
+    assert {r.id: r.numero for r in table.read().collect()} == want | {7: 71}
+
+
+def test_a_batch_of_few_changes_writes_little(spark):
+    """What a batch adds to the shared folder follows its rows and not the table."""
+    import os
+
+    folder = streams.run_folder(spark)
+    schema = "id bigint, numero int, aprobado boolean, borrado boolean, modificado_en timestamp"
+    row = lambda ids, day: spark.range(ids).select(
+        "id", F.lit(day).alias("numero"), F.lit(True).alias("aprobado"), F.lit(False).alias("borrado"), F.lit(ts(f"2026-01-{day:02}")).alias("modificado_en"))
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(f"{folder}/state/state") for f in fs)
+    grown = []
+    for day, ids in ((1, 40_000), (2, 100), (3, 100), (4, 100)):
+        row(ids, day).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        before = size() if grown else 0
+        read = spark.read.parquet(f"{folder}/in").schema
+        table = streams.apply_changes_stream(_stream(spark, folder, read), folder, ["id", "numero"])
+        grown.append(size() - before)
+    assert max(grown[1:]) < grown[0] / 10
+    assert {(r.numero, r["count"]) for r in table.read().groupBy("numero").count().collect()} == {(1, 39_900), (4, 100)}
+
+
+def test_tables_without_a_batch_are_empty(spark):
+    folder = streams.run_folder(spark)
+    schema = "id bigint, user_id bigint, work_id bigint, capitulo_manhwa int, capitulo_novela int, creada_en timestamp"
+    read = _files(spark, folder, [spark.createDataFrame([], schema)])
+    table = streams.latest_votes_stream(_stream(spark, folder, read), folder)
+    assert table.read().count() == 0 and set(table.read().columns) == set(read.names)
 
 
 def test_growth_stream_follows_found_counts(spark):
@@ -129,6 +162,28 @@ def test_inserted_chapters_are_not_repeated_across_batches(spark):
         spark.createDataFrame([(1, "a", ts("2026-01-01")), (1, "b", ts("2026-01-01"))], schema),
         spark.createDataFrame([(1, "a", ts("2026-03-01")), (2, "a", ts("2026-03-01"))], schema),
     ])
-    streams.insert_chapters(_stream(spark, folder, read), folder)
-    rows = sorted((r.source_id, r.url) for r in spark.read.parquet(f"{folder}/rows").collect())
-    assert rows == [(1, "a"), (1, "b"), (2, "a")]
+    rows = streams.insert_chapters(_stream(spark, folder, read), folder).read().collect()
+    assert sorted((r.source_id, r.url, r.visto_en.month) for r in rows) == [(1, "a", 1), (1, "b", 1), (2, "a", 3)]
+
+
+def test_of_one_batch_the_chapter_seen_first_is_inserted(spark):
+    folder = streams.run_folder(spark)
+    schema = "source_id bigint, url string, visto_en timestamp, titulo string"
+    rows = [(1, "a", ts(f"2026-01-0{d}"), f"t{d}") for d in (5, 2, 9)]
+    read = _files(spark, folder, [spark.createDataFrame(rows, schema), spark.createDataFrame([(1, "a", ts("2025-01-01"), "old")], schema)])
+    assert [r.titulo for r in streams.insert_chapters(_stream(spark, folder, read), folder).read().collect()] == ["t2"]
+
+
+def test_the_times_of_quiet_readers_are_forgotten(spark):
+    folder = streams.run_folder(spark)
+    schema = "id bigint, user_id bigint, creada_en timestamp"
+    read = _files(spark, folder, [
+        spark.createDataFrame([(i, 7, ts("2026-01-01T10:00")) for i in range(5)], schema),
+        spark.createDataFrame([(10, 8, ts("2026-01-20T10:00")), (11, 8, ts("2026-01-20T10:00"))], schema),
+        spark.createDataFrame([(12, 8, ts("2026-01-20T11:00")), (13, 7, ts("2026-01-20T11:00"))], schema),
+    ])
+    streams.rate_limit_stream(_stream(spark, folder, read), folder, limit=2)
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/rows").collect()) == [0, 1, 10, 11, 13]
+    left = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "accepted").load()
+    times = [(r.key.user_id, len(r.list_value) if "list_value" in r else 1) for r in left.collect()]
+    assert sum(n for u, n in times if u == 8) == 2 and sum(n for u, n in times if u == 7) == 1
