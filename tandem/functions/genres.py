@@ -74,8 +74,8 @@ def first_per_key(pairs: Column) -> Column:
     return F.aggregate(pairs, F.array().cast("array<struct<key:string,label:string>>"), add)
 
 
-def merge_genres(lists: list[Column], cap: int | None = fv.MAX_GENRES) -> Column:
-    """One list without repeats (by key), first spelling kept, at most ``cap`` labels."""
+def merge_genres(lists: list[Column], cap: int | None = None) -> Column:
+    """One list without repeats (by key), first spelling kept; all labels, or the first ``cap`` (``fixed_values.MAX_GENRES`` in the source)."""
     joined = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])
     labels = F.transform(first_per_key(keyed(joined)), lambda p: p["label"])
     return labels if cap is None else F.slice(labels, 1, cap)

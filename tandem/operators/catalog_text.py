@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import genres, prose, text, urls
-from tandem.functions.fixed_values import MAX_GENRES
 
 
 def work_names(works: DataFrame) -> DataFrame:
@@ -42,8 +41,8 @@ def number_chapters(chapters: DataFrame) -> DataFrame:
     ).withColumn("titulo_limpio", text.trim_type_marks("titulo"))
 
 
-def canonicalize_genres(works: DataFrame) -> DataFrame:
-    """Genre labels of each work named in both languages, keyed and merged."""
+def canonicalize_genres(works: DataFrame, cap: int | None = None) -> DataFrame:
+    """Genre labels of each work named in both languages, keyed and merged; ``generos`` are all of them, or the first ``cap``."""
     first = works.withColumn("_pairs", genres.first_per_key(genres.keyed(F.col("categorias"))))
     pairs = F.col("_pairs")
     return first.withColumns(
@@ -51,7 +50,7 @@ def canonicalize_genres(works: DataFrame) -> DataFrame:
             "generos_es": F.transform(pairs, lambda p: genres.canonical_genre(p["label"], "es")),
             "generos_en": F.transform(pairs, lambda p: genres.canonical_genre(p["label"], "en")),
             "claves_genero": F.transform(pairs, lambda p: p["key"]),
-            "generos": F.slice(F.transform(pairs, lambda p: p["label"]), 1, MAX_GENRES),
+            "generos": F.transform(pairs if cap is None else F.slice(pairs, 1, cap), lambda p: p["label"]),
         }
     ).drop("_pairs")
 

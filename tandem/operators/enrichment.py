@@ -75,9 +75,12 @@ def combined_record(accepted: DataFrame, all_providers: bool = False) -> DataFra
     )
 
 
-def enrich(works: DataFrame, record: DataFrame) -> DataFrame:
+def enrich(works: DataFrame, record: DataFrame, max_names: int | None = None, max_story: int | None = None) -> DataFrame:
     """Works with their gaps filled from their record; good values are never replaced.
 
+    All names and the whole synopsis are taken, or the first ``max_names`` and ``max_story`` characters
+    (``fixed_values.MAX_ALTERNATIVES`` and ``MAX_SYNOPSIS`` in the source).
+
     ``works``: work_id, titulo, titulos_alternativos, sinopsis, categorias, estado, portada_url.
     """
     w = works.join(record, "work_id", "left")
@@ -93,13 +96,15 @@ def enrich(works: DataFrame, record: DataFrame) -> DataFrame:
     w = w.withColumn("_cats", F.when(F.col("_group").isNotNull(), F.array_append("_cats", F.col("_group"))).otherwise(F.col("_cats")))
     alternatives = F.coalesce("titulos_alternativos", F.array().cast(_NONE))
     named = F.array_distinct(F.filter(F.concat(alternatives, "titulos"), lambda n: n.isNotNull() & (n != "")))
-    named = F.slice(F.filter(named, lambda n: n != F.col("titulo")), 1, fv.MAX_ALTERNATIVES)
+    named = F.filter(named, lambda n: n != F.col("titulo"))
+    named = named if max_names is None else F.slice(named, 1, max_names)
+    story = F.col("_story") if max_story is None else F.substring("_story", 1, max_story)
     dead = blank("portada_url") | F.col("portada_url").rlike(f"(?i){fv.LAST_RESORT_HOSTS}")
     return w.select(
         "work_id",
         "titulo",
         F.when(matched & (F.size(named) > 0), named).otherwise(alternatives).alias("titulos_alternativos"),
-        F.when(blank("sinopsis") & (F.coalesce("_story", F.lit("")) != ""), F.substring("_story", 1, fv.MAX_SYNOPSIS))
+        F.when(blank("sinopsis") & (F.coalesce("_story", F.lit("")) != ""), story)
         .otherwise(F.col("sinopsis")).alias("sinopsis"),
         F.when(F.size("_cats") != F.size(before), F.col("_cats")).otherwise(before).alias("categorias"),
         F.when(blank("estado") & F.col("r_estado").isNotNull(), F.col("r_estado")).otherwise(F.col("estado")).alias("estado"),

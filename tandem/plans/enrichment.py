@@ -110,7 +110,7 @@ def _(t):
           WHERE u.proveedor = 'mangabaka' AND u.orden > r.orden))),
     nn AS (SELECT nm.work_id, nombre, min((src, p)) AS en FROM nm JOIN o_works w ON w.work_id = nm.work_id
            WHERE nombre IS NOT NULL AND nombre <> w.titulo GROUP BY nm.work_id, nombre),
-    al AS (SELECT work_id, array_to_string(list(nombre ORDER BY en)[1:15], '|') AS alt FROM nn GROUP BY work_id)
+    al AS (SELECT work_id, array_to_string(list(nombre ORDER BY en), '|') AS alt FROM nn GROUP BY work_id)
     SELECT w.work_id, CASE WHEN r.work_id IS NULL THEN concat_ws('|', alt1, alt2, alt3) ELSE al.alt END AS titulos_alternativos,
            md5(CASE WHEN trim(coalesce(d.text, '')) = '' AND coalesce(r.sinopsis, '') <> ''
                     THEN regexp_replace(r.sinopsis, '\\s*\\(Source: X\\)$', '') ELSE coalesce(d.text, '') END) AS sinopsis,

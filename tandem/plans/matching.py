@@ -243,6 +243,16 @@ def _(t):
     return merged(t)["sources"].groupBy("work_id").agg(F.count("*").alias("n_fuentes"), F.sum("n_caps").alias("caps"))
 
 
+@query("j9_merged_chapters", f"""
+    WITH RECURSIVE {_PLAN}
+    SELECT c.id, c.source_id, c.numero, c.titulo, c.url, coalesce(p.dst, c.work_id) AS work_id, p.dst IS NOT NULL AS movido
+    FROM o_chapters c LEFT JOIN plan p ON p.src = c.work_id""")
+def _(t):
+    before = t.chapters.select("id", F.col("work_id").alias("_de"))
+    moved = merged(t)["chapters"].select("id", "source_id", "numero", "titulo", "url", "work_id").join(before, "id")
+    return moved.withColumn("movido", F.col("work_id") != F.col("_de")).drop("_de")
+
+
 @query("j9_old_slugs", f"""
     WITH RECURSIVE {_MEMBERS}
     SELECT raiz AS work_id, slug AS viejo FROM m WHERE ajena

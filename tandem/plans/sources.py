@@ -18,6 +18,7 @@ from tandem.operators.catalog_text import joined
 from tandem.plans.rankings import published
 from tandem.plans.registry import check_view, query
 from tandem.session import small_table
+from tandem.streaming import streams
 from tandem.sources import catalog, listings, markup, payloads, robots, sitemaps
 
 
@@ -61,6 +62,40 @@ def _(t):
     return rows.fillna("", ["numero"])
 
 
+def _file_per_row(t, docs: DataFrame) -> str:
+    """The documents (doc, value) as files of their own."""
+    folder = streams.run_folder(t.spark)
+    docs.write.partitionBy("doc").text(folder)
+    return folder
+
+
+@query("s2_large_snapshot_files", """
+    SELECT CAST(id AS VARCHAR) AS id, CAST(work_id AS VARCHAR) AS work_id, coalesce(CAST(numero AS VARCHAR), '') AS numero,
+           CASE WHEN id % 7 = 0 THEN concat('"[', titulo, '],[\\', '"') ELSE titulo END AS titulo FROM o_chapters""")
+def _(t):
+    """Sixteen files whose size grows with the table, each one document; some titles hold what parts the rows."""
+    title = F.when(F.col("id") % 7 == 0, F.concat(F.lit('"['), "titulo", F.lit('],[\\"'))).otherwise(F.col("titulo"))
+    cells = F.array(F.col("id").cast("string"), F.col("work_id").cast("string"), F.col("numero").cast("string"), title)
+    rows = t.chapters.select((F.col("work_id") % 16).alias("doc"), "id", F.to_json(cells, {"ignoreNullFields": "false"}).alias("r"))
+    head = F.lit('{"hasta":"2026-11-04T10:00:00Z","completoEn":"x","cols":["id","work_id","numero","titulo"],"filas":[')
+    files = packed(rows, ["doc"], "id", "r", ",").select("doc", F.concat(head, "body", F.lit("]}")).alias("value"))
+    found = catalog.snapshot_rows(t.spark, _file_per_row(t, files), ["id", "work_id", "numero", "titulo"])
+    return found.drop("hasta").fillna("", ["numero"])
+
+
+@query("s17_large_cache_files", """
+    SELECT huella, idioma, md5(concat(idioma, ' ', text, '},')) AS texto FROM (
+      SELECT DISTINCT md5(text) AS huella, text, unnest(['en', 'pt']) AS idioma FROM documents)""")
+def _(t):
+    texts = t.base("documents").select("text").distinct()
+    by_lang = F.create_map(*[x for lang in ("en", "pt") for x in (F.lit(lang), F.concat(F.lit(f"{lang} "), "text", F.lit("},")))])
+    entry = F.substr(F.to_json(F.create_map(F.md5("text"), by_lang)), F.lit(2))
+    rows = texts.select(F.pmod(F.xxhash64("text"), F.lit(16)).alias("doc"), F.md5("text").alias("h"), F.substr(entry, F.lit(1), F.length(entry) - 1).alias("e"))
+    files = packed(rows, ["doc"], "h", "e", ",").select("doc", F.concat(F.lit("{"), "body", F.lit("}")).alias("value"))
+    found = catalog.translation_rows(t.spark, _file_per_row(t, files))
+    return found.select(F.col("hash").alias("huella"), "idioma", F.md5("texto").alias("texto"))
+
+
 @query("s2_stale_snapshot_falls_back", """
     SELECT CAST(id AS VARCHAR) AS id, CAST(work_id AS VARCHAR) AS work_id FROM f_chapters""")
 def _(t):
@@ -336,6 +371,27 @@ def _(t):
     return rows.withColumn("titulos_alternativos", joined("titulos_alternativos")).withColumn("categorias", joined("categorias"))
 
 
+@query("s9_all_names_and_genres", """
+    WITH n AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)
+    SELECT concat('Main ', l_partkey) AS titulo, count(*) AS n_nombres, md5(string_agg(concat('Otro ', l_orderkey), '|' ORDER BY l_orderkey)) AS nombres,
+           md5(string_agg(concat('Tema ', l_orderkey), '|' ORDER BY l_orderkey)) AS generos FROM n GROUP BY l_partkey""")
+def _(t):
+    """A series with a name and a genre of every order of its part: many more than a record shows."""
+    order = F.col("l_orderkey").cast("string")
+    rows = t.base("lineitem").select("l_partkey", "l_orderkey").distinct().select("l_partkey", F.struct("l_orderkey", order.alias("o")).alias("x"))
+    lists = rows.groupBy("l_partkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["o"]).alias("os"))
+    name = lambda o: F.create_map(F.lit("es"), F.concat(F.lit("Otro "), o))
+    genre = lambda o: F.struct(F.struct(F.lit("genre").alias("group"), F.create_map(F.lit("en"), F.concat(F.lit("Tema "), o)).alias("name")).alias("attributes"))
+    k = F.col("l_partkey").cast("string")
+    item = F.struct(k.alias("id"), F.struct(
+        F.create_map(F.lit("en"), F.concat(F.lit("Main "), k)).alias("title"), F.transform("os", name).alias("altTitles"),
+        F.lit("ongoing").alias("status"), F.transform("os", genre).alias("tags")).alias("attributes"))
+    documents = lists.select(F.to_json(F.struct(F.array(item).alias("data"))).alias("json"))
+    found = payloads.localized_series(documents, "pt", "https://web.example.org", "https://up.example.org")
+    return found.select("titulo", F.size("titulos_alternativos").cast("bigint").alias("n_nombres"), F.md5(joined("titulos_alternativos")).alias("nombres"),
+                        F.md5(joined("categorias")).alias("generos"))
+
+
 @query("s9_typed_series", """
     SELECT concat('Obra ', p_partkey) AS titulo, concat('https://w.example.org/series/comic-obra-', p_partkey, '#caps=',
              CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size END) AS url, coalesce(CASE WHEN p_partkey % 2 = 0 THEN concat('https://c.example.org/', p_partkey) END, '') AS portada

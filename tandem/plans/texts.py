@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
-from tandem.functions import text
+from tandem.functions import genres, text
 from tandem.functions import prose
 from tandem.functions.text import TITLE_PREFIX_SQL, text_hash
 from tandem.operators import catalog_text as ct
@@ -157,6 +157,17 @@ def _(t):
     return rows.select("work_id", *[ct.joined(c).alias(c) for c in ("generos_es", "generos_en", "claves_genero")])
 
 
+@query("i8_all_genres", """
+    WITH l AS (SELECT o_custkey AS work_id, concat('Etiqueta ', o_orderkey % 60) AS label, min(o_orderkey) AS en FROM orders GROUP BY 1, 2)
+    SELECT work_id, count(*) AS n, string_agg(label, '|' ORDER BY en) AS generos FROM l GROUP BY work_id""")
+def _(t):
+    label = F.concat(F.lit("Etiqueta "), (F.col("o_orderkey") % 60).cast("string"))
+    rows = t.base("orders").select(F.col("o_custkey").alias("work_id"), F.struct("o_orderkey", label.alias("l")).alias("x"))
+    lists = rows.groupBy("work_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]).alias("categorias"))
+    merged = lists.withColumn("g", genres.merge_genres([F.col("categorias"), F.transform("categorias", F.upper)]))
+    return merged.select("work_id", F.size("g").cast("bigint").alias("n"), ct.joined("g").alias("generos"))
+
+
 @query("i8_merge_genres", """
     SELECT work_id, string_agg(label, '|' ORDER BY pos) AS generos FROM o_first_labels GROUP BY work_id""")
 def _(t):

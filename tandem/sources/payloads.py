@@ -35,6 +35,11 @@ def _none() -> Column:
     return F.array().cast(_NO_TEXT)
 
 
+def _first(texts: Column, most: int | None) -> Column:
+    whole = F.coalesce(texts, _none())
+    return whole if most is None else F.slice(whole, 1, most)
+
+
 def _rows(documents: DataFrame, schema: str, path: str) -> DataFrame:
     parsed = documents.withColumn("_p", F.from_json("json", schema))
     return parsed.select(*documents.drop("json").columns, F.posexplode(f"_p.{path}").alias("pos", "e"))
@@ -54,8 +59,10 @@ def localized_title(title: Column, alternatives: Column, lang: str) -> Column:
     return F.coalesce(*[_text(x) for x in asked], _text(first), F.lit(""))
 
 
-def localized_series(documents: DataFrame, lang: str, web: str, images: str) -> DataFrame:
-    """Catalogue with titles per language; the identity of a work is its English title."""
+def localized_series(
+    documents: DataFrame, lang: str, web: str, images: str, max_names: int | None = None, max_genres: int | None = None
+) -> DataFrame:
+    """Catalogue with titles per language; the identity of a work is its English title. All names and genres, or the first so many."""
     rows = _rows(documents, LOCALIZED, "data")
     a = F.col("e.attributes")
     cover = F.try_element_at(F.filter("e.relationships", lambda r: r["type"] == "cover_art"), F.lit(1))["attributes"]["fileName"]
@@ -72,9 +79,9 @@ def localized_series(documents: DataFrame, lang: str, web: str, images: str) ->
         F.concat(F.lit(f"{web}/title/"), "e.id").alias("url"),
         F.when(cover.isNotNull(), F.concat(F.lit(f"{images}/covers/"), "e.id", F.lit("/"), cover, F.lit(".256.jpg")))
         .otherwise("").alias("portada"),
-        F.slice(F.coalesce(alternatives, _none()), 1, fv.MAX_API_ALTERNATIVES).alias("titulos_alternativos"),
+        _first(alternatives, max_names).alias("titulos_alternativos"),
         _status(a["status"]).alias("estado"),
-        F.slice(F.coalesce(names, _none()), 1, fv.MAX_API_GENRES).alias("categorias"),
+        _first(names, max_genres).alias("categorias"),
     )
 
 
@@ -103,7 +110,8 @@ def library_series(documents: DataFrame, tipo: str, web: str) -> DataFrame:
     )
 
 
-def comic_series(documents: DataFrame, web: str) -> DataFrame:
+def comic_series(documents: DataFrame, web: str, max_names: int | None = None, max_genres: int | None = None) -> DataFrame:
+    """Catalogue of comics with their names and genres: all of them, or the first so many."""
     rows = _rows(documents, COMICS, "data").where("e.title <> '' AND e.slug <> ''")
     title = F.col("e.title")
     others = F.array_distinct(F.filter(F.coalesce("e.alt_titles", _none()), lambda t: (t != "") & (t != title)))
@@ -113,9 +121,9 @@ def comic_series(documents: DataFrame, web: str) -> DataFrame:
         title.alias("slug_base"),
         F.concat(F.lit(f"{web}/comics/"), "e.slug").alias("url"),
         F.coalesce("e.cover", F.lit("")).alias("portada"),
-        F.slice(others, 1, fv.MAX_API_ALTERNATIVES).alias("titulos_alternativos"),
+        _first(others, max_names).alias("titulos_alternativos"),
         _status(F.col("e.status")).alias("estado"),
-        F.slice(F.coalesce(names, _none()), 1, fv.MAX_API_GENRES).alias("categorias"),
+        _first(names, max_genres).alias("categorias"),
     )
 
 
