@@ -71,9 +71,12 @@ def page_windows(pages: DataFrame) -> DataFrame:
 def related_works(works: DataFrame, levels: DataFrame, k: int = fv.RELATED_WORKS) -> DataFrame:
     """``k`` related works for every work: those of tier A first, then by genres shared, then by id; none is adult.
 
-    Works with the same genres are one kind. Kinds are compared instead of works, and of each kind and tier only the
-    first k + 1 works can be chosen by anybody, so no pair of works is made beyond that and none is left out. Works
-    that stay short are filled with their neighbours in the circular alphabetical order, tier A first.
+    Works with the same genres are one kind, and of each kind and tier only the first k + 1 works can be chosen by
+    anybody. Every combination of genres lists its first k + 1 works of each tier; a kind looks its own combinations
+    up. A work that shares the combination S with a kind and is not on the list of S has k + 1 works before it that share as
+    many genres, so nothing is lost, and the work grows with the number of kinds and not with its square. Kinds of more
+    than ``COMBINED`` genres have too many combinations and are compared genre by genre instead.
+    Works that stay short are filled with their neighbours in the circular alphabetical order, tier A first.
     """
     # one row per work, read six times below
     facts = cut_lineage(works.join(levels, "work_id").select(
@@ -82,14 +85,10 @@ def related_works(works: DataFrame, levels: DataFrame, k: int = fv.RELATED_WORKS
     kinds = facts.withColumn("clase", F.array_sort(F.array_distinct("categorias"))).where(F.size("clase") > 0)
     offered = top_per_group(kinds.where("NOT adulta").select("clase", "a", "work_id"), ["clase", "a"], [F.col("work_id")], k + 1)
     offered = cut_lineage(offered.select(F.col("clase").alias("otra_clase"), F.col("a").alias("otra_a"), F.col("work_id").alias("otra")))
-    genres_of = lambda df, c: df.select(c).distinct().select(c, F.explode(c).alias("genero"))
-    alike = (
-        genres_of(kinds, "clase").join(genres_of(offered, "otra_clase"), "genero")
-        .groupBy("clase", "otra_clase").agg(F.count("*").alias("comunes"))
-    )
+    alike = _alike(kinds.select("clase").distinct(), offered, k)
     order = [F.desc("otra_a"), F.desc("comunes"), F.col("otra")]
     # a work may find itself among the first, so one more is kept
-    first = top_per_group(alike.join(offered, "otra_clase"), ["clase"], order, k + 1).select("clase", "otra", "otra_a", "comunes")
+    first = top_per_group(alike, ["clase"], order, k + 1).select("clase", "otra", "otra_a", "comunes")
     best = Window.partitionBy("work_id").orderBy(*order)
     chosen = kinds.select("work_id", "clase").join(first, "clase").where("work_id <> otra")
     chosen = chosen.withColumn("puesto", F.row_number().over(best)).where(F.col("puesto") <= k)
@@ -98,6 +97,32 @@ def related_works(works: DataFrame, levels: DataFrame, k: int = fv.RELATED_WORKS
     return chosen.unionByName(filled)
 
 
+COMBINED = 10  # genres of a kind whose combinations are listed
+
+
+def _combinations(c: str) -> Column:
+    """All combinations of the genres of a sorted list, but the empty one."""
+    none = F.array(F.array().cast("array<string>"))
+    every = F.aggregate(F.col(c), none, lambda found, g: F.concat(found, F.transform(found, lambda s: F.array_append(s, g))))
+    return F.filter(every, lambda s: F.size(s) > 0)
+
+
+def _alike(kinds: DataFrame, offered: DataFrame, k: int) -> DataFrame:
+    """clase, otra, otra_a, comunes: works that can be among the first of a kind. ``offered``: otra_clase, otra_a, otra."""
+    few, many = F.size("clase") <= COMBINED, F.size("otra_clase") <= COMBINED
+    listed = offered.where(many).select("otra_a", "otra", F.explode(_combinations("otra_clase")).alias("juego"))
+    listed = top_per_group(listed, ["juego", "otra_a"], [F.col("otra")], k + 1).drop("rank")
+    asked = kinds.where(few).select("clase", F.explode(_combinations("clase")).alias("juego"))
+    found = asked.join(listed, "juego").groupBy("clase", "otra", "otra_a").agg(F.max(F.size("juego")).alias("comunes"))
+    by_genre = lambda df, c: df.withColumn("genero", F.explode(c))
+    long_ = [
+        by_genre(a, "clase").join(by_genre(b, "otra_clase"), "genero").groupBy("clase", "otra", "otra_a").agg(
+            F.count("*").cast("int").alias("comunes"))
+        for a, b in ((kinds.where(~few), offered), (kinds.where(few), offered.where(~many)))
+    ]
+    return found.unionByName(long_[0]).unionByName(long_[1])
+
+
 def _fill_from_neighbours(facts: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     fit, fit_a = ~F.col("adulta"), ~F.col("adulta") & F.col("a")
     ring = global_position(

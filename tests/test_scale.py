@@ -192,3 +192,28 @@ def test_a_hot_reader_is_thinned_by_many_tasks(spark):
     salted = votes.withColumn("_salt", F.pmod(F.xxhash64(*votes.columns), F.lit(64)))
     sizes = [r["count"] for r in salted.groupBy("_salt").count().collect()]
     assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2] and len(sizes) == 64
+
+
+@pytest.mark.parametrize("combined", [10, 2, 0])
+def test_related_works_with_a_genre_of_a_third_of_them(spark, monkeypatch, combined):
+    """Lists of combinations, and comparison genre by genre, give the brute-force order."""
+    from tandem.operators import ranking
+
+    monkeypatch.setattr(ranking, "COMBINED", combined)
+    rng, k = random.Random(combined), 4
+    genres = [f"g{i}" for i in range(12)]
+    works = []
+    for i in range(260):
+        own = rng.sample(genres[1:], rng.choice([0, 1, 2, 3, 5])) + (["g0"] if rng.random() < 0.34 else [])
+        works.append((i, f"t{i:03}", rng.random() < 0.1, own + own[:1], "A" if rng.random() < 0.3 else "B"))
+    df = spark.createDataFrame([w[:4] for w in works], "work_id bigint, titulo string, adulta boolean, categorias array<string>")
+    levels = spark.createDataFrame([(w[0], w[4]) for w in works], "work_id bigint, nivel string")
+    got = {}
+    for r in ranking.related_works(df, levels, k).where("origen = 'genero'").collect():
+        got.setdefault(r.work_id, {})[r.puesto] = r.otra
+    want = {}
+    for i, _, _, own, _ in works:
+        shared = [(level != "A", -len(set(own) & set(theirs)), j) for j, _, adult, theirs, level in works if j != i and not adult and set(own) & set(theirs)]
+        if shared:
+            want[i] = {n + 1: j for n, (_, _, j) in enumerate(sorted(shared)[:k])}
+    assert got == want
