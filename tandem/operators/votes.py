@@ -19,7 +19,11 @@ def upsert_votes(votes: DataFrame) -> DataFrame:
 
 def consensus(votes: DataFrame) -> DataFrame:
     """Most voted novel chapter per manhwa chapter; a tie goes to the lower chapter."""
-    counted = votes.groupBy(*PAIR, "capitulo_novela").agg(F.count("*").alias("n"))
+    return most_voted(votes.groupBy(*PAIR, "capitulo_novela").agg(F.count("*").alias("n")))
+
+
+def most_voted(counted: DataFrame) -> DataFrame:
+    """``consensus`` of counted votes: work_id, capitulo_manhwa, capitulo_novela, n."""
     best = F.max(F.struct(F.col("n").alias("n"), (-F.col("capitulo_novela")).alias("m")))
     return counted.groupBy(*PAIR).agg(best.alias("b")).select(
         *PAIR, (-F.col("b.m")).alias("capitulo_novela"), F.col("b.n").alias("votos")

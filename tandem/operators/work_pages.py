@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tandem.functions import fixed_values as fv
 from tandem.functions import prose
 from tandem.functions.text import normalize_name
-from tandem.operators.distributed import top_per_group
+from tandem.operators.distributed import small_side, top_per_group
 from tandem.operators.gap import work_counts
 from tandem.operators.ranking import spanish_order, top_list
 from tandem.operators.rollup import source_facts, source_rollup
@@ -27,6 +27,41 @@ def search_titles(works: DataFrame, q: str, n: int = 8) -> DataFrame:
     return top_list(hits, order, n).select("work_id", "titulo", "puesto")
 
 
+def _grams(c: Column, size: Column | int) -> Column:
+    """Different runs of ``size`` signs of a text; none of a shorter one."""
+    starts = F.sequence(F.lit(1), F.length(c) - size + 1)
+    size = size if isinstance(size, Column) else F.lit(size)
+    return F.when(F.length(c) >= size, F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def search_titles_of(works: DataFrame, questions: DataFrame, n: int = 8) -> DataFrame:
+    """``search_titles`` for many questions at once: q, work_id, titulo, puesto. ``questions``: q.
+
+    Names are listed under their runs of three signs (one or two for shorter questions). A question is looked up by its
+    rarest run only, and the names found are compared in full, so no question reads all names. A question without
+    letters or digits fits all names, as there.
+    """
+    haystack = normalize_name(F.concat_ws(" ", F.array("titulo"), F.col("titulos_alternativos")))
+    names = cut_lineage(works.select("work_id", "titulo", "destacada", haystack.alias("_names")))
+    asked = questions.select("q").distinct().withColumn("_wanted", normalize_name("q"))
+    texts = asked.select("_wanted").distinct()
+    size = F.least(F.length("_wanted"), F.lit(3))
+    wanted = cut_lineage(texts.where("_wanted <> ''").select("_wanted", F.explode(_grams(F.col("_wanted"), size)).alias("_gram")))
+    sizes = [r[0] for r in wanted.select(F.length("_gram")).distinct().collect()]  # of 1, 2 and 3
+    every = F.concat(*[_grams(F.col("_names"), k) for k in sizes]) if sizes else F.array().cast("array<string>")
+    listed = names.select("work_id", F.explode(every).alias("_gram")).join(small_side(wanted.select("_gram").distinct()), "_gram")
+    listed = cut_lineage(listed)
+    counted = wanted.join(listed.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram", "left")
+    rarest = counted.groupBy("_wanted").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("r"))
+    likely = rarest.select("_wanted", F.col("r.g").alias("_gram")).join(listed, "_gram").join(names, "work_id")
+    hits = likely.withColumn("_at", F.expr("instr(_names, _wanted)")).where("_at > 0")
+    order = [(F.col("_at") == 1).desc(), F.desc("destacada"), spanish_order(), F.col("work_id")]
+    first = top_per_group(hits.select("_wanted", "work_id", "titulo", "destacada", "_at"), ["_wanted"], order, n, name="puesto")
+    anything = top_list(names.withColumn("_at", F.lit(1)), order, n).withColumn("_wanted", F.lit(""))
+    found = first.select("_wanted", "work_id", "titulo", "puesto").unionByName(anything.select("_wanted", "work_id", "titulo", "puesto"))
+    return asked.join(found, "_wanted").select("q", "work_id", "titulo", "puesto")
+
+
 def search_admin(works: DataFrame, q: str, n: int = 8) -> DataFrame:
     return works.where(F.col("titulo").ilike(f"%{q}%")).orderBy("titulo", "work_id").limit(n).select("work_id", "titulo")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tandem.operators import gap as gap_ops
 from tandem.operators import rollup, votes
 from tandem.plans.registry import check_view, query
+from tandem.streaming import streams
 
 check_view("o_chapters", "SELECT * FROM f_chapters WHERE aprobado")
 check_view(
@@ -117,6 +118,26 @@ def _(t):
     return votes.consensus(t.votes)
 
 
+_VOTE_CHANGES = """
+SELECT event_id AS id, CAST(event_id % 40 AS BIGINT) AS work_id, CAST(floor(abs(value)) AS INT) % 4 + 1 AS capitulo_manhwa, user_id,
+       CAST(event_id % 5 AS INT) + 1 AS capitulo_novela, ts AS creada_en, event_type = 'purchase' AS borrado FROM {events}"""
+check_view("o_vote_changes", _VOTE_CHANGES.replace("{events}", "events"))
+
+
+@query("a8_consensus_stream", """
+    WITH v AS (SELECT work_id, capitulo_manhwa, user_id, arg_max(capitulo_novela, (creada_en, id)) AS c, arg_max(borrado, (creada_en, id)) AS b
+               FROM o_vote_changes GROUP BY 1, 2, 3),
+    n AS (SELECT work_id, capitulo_manhwa, c, count(*) AS n FROM v WHERE NOT b GROUP BY 1, 2, 3)
+    SELECT work_id, capitulo_manhwa, arg_max(c, (n, -c)) AS capitulo_novela, max(n) AS votos FROM n GROUP BY 1, 2""")
+def _(t):
+    """Votes arrive in four batches, in no order of time; a purchase stands for a withdrawn vote."""
+    folder = streams.run_folder(t.spark)
+    changes = t.sql(_VOTE_CHANGES).withColumn("creada_en", F.col("creada_en").cast("timestamp"))
+    changes.repartition(4, "id").write.parquet(f"{folder}/changes.parquet")
+    arriving = streams.folder_stream(t.spark, f"{folder}/changes.parquet", files_per_batch=1)
+    return streams.consensus_stream(arriving, folder).read()
+
+
 @query("a9_combined_equivalences", "SELECT * FROM o_combined")
 def _(t):
     return votes.combined_equivalences(t.votes, t.anchors)

@@ -221,6 +221,23 @@ def _(t):
     return work_pages.search_titles(published(t), "¡RéD!")
 
 
+_NORMAL = "trim(regexp_replace(lower(strip_accents({x})), '[^\\pL\\pN]+', ' ', 'g'))"
+
+
+@query("p11_many_questions", f"""
+    WITH n AS (SELECT work_id, titulo, destacada, {_NORMAL.format(x="array_to_string(list_filter([titulo, alt1, alt2, alt3], lambda x: x IS NOT NULL), ' ')")} AS names FROM o_works),
+    q AS (SELECT DISTINCT q FROM (SELECT concat('¡', upper(substr(p_name, 2, 4)), '!') AS q FROM part
+            UNION ALL SELECT substr(p_name, length(p_name) - p_partkey % 3) FROM part UNION ALL SELECT p_brand FROM part))
+    SELECT q, work_id, titulo, CAST(puesto AS INT) AS puesto FROM (
+      SELECT q, work_id, titulo, row_number() OVER (PARTITION BY q ORDER BY starts_with(names, w) DESC, destacada DESC, titulo, work_id) AS puesto
+      FROM (SELECT q, {_NORMAL.format(x="q")} AS w FROM q) JOIN n ON contains(names, w)) WHERE puesto <= 8""")
+def _(t):
+    asked = t.sql("""
+        SELECT concat('¡', upper(substr(p_name, 2, 4)), '!') AS q FROM {part}
+        UNION ALL SELECT substr(p_name, CAST(length(p_name) - p_partkey % 3 AS INT)) FROM {part} UNION ALL SELECT p_brand FROM {part}""")
+    return work_pages.search_titles_of(published(t), asked)
+
+
 @query("p11_search_admin", "SELECT work_id, titulo FROM o_works WHERE titulo ILIKE '%GEAR%' ORDER BY titulo, work_id LIMIT 8")
 def _(t):
     return work_pages.search_admin(published(t), "GEAR")

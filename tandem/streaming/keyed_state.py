@@ -69,8 +69,10 @@ class KeptTable:
         if self.variable is not None:
             return reader.option("stateVarName", self.variable).load().select("key.*", "value.*").select(*self.schema.names)
         state = reader.load()
-        kept = state.schema["value"].dataType.names[0]  # the one aggregate
-        return state.select("key.*", f"value.{kept}.*").select(*self.schema.names)
+        kept = state.schema["value"].dataType[0]  # the one aggregate: a row, or a number
+        if isinstance(kept.dataType, T.StructType):
+            return state.select("key.*", f"value.{kept.name}.*").select(*self.schema.names)
+        return state.select("key.*", F.col(f"value.{kept.name}").alias(self.schema.names[-1]))
 
 
 def keep(

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from tandem.operators.incremental import activity_windows
-from tandem.operators.votes import PAIR
+from tandem.operators.votes import PAIR, most_voted
 from tandem.session import shared_dir
 from tandem.streaming.keyed_state import KeptTable, keep, run
 
@@ -114,6 +114,75 @@ def latest_votes_stream(votes: DataFrame, folder: str) -> KeptTable:
     return keep(votes.select(*columns), folder, [*PAIR, "user_id"], [F.col("creada_en"), F.col("id")], columns)
 
 
+# ---- counts that follow changes ---------------------------------------------------------
+
+_VOTE = "capitulo_novela int, creada bigint, id bigint"
+_MOVE = "work_id bigint, capitulo_manhwa int, capitulo_novela int, paso int"
+
+
+class _Moves(StatefulProcessor):
+    """The vote of a reader on a chapter. A later vote takes one from what it said before and gives one to what it says now;
+    a withdrawn vote only takes. The withdrawal is kept with its time, so an older vote cannot come back."""
+
+    def init(self, handle) -> None:
+        self.vote = handle.getValueState("vote", _VOTE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.vote.get() if self.vote.exists() else None
+        now = known
+        for frame in rows:
+            at, gone = _micros(frame["creada_en"]).tolist(), frame["borrado"].tolist()
+            for t, i, chapter, out in zip(at, frame["id"].tolist(), frame["capitulo_novela"].tolist(), gone):
+                if now is None or (t, i) >= (now[1], now[2]):
+                    now = (None if out else int(chapter), t, i)
+        before, after = (None if v is None else v[0] for v in (known, now))
+        if now != known:
+            self.vote.update(now)
+        moves = [(c, step) for c, step in ((before, -1), (after, 1)) if c is not None] if before != after else []
+        yield pd.DataFrame(
+            {"work_id": key[0], "capitulo_manhwa": key[1], "capitulo_novela": [c for c, _ in moves], "paso": [s for _, s in moves]}
+        )
+
+    def close(self) -> None:
+        pass
+
+
+class Consensus:
+    """Counted votes kept up to date, and the consensus that they give."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        schema = T._parse_datatype_string("work_id bigint, capitulo_manhwa int, capitulo_novela int, n bigint")
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def counts(self) -> DataFrame:
+        return KeptTable(self.spark, f"{self.folder}/counts", self.schema).read().where("n > 0")
+
+    def read(self) -> DataFrame:
+        return most_voted(self.counts())
+
+
+def consensus_stream(changes: DataFrame, folder: str) -> Consensus:
+    """Consensus from a stream of votes, changed votes and withdrawn ones (borrado), none of which is counted twice.
+
+    ``changes``: id, work_id, capitulo_manhwa, user_id, capitulo_novela, creada_en, borrado. The latest row of a reader and
+    chapter counts, by time, then id, whenever it arrives. What a batch changes are moves of single votes, written to
+    ``folder``/moves/rows; a second stream adds them up, so a batch costs as much as its rows.
+    """
+    votes = changes.where("work_id IS NOT NULL AND capitulo_manhwa IS NOT NULL AND user_id IS NOT NULL AND creada_en IS NOT NULL")
+    votes = votes.select(
+        F.col("work_id").cast("bigint").alias("work_id"), F.col("capitulo_manhwa").cast("int").alias("capitulo_manhwa"), "user_id", "id",
+        F.coalesce("capitulo_novela", F.lit(0)).cast("int").alias("capitulo_novela"), "creada_en",
+        (F.coalesce("borrado", F.lit(False)) | F.col("capitulo_novela").isNull()).alias("borrado"),
+    )
+    moves = votes.groupBy(*PAIR, "user_id").transformWithStateInPandas(_Moves(), _MOVE, "Append", "None")
+    store(moves, f"{folder}/moves")
+    spark = changes.sparkSession
+    written = spark.readStream.schema(_MOVE).option("maxFilesPerTrigger", 10_000).parquet(f"{folder}/moves/rows")
+    counted = written.groupBy(*PAIR, "capitulo_novela").agg(F.sum("paso").alias("n"))
+    run(counted, f"{folder}/counts", "update")
+    return Consensus(spark, folder)
+
+
 # ---- state that follows an order --------------------------------------------------------
 
 _GROWTH = "n_caps bigint, cambio bigint, visita bigint"

@@ -187,3 +187,31 @@ def test_the_times_of_quiet_readers_are_forgotten(spark):
     left = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "accepted").load()
     times = [(r.key.user_id, len(r.list_value) if "list_value" in r else 1) for r in left.collect()]
     assert sum(n for u, n in times if u == 8) == 2 and sum(n for u, n in times if u == 7) == 1
+
+
+def test_consensus_follows_changed_and_withdrawn_votes(spark):
+    import random
+
+    from tandem.operators import votes as batch
+
+    rng, folder = random.Random(2), streams.run_folder(spark)
+    schema = "id bigint, work_id bigint, capitulo_manhwa int, user_id bigint, capitulo_novela int, creada_en timestamp, borrado boolean"
+    rows = [(i, rng.randrange(2), rng.randrange(3), rng.randrange(12), rng.randrange(1, 4), ts(f"2026-01-{rng.randrange(1, 29):02}"), rng.random() < 0.2)
+            for i in range(300)]
+    parts = [rows[i::3] for i in range(3)]
+
+    def plain(seen):
+        last = {}
+        for r in sorted(seen, key=lambda r: (r[5], r[0])):
+            last[r[1:4]] = None if r[6] else r[4]
+        kept = [(i, *k, c) for i, (k, c) in enumerate(last.items()) if c is not None]
+        df = spark.createDataFrame(kept, "id int, work_id bigint, capitulo_manhwa int, user_id bigint, capitulo_novela int")
+        return sorted(map(tuple, batch.consensus(df).collect()))
+
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(f"{folder}/in")
+        table = streams.consensus_stream(_stream(spark, folder, spark.read.parquet(f"{folder}/in").schema), folder)
+        if i != 1:
+            assert sorted(map(tuple, table.read().collect())) == plain([r for p in parts[: i + 1] for r in p])
+    steps = spark.read.parquet(f"{folder}/moves/rows")
+    assert steps.count() < 2 * len(rows) and steps.where("paso < 0").count() > 0
