@@ -41,9 +41,8 @@ TITLE_WORDS_ES = (
     "hasta desde yo me te nos lo ya ser hacia"
 ).split()
 TITLE_WORDS_OTHER = "le les des du et une aux um uma em ao do nao der die das und ein eine von zu dos ga wa wo".split()
-OTHER_LATIN_LETTERS = (
-    "çãõàèìòùâêîôûëïüöäßøåæœąęłńśźżđơưşğıạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ"
-)
+OTHER_LATIN = r"[çãõàèìòùâêîôûëïüöäßøåæœąęłńśźżđơưşğıạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]|ów\b|nh"
+ELISION = r"\b[ld]'[a-zé]"
 PINYIN = (
     "^(?:(?:zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?"
     "(?:iang|iong|uang|ang|eng|ing|ong|ian|iao|uai|uan|ai|ei|ao|ou|an|en|in|un|ia|ie|iu|ua|uo|ui|ue|er|a|o|e|i|u|v))+$"
@@ -80,7 +79,36 @@ CARD_PARAGRAPH = (
     r"|(?:notes?|links?|nota|enlaces|official|original (?:web(?:toon|novel)|novel|manhwa|manhua|manga|work)"
     r"|also known|alternative|raws?|status)\b\s*:?)"
 )
-SOURCE_NOTE_WORDS = "source|from|fuente|desde"
+# brackets are escaped within classes and loops are possessive, as Java wants them: an ordinary loop recurses once per character
+SOURCE_NOTE = (
+    r"\*?\s*[(\[]\s*(?:source|from|fuente|desde)\b\s*:?(?:[^()\[\]]++|\[[^\]]*+\]|\([^)]*+\))*+[)\]]\s*\*?"
+)
+# pattern, replacement, in this order
+PROSE_CLEANING = [
+    (r"(?iu)" + SOURCE_NOTE, " "),
+    (r"(?imu)\*?\s*\b(?:source|fuente)\s*:[^*\n]*\*?\s*$", ""),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"https?://\S+", ""),
+    (r"\*\*|__", ""),
+    (r"[ \t]*\n[ \t]*", "\n"),
+    (r"[ \t]{2,}", " "),
+    (r" +([.,;:!?])", "$1"),
+]
+
+# ---- Fixed values: texts of the bulk export --------------------------------------------
+
+PIN_TITLE_AHEAD = "{titulo}: la novela va {faltan} capítulos por delante del manhwa"
+PIN_TITLE = "{titulo} — dónde leer todos los capítulos en español"
+PIN_BODY_AHEAD = (
+    "El manhwa va por el capítulo {manhwa} y la novela por el {novela}: te faltan {faltan} capítulos de historia. "
+    "Te decimos por qué capítulo seguir y dónde leerla, gratis."
+)
+PIN_BODY = (
+    "Todas las fuentes de {titulo} indexadas en un sitio: {total} capítulos con enlace al sitio original, "
+    "y el aviso cuando sale uno nuevo."
+)
+PIN_ALSO = "También conocida como {otros}."
+PIN_KEYWORDS = ["manhwa", "novela ligera", "dónde leer"]
 
 # ---- Fixed values: genres ------------------------------------------------------------
 # Spanish name | English name | other spellings

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as fv
-from tandem.functions.text import AFTER_WORD, BEFORE_WORD, fold_accents, let, trim_ws
+from tandem.functions.text import ascii_borders, fold_accents, let, trim_ws
 
 _EMPTY = "array<string>"
 
@@ -53,7 +53,7 @@ def _decide_language(c: Column) -> Column:
     return (
         F.when((t == "") | t.rlike("[^\\x{0}-\\x{24f}\\x{2000}-\\x{206f}]"), "otro")
         # lower case first: with (?iu) Java would let the dotless i match a plain one
-        .when(F.lower(t).rlike(f"[{fv.OTHER_LATIN_LETTERS}]|ów{AFTER_WORD}|nh|{BEFORE_WORD}[ld]'[a-zé]"), "otro")
+        .when(F.lower(t).rlike(ascii_borders(f"{fv.OTHER_LATIN}|{fv.ELISION}")), "otro")
         .when(F.size(words) == 0, "otro")
         .when(all_pinyin, "otro")
         .when((other > es) & (other >= en), "otro")
@@ -137,19 +137,11 @@ def source_language(c: Column | str) -> Column:
     return F.when(let(words, decide) > accents + 2, "en").otherwise(fv.BASE_LANGUAGE)
 
 
-# (?:...)*+ is possessive: the loop cannot end inside a bracket, so giving back never helps,
-# and Java would otherwise recurse once per character
-_SOURCE_NOTE = (
-    rf"(?iu)\*?\s*[(\[]\s*(?:{fv.SOURCE_NOTE_WORDS}){AFTER_WORD}\s*:?"
-    r"(?:[^()\[\]]++|\[[^\]]*+\]|\([^)]*+\))*+[)\]]\s*\*?"
-)
-
-
 def clean_synopsis(c: Column | str) -> Column:
     """The story paragraphs only: no fact card, no source notes, no links."""
     raw = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\r\n?", "\n")
     paragraphs = F.filter(F.transform(F.split(raw, r"\n{2,}"), trim_ws), lambda p: p != "")
-    card = rf"(?iu){fv.CARD_PARAGRAPH}".replace(r"\b", AFTER_WORD)
+    card = ascii_borders(rf"(?iu){fv.CARD_PARAGRAPH}")
 
     def from_first_story(ps: Column) -> Column:
         start = F.array_position(F.transform(ps, lambda p: p.rlike(card)), False).cast("int")
@@ -160,17 +152,8 @@ def clean_synopsis(c: Column | str) -> Column:
         return F.when(stop > 0, F.slice(ps, 1, stop - 1)).otherwise(ps)
 
     def polish(p: Column) -> Column:
-        for pattern, replacement in (
-            (_SOURCE_NOTE, " "),
-            (rf"(?imu)\*?\s*{BEFORE_WORD}(?:source|fuente)\s*:[^*\n]*\*?\s*$", ""),
-            (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-            (r"https?://\S+", ""),
-            (r"\*\*|__", ""),
-            (r"[ \t]*\n[ \t]*", "\n"),
-            (r"[ \t]{2,}", " "),
-            (r" +([.,;:!?])", "$1"),
-        ):
-            p = F.regexp_replace(p, pattern, replacement)
+        for pattern, replacement in fv.PROSE_CLEANING:
+            p = F.regexp_replace(p, ascii_borders(pattern), replacement)
         return trim_ws(p)
 
     story = let(let(paragraphs, from_first_story), up_to_card)

@@ -7,6 +7,7 @@ and marks in U+0300-U+036F maps to that base, and the marks are deleted.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -23,6 +24,18 @@ WS = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{
 BEFORE_WORD, AFTER_WORD = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
+def ascii_borders(pattern: str) -> str:
+    """The pattern with every ``\\b`` a border between ASCII word signs and others, whatever the flags."""
+    w = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))")
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A text with columns in place of ``{names}``."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
+
+
 @cache
 def _accent_table() -> tuple[str, str]:
     marks = [chr(c) for c in range(0x300, 0x370)]

@@ -187,12 +187,13 @@ def title_language_sql(t: str) -> str:
         return f"len(list_filter(ws, lambda w: length(w) >= 4 AND regexp_matches(w, '{pattern}')))"
 
     french = some(fv.ENDINGS_FR, "length(w) >= 4")
+    latin = "'" + f"{fv.OTHER_LATIN}|{fv.ELISION}".replace("'", "''") + "'"
     pinyin = (
         f"len(list_filter(ws, lambda w: regexp_matches(w, '{fv.PINYIN}') "
         "AND (length(w) <= 4 OR regexp_matches(w, 'zh|x|q')))) = len(ws)"
     )
     return f"""CASE WHEN {t} = '' OR regexp_matches({t}, '[^\\x{{0}}-\\x{{24f}}\\x{{2000}}-\\x{{206f}}]') THEN 'otro'
-      WHEN regexp_matches(lower({t}), '[{fv.OTHER_LATIN_LETTERS}]|ów([^a-z0-9_]|$)|nh|\\b[ld]''[a-zé]') THEN 'otro'
+      WHEN regexp_matches(lower({t}), {latin}) THEN 'otro'
       WHEN len(ws) = 0 THEN 'otro' WHEN len(ws) >= 2 AND {pinyin} THEN 'otro'
       WHEN {count(fv.TITLE_WORDS_OTHER)} > {count(fv.TITLE_WORDS_ES)}
            AND {count(fv.TITLE_WORDS_OTHER)} >= {count(fv.TITLE_WORDS_EN)} THEN 'otro'

@@ -235,23 +235,14 @@ def bulk_export(
     t, ahead = F.col("titulo"), F.col("faltan") > 0
     num = lambda c: text.thousands(F.col(c))
     other = F.slice(F.filter("titulos_alternativos", lambda a: (a != "") & (a != t)), 1, 3)
-    title = F.when(
-        ahead, F.concat(t, F.lit(": la novela va "), num("faltan"), F.lit(" capítulos por delante del manhwa"))
-    ).otherwise(F.concat(t, F.lit(" — dónde leer todos los capítulos en español")))
-    body = F.when(
-        ahead,
-        F.concat(F.lit("El manhwa va por el capítulo "), num("manhwa"), F.lit(" y la novela por el "), num("novela"),
-                 F.lit(": te faltan "), num("faltan"),
-                 F.lit(" capítulos de historia. Te decimos por qué capítulo seguir y dónde leerla, gratis.")),
-    ).otherwise(
-        F.concat(F.lit("Todas las fuentes de "), t, F.lit(" indexadas en un sitio: "), num("total"),
-                 F.lit(" capítulos con enlace al sitio original, y el aviso cuando sale uno nuevo."))
-    )
-    known = F.when(F.size(other) > 0, F.concat(F.lit("También conocida como "), F.array_join(other, ", "), F.lit(".")))
+    values = {"titulo": t, **{c: num(c) for c in ("faltan", "manhwa", "novela", "total")}, "otros": F.array_join(other, ", ")}
+    title = F.when(ahead, text.filled(fv.PIN_TITLE_AHEAD, **values)).otherwise(text.filled(fv.PIN_TITLE, **values))
+    body = F.when(ahead, text.filled(fv.PIN_BODY_AHEAD, **values)).otherwise(text.filled(fv.PIN_BODY, **values))
+    known = F.when(F.size(other) > 0, text.filled(fv.PIN_ALSO, **values))
     link = F.concat(F.lit(f"{site}/novela/"), F.col("slug"))
     day = F.date_add(F.lit(first_day), F.floor(F.col("_i") / per_day).cast("int"))
     hour = 9 + F.floor((F.col("_i") % per_day) * 12 / per_day + 0.5)
-    fixed = F.array(F.lit("manhwa"), F.lit("novela ligera"), F.lit("dónde leer"))
+    fixed = F.array(*[F.lit(w) for w in fv.PIN_KEYWORDS])
     return picked.select(
         "slug",
         F.floor(F.col("_i") / fv.PINS_PER_FILE).cast("int").alias("file"),
