@@ -182,6 +182,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots).distinct()
 
 
+def grow_components(members: DataFrame, roots: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:
+    """What new edges add to components that are kept: rows to append to ``members``, and ``roots`` rows to put in place.
+
+    ``members``: node, grupo, never rewritten. ``roots``: grupo, root, the smallest node that the group's nodes are
+    connected with now. Only groups that the edges touch are read into the graph, and of groups that grow together only their row in
+    ``roots`` changes, however many nodes they have. Nodes are compared as ``components`` does.
+    """
+    ends = cut_lineage(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct())
+    nodes = ends.select(F.col("_a").alias("node")).union(ends.select("_b")).distinct()
+    known = nodes.join(members, "node", "left").join(roots, "grupo", "left")
+    rooted = cut_lineage(known.select("node", "grupo", F.coalesce("root", "node").alias("root")))
+    of = lambda end, name: rooted.select(F.col("node").alias(end), F.col("root").alias(name))
+    linked = ends.join(of("_a", "a"), "_a").join(of("_b", "b"), "_b").where("a <> b").select("a", "b")
+    merged = cut_lineage(components(linked)).select(F.col("node").alias("root"), F.col("root").alias("_now"))
+    new = rooted.where("grupo IS NULL").join(merged, "root", "left").select("node", F.coalesce("_now", "root").alias("grupo"))
+    new = cut_lineage(new)
+    begun = new.where("node = grupo").select("grupo", F.col("grupo").alias("root"))
+    moved = roots.join(small_side(merged.where("root <> _now")), "root").select("grupo", F.col("_now").alias("root"))
+    return new, cut_lineage(moved.unionByName(begun))
+
+
+def put_in_place(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The table with the rows of the same key replaced, and new ones added."""
+    return table.join(rows.select(key), key, "left_anti").unionByName(rows)
+
+
 def follow_chains(links: DataFrame, src: str, dst: str, max_rounds: int = 40) -> DataFrame:
     """Resolve src -> dst chains to their end by pointer doubling; one dst per src.
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tandem.functions import fixed_values as fv
 from tandem.operators import matching, merging
 from tandem.operators.catalog_text import joined, work_names
+from tandem.operators.distributed import grow_components, put_in_place
 from tandem.plans.rankings import published
 from tandem.plans.registry import check_view, query
 from tandem.plans.texts import sql_list
+from tandem.session import cut_lineage
 
 check_view("o_index", "SELECT clave, min(work_id) AS work_id FROM (SELECT work_id, unnest(claves) AS clave FROM o_keys) WHERE length(clave) >= 3 GROUP BY clave")
 
@@ -243,6 +245,27 @@ def _(t):
     return merged(t)["sources"].groupBy("work_id").agg(F.count("*").alias("n_fuentes"), F.sum("n_caps").alias("caps"))
 
 
+_LINKS = "SELECT p_partkey AS a, p_partkey - p_size % 7 - 1 AS b FROM {part} WHERE p_size > 20 AND p_partkey > 7"
+check_view("o_linked_works", _LINKS.replace("{part}", "part"))
+
+
+@query("j8_groups_kept_current", """
+    WITH RECURSIVE e AS (SELECT a, b FROM o_linked_works UNION SELECT b, a FROM o_linked_works),
+    r(node, label) AS (SELECT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node)
+    SELECT node, min(label) AS root FROM r GROUP BY node""")
+def _(t):
+    """Links of works arrive in five batches; groups that are there grow together."""
+    links = cut_lineage(t.sql(_LINKS).withColumn("_lote", F.pmod(F.xxhash64("a", "b"), F.lit(5))))
+    kind = links.schema["a"].dataType.simpleString()
+    members = t.spark.createDataFrame([], f"node {kind}, grupo {kind}")
+    roots = t.spark.createDataFrame([], f"grupo {kind}, root {kind}")
+    for batch in range(5):
+        new, changed = grow_components(members, roots, links.where(F.col("_lote") == batch))
+        members = cut_lineage(members.unionByName(new))
+        roots = cut_lineage(put_in_place(roots, changed, "grupo"))
+    return members.join(roots, "grupo").select("node", "root")
+
+
 @query("j9_merged_chapters", f"""
     WITH RECURSIVE {_PLAN}
     SELECT c.id, c.source_id, c.numero, c.titulo, c.url, coalesce(p.dst, c.work_id) AS work_id, p.dst IS NOT NULL AS movido

@@ -217,3 +217,37 @@ def test_related_works_with_a_genre_of_a_third_of_them(spark, monkeypatch, combi
         if shared:
             want[i] = {n + 1: j for n, (_, _, j) in enumerate(sorted(shared)[:k])}
     assert got == want
+
+
+def test_components_kept_current_equal_a_full_run(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(80)] + [(500, 500)]
+    members, roots = spark.createDataFrame([], "node bigint, grupo bigint"), spark.createDataFrame([], "grupo bigint, root bigint")
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for batch in range(4):
+        part = edges[batch::4]
+        new, changed = d.grow_components(members, roots, spark.createDataFrame(part, "a bigint, b bigint"))
+        members, roots = d.cut_lineage(members.unionByName(new)), d.cut_lineage(d.put_in_place(roots, changed, "grupo"))
+        for a, b in part:
+            lo, hi = sorted((find(a), find(b)))
+            parent[hi] = lo
+        if batch in (1, 3):
+            got = {r.node: r.root for r in members.join(roots, "grupo").collect()}
+            assert got == {n: find(n) for n in parent}
+    assert members.count() == len(parent) and roots.select("grupo").distinct().count() == roots.count()
+
+
+def test_a_large_group_changes_by_one_row(spark):
+    chain = spark.range(12, 61).selectExpr("id AS a", "11L AS b")
+    members, roots = spark.createDataFrame([], "node bigint, grupo bigint"), spark.createDataFrame([], "grupo bigint, root bigint")
+    new, changed = d.grow_components(members, roots, chain)
+    members, roots = d.cut_lineage(new), d.cut_lineage(changed)
+    assert members.count() == 50 and [tuple(r) for r in roots.collect()] == [(11, 11)]
+    new, changed = d.grow_components(members, roots, spark.createDataFrame([(30, 3)], "a bigint, b bigint"))
+    assert [tuple(r) for r in new.collect()] == [(3, 3)] and sorted(map(tuple, changed.collect())) == [(3, 3), (11, 3)]
