@@ -254,12 +254,12 @@ check_view("o_linked_works", _LINKS.replace("{part}", "part"))
     r(node, label) AS (SELECT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node)
     SELECT node, min(label) AS root FROM r GROUP BY node""")
 def _(t):
-    """Links of works arrive in five batches; groups that are there grow together."""
-    links = cut_lineage(t.sql(_LINKS).withColumn("_lote", F.pmod(F.xxhash64("a", "b"), F.lit(5))))
+    """Links of works arrive in three batches; groups that are there grow together."""
+    links = cut_lineage(t.sql(_LINKS).withColumn("_lote", F.pmod(F.xxhash64("a", "b"), F.lit(3))))
     kind = links.schema["a"].dataType.simpleString()
     members = t.spark.createDataFrame([], f"node {kind}, grupo {kind}")
     roots = t.spark.createDataFrame([], f"grupo {kind}, root {kind}")
-    for batch in range(5):
+    for batch in range(3):
         new, changed = grow_components(members, roots, links.where(F.col("_lote") == batch))
         members = cut_lineage(members.unionByName(new))
         roots = cut_lineage(put_in_place(roots, changed, "grupo"))

@@ -28,6 +28,8 @@ def query(name: str, oracle: str | None = None):
 
 
 def check_view(name: str, sql: str) -> None:
+    if name in CHECK_VIEWS:
+        raise ValueError(f"view {name} is registered twice")
     CHECK_VIEWS[name] = sql
 
 
