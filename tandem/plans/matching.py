@@ -189,11 +189,11 @@ def _(t):
     return merge_inputs(t)[2]
 
 
-def merged(t):
+def merged(t, chapters=None):
     works, weights, plan = merge_inputs(t)
     old = F.when(F.col("work_id") % 6 == 0, F.array(F.concat(F.lit("vieja-"), F.col("work_id").cast("string"))))
     works = works.withColumn("slugs_antiguos", F.coalesce(old, F.array().cast("array<string>")))
-    return merging.apply_merge(works, weights, plan, t.sources, t.chapters, t.anchors)
+    return merging.apply_merge(works, weights, plan, t.sources, t.chapters if chapters is None else chapters, t.anchors)
 
 
 _MEMBERS = f"""
@@ -271,9 +271,8 @@ def _(t):
     SELECT c.id, c.source_id, c.numero, c.titulo, c.url, coalesce(p.dst, c.work_id) AS work_id, p.dst IS NOT NULL AS movido
     FROM o_chapters c LEFT JOIN plan p ON p.src = c.work_id""")
 def _(t):
-    before = t.chapters.select("id", F.col("work_id").alias("_de"))
-    moved = merged(t)["chapters"].select("id", "source_id", "numero", "titulo", "url", "work_id").join(before, "id")
-    return moved.withColumn("movido", F.col("work_id") != F.col("_de")).drop("_de")
+    moved = merged(t, t.chapters.withColumn("_de", F.col("work_id")))["chapters"]
+    return moved.select("id", "source_id", "numero", "titulo", "url", "work_id", (F.col("work_id") != F.col("_de")).alias("movido"))
 
 
 @query("j9_old_slugs", f"""
