@@ -88,3 +88,11 @@ def test_covers_are_numbered_without_a_global_order(spark, sf_dir):
     t = Tables(spark, sf_dir)
     text = plan(covers.cover_candidates(t.works, t.sources))
     assert "rangepartitioning" not in text and "Scan ExistingRDD" not in text
+
+
+def test_title_search_broadcasts_questions_only(spark):
+    """The lists of names and the names grow with the works, however small their files look."""
+    schema = "work_id long, titulo string, destacada boolean, titulos_alternativos array<string>"
+    works = spark.createDataFrame([(i, f"old ring {i}", i % 3 == 0, ["Anillo"]) for i in range(40)], schema)
+    text = plan(work_pages.search_titles_of(works, spark.createDataFrame([("ring",), ("ANI",), ("9",)], "q string")))
+    assert text.count("BroadcastExchange") == 1 and text.count("SortMergeJoin") == 2
