@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.text import text_hash, text_key
@@ -62,10 +62,15 @@ def _(t):
     return rows.fillna("", ["numero"])
 
 
-def _file_per_row(t, docs: DataFrame) -> str:
-    """The documents (doc, value) as files of their own."""
-    folder = streams.run_folder(t.spark)
-    docs.write.partitionBy("doc").text(folder)
+def large_files(rows: DataFrame, order: list[str], line, end: str) -> str:
+    """Rows (doc and more) as one file per doc. ``line`` makes the text of a row from the row, whether it is the first of its
+    file and whether the last; ``end`` follows every row. A file is written in order, a row at a time, so it may be of any size.
+    """
+    folder = streams.run_folder(rows.sparkSession)
+    w = Window.partitionBy("doc").orderBy(*order)
+    placed = rows.repartitionByRange(16, "doc").withColumns({"_n": F.row_number().over(w), "_next": F.lead(F.lit(1)).over(w)})
+    text = line(F.col("_n") == 1, F.col("_next").isNull())
+    placed.select("doc", text.alias("value")).write.option("lineSep", end).partitionBy("doc").text(folder)
     return folder
 
 
@@ -77,9 +82,13 @@ def _(t):
     title = F.when(F.col("id") % 7 == 0, F.concat(F.lit('"['), "titulo", F.lit('],[\\"'))).otherwise(F.col("titulo"))
     cells = F.array(F.col("id").cast("string"), F.col("work_id").cast("string"), F.col("numero").cast("string"), title)
     rows = t.chapters.select((F.col("work_id") % 16).alias("doc"), "id", F.to_json(cells, {"ignoreNullFields": "false"}).alias("r"))
-    head = F.lit('{"hasta":"2026-11-04T10:00:00Z","completoEn":"x","cols":["id","work_id","numero","titulo"],"filas":[')
-    files = packed(rows, ["doc"], "id", "r", ",").select("doc", F.concat(head, "body", F.lit("]}")).alias("value"))
-    found = catalog.snapshot_rows(t.spark, _file_per_row(t, files), ["id", "work_id", "numero", "titulo"])
+    head = '{"hasta":"2026-11-04T10:00:00Z","completoEn":"x","cols":["id","work_id","numero","titulo"],"filas":[['
+    inside = F.expr("substr(r, 2, length(r) - 2)")
+
+    def line(first, last):  # a line ends behind the bracket that opens the next row
+        return F.concat(F.when(first, head).otherwise(""), inside, F.when(last, "]]}").otherwise("],["))
+
+    found = catalog.snapshot_rows(t.spark, large_files(rows, ["id", "r"], line, "\n"), ["id", "work_id", "numero", "titulo"])
     return found.drop("hasta").fillna("", ["numero"])
 
 
@@ -90,9 +99,13 @@ def _(t):
     texts = t.base("documents").select("text").distinct()
     by_lang = F.create_map(*[x for lang in ("en", "pt") for x in (F.lit(lang), F.concat(F.lit(f"{lang} "), "text", F.lit("},")))])
     entry = F.substr(F.to_json(F.create_map(F.md5("text"), by_lang)), F.lit(2))
-    rows = texts.select(F.pmod(F.xxhash64("text"), F.lit(16)).alias("doc"), F.md5("text").alias("h"), F.substr(entry, F.lit(1), F.length(entry) - 1).alias("e"))
-    files = packed(rows, ["doc"], "h", "e", ",").select("doc", F.concat(F.lit("{"), "body", F.lit("}")).alias("value"))
-    found = catalog.translation_rows(t.spark, _file_per_row(t, files))
+    rows = texts.select(F.pmod(F.xxhash64("text"), F.lit(16)).alias("doc"), F.md5("text").alias("h"), "text")
+
+    def line(first, last):  # the brace that closes an entry, and in the end the file, ends a line
+        opened = F.concat(F.when(first, "{").otherwise(","), F.substr(entry, F.lit(1), F.length(entry) - 2))
+        return F.when(last, F.concat(opened, F.lit("}"))).otherwise(opened)
+
+    found = catalog.translation_rows(t.spark, large_files(rows, ["h"], line, "}"))
     return found.select(F.col("hash").alias("huella"), "idioma", F.md5("texto").alias("texto"))
 
 
