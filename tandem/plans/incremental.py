@@ -184,12 +184,13 @@ def _(t):
     gone = t.sql(_TOMBS).withColumn("modificado_en", F.col("borrado_en").cast("timestamp")).where(since)
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in state.select(*_COLS[1:]).schema]
     dead = gone.select("id", *none, F.lit(True).alias("aprobado"), "modificado_en", F.lit(True).alias("borrado"))
-    # the older state, then its changes, as two files and so as two batches
+    # the older state, then its changes: the stream goes on where it stopped
     folder = streams.run_folder(t.spark)
     for rows in (state, changed.unionByName(dead)):
-        rows.coalesce(1).write.mode("append").parquet(f"{folder}/changes.parquet")
-    changes = streams.folder_stream(t.spark, f"{folder}/changes.parquet", files_per_batch=1)
-    return streams.apply_changes_stream(changes, folder, _COLS).read()
+        rows.write.mode("append").parquet(f"{folder}/changes.parquet")
+        changes = streams.folder_stream(t.spark, f"{folder}/changes.parquet")
+        table = streams.apply_changes_stream(changes, folder, _COLS)
+    return table.read()
 
 
 @query("t6_votes_stream", """
