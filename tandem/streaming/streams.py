@@ -120,28 +120,40 @@ _VOTE = "capitulo_novela int, creada bigint, id bigint"
 _MOVE = "work_id bigint, capitulo_manhwa int, capitulo_novela int, paso int"
 
 
+_SLOTS = 1024  # groups that votes are dealt into, so that one call in Python serves the votes of many readers
+
+
 class _Moves(StatefulProcessor):
-    """The vote of a reader on a chapter. A later vote takes one from what it said before and gives one to what it says now;
-    a withdrawn vote only takes. The withdrawal is kept with its time, so an older vote cannot come back."""
+    """The votes of a slot, one per work, chapter and reader. A later vote takes one from what it said before and gives one to
+    what it says now; a withdrawn vote only takes. The withdrawal is kept with its time, so an older vote cannot come back.
+    A batch reads and writes the votes that it touches, whatever else the slot holds."""
+
+    def __init__(self, key: T.StructType):
+        self.key = key
 
     def init(self, handle) -> None:
-        self.vote = handle.getValueState("vote", _VOTE)
+        self.votes = handle.getMapState("votes", self.key, _VOTE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.vote.get() if self.vote.exists() else None
-        now = known
         for frame in rows:
-            at, gone = _micros(frame["creada_en"]).tolist(), frame["borrado"].tolist()
-            for t, i, chapter, out in zip(at, frame["id"].tolist(), frame["capitulo_novela"].tolist(), gone):
-                if now is None or (t, i) >= (now[1], now[2]):
-                    now = (None if out else int(chapter), t, i)
-        before, after = (None if v is None else v[0] for v in (known, now))
-        if now != known:
-            self.vote.update(now)
-        moves = [(c, step) for c, step in ((before, -1), (after, 1)) if c is not None] if before != after else []
-        yield pd.DataFrame(
-            {"work_id": key[0], "capitulo_manhwa": key[1], "capitulo_novela": [c for c, _ in moves], "paso": [s for _, s in moves]}
-        )
+            latest: dict[tuple, tuple] = {}
+            voters, at = [frame[c].tolist() for c in self.key.names], _micros(frame["creada_en"]).tolist()
+            values = zip(*voters, at, frame["id"].tolist(), frame["capitulo_novela"].tolist(), frame["borrado"].tolist())
+            for *voter, t, i, chapter, out in values:
+                voter = tuple(voter)
+                if voter not in latest or (t, i) >= latest[voter][1:]:
+                    latest[voter] = (None if out else int(chapter), t, i)
+            moves = []
+            for voter, now in latest.items():
+                known = self.votes.getValue(voter)
+                if known is not None and now[1:] < (known[1], known[2]):
+                    continue
+                before = None if known is None else known[0]
+                if known is None or now != tuple(known):
+                    self.votes.updateValue(voter, now)
+                if before != now[0]:
+                    moves += [(*voter[:2], c, step) for c, step in ((before, -1), (now[0], 1)) if c is not None]
+            yield pd.DataFrame(moves, columns=[*PAIR, "capitulo_novela", "paso"])
 
     def close(self) -> None:
         pass
@@ -174,7 +186,10 @@ def consensus_stream(changes: DataFrame, folder: str) -> Consensus:
         F.coalesce("capitulo_novela", F.lit(0)).cast("int").alias("capitulo_novela"), "creada_en",
         (F.coalesce("borrado", F.lit(False)) | F.col("capitulo_novela").isNull()).alias("borrado"),
     )
-    moves = votes.groupBy(*PAIR, "user_id").transformWithStateInPandas(_Moves(), _MOVE, "Append", "None")
+    voter = [*PAIR, "user_id"]
+    dealt = votes.withColumn("_slot", F.pmod(F.xxhash64(*voter), F.lit(_SLOTS)))
+    processor = _Moves(T.StructType([votes.schema[c] for c in voter]))
+    moves = dealt.groupBy("_slot").transformWithStateInPandas(processor, _MOVE, "Append", "None")
     store(moves, f"{folder}/moves")
     spark = changes.sparkSession
     written = spark.readStream.schema(_MOVE).option("maxFilesPerTrigger", 10_000).parquet(f"{folder}/moves/rows")
