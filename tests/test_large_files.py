@@ -51,3 +51,13 @@ def test_one_call_moves_the_votes_of_many_readers():
     assert call((1, 1, 7, 4, 9, day[0], False), (1, 1, 8, 5, 4, day[3], False)) == [(1, 1, 4, 1), (1, 1, 6, -1)]
     assert call((1, 1, 8, 6, 4, day[4], True)) == [(1, 1, 4, -1)]
     assert call((1, 1, 8, 7, 4, day[3], False)) == []
+
+
+def test_changes_are_not_written_by_one_task(spark, sf_dir, monkeypatch):
+    from __spark_entry__ import spark_queries
+
+    def one_task(*_):
+        raise AssertionError("a table that grows is brought into a fixed number of tasks")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", one_task)
+    assert spark_queries()["t1_apply_stream"](spark, sf_dir).limit(1).count() == 1
