@@ -251,3 +251,37 @@ def test_a_large_group_changes_by_one_row(spark):
     assert members.count() == 50 and [tuple(r) for r in roots.collect()] == [(11, 11)]
     new, changed = d.grow_components(members, roots, spark.createDataFrame([(30, 3)], "a bigint, b bigint"))
     assert [tuple(r) for r in new.collect()] == [(3, 3)] and sorted(map(tuple, changed.collect())) == [(3, 3), (11, 3)]
+
+
+def _one_task_works(spark):
+    rows = [(i, f"Alpha beta gamma delta word{i}", [f"Otro nombre largo numero {i}"], "manhwa", "", f"w-{i}") for i in range(60)]
+    schema = "work_id bigint, titulo string, titulos_alternativos array<string>, tipo string, estado string, slug string"
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def test_titles_of_one_file_are_read_by_all_tasks(spark):
+    from tandem.operators import work_pages
+
+    chapters = spark.createDataFrame(
+        [(1, 3, 7, "manhwa", "es", 5, "https://h.test/1")],
+        "id bigint, work_id bigint, source_id bigint, tipo string, idioma string, numero int, url string")
+    sources = spark.createDataFrame([(7, "Uno")], "source_id bigint, nombre string")
+    found = work_pages.page_meta(_one_task_works(spark), chapters, sources)
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 60
+
+
+def test_names_of_the_works_are_prepared_once(spark, monkeypatch):
+    from tandem.operators import matching
+
+    made = []
+    real = matching.title_sets
+    monkeypatch.setattr(matching, "title_sets", lambda names, *a, **k: made.append(names.rdd.getNumPartitions()) or real(names, *a, **k))
+    series = spark.createDataFrame(
+        [(1, 1, "u1", "x", "Gamma delta beta alpha word5", None, ["x"], False), (2, 1, "u2", "Alpha beta gamma delta word7", None, None, ["Alpha beta gamma delta word7"], False)],
+        "serie_id bigint, sitio_id int, url string, titulo string, titulo_es string, slug_base string, nombres array<string>, solo_match boolean")
+    bound = spark.createDataFrame([], "sitio_id int, url string, work_id bigint")
+    gone = spark.createDataFrame([], "slug string")
+    rows = matching.resolve_series(series, _one_task_works(spark), bound, gone, similar=True).collect()
+    assert sorted((r.serie_id, r.slug, r.via) for r in rows) == [(1, "w-5", "traducido"), (2, "w-7", "nombre")]
+    assert len(made) == 1 and made[0] > 1
