@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tandem.functions import fixed_values as fv
 from tandem.functions.text import content_words, name_keys, slugify
 from tandem.operators.catalog_text import work_names
-from tandem.operators.distributed import components
+from tandem.operators.distributed import components, spread
 from tandem.session import cut_lineage
 
 
@@ -149,15 +149,22 @@ def similar_sets(
     )
 
 
-def match_by_similarity(series: DataFrame, works: DataFrame, threshold: float, names: str = "nombres") -> DataFrame:
-    """serie_id -> work_id of the most similar title; none when two works tie at the top."""
-    named = series.select("serie_id", F.explode(names).alias("nombre"))
+def title_catalog(works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Word sets of all names of the works and how many names hold each word, written once for all who compare with them."""
+    catalog = cut_lineage(title_sets(work_names(works), "work_id"))
+    return catalog, cut_lineage(word_postings(catalog))
+
+
+def match_by_similarity(
+    series: DataFrame, works: DataFrame, threshold: float, names: str = "nombres",
+    compared: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """serie_id -> work_id of the most similar title; none when two works tie at the top. ``compared``: their ``title_catalog``."""
+    named = spread(series.select("serie_id", F.explode(names).alias("nombre")))
     own = named.select("serie_id", F.array_sort(content_words("nombre")).alias("words_l"))
     own = cut_lineage(own.where(F.size("words_l") >= fv.MIN_CONTENT_WORDS))
-    catalog = cut_lineage(title_sets(work_names(works), "work_id"))
-    found = similar_sets(
-        own.select(F.col("words_l").alias("words")).distinct(), catalog.select("words"), threshold, word_postings(catalog)
-    )
+    catalog, postings = compared or title_catalog(spread(works))
+    found = similar_sets(own.select(F.col("words_l").alias("words")).distinct(), catalog.select("words"), threshold, postings)
     with_owner = found.join(catalog.select(F.col("words").alias("words_r"), "low", "high"), "words_r")
     per_set = with_owner.groupBy("words_l", "similitud").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     hits = own.join(per_set, "words_l").groupBy("serie_id", "similitud").agg(
@@ -198,7 +205,8 @@ def resolve_series(
     similar title (0.9). The rest become new works; series that share a name key
     become one work named by the lowest serie_id. Per site a slug is kept once.
     """
-    index = build_name_index(works)
+    series, names = spread(series), spread(works)
+    index = cut_lineage(build_name_index(names))
     ids = works.select("work_id", "slug")
     by_url = bound.select("sitio_id", "url", F.col("work_id").alias("w_url"))
     by_name = match_by_name(series, index).select("serie_id", F.col("work_id").alias("w_name"))
@@ -209,8 +217,9 @@ def resolve_series(
     )
     steps = [("url", "w_url"), ("nombre", "w_name"), ("traducido", "w_es")]
     if similar:
-        sim_es = match_by_similarity(translated, works, fv.SIMILAR_ENOUGH, "_es")
-        sim = match_by_similarity(series, works, fv.SIMILAR_ORIGINAL)
+        compared = title_catalog(names)
+        sim_es = match_by_similarity(translated, works, fv.SIMILAR_ENOUGH, "_es", compared)
+        sim = match_by_similarity(series, works, fv.SIMILAR_ORIGINAL, compared=compared)
         found = found.join(sim_es.select("serie_id", F.col("work_id").alias("w_sim_es")), "serie_id", "left")
         found = found.join(sim.select("serie_id", F.col("work_id").alias("w_sim")), "serie_id", "left")
         steps += [("parecido_es", "w_sim_es"), ("parecido", "w_sim")]
