@@ -79,6 +79,18 @@ def test_links_are_resolved(url, href):
     assert markup.absolute(url, href) == (urljoin(url, href) if href else "")
 
 
+def test_plain_addresses_are_not_taken_apart(monkeypatch):
+    from urllib.parse import urljoin
+
+    hosts, paths = ["https://h.test", "http://a-b.c.test"], ["", "/", "/a", "/a/b.c/", "/a%20b/~c-d", "/año/1"]
+    plain = [h + p for h in hosts for p in paths]
+    odd = ["HTTP://h.test/a", "https://h.test//a", "https://h.test/a/../b", "https://h.test/a?", "https://h.test/a#", "https://h.test:80/a;b"]
+    for url in ("https://h.test/x/y", "http://other.test"):
+        assert [markup.absolute(url, h) for h in plain + odd] == [urljoin(url, h) for h in plain + odd]
+    monkeypatch.setattr(markup, "urljoin", lambda *_: pytest.fail("taken apart"))
+    assert [markup.absolute("https://h.test/x", h) for h in plain] == plain
+
+
 def test_a_long_page_is_read_in_bounded_memory():
     """100 MB of chapters: what is held does not grow with the page."""
     import tracemalloc
